@@ -13,11 +13,11 @@ n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id)"""
 
 _LINKS = """
 common AS (
-  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared
   FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
 links AS (
   SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
-  WHERE 100 * both >= 75 * (x.n + y.n - both)),
+  WHERE 100 * shared >= 75 * (x.n + y.n - shared)),
 reach(id, far) AS (
   SELECT doc_id, doc_id FROM documents
   UNION SELECT r.id, l.b FROM reach r JOIN links l ON l.a = r.far),
