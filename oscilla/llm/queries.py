@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from oscilla.llm import common, near_dedup
+from oscilla.llm import byte_bpe, common, near_dedup, token_counts, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,22 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(common.load(spark, sf_dir, "documents"))
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_files.write_token_files(common.load(spark, sf_dir, "documents"), common.shared_path(spark, "tokens"))
+    return token_files.checksums(token_files.read_token_files(spark, path))
+
+
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.round_trip(common.load(spark, sf_dir, "documents"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(common.load(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op4_token_files": op4_token_files,
+    "op7_byte_bpe": op7_byte_bpe,
+    "op9_token_counts": op9_token_counts,
 }
