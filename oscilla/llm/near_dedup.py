@@ -8,10 +8,11 @@ that agree in a whole band are candidates.  Links count only after exact compari
 
 No bucket is expanded into its pairs.  First each member is compared with the least member of its
 bucket (a star: linear).  Classes so linked are merged into components.  Only buckets that still
-hold several components are looked into again: block by block, in numpy, members of different
-components are compared by sketch, and what could reach the threshold (a margin of more than six
-standard deviations) is verified exactly too.  So pairs within a component are never made, which
-loses no component.
+hold several components are looked into again, block by block, in numpy, with wider sketches of
+``WIDE`` coordinates.  In a second round each member names its most similar candidate of another
+component (linear again).  In the last round all pairs of still different components that could
+reach the threshold by their sketches, with a margin of five standard deviations, are verified.
+So pairs within a component are never made, which loses no component.
 
 With 40 bands of 5, a pair at the threshold of 0.75 shares no band with probability 2e-5, at 0.8
 with 6e-8.
@@ -39,6 +40,8 @@ from oscilla.llm.shingles import band_keys, digest, shingle_set, sketch
 from oscilla.llm.shingles import common as overlap
 
 BANDS, ROWS, PERCENT = 40, 5, 75
+#: Coordinates of the sketches that choose what is verified across components, a byte each.
+WIDE = 1024
 #: Members of a bucket that are compared in one task at a time.
 BLOCK = 1024
 
@@ -46,27 +49,40 @@ BLOCK = 1024
 def _sketched(width: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.record_batches(batches):
-            n, dig, keys, sig = [], [], [], []
+            n, dig, keys = [], [], []
             for t in b.column("text"):
-                s = shingle_set(t.as_py().encode()) if t.is_valid else ()
+                s = shingle_set(t.as_py().encode(), width) if t.is_valid else ()
                 n.append(len(s))
                 if len(s):
-                    sk = sketch(s, bands * rows)
                     dig.append(digest(s))
-                    keys.append(band_keys(sk, rows).view(np.int64))
-                    sig.append((sk ^ (sk >> np.uint64(40))).astype(np.uint16).tobytes())
+                    keys.append(band_keys(sketch(s, bands * rows), rows).view(np.int64))
                 else:
                     dig.append(None)
                     keys.append(None)
-                    sig.append(None)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(dig, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sig, pa.binary())],
-                names=["doc_id", "n_shingles", "dig", "bands", "sig"],
+                [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(dig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                names=["doc_id", "n_shingles", "dig", "bands"],
             )
 
     return run
 
 
+def _sets(width: int):
+    """Sets and wide sketches; where an id repeats with another text, the digest tells which one is meant."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in common.record_batches(batches):
+            got = []
+            for d, t in zip(b.column("dig"), b.column("text"), strict=True):
+                s = shingle_set(t.as_py().encode(), width)
+                if digest(s) == d.as_py():
+                    sk = sketch(s, WIDE)
+                    got.append((d.as_py(), s.tobytes(), (sk ^ (sk >> np.uint64(40))).astype(np.uint8).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], pa.binary()) for k in range(3)], names=["dig", "set", "sig"])
+
+    return run
+
+
 def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.record_batches(batches):
@@ -80,31 +96,28 @@ def _verify(percent: int):
     return run
 
 
-def _across(percent: int, t: int):
-    """Candidate pairs of different components within one block pair of one bucket."""
+def _across(percent: int, best: bool):
+    """Candidate pairs of different components within one block pair of one bucket; ``best``: only each member's most similar one."""
     least = percent / 100
-    slack = 6.5 * (least * (1 - least) / t) ** 0.5
+    slack = 5 * (least * (1 - least) / WIDE) ** 0.5
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint16).reshape(len(pdf), t)
-        comp, n, blk = pdf["comp"].to_numpy(), pdf["n"].to_numpy(), pdf["blk"].to_numpy()
-        dig = pdf["dig"].to_numpy()
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), WIDE)
+        n, blk, dig = pdf["n"].to_numpy(), pdf["blk"].to_numpy(), pdf["dig"].to_numpy()
+        comp = pd.factorize(pdf["comp"])[0]
         lo, hi = key[1], key[2]
         rows = np.flatnonzero(blk == lo)
         others = rows if lo == hi else np.flatnonzero(blk == hi)
-        codes = pd.factorize(comp)[0]
-        a, b = [], []
+        pairs = set()
         for x, i in enumerate(rows):
-            j = others[x + 1 :] if lo == hi else others
-            j = j[codes[j] != codes[i]]
+            j = others if best or lo != hi else others[x + 1 :]
+            j = j[comp[j] != comp[i]]
             j = j[100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i])]
             if len(j):
-                j = j[(sig[j] == sig[i]).mean(axis=1) >= least - slack]
-                for k in j:
-                    p, q = dig[i], dig[k]
-                    a.append(min(p, q))
-                    b.append(max(p, q))
-        return pd.DataFrame({"a": a, "b": b})
+                like = (sig[j] == sig[i]).mean(axis=1)
+                j = j[like >= least - slack] if not best else j[like == max(like.max(), least - slack)][:1]
+                pairs.update((min(dig[i], dig[k]), max(dig[i], dig[k])) for k in j)
+        return pd.DataFrame(sorted(pairs), columns=["a", "b"])
 
     return run
 
@@ -115,13 +128,25 @@ def _exact(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return full.select("a", "b", "set_a", "set_b").mapInArrow(_verify(percent), "a binary, b binary")
 
 
+def _pairs_across(placed: DataFrame, mixed: DataFrame, sets: DataFrame, percent: int, best: bool) -> DataFrame:
+    nblk = F.ceil(F.col("m") / BLOCK).cast("int")
+    held = placed.join(mixed, "band").withColumn("nblk", nblk).withColumn("blk", F.pmod(F.xxhash64("dig"), F.col("nblk")).cast("int"))
+    dealt = (
+        held.join(sets.select("dig", "sig"), "dig")
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nblk") - 1)))
+        .select("band", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"), "blk", "dig", "n", "comp", "sig")
+    )
+    # few bytes but much work: as many tasks as the session's shuffles have, not as few as the bytes suggest
+    dealt = dealt.repartition(int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")), "band", "lo", "hi")
+    return dealt.groupBy("band", "lo", "hi").applyInPandas(_across(percent, best), "a binary, b binary").distinct()
+
+
 def near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id (least id reachable), kept."""
     base = common.two_columns(docs, key, text)
-    t = bands * rows
-    seen = common.materialize(base.mapInArrow(_sketched(width, bands, rows), "doc_id long, n_shingles long, dig binary, bands array<bigint>, sig binary"), "sketches")
+    seen = common.materialize(base.mapInArrow(_sketched(width, bands, rows), "doc_id long, n_shingles long, dig binary, bands array<bigint>"), "sketches")
 
     classes = seen.where("dig IS NOT NULL").groupBy("dig").agg(F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.min("doc_id").alias("rep"))
     members = common.materialize(classes.select("dig", "n", F.explode("bands").alias("band")), "bands")
@@ -132,44 +157,24 @@ def near_duplicates(
     stars = shared.where("dig != hub").select(F.col("hub").alias("a"), F.col("dig").alias("b")).distinct()
     wanted = shared.select("dig").distinct()
     first = seen.join(wanted, "dig", "left_semi").groupBy("dig").agg(F.min("doc_id").alias("doc_id"))
-    texts = base.withColumnRenamed("doc_id", "id").join(first.withColumnRenamed("doc_id", "id"), "id")
-    # an id that repeats with other texts would give a class the wrong text: its digest decides
-    sets = common.materialize(texts.select("dig", "text").where("text IS NOT NULL").mapInArrow(_checked_sets(width), "dig binary, set binary").dropDuplicates(["dig"]), "sets")
+    texts = base.withColumnRenamed("doc_id", "id").join(first.withColumnRenamed("doc_id", "id"), "id").where("text IS NOT NULL")
+    sets = texts.select("dig", "text").mapInArrow(_sets(width), "dig binary, set binary, sig binary").dropDuplicates(["dig"])
+    sets = common.materialize(sets, "sets")
 
-    links = common.materialize(_exact(stars, sets, percent), "stars")
+    links = common.materialize(_exact(stars, sets, percent), "links")
     comp = connected_components(links)
-
-    placed = shared.join(comp.select(F.col("node").alias("dig"), "comp"), "dig", "left").withColumn("comp", F.coalesce("comp", "dig"))
-    placed = common.materialize(placed, "members")
-    mixed = common.materialize(placed.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo != hi").select("band", "m"), "mixed")
-    nblk = F.ceil(F.col("m") / BLOCK).cast("int")
-    held = placed.select("band", "dig", "n", "comp").join(mixed, "band").withColumn("nblk", nblk).withColumn("blk", F.pmod(F.xxhash64("dig"), F.col("nblk")).cast("int"))
-    sigs = seen.where("dig IS NOT NULL").groupBy("dig").agg(F.first("sig").alias("sig"))
-    dealt = (
-        held.join(sigs, "dig")
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nblk") - 1)))
-        .select("band", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"), "blk", "dig", "n", "comp", "sig")
-    )
-    across = dealt.groupBy("band", "lo", "hi").applyInPandas(_across(percent, t), "a binary, b binary").distinct()
-    more = common.materialize(_exact(across, sets, percent), "across")
-    comp = connected_components(links.unionByName(more))
+    for best in (True, False):
+        placed = shared.select("band", "dig", "n").join(comp.select(F.col("node").alias("dig"), "comp"), "dig", "left").withColumn("comp", F.coalesce("comp", "dig"))
+        placed = common.materialize(placed, "members")
+        mixed = placed.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo != hi").select("band", "m")
+        mixed = common.materialize(mixed, "mixed")
+        across = common.materialize(_pairs_across(placed, mixed, sets, percent, best), "pairs")
+        more = common.materialize(_exact(across, sets, percent), "links")
+        links = links.unionByName(more)
+        comp = connected_components(links)
 
     node = seen.select("doc_id", "n_shingles", "dig").join(comp.select(F.col("node").alias("dig"), "comp"), "dig", "left").withColumn("comp", F.coalesce("comp", "dig"))
     node = common.materialize(node, "placed")
     least = common.materialize(node.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("component_id")), "least")
     out = node.join(least, "comp", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-
-
-def _checked_sets(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.record_batches(batches):
-            dig, sets = [], []
-            for d, t in zip(b.column("dig"), b.column("text"), strict=True):
-                s = shingle_set(t.as_py().encode())
-                if digest(s) == d.as_py():
-                    dig.append(d.as_py())
-                    sets.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(dig, pa.binary()), pa.array(sets, pa.binary())], names=["dig", "set"])
-
-    return run
