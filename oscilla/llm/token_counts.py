@@ -24,9 +24,9 @@ LIMIT = 512
 
 def _counted(path: str, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, counts=True)
+        enc = encoder(path)
         for b in common.record_batches(batches):
-            n = pa.array(list(enc.balanced(t or "" for t in b.column("text").to_pylist())), pa.int64())
+            n = pa.array(enc.encode((t or "" for t in b.column("text").to_pylist()), counts=True)[1])
             size = pc.fill_null(pc.binary_length(b.column("text")), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), size, n, pc.greater(n, limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 

@@ -42,17 +42,14 @@ WRITER = {
 
 
 def _encoded(path: str, end_id: int):
-    end = np.array([end_id], "<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, at = encoder(path), TaskContext.get().partitionId(), 0
         for b in common.record_batches(batches):
-            texts = (t or "" for t in b.column("text").to_pylist())
-            data = [x + end for x in enc.balanced(texts)]
-            n = np.array([len(x) // 4 for x in data], np.int64)
+            ids, n = enc.encode(t or "" for t in b.column("text").to_pylist())
+            ids = np.insert(ids, np.cumsum(n), end_id)
+            n = n + 1
             stop = np.cumsum(n)
-            ids = pa.Array.from_buffers(pa.int32(), int(stop[-1]), [None, pa.py_buffer(np.frombuffer(b"".join(data), "<u4").astype(np.int32))])
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], stop]).astype(np.int32)), ids)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], stop]).astype(np.int32)), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(n), part, np.int32)), pa.array(at + stop - n), b.column("doc_id"), pa.array(n), lists],
                 names=["part", "local_start", "doc_id", "n_tokens", "tokens"],

@@ -11,18 +11,22 @@ from __future__ import annotations
 
 import os
 import re
-import sys
 from array import array
 from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 
 #: The characters of the Unicode property White_Space.
 WHITE = r"\t-\r \x85\xa0  -     　"
 _UNITS = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
-_BEFORE_SPACE = re.compile(f"[{WHITE}] ")
+#: White space right before a space: there a space does not begin a unit.
+_BEFORE_SPACE = [c + " " for c in "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"]
 _CUT = re.compile(f"[^{WHITE}](?=[{WHITE}])")
 #: Units that are remembered at most, and their greatest length in characters.
-REMEMBER, LONGEST = 800_000, 48
+REMEMBER, LONGEST = 500_000, 48
 
 
 def default_path(name: str = "byte_bpe_50k.json") -> str:
@@ -56,103 +60,115 @@ _WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,]?)")
 
 
 class UnitEncoder:
-    """Ids (as little-endian uint32 bytes) or counts of whole texts."""
+    """Ids of whole texts, from Arrow arrays, without a Python step for each word."""
 
-    def __init__(self, path: str, counts: bool = False):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
         self.lib.no_truncation()
         self.lib.no_padding()
-        self.counts = counts
         self.mark = {c: self.lib.encode(c, add_special_tokens=False).ids for c in ".,"}
-        self.known: dict[str, int | bytes] = {}
-        self.after: dict[str, int | bytes] = {}  # the same with the leading space left out
-
-    def _value(self, ids: list[int]) -> int | bytes:
-        if self.counts:
-            return len(ids)
-        a = array("I", ids)
-        if sys.byteorder == "big":
-            a.byteswap()
-        return a.tobytes()
+        self.known: dict[str, bytes] = {}
 
-    def _learn(self, missing: Iterable[str], known: dict, lead: str) -> dict:
-        """Values of units that are not remembered; short ones are from now on while there is room.
+    def _values(self, units: list[str], lead: str = "") -> list[bytes]:
+        """Ids of units, each after ``lead``, as bytes.
 
         A plain word is one match of the pattern, so the library's model takes it as it is; all
         else goes through the library's whole pipeline.
         """
-        got, others, model = {}, [], self.lib.model
-        for u in missing:
+        later, model, known = [], self.lib.model, self.known
+        room = len(known) < REMEMBER
+        out = list(map(known.get, units)) if lead else [None] * len(units)
+        for k in [k for k, v in enumerate(out) if v is None]:
+            u = units[k]
             m = _WORD.fullmatch(u) if len(u) <= LONGEST else None
             if m:
                 ids = [x.id for x in model.tokenize((lead + m[1]).encode().decode("latin-1").translate(_ALPHABET))]
-                got[u] = self._value(ids + self.mark[m[2]] if m[2] else ids)
-            else:
-                others.append(u)
-        got.update((u, self._value(e.ids)) for u, e in zip(others, self.lib.encode_batch_fast([lead + u for u in others], add_special_tokens=False), strict=True))
-        if len(known) < REMEMBER:
-            known.update((u, v) for u, v in got.items() if len(u) <= LONGEST)
-        return got
-
-    def encode(self, texts: list[str]) -> list:
-        """A value for each text: the number of its ids, or their bytes."""
-        split, lists = [], []
-        for t in texts:
-            plain = not _BEFORE_SPACE.search(t)
-            split.append(plain)
-            lists.append(t.split(" ") if plain else _UNITS.findall(t))
-        heads = {u[0] for u, p in zip(lists, split, strict=True) if p and u[0]}
-        heads.update(*(u for u, p in zip(lists, split, strict=True) if not p))
-        tails: set[str] = set()
-        for u, p in zip(lists, split, strict=True):
-            if p:
-                tails.update(u[1:])
-        new_heads = self._learn((u for u in heads if u not in self.known), self.known, "")
-        new_tails = self._learn((u for u in tails if u not in self.after), self.after, " ")
-        none = 0 if self.counts else b""
-        new_heads[""] = none
-        head = lambda u: new_heads[u] if u in new_heads else self.known[u]
-        fresh, after = new_tails.get, self.after.get
-        out = []
-        for u, p in zip(lists, split, strict=True):
-            if not p:
-                parts = [head(x) for x in u]
+                out[k] = array("I", ids + self.mark[m[2]] if m[2] else ids).tobytes()
+                if room and lead:
+                    known[u] = out[k]
             else:
-                parts = list(map(after, u[1:]))
-                if None in parts:
-                    parts = [v if v is not None else fresh(x) for v, x in zip(parts, u[1:], strict=True)]
-                parts.insert(0, head(u[0]))
-            out.append(sum(parts) if self.counts else b"".join(parts))
+                later.append((k, u))
+        for (k, u), e in zip(later, self.lib.encode_batch_fast([lead + u for _, u in later], add_special_tokens=False), strict=True):
+            out[k] = array("I", e.ids).tobytes()
+            if room and lead and len(u) <= LONGEST:
+                known[u] = out[k]
         return out
 
-    def balanced(self, texts: Iterable[str], most: int = 1 << 20) -> Iterator:
-        """Values of texts in order, worked off in batches of about ``most`` characters; longer texts are cut safely."""
-        group: list[str] = []
-        size = 0
-        for t in texts:
-            if len(t) > most:
-                yield from self.encode(group)
-                group, size = [], 0
-                parts = [self.encode([x])[0] for x in safe_pieces(t, most)]
-                yield sum(parts) if self.counts else b"".join(parts)
-                continue
-            if size + len(t) > most:
-                yield from self.encode(group)
-                group, size = [], 0
-            group.append(t)
-            size += len(t)
-        if group:
-            yield from self.encode(group)
-
-
-_ENCODERS: dict[tuple[str, bool], UnitEncoder] = {}
-
-
-def encoder(path: str, counts: bool = False) -> UnitEncoder:
+    def _plan(self, texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """Distinct units' ids, the units of all texts in order as places in that list, and where texts end."""
+        lists = pc.split_pattern(texts, " ")
+        stops = np.asarray(lists.offsets)[1:] - lists.offsets[0].as_py()
+        coded = lists.flatten().dictionary_encode()
+        at = np.asarray(coded.indices).astype(np.int64)
+        values = self._values(coded.dictionary.to_pylist(), " ")
+        # a text's first unit has no space before it, and none at all if it is empty
+        heads = np.concatenate([[0], stops[:-1]])
+        first = pa.array([x or "" for x in lists.flatten().take(pa.array(heads)).to_pylist()]).dictionary_encode()
+        at[heads] = np.asarray(first.indices) + len(values)
+        values += [v if u else b"" for u, v in zip(first.dictionary.to_pylist(), self._values(first.dictionary.to_pylist()), strict=True)]
+        return values, at, stops
+
+    def _slice(self, texts: list[str], counts: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in order (none if only counts are wanted) and the number of each text's ids."""
+        odd = [k for k, t in enumerate(texts) if any(x in t for x in _BEFORE_SPACE)]
+        at_odd = set(odd)
+        values, at, stops = self._plan(pa.array(["" if k in at_odd else t for k, t in enumerate(texts)], pa.string()))
+        if odd:  # white space of other kinds before a space: units by the pattern, put in place of the empty text's one
+            units = [_UNITS.findall(texts[k]) for k in odd]
+            distinct = sorted({u for x in units for u in x})
+            place = {u: k + len(values) for k, u in enumerate(distinct)}
+            values += self._values(distinct)
+            starts = np.concatenate([[0], stops[:-1]])
+            more = dict(zip(odd, units, strict=True))
+            pieces = [np.array([place[u] for u in more[k]], np.int64) if k in more else at[i:j] for k, (i, j) in enumerate(zip(starts, stops, strict=True))]
+            at, stops = np.concatenate(pieces), np.cumsum([len(x) for x in pieces])
+        size = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        each = size[at]
+        ends = np.concatenate([[0], np.cumsum(each)])
+        n = np.diff(np.concatenate([[0], ends[stops]]))
+        if counts:
+            return np.zeros(0, np.int32), n
+        pool = np.frombuffer(b"".join(values), np.int32)
+        begin = np.cumsum(size) - size
+        return pool[np.repeat(begin[at] - ends[:-1], each) + np.arange(ends[-1])], n
+
+    def encode(self, texts: Iterable[str], counts: bool = False, most: int = 8 << 20) -> tuple[np.ndarray, np.ndarray]:
+        """As above for any number of texts: worked off in batches of about ``most`` characters; longer texts are cut safely."""
+        pieces, owner, ids, n = [], [], [], []
+        size = total = 0
+
+        def flush() -> None:
+            nonlocal pieces, owner, size
+            got, each = self._slice(pieces, counts)
+            ids.append(got)
+            n.append(np.bincount(np.array(owner) - owner[0], each, owner[-1] - owner[0] + 1).astype(np.int64) if counts or len(set(owner)) < len(owner) else each)
+            spans.append(owner[0])
+            pieces, owner, size = [], [], 0
+
+        spans: list[int] = []
+        for total, t in enumerate(texts, 1):
+            for x in safe_pieces(t, most) if len(t) > most else (t,):
+                if pieces and size + len(x) > most:
+                    flush()
+                pieces.append(x)
+                owner.append(total - 1)
+                size += len(x)
+        if pieces:
+            flush()
+        out = np.zeros(total, np.int64)
+        for at, each in zip(spans, n, strict=True):
+            out[at : at + len(each)] += each
+        return np.concatenate(ids) if ids else np.zeros(0, np.int32), out
+
+
+_ENCODERS: dict[str, UnitEncoder] = {}
+
+
+def encoder(path: str) -> UnitEncoder:
     """One encoder for each worker process and file."""
-    if (path, counts) not in _ENCODERS:
-        _ENCODERS[path, counts] = UnitEncoder(path, counts)
-    return _ENCODERS[path, counts]
+    if path not in _ENCODERS:
+        _ENCODERS[path] = UnitEncoder(path)
+    return _ENCODERS[path]
