@@ -28,4 +28,21 @@ ORACLE_SQL: dict[str, str] = {
 WITH RECURSIVE {_SHINGLES}, {_LINKS}
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
 FROM documents d LEFT JOIN n USING (doc_id) JOIN comp c ON c.id = d.doc_id""",
+    "op5_decontamination": f"""
+WITH {_SHINGLES},
+bw AS (SELECT item_id, {_WORDS} AS ws FROM benchmark WHERE text IS NOT NULL),
+bs AS (
+  SELECT DISTINCT item_id, s FROM (
+    SELECT item_id, list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' ')) AS ss FROM bw WHERE len(ws) >= 5) t, unnest(ss) AS u(s)
+  UNION
+  SELECT item_id, array_to_string(ws, ' ') FROM bw WHERE len(ws) BETWEEN 1 AND 4),
+size AS (SELECT item_id, count(*) AS n FROM bs GROUP BY item_id),
+short AS (
+  SELECT DISTINCT doc_id, s FROM (
+    SELECT doc_id, list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i+k-1], ' ')) AS ss
+    FROM w, range(1, 5) r(k) WHERE len(ws) >= k AND EXISTS (SELECT 1 FROM bw WHERE len(bw.ws) = k)) t, unnest(ss) AS u(s)),
+hits AS (
+  SELECT doc_id, item_id, count(*) AS m FROM (SELECT * FROM sh UNION SELECT * FROM short) x JOIN bs USING (s) GROUP BY ALL)
+SELECT doc_id, item_id, size.n::BIGINT AS item_shingles, m::BIGINT AS shared_shingles, m / size.n AS containment
+FROM hits JOIN size USING (item_id) WHERE 100 * m >= 75 * size.n""",
 }
