@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from oscilla.llm import byte_bpe, common, decontaminate, language, near_dedup, quality, token_counts, token_files
+from oscilla.llm import byte_bpe, common, decontaminate, language, near_dedup, outliers, quality, token_counts, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outliers.robust_outliers(common.load(spark, sf_dir, "documents"))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(common.load(spark, sf_dir, "documents"))
 
@@ -43,6 +47,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_robust_outliers": op1_robust_outliers,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_token_files": op4_token_files,
     "op5_decontamination": op5_decontamination,
