@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from oscilla.llm import byte_bpe, common, decontaminate, language, near_dedup, outliers, quality, token_counts, token_files
+from oscilla.llm import byte_bpe, common, decontaminate, html_text, language, near_dedup, outliers, quality, token_counts, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,10 @@ def op1_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.robust_outliers(common.load(spark, sf_dir, "documents"))
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(common.load(spark, sf_dir, "pages"))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(common.load(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_robust_outliers": op1_robust_outliers,
+    "op2_html_text": op2_html_text,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_token_files": op4_token_files,
     "op5_decontamination": op5_decontamination,
