@@ -1,22 +1,55 @@
-"""A corpus pipeline: quality classifier, near-dedup, decontamination, PII, byte-level BPE."""
+"""A corpus pipeline: quality classifier, near-dedup, decontamination, PII, byte-level BPE.
+
+Each stage reads what the one before wrote.  All but the last return the columns of ``documents``;
+rows with null ids or texts pass through every filter that does not reject them.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from oscilla.llm import common, near_dedup
+from oscilla.llm import byte_bpe, common, decontaminate, near_dedup, pii, quality
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    model = quality.fit(docs, common.load(spark, sf_dir, "labels"))
+    return quality.accepted(docs.select(COLUMNS), model)
+
+
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: the one with the least id."""
-    kept = near_dedup.near_duplicates(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(COLUMNS)
+    gone = near_dedup.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
+    return docs.select(COLUMNS).join(gone, "doc_id", "left_anti")
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no benchmark item."""
+    return decontaminate.without_contaminated(docs.select(COLUMNS), common.load(spark, sf_dir, "benchmark"))
+
+
+def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data masked in the text; n_chars follows."""
+    return pii.masked(docs.select(COLUMNS)).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each text, with digests of the ids and of the decoded bytes."""
+    return byte_bpe.round_trip(docs, with_tokens=True)
 
 
-STAGES = [("near_dedup", dedup)]
+STAGES = [
+    ("quality_classifier", classify),
+    ("near_dedup", dedup),
+    ("decontamination", decontaminated),
+    ("personal_data", hide_personal_data),
+    ("byte_bpe", encode),
+]
 
+#: The classifier and the sequence model cannot be put in SQL; tests hold the pipeline against a plain version.
 ORACLE_SQL = None
 
 

@@ -150,22 +150,27 @@ def decode_tokens(tokens: DataFrame, ranks: str | None = None) -> DataFrame:
     return tokens.select("doc_id", "tokens").mapInArrow(run, "doc_id long, data binary")
 
 
-def round_trip(docs: DataFrame, ranks: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256; encoding and decoding meet in one task."""
+def round_trip(docs: DataFrame, ranks: str | None = None, key: str = "doc_id", text: str = "text", with_tokens: bool = False) -> DataFrame:
+    """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256 (and the tokens); encoding and decoding meet in one task."""
     path = ranks or default_path("byte_bpe_50k.tiktoken")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = tree_encoder(path)
         for b in common.record_batches(batches):
-            n, ids_sha, data_sha = [], [], []
+            every, ids_sha, data_sha = [], [], []
             for t in b.column("text"):
                 ids = enc.encode(t.as_py() or "")
-                n.append(len(ids))
-                ids_sha.append(hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+                every.append(np.array(ids, "<u4"))
+                ids_sha.append(hashlib.sha256(every[-1].tobytes()).hexdigest())
                 data_sha.append(hashlib.sha256(enc.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(data_sha, pa.string())],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    return common.two_columns(docs, key, text).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            n = np.array([len(x) for x in every], np.int64)
+            cols = [b.column("doc_id"), pa.array(n), pa.array(ids_sha, pa.string()), pa.array(data_sha, pa.string())]
+            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            if with_tokens:
+                stops = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+                cols.append(pa.ListArray.from_arrays(stops, pa.array(np.concatenate(every).astype(np.int32))))
+                names.append("tokens")
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", tokens array<int>" * with_tokens
+    return common.two_columns(docs, key, text).mapInArrow(run, schema)

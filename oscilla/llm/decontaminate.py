@@ -29,6 +29,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -131,18 +132,40 @@ def _search(docs: DataFrame, items: list[tuple[int | None, str | None]], percent
     return docs.mapInArrow(run, SCHEMA)
 
 
-def contained_items(
-    docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text"
-) -> DataFrame:
-    """A row for each document row and benchmark item contained in it to ``percent`` at least."""
-    base = common.two_columns(docs, key, text)
+def _blocks(benchmark: DataFrame, item_key: str, item_text: str) -> Iterator[list[tuple[int | None, str | None]]]:
+    """The items in blocks whose sketches stay below the broadcast bound."""
     items = common.two_columns(benchmark, item_key, item_text).where("text IS NOT NULL")
-    # an item's keys and set take about 16 bytes for each coordinate and byte of text
+    # an item's keys and set take about 16 bytes for each coordinate and 8 for each byte of text
     size = items.agg(F.sum(F.octet_length("text") * 8 + COORDS * 16)).first()[0] or 0
     blocks = max(1, math.ceil(size / common.BROADCAST_BYTES))
     held = items.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
-    parts = []
     for k in range(blocks):
         rows = held.where(F.col("block") == k).select("doc_id", "text").distinct().collect()  # at most one block
-        parts.append(_search(base, sorted(((r[0], r[1]) for r in rows), key=lambda r: (r[0] is None, r)), percent))
-    return reduce(DataFrame.unionByName, parts)
+        yield sorted(((r[0], r[1]) for r in rows), key=lambda r: (r[0] is None, r))
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that contain no benchmark item; a filter, so nothing is shuffled."""
+    for items in _blocks(benchmark, item_key, item_text):
+        docs = docs.where(_clean(items, percent)(F.col(f"`{text}`")))
+    return docs
+
+
+def _clean(items: list[tuple[int | None, str | None]], percent: int):
+    built: list[Index] = []
+
+    @F.pandas_udf("boolean")
+    def clean(col: pd.Series) -> pd.Series:
+        if not built:
+            built.append(Index(items))
+        return pd.Series([not built[0].hits(t, percent) for t in col], dtype=bool)
+
+    return clean
+
+
+def contained_items(
+    docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text"
+) -> DataFrame:
+    """A row for each document row and benchmark item contained in it to ``percent`` at least."""
+    base = common.two_columns(docs, key, text)
+    return reduce(DataFrame.unionByName, (_search(base, items, percent) for items in _blocks(benchmark, item_key, item_text)))

@@ -21,6 +21,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -181,3 +182,13 @@ def scores(docs: DataFrame, model: Model, threshold: float = THRESHOLD, key: str
 
     out = common.two_columns(docs, key, text).mapInArrow(run, "doc_id long, score double")
     return out.select("doc_id", (common.crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score at least ``threshold``; a filter, so nothing is shuffled."""
+
+    @F.pandas_udf("double")
+    def score(col: pd.Series) -> pd.Series:
+        return pd.Series([model.score(t) for t in col], dtype=float)
+
+    return docs.where(score(F.col(f"`{text}`")) >= threshold)

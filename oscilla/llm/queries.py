@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from oscilla.llm import byte_bpe, common, decontaminate, html_text, language, near_dedup, outliers, quality, token_counts, token_files
+from oscilla.llm import byte_bpe, common, decontaminate, html_text, language, near_dedup, outliers, pii, quality, token_counts, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +32,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(common.load(spark, sf_dir, "documents"), common.load(spark, sf_dir, "benchmark"))
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(common.load(spark, sf_dir, "documents"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(common.load(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Query] = {
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_token_files": op4_token_files,
     "op5_decontamination": op5_decontamination,
+    "op6_personal_data": op6_personal_data,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_token_counts": op9_token_counts,
