@@ -11,7 +11,8 @@ bucket (a star: linear).  Classes so linked are merged into components.  Only bu
 hold several components are looked into again, block by block, in numpy, with wider sketches of
 ``WIDE`` coordinates.  In a second round each member names its most similar candidate of another
 component (linear again).  In the last round all pairs of still different components that could
-reach the threshold by their sketches, with a margin of five standard deviations, are verified.
+reach the threshold by their sketches, with a margin of five standard deviations, are verified;
+a pair that shares several bands is taken up in the first of them only.
 So pairs within a component are never made, which loses no component.
 
 With 40 bands of 5, a pair at the threshold of 0.75 shares no band with probability 2e-5, at 0.8
@@ -67,8 +68,8 @@ def _sketched(width: int, bands: int, rows: int):
     return run
 
 
-def _sets(width: int):
-    """Sets and wide sketches; where an id repeats with another text, the digest tells which one is meant."""
+def _sets(width: int, bands: int, rows: int):
+    """Sets, and wide sketches followed by band keys; where an id repeats with another text, the digest tells which one is meant."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.record_batches(batches):
@@ -77,7 +78,7 @@ def _sets(width: int):
                 s = shingle_set(t.as_py().encode(), width)
                 if digest(s) == d.as_py():
                     sk = sketch(s, WIDE)
-                    got.append((d.as_py(), s.tobytes(), (sk ^ (sk >> np.uint64(40))).astype(np.uint8).tobytes()))
+                    got.append((d.as_py(), s.tobytes(), (sk ^ (sk >> np.uint64(40))).astype(np.uint8).tobytes() + band_keys(sketch(s, bands * rows), rows).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], pa.binary()) for k in range(3)], names=["dig", "set", "sig"])
 
     return run
@@ -102,7 +103,8 @@ def _across(percent: int, best: bool):
     slack = 5 * (least * (1 - least) / WIDE) ** 0.5
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), WIDE)
+        both = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), -1)
+        sig, bands = both[:, :WIDE], np.ascontiguousarray(both[:, WIDE:]).view(np.int64)
         n, blk, dig = pdf["n"].to_numpy(), pdf["blk"].to_numpy(), pdf["dig"].to_numpy()
         comp = pd.factorize(pdf["comp"])[0]
         lo, hi = key[1], key[2]
@@ -115,7 +117,12 @@ def _across(percent: int, best: bool):
             j = j[100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i])]
             if len(j):
                 like = (sig[j] == sig[i]).mean(axis=1)
-                j = j[like >= least - slack] if not best else j[like == max(like.max(), least - slack)][:1]
+                if best:
+                    j = j[like == max(like.max(), least - slack)][:1]
+                else:
+                    j = j[like >= least - slack]
+                    agree = bands[j] == bands[i]
+                    j = j[bands[i][agree.argmax(axis=1)] == key[0]]
                 pairs.update((min(dig[i], dig[k]), max(dig[i], dig[k])) for k in j)
         return pd.DataFrame(sorted(pairs), columns=["a", "b"])
 
@@ -158,7 +165,7 @@ def near_duplicates(
     wanted = shared.select("dig").distinct()
     first = seen.join(wanted, "dig", "left_semi").groupBy("dig").agg(F.min("doc_id").alias("doc_id"))
     texts = base.withColumnRenamed("doc_id", "id").join(first.withColumnRenamed("doc_id", "id"), "id").where("text IS NOT NULL")
-    sets = texts.select("dig", "text").mapInArrow(_sets(width), "dig binary, set binary, sig binary").dropDuplicates(["dig"])
+    sets = texts.select("dig", "text").mapInArrow(_sets(width, bands, rows), "dig binary, set binary, sig binary").dropDuplicates(["dig"])
     sets = common.materialize(sets, "sets")
 
     links = common.materialize(_exact(stars, sets, percent), "links")
