@@ -219,10 +219,12 @@ def subtract_templates(df: DataFrame, events: DataFrame, template: list[float],
     t = np.asarray(template, float)
 
     def run(key, signal: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
+        if not len(signal):
+            return pd.DataFrame({"channel": [], "i": [], "value": []})
         signal = signal.sort_values("i")
-        x, first = signal["value"].to_numpy(float), int(signal["i"].iloc[0]) if len(signal) else 0
-        at = marks["i"].to_numpy() - first
+        x, first = signal["value"].to_numpy(float), int(signal["i"].iloc[0])
+        at = marks["at"].to_numpy() - first if len(marks) else np.zeros(0, int)
         y = subtract(x, at, t, reach) if method == "correlation" else subtract_warped(x, at, t, band)
         return signal[["channel", "i"]].assign(value=y)
 
-    return df.select("channel", "i", "value").groupBy("channel").cogroup(events.select("channel", "i").groupBy("channel")).applyInPandas(run, f"channel {_kind(df)}, i long, value double")
+    return df.select("channel", "i", "value").groupBy("channel").cogroup(events.select(F.col("channel").alias("of"), F.col("i").alias("at")).groupBy("of")).applyInPandas(run, f"channel {_kind(df)}, i long, value double")
