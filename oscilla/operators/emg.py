@@ -43,7 +43,7 @@ def histogram_features(seg: DataFrame, bins: int = 20, by: tuple[str, ...] = BY)
     x = F.col("value")
     st = seg.groupBy(*by).agg(F.min(x).alias("lo"), F.max(x).alias("hi"), F.count("*").alias("n"), F.avg(x).alias("m"), F.stddev_pop(x).alias("sd"), F.percentile(x, F.lit(0.5)).alias("median"))
     both = seg.join(st, list(by))
-    z = (x - F.col("m")) / F.col("sd")
+    z = F.try_divide(x - F.col("m"), F.col("sd"))
     shape = both.groupBy(*by).agg(F.coalesce(F.avg(z * z * z), F.lit(0.0)).alias("skewness"), F.coalesce(F.avg(z * z * z * z) - 3, F.lit(0.0)).alias("kurtosis"))
     bin_ = F.when(F.col("hi") == F.col("lo"), 0).otherwise(F.least(F.floor((x - F.col("lo")) / ((F.col("hi") - F.col("lo")) / bins)), F.lit(bins - 1)))
     p = both.groupBy(*by, "n", bin_.alias("_b")).agg((F.count("*") / F.col("n")).alias("_p"))
@@ -75,7 +75,7 @@ def fatigue_ratios(seg: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
     g = _near(seg, by).groupBy(*by).agg(
         F.avg(F.abs(x)).alias("_m"), F.sqrt(F.avg(x * x)).alias("_r"), F.max(F.abs(x)).alias("_p"), F.stddev_pop(F.abs(x)).alias("_s"), _count(x * F.col("_a") < 0).alias("_z"), F.count("*").alias("_n")
     )
-    zc = F.col("_z") / (F.col("_n") - 1)
+    zc = F.try_divide(F.col("_z"), F.col("_n") - 1)
     over = lambda c: F.when((F.col("_n") > 3) & (F.col("_m") > 0), c / F.col("_m")).otherwise(0.0)
     return g.select(
         *by, over(zc).alias("zc_mav"), over(F.col("_r")).alias("rms_mav"), over(F.col("_p")).alias("peak_mav"), F.when(F.col("_n") > 3, 1 - zc).otherwise(0.0).alias("one_less_zc"), over(F.col("_s")).alias("variation")
@@ -141,16 +141,16 @@ def spectral_indices(spectrum: DataFrame, by: tuple[str, ...] = ("channel", "fra
     f, p = F.col("freq"), F.col("power")
     w = Window.partitionBy(*by).orderBy("freq")
     rows = spectrum.withColumn("_c", F.sum(p).over(w)).withColumn("_t", F.sum(p).over(Window.partitionBy(*by))).withColumn("_pf", F.lag("freq").over(w)).withColumn("_pc", F.lag("_c").over(w))
-    rows = rows.withColumn("_mu", F.sum(f * p).over(Window.partitionBy(*by)) / F.col("_t"))
+    rows = rows.withColumn("_mu", F.try_divide(F.sum(f * p).over(Window.partitionBy(*by)), F.col("_t")))
     half = F.col("_t") / 2
     crossing = (F.col("_c") >= half) & (F.coalesce("_pc", F.lit(0.0)) < half)
-    at = F.when(F.col("_pf").isNull(), f).otherwise(F.col("_pf") + (half - F.col("_pc")) / (F.col("_c") - F.col("_pc")) * (f - F.col("_pf")))
-    q = p / F.col("_t")
+    at = F.when(F.col("_pf").isNull(), f).otherwise(F.col("_pf") + F.try_divide(half - F.col("_pc"), F.col("_c") - F.col("_pc")) * (f - F.col("_pf")))
+    q = F.try_divide(p, F.col("_t"))
     inside = lambda b: F.sum(F.when(f.between(*b), p).otherwise(0.0))
     ok = lambda c: F.when(F.max("_t") > 0, c)
     return rows.groupBy(*by).agg(
-        ok(F.max("_mu")).alias("mean_frequency"), ok(F.min(F.when(crossing, at))).alias("median_frequency"), ok(F.sum((f - F.col("_mu")) * (f - F.col("_mu")) * p) / F.max("_t")).alias("variance"),
-        F.when(inside(high) > 0, inside(low) / inside(high)).alias("band_ratio"), ok(-F.sum(F.when(q > 0, q * F.log(q)).otherwise(0.0)) / F.log(F.count("*"))).alias("entropy"), F.sum(p).alias("total_power"),
+        ok(F.max("_mu")).alias("mean_frequency"), ok(F.min(F.when(crossing, at))).alias("median_frequency"), ok(F.try_divide(F.sum((f - F.col("_mu")) * (f - F.col("_mu")) * p), F.max("_t"))).alias("variance"),
+        F.try_divide(inside(low), inside(high)).alias("band_ratio"), ok(F.try_divide(-F.sum(F.when(q > 0, q * F.log(q)).otherwise(0.0)), F.log(F.count("*")))).alias("entropy"), F.sum(p).alias("total_power"),
     )
 
 
@@ -160,4 +160,4 @@ def fatigue_summary(indices: DataFrame, value: str = "median_frequency", edge: i
     rows = indices.withColumn("_j", F.row_number().over(w.orderBy("frame")) - 1).withColumn("_n", F.count("*").over(w))
     v = F.col(value)
     g = rows.groupBy(*by).agg(F.regr_slope(v, F.col("_j")).alias("slope"), F.avg(F.when(F.col("_j") < edge, v)).alias("_a"), F.avg(F.when(F.col("_j") >= F.col("_n") - edge, v)).alias("_b"))
-    return g.select(*by, "slope", (F.col("slope") / F.col("_a") * 100).alias("percent_change"), ((F.col("_a") - F.col("_b")) / F.col("_a") * 100).alias("fatigue_index"))
+    return g.select(*by, "slope", (F.try_divide(F.col("slope"), F.col("_a")) * 100).alias("percent_change"), (F.try_divide(F.col("_a") - F.col("_b"), F.col("_a")) * 100).alias("fatigue_index"))

@@ -75,7 +75,7 @@ def convolve(df: DataFrame, weights: list[float], center: bool = True, normalize
         used = F.slice(F.array(*map(F.lit, weights)), (first + 1).cast("int"), size)
         total = F.aggregate(F.zip_with(values, used, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
         weight = F.aggregate(used, F.lit(0.0), lambda a, b: a + b)
-        return d.withColumn("_c", total / weight if normalize else total)
+        return d.withColumn("_c", F.try_divide(total, weight) if normalize else total)
 
     return over_neighbours(df, lo, hi, add, keys).withColumn("value", F.col("_c")).drop("_c")
 

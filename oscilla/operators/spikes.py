@@ -36,7 +36,7 @@ def psth(spikes: DataFrame, events: DataFrame, pre: int, post: int, width: int,
     hits = raster(spikes, events, pre, post).withColumn("bin", (F.ceil((F.col("rel") + pre) / width) - 1).cast("int")).where((F.col("bin") >= 0) & (F.col("bin") < n))
     counts = hits.groupBy("unit_id", "bin").agg(F.count("*").alias("_c"))
     full = grid(spikes.select("unit_id").distinct(), n).join(counts, ["unit_id", "bin"], "left").crossJoin(F.broadcast(n_events))
-    out = full.select("unit_id", "bin", (F.coalesce("_c", F.lit(0)) / F.col("_n")).alias("mean_count")).withColumn("rate", F.col("mean_count") / (width / second))
+    out = full.select("unit_id", "bin", F.try_divide(F.coalesce("_c", F.lit(0)), F.col("_n")).alias("mean_count")).withColumn("rate", F.col("mean_count") / (width / second))
     if baseline:
         base = out.where(F.col("bin").between(*baseline)).groupBy("unit_id").agg(F.avg("rate").alias("_b"))
         out = out.join(base, "unit_id").withColumn("normalized", F.when(F.col("_b") > 0, (F.col("rate") - F.col("_b")) / F.col("_b")).otherwise(F.col("rate"))).drop("_b")
@@ -188,7 +188,7 @@ def unit_summary(spikes: DataFrame, fs: float, violation: float = 0.002) -> Data
     )
     z = lambda c: F.coalesce(c, F.lit(0.0))
     return g.crossJoin(F.broadcast(last)).select(
-        "unit_id", "n_spikes", (F.col("n_spikes") / F.col("_t")).alias("firing_rate"), z(F.col("m")).alias("mean_isi"), z(F.col("md")).alias("median_isi"),
+        "unit_id", "n_spikes", F.try_divide(F.col("n_spikes"), F.col("_t")).alias("firing_rate"), z(F.col("m")).alias("mean_isi"), z(F.col("md")).alias("median_isi"),
         z(F.when(F.col("m") > 0, F.col("sd") / F.col("m"))).alias("cv_isi"), "isi_violations", z(F.when(F.col("_k") > 0, F.col("isi_violations") / F.col("_k") * 100)).alias("violation_pct"),
     )
 
@@ -213,5 +213,5 @@ def channel_summary(spikes: DataFrame, units: DataFrame, templates: DataFrame) -
 def recording_summary(units: DataFrame, seconds: float) -> DataFrame:
     return units.agg(
         F.lit(float(seconds)).alias("duration"), F.count("*").alias("n_units"), F.sum("n_spikes").alias("spikes"), F.avg("firing_rate").alias("mean_rate"),
-        (F.sum(F.when(F.col("label") == "good", 1).otherwise(0)) / F.count("*") * 100).alias("pct_good"),
+        (F.try_divide(F.sum(F.when(F.col("label") == "good", 1).otherwise(0)), F.count("*")) * 100).alias("pct_good"),
     )
