@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from oscilla.llm import common
 from oscilla.llm.vocab import default_path, encoder
 
+#: Bytes of text whose ids are made and handed on together.
+SLICE = 6 << 20
 DATA = "part int, local_start long, doc_id long, n_tokens long, tokens array<int>"
 WRITER = {
     "compression": "zstd",
@@ -45,16 +48,23 @@ def _encoded(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, at = encoder(path), TaskContext.get().partitionId(), 0
         for b in common.record_batches(batches):
-            ids, n = enc.encode(t or "" for t in b.column("text").to_pylist())
-            ids = np.insert(ids, np.cumsum(n), end_id)
-            n = n + 1
-            stop = np.cumsum(n)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], stop]).astype(np.int32)), pa.array(ids, pa.int32()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(n), part, np.int32)), pa.array(at + stop - n), b.column("doc_id"), pa.array(n), lists],
-                names=["part", "local_start", "doc_id", "n_tokens", "tokens"],
-            )
-            at += int(stop[-1])
+            size = np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+            # parts of about SLICE bytes, so that ids of a whole batch are never held at once
+            cuts = np.flatnonzero(np.diff(size // SLICE, prepend=0, append=-1)).tolist()
+            for first, last in zip([0, *cuts[:-1]], cuts, strict=True):
+                rows = b.slice(first, last - first)
+                if not rows.num_rows:
+                    continue
+                ids, n = enc.encode(t or "" for t in rows.column("text").to_pylist())
+                ids = np.insert(ids, np.cumsum(n), end_id)
+                n = n + 1
+                stop = np.cumsum(n)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], stop]).astype(np.int32)), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(n), part, np.int32)), pa.array(at + stop - n), rows.column("doc_id"), pa.array(n), lists],
+                    names=["part", "local_start", "doc_id", "n_tokens", "tokens"],
+                )
+                at += int(stop[-1])
 
     return run
 

@@ -22,8 +22,9 @@ import pyarrow.compute as pc
 #: The characters of the Unicode property White_Space.
 WHITE = r"\t-\r \x85\xa0  -     　"
 _UNITS = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
-#: White space right before a space: there a space does not begin a unit.
-_BEFORE_SPACE = [c + " " for c in "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"]
+#: White space right before a space or a line feed: there neither begins a unit.
+_BLANKS = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_BEFORE_CUT = [c + cut for c in _BLANKS for cut in " \n"]
 _CUT = re.compile(f"[^{WHITE}](?=[{WHITE}])")
 #: Units that are remembered at most, and their greatest length in characters.
 REMEMBER, LONGEST = 500_000, 48
@@ -55,8 +56,8 @@ def _byte_characters() -> dict[int, str]:
 
 
 _ALPHABET = _byte_characters()
-#: Letters whose class no version of Unicode has changed, then at most one mark: one or two matches of the pattern.
-_WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,]?)")
+#: Perhaps a line feed, letters whose class no version of Unicode has changed, perhaps ASCII marks (no apostrophe): one match of the pattern each.
+_WORD = re.compile(r"(\n?)([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 class UnitEncoder:
@@ -69,11 +70,18 @@ class UnitEncoder:
         self.lib = Tokenizer.from_file(path)
         self.lib.no_truncation()
         self.lib.no_padding()
-        self.mark = {c: self.lib.encode(c, add_special_tokens=False).ids for c in ".,"}
+        self.marks: dict[str, list[int]] = {"": []}
         self.known: dict[str, bytes] = {}
 
+    def _mark(self, marks: str) -> list[int]:
+        if marks not in self.marks:
+            if len(self.marks) > 10_000:
+                self.marks = {"": []}
+            self.marks[marks] = self.lib.encode(marks, add_special_tokens=False).ids
+        return self.marks[marks]
+
     def _values(self, units: list[str], lead: str = "") -> list[bytes]:
-        """Ids of units, each after ``lead``, as bytes.
+        """Ids of units as bytes; each follows ``lead``, or nothing if it begins with a line feed.
 
         A plain word is one match of the pattern, so the library's model takes it as it is; all
         else goes through the library's whole pipeline.
@@ -85,13 +93,22 @@ class UnitEncoder:
             u = units[k]
             m = _WORD.fullmatch(u) if len(u) <= LONGEST else None
             if m:
-                ids = [x.id for x in model.tokenize((lead + m[1]).encode().decode("latin-1").translate(_ALPHABET))]
-                out[k] = array("I", ids + self.mark[m[2]] if m[2] else ids).tobytes()
+                feed, word, marks = m.groups()
+                if word.isascii():
+                    word = "\u0120" + word if lead and not feed else word  # the space's letter in the byte alphabet
+                else:
+                    word = (lead + word if not feed else word).encode().decode("latin-1").translate(_ALPHABET)
+                ids = [x.id for x in model.tokenize(word)]
+                if feed:
+                    ids[:0] = self._mark("\n")
+                if marks:
+                    ids += self._mark(marks)
+                out[k] = array("I", ids).tobytes()
                 if room and lead:
                     known[u] = out[k]
             else:
                 later.append((k, u))
-        for (k, u), e in zip(later, self.lib.encode_batch_fast([lead + u for _, u in later], add_special_tokens=False), strict=True):
+        for (k, u), e in zip(later, self.lib.encode_batch_fast([u if u[:1] == "\n" else lead + u for _, u in later], add_special_tokens=False), strict=True):
             out[k] = array("I", e.ids).tobytes()
             if room and lead and len(u) <= LONGEST:
                 known[u] = out[k]
@@ -113,9 +130,9 @@ class UnitEncoder:
 
     def _slice(self, texts: list[str], counts: bool) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in order (none if only counts are wanted) and the number of each text's ids."""
-        odd = [k for k, t in enumerate(texts) if any(x in t for x in _BEFORE_SPACE)]
+        odd = [k for k, t in enumerate(texts) if any(x in t for x in (_BEFORE_CUT if not t.isascii() else _BEFORE_CUT[:12]))]
         at_odd = set(odd)
-        values, at, stops = self._plan(pa.array(["" if k in at_odd else t for k, t in enumerate(texts)], pa.string()))
+        values, at, stops = self._plan(pa.array(["" if k in at_odd else t.replace("\n", " \n") for k, t in enumerate(texts)], pa.string()))
         if odd:  # white space of other kinds before a space: units by the pattern, put in place of the empty text's one
             units = [_UNITS.findall(texts[k]) for k in odd]
             distinct = sorted({u for x in units for u in x})
