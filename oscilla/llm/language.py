@@ -1,7 +1,9 @@
 """Language identification by compression.
 
-For each language a zstandard raw-content dictionary is made of whole texts in it.  A text is cut
-into blocks, every block is compressed with every language's dictionary, and the language with the
+For each language a zstandard raw-content dictionary is made of whole texts in it, lower-cased and
+with all but letters turned into single spaces, so that capitals, digits and symbols do not count.
+Texts that dictionaries of other texts assign to another language are left out of the dictionaries
+(labels may be wrong).  A text is treated alike and cut into blocks, every block is compressed with every language's dictionary, and the language with the
 smallest total wins; on equal totals, the one that more learned rows have.  The margin is the
 relative distance of the second-smallest total; below ``MARGIN`` the decision is marked rejected.
 
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,8 +30,8 @@ from oscilla.llm.samples import bounded_sample
 
 PER_LANGUAGE = 400
 DICTIONARY = 112 << 10
-BLOCK = 8 << 10
-LEVEL = 3
+BLOCK = 2 << 10
+LEVEL = 9
 MARGIN = 0.01
 
 
@@ -54,24 +57,42 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, dictionary: int = DIC
 
     picked = bounded_sample(rows, "lang", "doc_id", per_language).select("lang", "text").mapInArrow(run, "lang string, place long, text string")
     texts: dict[str, list[tuple[int, str]]] = {name: [] for name in counts}
-    for r in picked.toLocalIterator():
+    for r in picked.toLocalIterator():  # a bounded sample
         texts[r["lang"]].append((r["place"], r["text"]))
-    model = []
-    for name in sorted(counts, key=lambda x: (-counts[x], x)):
-        data = b""
-        for _, t in sorted(set(texts[name])):
-            more = t.encode() + b"\n"
-            if len(data) + len(more) <= room:
-                data += more
-        model.append((name, data))
-    return model
+    order = sorted(counts, key=lambda x: (-counts[x], x))
+    rows = [(name, t) for name in order for _, t in sorted(set(texts[name]))]
+    halves = [rows[::2], rows[1::2]]
+    for k in (0, 1, 0, 1):  # each half is cleaned by the other's dictionaries
+        judge = Compressor(dictionaries(halves[k], order, room))
+        halves[1 - k] = [r for r in halves[1 - k] if judge.predict(r[1])[0] == r[0]]
+    return dictionaries(halves[0] + halves[1], order, room)
+
+
+def dictionaries(rows: list[tuple[str, str]], order: list[str], room: int) -> list[tuple[str, bytes]]:
+    data = dict.fromkeys(order, b"")
+    for name, t in rows:
+        more = letters(t).encode() + b"\n"
+        if len(data[name]) + len(more) <= room:
+            data[name] += more
+    return list(data.items())
+
+
+@cache
+def _other():
+    import regex
+
+    return regex.compile(r"[^\p{L}]+")
+
+
+def letters(text: str) -> str:
+    """Lower case, anything between letters as one space."""
+    return _other().sub(" ", text.lower())
 
 
 class Compressor:
     """Predicts with one prepared compressor for each language."""
 
     def __init__(self, model: list[tuple[str, bytes]], level: int = LEVEL):
-        import regex
         import zstandard
 
         self.names = [name for name, _ in model]
@@ -83,13 +104,13 @@ class Compressor:
             d = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(level=level)
             self.each.append(zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False))
-        self.letter = regex.compile(r"\p{L}")
 
     def predict(self, text: str | None) -> tuple[str, float, float]:
         """Language, score (the posterior of code lengths) and margin."""
-        if not self.names or text is None or not self.letter.search(text):
+        plain = letters(text or "").strip()
+        if not self.names or not plain:
             return "und", 0.0, 0.0
-        data = text.encode()
+        data = plain.encode()
         blocks = [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
         sizes = [sum(len(c.compress(b)) for b in blocks) for c in self.each]
         best = min(range(len(sizes)), key=sizes.__getitem__)
