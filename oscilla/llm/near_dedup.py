@@ -21,7 +21,7 @@ with 6e-8.
 Defined results.  Null text, empty text and text without words: 0 shingles, linked with nothing,
 its own component.  Fewer words than the shingle width: one shingle of all words.  Repeated rows
 (the same id more than once): each row is answered; rows of one id share its component.  Null id:
-the row is answered with a null component of its own unless linked.  Empty table: empty result.
+linked like any other row, always kept; its component is the least id that is not null.  Empty table: empty result.
 Extra columns are not read.
 """
 
@@ -61,8 +61,8 @@ def _sketched(width: int, bands: int, rows: int):
                     dig.append(None)
                     keys.append(None)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(dig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "dig", "bands"],
+                [b.column("doc_id"), b.column("mark"), pa.array(n, pa.int64()), pa.array(dig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                names=["doc_id", "mark", "n_shingles", "dig", "bands"],
             )
 
     return run
@@ -153,9 +153,10 @@ def near_duplicates(
 ) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id (least id reachable), kept."""
     base = common.two_columns(docs, key, text)
-    seen = common.materialize(base.mapInArrow(_sketched(width, bands, rows), "doc_id long, n_shingles long, dig binary, bands array<bigint>"), "sketches")
+    base = base.withColumn("mark", F.xxhash64("text"))  # with the id, finds a class's text again, whatever ids are null or repeat
+    seen = common.materialize(base.mapInArrow(_sketched(width, bands, rows), "doc_id long, mark long, n_shingles long, dig binary, bands array<bigint>"), "sketches")
 
-    classes = seen.where("dig IS NOT NULL").groupBy("dig").agg(F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.min("doc_id").alias("rep"))
+    classes = seen.where("dig IS NOT NULL").groupBy("dig").agg(F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     members = common.materialize(classes.select("dig", "n", F.explode("bands").alias("band")), "bands")
     # written first, so that both sides of the join are plain shuffles, whose hot keys Spark can split
     buckets = common.materialize(members.groupBy("band").agg(F.min("dig").alias("hub"), F.count("*").alias("m")).where("m > 1"), "hubs")
@@ -163,8 +164,9 @@ def near_duplicates(
 
     stars = shared.where("dig != hub").select(F.col("hub").alias("a"), F.col("dig").alias("b")).distinct()
     wanted = shared.select("dig").distinct()
-    first = seen.join(wanted, "dig", "left_semi").groupBy("dig").agg(F.min("doc_id").alias("doc_id"))
-    texts = base.withColumnRenamed("doc_id", "id").join(first.withColumnRenamed("doc_id", "id"), "id").where("text IS NOT NULL")
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("one")
+    first = seen.join(wanted, "dig", "left_semi").groupBy("dig").agg(one).select("dig", F.col("one.doc_id").alias("id"), F.col("one.mark").alias("of"))
+    texts = base.where("text IS NOT NULL").join(first, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("of")))
     sets = texts.select("dig", "text").mapInArrow(_sets(width, bands, rows), "dig binary, set binary, sig binary").dropDuplicates(["dig"])
     sets = common.materialize(sets, "sets")
 

@@ -76,6 +76,10 @@ def test_near_duplicates_match_all_pairs(docs, nothing, texts):
         if r.doc_id is not None:
             assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), find(r.doc_id), find(r.doc_id) == r.doc_id), r
     assert near_dedup.near_duplicates(nothing).count() == 0
+    w = say(random.Random(1), 60)
+    odd = docs.sparkSession.createDataFrame([(None, w), (None, w + " end"), (8, "start " + w), (9, w), (9, "quite another text of more than five words")], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(odd).collect()), key=str)
+    assert got == [(8, 8, True), (9, 8, False), (9, 9, True), (None, 8, True), (None, 8, True)]
 
 
 def test_components(spark):
