@@ -45,4 +45,10 @@ hits AS (
   SELECT doc_id, item_id, count(*) AS m FROM (SELECT * FROM sh UNION SELECT * FROM short) x JOIN bs USING (s) GROUP BY ALL)
 SELECT doc_id, item_id, size.n::BIGINT AS item_shingles, m::BIGINT AS shared_shingles, m / size.n AS containment
 FROM hits JOIN size USING (item_id) WHERE 100 * m >= 75 * size.n""",
+    "op2_html_text": r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1) AS body FROM pages),
+b AS (SELECT page_id, url, list_transform(string_split_regex(body, '</?(p|h1)>'), lambda x:
+  trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(replace(x, '<br>', ' '), '</?b>', '', 'g'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '&amp', '&'), '\s+', ' ', 'g'))) AS blocks FROM a),
+t AS (SELECT page_id, url, array_to_string(list_filter(blocks, lambda x: x <> ''), chr(10) || chr(10)) AS text FROM b)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM t""",
 }
