@@ -23,7 +23,59 @@ reach(id, far) AS (
   UNION SELECT r.id, l.b FROM reach r JOIN links l ON l.a = r.far),
 comp AS (SELECT id, min(far) AS component_id FROM reach GROUP BY id)"""
 
+
+
+def _outliers() -> str:
+    """The whole outlier rule: statistics, medians, four concentration steps, distances."""
+    x, pairs = range(4), [(i, j) for i in range(4) for j in range(i, 4)]
+    floor = ("0.08", "0.03", "0.2", "0.25")
+    sql = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, lang, source FROM documents),
+wd AS (SELECT rid, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls, text FROM d),
+tr AS (SELECT rid, unnest(list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i+2], ' '))) AS t, unnest(range(1, len(ws) - 1)) AS p FROM wd WHERE len(ws) > 2),
+again AS (SELECT rid, p, lead(p) OVER (PARTITION BY rid ORDER BY p) AS nx FROM (SELECT rid, p, count(*) OVER (PARTITION BY rid, t) AS c FROM tr) WHERE c > 1),
+rp AS (SELECT rid, sum(least(3, coalesce(nx - p, 3)))::BIGINT AS n_repeat_words FROM again GROUP BY rid),
+st AS (SELECT d.rid, doc_id, lang, source, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, len(regexp_extract_all(d.text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+  len(ls) AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM d JOIN wd USING (rid) LEFT JOIN rp USING (rid)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, coalesce('=' || lang, '-') AS gl, coalesce('=' || lang, '-') || chr(31) || coalesce('=' || source, '-') AS gf FROM st),
+x AS (SELECT *, CASE WHEN NOT base_failed THEN ln(word_chars / n_words) END AS x0, CASE WHEN NOT base_failed THEN ln(1 + n_symbols / n_words) END AS x1,
+  CASE WHEN NOT base_failed THEN asin(sqrt(n_dup_lines / greatest(n_lines, 1))) END AS x2, CASE WHEN NOT base_failed THEN asin(sqrt(least(n_repeat_words / n_words, 1.0))) END AS x3 FROM f),
+sz AS (SELECT gf, CASE WHEN count(*) >= 50 THEN gf ELSE any_value(gl) || chr(31) || '*' END AS g FROM x WHERE NOT base_failed GROUP BY gf),
+r AS (SELECT x.*, g FROM x LEFT JOIN sz USING (gf)),
+fit AS (SELECT * FROM r WHERE NOT base_failed),
+md AS (SELECT g, k, max(bin) AS bin FROM (SELECT g, k, bin, coalesce(sum(n) OVER (PARTITION BY g, k ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(n) OVER (PARTITION BY g, k) AS all_
+  FROM (SELECT g, k, bin, count(*) AS n FROM (SELECT g, unnest([0, 1, 2, 3]) AS k, unnest([floor(x0 * 200), floor(x1 * 200), floor(x2 * 200), floor(x3 * 200)]) AS bin FROM fit) GROUP BY ALL)) WHERE before < all_ / 2 GROUP BY ALL),
+"""
+    start = ", ".join(f"max(CASE WHEN k = {i} THEN (bin + 0.5) / 200 END)::DOUBLE AS m{i}" for i in x) + ", " + ", ".join(f"{f'1 / ({floor[i]}::DOUBLE * {floor[i]})' if i == j else '0.0::DOUBLE'} AS p{i}{j}" for i, j in pairs)
+    sql += f"e0 AS (SELECT g, {start} FROM md GROUP BY g)"
+    dist = "greatest(" + " + ".join(f"(x{i} - m{i}) * (x{j} - m{j}) * p{i}{j} * {1 if i == j else 2}" for i, j in pairs) + ", 0)"
+    for s in range(4):
+        sums = ", ".join([f"sum(x{i} - m{i}) AS s{i}" for i in x] + [f"sum((x{i} - m{i}) * (x{j} - m{j})) AS q{i}{j}" for i, j in pairs] + [f"any_value(m{i}) AS m{i}" for i in x])
+        tot = ", ".join([f"sum(s{i}) AS s{i}" for i in x] + [f"sum(q{i}{j}) AS q{i}{j}" for i, j in pairs] + [f"any_value(m{i}) AS o{i}" for i in x])
+        cov = ", ".join([f"o{i} + s{i} / n AS m{i}" for i in x] + [f"(q{i}{j} / n - s{i} / n * (s{j} / n)) * 1.486::DOUBLE + {f'{floor[i]}::DOUBLE * {floor[i]}' if i == j else '0'} AS c{i}{j}" for i, j in pairs])
+        low = []
+        for i in x:
+            for j in range(i + 1):
+                rest = f"c{j}{i}" + "".join(f" - l{i}{k} * l{j}{k}" for k in range(j))
+                low.append(f"sqrt({rest}) AS l{i}{j}" if i == j else f"({rest}) / l{j}{j} AS l{i}{j}")
+        for i in x:
+            for j in range(i + 1):
+                low.append(f"1 / l{i}{i} AS w{i}{j}" if i == j else "(0" + "".join(f" - l{i}{k} * w{k}{j}" for k in range(j, i)) + f") / l{i}{i} AS w{i}{j}")
+        inv = ", ".join(" + ".join(f"w{k}{i} * w{k}{j}" for k in range(j, 4)) + f" AS p{i}{j}" for i, j in pairs)
+        sql += f""",
+b{s} AS (SELECT g, floor(ln({dist} + 1e-6) * 32) AS bin, count(*) AS n, {sums} FROM fit JOIN e{s} USING (g) GROUP BY ALL),
+k{s} AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY g ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(n) OVER (PARTITION BY g) AS all_ FROM b{s}),
+t{s} AS (SELECT g, sum(n)::DOUBLE AS n, {tot} FROM k{s} WHERE before < ceil(all_ * 0.75) GROUP BY g),
+c{s} AS (SELECT g, {cov} FROM t{s}),
+v{s} AS (SELECT *, {", ".join(low)} FROM c{s}),
+e{s + 1} AS (SELECT g, m0, m1, m2, m3, {inv} FROM v{s})"""
+    return sql + f"""
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(CASE WHEN NOT base_failed THEN {dist} END, 6) AS distance2,
+coalesce(NOT base_failed AND {dist} <= 23.51, false) AS kept FROM r LEFT JOIN e4 USING (g)"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_robust_outliers": _outliers(),
     "op3_minhash_near_dedup": f"""
 WITH RECURSIVE {_SHINGLES}, {_LINKS}
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from oscilla.llm import byte_bpe, common, decontaminate, html_text, language, near_dedup, outliers, pii, quality, token_counts, token_files
 
@@ -12,7 +13,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return outliers.robust_outliers(common.load(spark, sf_dir, "documents"))
+    return outliers.robust_outliers(common.load(spark, sf_dir, "documents")).withColumn("distance2", F.round("distance2", 6))
 
 
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
