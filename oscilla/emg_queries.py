@@ -175,3 +175,27 @@ def view_min_max(spark, d):
 def view_waveform(spark, d):
     w = view.mean_and_error(signal(spark, d).select("channel", (F.col("i") % 40).alias("offset"), "value"), ("channel", "offset"))
     return w.select("channel", "offset", *r6("mean", "sem"))
+
+
+@register(
+    "fatigue_summary",
+    f"""{_DFT}, c AS (SELECT *, sum(power) OVER w AS c, sum(power) OVER (PARTITION BY channel, frame) AS t, lag(freq) OVER w AS pf FROM sp WINDOW w AS (PARTITION BY channel, frame ORDER BY k)), e AS (SELECT *, lag(c) OVER (PARTITION BY channel, frame ORDER BY k) AS pc FROM c),
+m AS (SELECT channel, frame, min(CASE WHEN c >= t / 2 AND coalesce(pc, 0) < t / 2 THEN CASE WHEN pf IS NULL THEN freq ELSE pf + (t / 2 - pc) / (c - pc) * (freq - pf) END END) AS v FROM e GROUP BY ALL),
+j AS (SELECT channel, v, row_number() OVER (PARTITION BY channel ORDER BY frame) - 1 AS j, count(*) OVER (PARTITION BY channel) AS n FROM m),
+g AS (SELECT channel, regr_slope(v, j) AS slope, avg(CASE WHEN j < 10 THEN v END) AS a, avg(CASE WHEN j >= n - 10 THEN v END) AS b FROM j GROUP BY channel)
+SELECT channel, round(slope, 4) + 0.0 AS slope, round(slope / a * 100, 4) + 0.0 AS percent_change, round((a - b) / a * 100, 4) + 0.0 AS fatigue_index FROM g""",
+)
+def fatigue_summary(spark, d):
+    s = emg.fatigue_summary(emg.spectral_indices(spectral.spectrogram(signal(spark, d), 64, 64, 1000.0)))
+    return s.select("channel", *((F.round(c, 4) + 0.0).alias(c) for c in ("slope", "percent_change", "fatigue_index")))
+
+
+@register(
+    "welch_density",
+    f"""WITH {SIG}, n AS (SELECT channel, count(*) AS n FROM sig GROUP BY channel), fr AS (SELECT sig.channel, i // 64 - o AS frame, i - (i // 64 - o) * 64 AS j, value FROM sig, (VALUES (0), (1)) r(o) WHERE i // 64 - o >= 0), ok AS (SELECT channel, frame, avg(value) AS m FROM fr GROUP BY ALL HAVING count(*) = 128),
+x AS (SELECT fr.channel, frame, j, (value - m) * (0.5 - 0.5 * cos(2 * pi() * j / 128)) AS y FROM fr JOIN ok USING (channel, frame)),
+p AS (SELECT channel, frame, k, power(sum(y * cos(2 * pi() * j * k / 128)), 2) + power(sum(y * sin(2 * pi() * j * k / 128)), 2) AS p FROM x, range(65) r(k) GROUP BY ALL)
+SELECT channel, k::INTEGER AS k, k * 1000.0 / 128 AS freq, round(avg(p * CASE WHEN k IN (0, 64) THEN 1 ELSE 2 END) / (1000.0 * (SELECT sum(power(0.5 - 0.5 * cos(2 * pi() * j / 128), 2)) FROM range(128) w(j))), 5) + 0.0 AS density FROM p GROUP BY channel, k""",
+)
+def welch_density(spark, d):
+    return spectral.welch(signal(spark, d), 128, 1000.0).select("channel", "k", "freq", (F.round("density", 5) + 0.0).alias("density"))

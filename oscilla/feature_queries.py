@@ -203,13 +203,6 @@ def linear_cepstrum(spark, d):
     return spectral.cepstrum(signal(spark, d), 8, 16, 128, 64, 1000.0, "linear").select("channel", "frame", "k", *r6("value"))
 
 
-@register("welch_density")
-def welch_density(spark, d):
-    from oscilla.operators import spectral
-
-    return spectral.welch(signal(spark, d), 128, 1000.0).select("channel", "k", "freq", *r6("density"))
-
-
 @register("dataset_round_trip", f"WITH {WIDE} SELECT k AS channel, i, round(value, 6) + 0.0 AS value FROM (SELECT i, unnest([0, 1, 2, 3]) AS k, unnest([c0, c1, c2, c3]) AS value FROM wide) WHERE k IN (1, 3) AND i >= 100 AND i < 4000")
 def dataset_round_trip(spark, d):
     """A wide signal written with its side-car, and a slice of two channels read back."""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from oscilla import model
 from oscilla.event_queries import _EP, MIN, SEC, onsets, train
-from oscilla.operators import emg, extract, harmonics, quality, spectral
+from oscilla.operators import emg, extract, harmonics, quality
 from oscilla.queries import DAY, HOUR, SIG, SPIKES, STIM, out, r6, register, signal
 
 
@@ -78,12 +78,6 @@ def segment_change(spark, d):
     return quality.edge_change(m, "mav").select("channel", *r6("first", "last", "slope", "fall_pct"))
 
 
-@register("fatigue_summary")
-def fatigue_summary(spark, d):
-    s = emg.spectral_indices(spectral.spectrogram(signal(spark, d), 64, 64, 1000.0))
-    return emg.fatigue_summary(s).select("channel", *r6("slope", "percent_change", "fatigue_index"))
-
-
 @register("harmonic_removal")
 def harmonic_removal(spark, d):
     return out(harmonics.remove_harmonics(signal(spark, d), 1000.0, 50.0, 4))

@@ -75,14 +75,14 @@ def pipeline_slice(spark, d):
 # ---- pointwise ------------------------------------------------------------------------------
 
 
-@register("rectify", f"WITH {SIG} SELECT channel, i, round(abs(value - 50), 6) + 0.0 AS full_wave, round((value - 50) * (value - 50), 6) + 0.0 AS squared, round(greatest(0.0, value - 50), 6) + 0.0 AS half_wave FROM sig")
+@register(
+    "rectify",
+    f"WITH {SIG}, m AS (SELECT channel, i, value - 50 AS x FROM sig) SELECT channel, i, method, round(CASE method WHEN 'abs' THEN abs(x) WHEN 'square' THEN x * x ELSE greatest(0.0, x) END, 6) + 0.0 AS value FROM m, (VALUES ('abs'), ('square'), ('half')) v(method)",
+)
 def rectify(spark, d):
     x = signal(spark, d).withColumn("value", F.col("value") - 50)
-    a = pointwise.rectify(x, "abs").withColumnRenamed("value", "full_wave")
-    # one pass: the three forms of the same sample side by side
-    return a.select("channel", "i", "full_wave", (F.col("full_wave") * F.col("full_wave")).alias("squared"), F.lit(0).alias("z")).drop("z").join(
-        pointwise.rectify(x, "half").withColumnRenamed("value", "half_wave"), ["channel", "i"]
-    ).select("channel", "i", *r6("full_wave", "squared", "half_wave"))
+    every = [pointwise.rectify(x, m).withColumn("method", F.lit(m)) for m in ("abs", "square", "half")]
+    return every[0].unionByName(every[1]).unionByName(every[2]).select("channel", "i", "method", *r6("value"))
 
 
 @register("zscore_global", f"WITH {SIG}, s AS (SELECT avg(value) AS m, stddev_pop(value) AS sd FROM sig) SELECT channel, i, round((value - m) / CASE WHEN sd = 0 THEN 1 ELSE sd END, 6) + 0.0 AS value FROM sig, s")
