@@ -11,9 +11,13 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from oscilla.functions.windows import number_rows
+
+SIX_HOURS = 6 * 3600 * 1_000_000
+
 
 @dataclass
 class SignalMeta:
@@ -64,24 +68,16 @@ def micros(col: str):
 
 def event_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as a signal: a channel for each event type, samples in order of time."""
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    return read(spark, sf_dir, "events").select(F.col("event_type").alias("channel"), (F.row_number().over(w) - 1).cast("long").alias("i"), "value")
+    rows = read(spark, sf_dir, "events").select(F.col("event_type").alias("channel"), "ts", "event_id", "value")
+    return number_rows(rows, F.floor(micros("ts") / SIX_HOURS), ["ts", "event_id"], ("channel",)).select("channel", "i", "value")
 
 
 def item_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``lineitem`` as a wide signal of four channels.
-
-    Its rows have no number of their own, so one global order is needed: ranges are sorted apart
-    and their sizes give each range its first number, instead of one task numbering all rows.
-    """
+    """``lineitem`` as a wide signal of four channels, numbered in one global order of its rows."""
     order = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_shipdate"]
-    rows = read(spark, sf_dir, "lineitem").select(*order, "l_quantity", "l_discount", "l_tax").withColumn("part", F.floor(F.col("l_orderkey") / 1024))
-    sizes = rows.groupBy("part").agg(F.count("*").alias("n"))
-    # one row for each 1024 order keys: a running sum over a table a thousandth the size
-    first = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    within = Window.partitionBy("part").orderBy(*order)
-    return rows.join(first, "part").select(
-        (F.col("base") + F.row_number().over(within) - 1).alias("i"), F.col("l_quantity").alias("c0"), F.col("l_extendedprice").alias("c1"), F.col("l_discount").alias("c2"), F.col("l_tax").alias("c3")
+    rows = read(spark, sf_dir, "lineitem").select(*order, "l_quantity", "l_discount", "l_tax")
+    return number_rows(rows, F.floor(F.col("l_orderkey") / 1024), order).select(
+        "i", F.col("l_quantity").alias("c0"), F.col("l_extendedprice").alias("c1"), F.col("l_discount").alias("c2"), F.col("l_tax").alias("c3")
     )
 
 

@@ -131,11 +131,12 @@ def smooth(df: DataFrame, window: int, center: bool = True) -> DataFrame:
     return moving(df, window, "mean", center)
 
 
-def exponential(df: DataFrame, alpha: float, keys: tuple[str, ...] = KEYS, block: int = 4096) -> DataFrame:
+def exponential(df: DataFrame, alpha: float, keys: tuple[str, ...] = KEYS, block: int = 512) -> DataFrame:
     """y[0] = x[0], y[i] = alpha x[i] + (1 - alpha) y[i-1], exact over whole channels.
 
     The recurrence is linear, so blocks are scanned side by side from zero and only their ends are
     chained: a block's true values are its own plus (1 - alpha)^(k+1) times the value before it.
+    Blocks so far back that their weight is below 1e-17 do not change a double, so the chain is short.
     """
     if not 0 < alpha < 1:
         raise ValueError("alpha lies between 0 and 1")
@@ -153,7 +154,8 @@ def exponential(df: DataFrame, alpha: float, keys: tuple[str, ...] = KEYS, block
     )
     held = rows.select(*keys, "_blk", scanned.alias("_r"), F.size("_s").alias("_n")).select(*keys, "_blk", "_n", F.col("_r.y").alias("_end"), F.col("_r.out").alias("_out"))
     # ends of blocks: few rows, chained in order
-    w = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    reach = math.ceil(40 / (-math.log(keep) * block)) + 1
+    w = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(-reach, -1)
     ends = held.select(*keys, "_blk", F.collect_list(F.struct("_end", "_n")).over(w).alias("_before"))
     carry = F.aggregate("_before", F.lit(0.0), lambda acc, s: s["_end"] + acc * F.pow(F.lit(keep), s["_n"]))
     both = held.join(ends.select(*keys, "_blk", carry.alias("_carry")), [*keys, "_blk"])
