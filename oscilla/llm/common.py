@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -10,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of an Arrow batch that is handed to Python.
+BATCH_BYTES = 8 << 20
 #: What may be broadcast or captured in a task closure, in bytes.
 BROADCAST_BYTES = 32 << 20
 
@@ -52,8 +55,16 @@ def forget(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_BYTES for this session, unless it asks for smaller ones: long texts then do not add up."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.sub(r"\D", "", spark.conf.get(key, "0b")) or 0) > BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
 def two_columns(df: DataFrame, key: str, text: str) -> DataFrame:
     """Key (long) and text (string, null as null) alone: extra columns cannot clash with results."""
+    bound_batches(df.sparkSession)
     return df.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
 
 

@@ -244,5 +244,6 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", body: str
                 [b.column("page_id"), b.column("url"), pa.array(got, pa.string()), pa.array([len(t) for t in got], pa.int64())], names=["page_id", "url", "text", "n_chars"]
             )
 
+    common.bound_batches(pages.sparkSession)
     base = pages.select(F.col(f"`{key}`").cast("long").alias("page_id"), F.col(f"`{url}`").cast("string").alias("url"), F.col(f"`{body}`").cast("string").alias("html"))
     return base.mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -44,7 +44,7 @@ BANDS, ROWS, PERCENT = 40, 5, 75
 #: Coordinates of the sketches that choose what is verified across components, a byte each.
 WIDE = 1024
 #: Members of a bucket that are compared in one task at a time.
-BLOCK = 1024
+BLOCK = 768
 
 
 def _sketched(width: int, bands: int, rows: int):

@@ -376,6 +376,8 @@ def masked(docs: DataFrame, model: SemiCRF | None = None, text: str = "text") ->
     """The rows of ``docs`` with personal data in ``text`` replaced by the kind's name; other columns as they are."""
     model = model or default_model()
 
+    common.bound_batches(docs.sparkSession)
+
     @F.pandas_udf("string")
     def hide(col: pd.Series) -> pd.Series:
         return pd.Series([None if t is None else mask(t, find(t, model)[1]) for t in col], dtype=object)

@@ -187,6 +187,8 @@ def scores(docs: DataFrame, model: Model, threshold: float = THRESHOLD, key: str
 def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that score at least ``threshold``; a filter, so nothing is shuffled."""
 
+    common.bound_batches(docs.sparkSession)
+
     @F.pandas_udf("double")
     def score(col: pd.Series) -> pd.Series:
         return pd.Series([model.score(t) for t in col], dtype=float)

@@ -29,7 +29,7 @@ from oscilla.llm import common
 from oscilla.llm.vocab import default_path, encoder
 
 #: Bytes of text whose ids are made and handed on together.
-SLICE = 6 << 20
+SLICE = 8 << 20
 DATA = "part int, local_start long, doc_id long, n_tokens long, tokens array<int>"
 WRITER = {
     "compression": "zstd",
