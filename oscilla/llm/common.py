@@ -58,7 +58,7 @@ def forget(df: DataFrame) -> None:
 def bound_batches(spark: SparkSession) -> None:
     """Arrow batches of at most BATCH_BYTES for this session, unless it asks for smaller ones: long texts then do not add up."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(re.sub(r"\D", "", spark.conf.get(key, "0b")) or 0) > BATCH_BYTES:
+    if int(re.sub(r"\D", "", spark.conf.get(key))) > BATCH_BYTES:  # written as bytes, such as 67108864b
         spark.conf.set(key, f"{BATCH_BYTES}b")
 
 
