@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from oscilla.functions.windows import KEYS, over_neighbours, refractory, runs, with_length
+from oscilla.functions.windows import KEYS, over_neighbours, refractory, runs
 
 
 def thresholds(df: DataFrame, value: float, mode: str = "mad", keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -46,13 +46,17 @@ def peaks(df: DataFrame, limits: DataFrame | None = None, distance: int = 1, pol
     return out if fs is None else out.withColumn("time_sec", F.col("index") / fs)
 
 
-def contraction_threshold(df: DataFrame, method: str = "std", value: float = 3.0, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """Per channel: mean + value std, value rms, value percent of the maximum, or the value itself."""
+def _limit(method: str, value: float) -> Column:
     x = F.col("value")
-    how = {"std": F.avg(x) + value * F.stddev_pop(x), "rms": value * F.sqrt(F.avg(x * x)), "percent_max": value * F.max(x) / 100, "absolute": F.lit(float(value))}
+    how = {"std": F.avg(x) + value * F.stddev_pop(x), "rms": value * F.sqrt(F.avg(x * x)), "percent_max": value * F.max(x) / 100, "absolute": F.max(F.lit(float(value)))}
     if method not in how:
         raise ValueError(f"unknown threshold method {method!r}")
-    return df.groupBy(*keys).agg(how[method].alias("threshold"))
+    return how[method]
+
+
+def contraction_threshold(df: DataFrame, method: str = "std", value: float = 3.0, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """Per channel: mean + value std, value rms, value percent of the maximum, or the value itself."""
+    return df.groupBy(*keys).agg(_limit(method, value).alias("threshold"))
 
 
 def contractions(df: DataFrame, method: str = "std", value: float = 3.0, min_samples: int = 1, refractory_samples: int = 0, fs: float = 1.0, keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -61,13 +65,13 @@ def contractions(df: DataFrame, method: str = "std", value: float = 3.0, min_sam
     The refractory scan thins onsets and offsets apart; each onset then takes the first offset
     after it, and short events are dropped.  A run that is still open ends at the last sample.
     """
-    limit = contraction_threshold(df, method, value, keys)
-    masked = with_length(df, keys).join(limit, list(keys))
-    spans = runs(masked, F.col("value") > F.col("threshold"), keys).join(masked.groupBy(*keys).agg(F.max("n").alias("n")), list(keys))
-    on = refractory(spans.select(*keys, F.col("first").alias("i")), refractory_samples, keys)
-    off = refractory(spans.select(*keys, F.least(F.col("last") + 1, F.col("n") - 1).alias("i")).distinct(), refractory_samples, keys)
+    # one pass for threshold and length, one for the runs, one for the peaks
+    stats = df.groupBy(*keys).agg(_limit(method, value).alias("threshold"), (F.max("i") + 1).alias("n"))
+    spans = runs(df.join(stats, list(keys)), F.col("value") > F.col("threshold"), keys).join(stats.select(*keys, "n"), list(keys))
+    marks = F.explode(F.array(F.struct(F.lit(1).alias("_is_on"), F.col("first").alias("i")), F.struct(F.lit(0).alias("_is_on"), F.least(F.col("last") + 1, F.col("n") - 1).alias("i"))))
+    both = spans.select(*keys, marks.alias("_m")).select(*keys, "_m._is_on", "_m.i").distinct()
+    both = refractory(both, refractory_samples, (*keys, "_is_on"))
     # the first offset after each onset: one ordered pass over both
-    both = on.select(*keys, "i", F.lit(1).alias("_is_on")).unionByName(off.select(*keys, "i", F.lit(0).alias("_is_on")))
     w = Window.partitionBy(*keys).orderBy(F.col("i"), F.col("_is_on")).rowsBetween(1, Window.unboundedFollowing)
     nxt = both.withColumn("offset_idx", F.min(F.when(F.col("_is_on") == 0, F.col("i"))).over(w)).where("_is_on = 1 AND offset_idx > i").drop("_is_on")
     events = nxt.withColumnRenamed("i", "onset_idx").where(F.col("offset_idx") - F.col("onset_idx") >= min_samples)
