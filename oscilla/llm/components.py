@@ -5,28 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from oscilla.functions.components import settled_labels
 from oscilla.llm import common
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 64) -> DataFrame:
-    """(node, comp) for every node of an edge: comp is the least node reachable.
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, comp) for every node of an edge: comp is the least node reachable, however long the way.
 
-    Each round a node takes the least label among its neighbours and then its label's label
-    (pointer jumping), so rounds grow with the logarithm of a component's diameter.  Both steps
-    are hash joins and map-side-combined minima; a hub with many edges is one side of a join that
-    Spark may split.  Rounds are written to the shared folder.  No edges: no rows.
+    All steps are hash joins and map-side-combined minima; a hub with many edges is one side of a
+    join that Spark may split.  Rounds are written to the shared folder.  No edges: no rows.
     """
     both = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
     both = common.materialize(both.union(both.select("y", "x")).distinct(), "edges")
-    label = common.materialize(both.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("low")).select("node", F.least("node", "low").alias("comp")), "labels")
-    for _ in range(most):
-        near = both.join(label.select(F.col("node").alias("y"), "comp"), "y").groupBy(F.col("x").alias("node")).agg(F.min("comp").alias("low"))
-        step = label.join(near, "node").select("node", F.least("comp", "low").alias("new"), F.col("comp").alias("old"))
-        up = label.select(F.col("node").alias("new"), F.col("comp").alias("top"))
-        moved = common.materialize(step.join(up, "new", "left").select("node", F.least("new", F.coalesce("top", "new")).alias("comp"), "old"), "labels")
-        common.forget(label)
-        label = moved
-        if label.where("comp != old").isEmpty():
-            common.forget(both)
-            return label.select("node", "comp")
-    raise RuntimeError("components did not settle")
+    out = settled_labels(both, lambda df: common.materialize(df, "labels"), common.forget)
+    common.forget(both)
+    return out

@@ -88,6 +88,17 @@ def test_components(spark):
     assert got[3] == 1 and got[6] == 5 and got[60] == 20 and got[9] == 9 and len(got) == 47
 
 
+def test_components_of_long_chains(spark):
+    n = 4000
+    name = [hashlib.sha256(str(k).encode()).digest()[:16] for k in range(n)]
+    links = [(name[k], name[k + 1]) for k in range(n - 1)]
+    links += [(b"b" + name[k], b"b" + name[k + d]) for k in range(n // 2) for d in (1, 2)]  # two neighbours on each side
+    got = {bytes(r.node): bytes(r.comp) for r in components.connected_components(spark.createDataFrame(links, "a binary, b binary")).collect()}
+    wide = [b"b" + x for x in name[: n // 2 + 2]]
+    assert len(got) == n + len(wide)
+    assert {got[x] for x in name} == {min(name)} and {got[x] for x in wide} == {min(wide)}
+
+
 def test_sketch_is_unbiased():
     rng = np.random.default_rng(1)
     for n in (2, 40, 2000):
