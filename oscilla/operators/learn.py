@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from oscilla.functions.components import settled_labels
 from oscilla.functions.windows import band_join
 
 
@@ -160,15 +161,7 @@ def dbscan(df: DataFrame, eps: float, least: int = 5, value: str = "x", key: str
     count = near.groupBy("a").agg(F.count("*").alias("n"))
     core = count.where(F.col("n") - (0 if include_self else 1) >= least).select(F.col("a").alias("core"))
     links = near.join(core.withColumnRenamed("core", "a"), "a", "left_semi").join(core.withColumnRenamed("core", "b"), "b", "left_semi").select("a", "b").persist()
-    label = core.select(F.col("core").alias("node"), F.col("core").alias("comp")).persist()
-    for _ in range(60):
-        low = links.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("low"))
-        step = label.join(low, "node", "left").select("node", F.least("comp", F.coalesce("low", "comp")).alias("new"), F.col("comp").alias("old"))
-        hop = label.select(F.col("node").alias("new"), F.col("comp").alias("top"))
-        moved = step.join(hop, "new", "left").select("node", F.least("new", F.coalesce("top", "new")).alias("comp"), "old").checkpoint()
-        label = moved.select("node", "comp")
-        if moved.where("comp != old").isEmpty():
-            break
+    label = settled_labels(links.select(F.col("a").alias("x"), F.col("b").alias("y")), lambda df: df.checkpoint())  # a core point is its own neighbour
     reach = near.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias(key)).agg(F.min("comp").alias("border"))
     own = label.withColumnRenamed("node", key)
     return df.select(key).join(own, key, "left").join(reach, key, "left").select(key, F.coalesce("comp", "border", F.lit(-1)).alias("cluster"))

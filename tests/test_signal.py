@@ -195,6 +195,14 @@ def test_density_clusters(spark):
     assert got == {0: 0, 1: 0, 2: 0, 3: 0, 7: 0, 4: 4, 5: 4, 6: 4, 8: -1}
 
 
+def test_one_long_cluster(spark):
+    n = 2000
+    ids = [int(k) for k in np.random.default_rng(5).permutation(n)]
+    df = spark.createDataFrame([(i, [float(k), 0.0]) for k, i in enumerate(ids)], "id long, x array<double>")
+    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    assert {r.cluster for r in learn.dbscan(df, 1.0, 3).collect()} == {0}
+
+
 def test_psth_edges(spark):
     s = spark.createDataFrame([(1, 90), (1, 100), (1, 110), (1, 119), (1, 120), (2, 500)], "unit_id int, sample long")
     e = spark.createDataFrame([(0, 100)], "event_id long, sample long")
