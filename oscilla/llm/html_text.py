@@ -3,8 +3,8 @@
 A page becomes a sequence of tokens, tags and runs of words.  Each word scores positive and each
 tag negative, by weights learned from labelled pages; what stands in a menu, header, footer,
 sidebar, notice, advert, form or among reader comments (by its element or the words of its class,
-id or role) scores at most a little below zero for words.  One linear scan finds the contiguous
-region with the greatest total.  Its blocks, without those parts, are the page's text: character
+id or role) scores nothing, tags and words alike, so it cannot break a region that it stands in.
+One linear scan finds the contiguous region with the greatest total.  Its blocks, without those parts, are the page's text: character
 references are decoded, white space inside a block is one space, blocks are joined by two line
 feeds.
 
@@ -63,6 +63,8 @@ _NAMING = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"
 _UNSEEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 _NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _MAIN = ("article", "main")
+#: Contexts that count; all others are the roles of excluded parts.
+_SCORED = ("main", "plain")
 
 
 @lru_cache(10_000)
@@ -104,7 +106,9 @@ def tokens(page: str) -> list[tuple[str, str, str, int]]:
             continue
         tag = tag.lower()
         block = tag in _BLOCK
-        out.append(("block" if block else "break" if tag in ("br", "td", "th") else "tag", tag, role or ("main" if inside else "plain"), m.start()))
+        kind = "block" if block else "break" if tag in ("br", "td", "th") else "tag"
+        if tag in _VOID or m["close"]:
+            out.append((kind, tag, role or ("main" if inside else "plain"), m.start()))
         if tag in _VOID:
             continue
         if m["close"]:
@@ -123,6 +127,8 @@ def tokens(page: str) -> list[tuple[str, str, str, int]]:
                 before_role, before_in = (stack[-1][1], stack[-1][2]) if stack else (None, False)
                 stack.append((tag, before_role or own, before_in or (tag in _MAIN and not (before_role or own))))
         role, inside = (stack[-1][1], stack[-1][2]) if stack else (None, False)
+        if not m["close"]:
+            out.append((kind, tag, role or ("main" if inside else "plain"), m.start()))
     return out
 
 
@@ -211,7 +217,9 @@ def main_text(page: str | None, weight: dict[str, float] | None = None) -> str:
     toks = list(_classes(page))
     best = total = 0.0
     first = start = stop = 0
-    for k, (_, name, n) in enumerate(toks):
+    for k, ((_, _, where, _), name, n) in enumerate(toks):
+        if where not in _SCORED:
+            continue
         w = weight.get(name)
         total += n * w if w is not None else -0.3 if name[0] == "t" else 0.0
         if total <= 0:

@@ -166,6 +166,16 @@ def test_html():
     assert right >= 38
 
 
+def test_html_parts_inside_the_main_text():
+    links = lambda n: "".join(f'<li><a href="/{k}">word{k}</a></li>' for k in range(n))
+    body = "<p>" + "some text of the article itself " * 20 + "</p>"
+    want = ("some text of the article itself " * 20).strip()
+    for part in ('<nav class="toc"><ul>{}</ul></nav>', '<div class="share"><ul>{}</ul></div>', "<aside><ul>{}</ul></aside>", '<div class="related"><p>' + "more of it " * 900 + "</p><ul>{}</ul></div>"):
+        for n in (7, 40):
+            page = f"<body><article><h1>One headline of six words here</h1>{part.format(links(n))}{body}{part.format(links(n))}<p>The end.</p></article></body>"
+            assert html_text.main_text(page) == f"One headline of six words here\n\n{want}\n\nThe end."
+
+
 def test_html_table(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "<article><p>a b</p></article>"), (3, "u", "<article><p>a b</p></article>")]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
