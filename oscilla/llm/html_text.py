@@ -4,6 +4,9 @@ A page becomes a sequence of tokens, tags and runs of words.  Each word scores p
 tag negative, by weights learned from labelled pages; what stands in a menu, header, footer,
 sidebar, notice, advert, form or among reader comments (by its element or the words of its class,
 id or role) scores nothing, tags and words alike, so it cannot break a region that it stands in.
+What a class, id or role only says for itself (has-sidebar, no-header, post-header) makes no part
+excluded, nor does any name where the element holds the page's main element, its only articles or
+most of its words outside links.
 One linear scan finds the contiguous region with the greatest total.  Its blocks, without those parts, are the page's text: character
 references are decoded, white space inside a block is one space, blocks are joined by two line
 feeds.
@@ -63,81 +66,159 @@ _NAMING = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"
 _UNSEEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 _NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _MAIN = ("article", "main")
+#: Roles of parts that may well hold articles, or more words than the text itself.
+_LISTED = frozenset("comment sidebar advert notice hidden".split())
+#: Before a word that names a part: the element has, or lacks, such a part elsewhere.
+_MODIFIER = frozenset("has with no without".split())
+#: Before "header": the heading of a text, not of the site.
+_OF_TEXT = frozenset("post entry article story page content blog news recipe product title".split())
 #: Contexts that count; all others are the roles of excluded parts.
 _SCORED = ("main", "plain")
 
 
 @lru_cache(10_000)
 def _named(tag: str, attrs: str) -> str | None:
-    if _UNSEEN.search(attrs):
-        return "hidden"
+    """The role that the names of an element suggest; "title" for the heading of an article."""
     for m in _NAMING.finditer(attrs):
-        for part in _NAME_PART.findall(m[1] or m[2] or m[3] or ""):
-            role = _ROLE.get(part.lower())
-            if role and (tag not in _MAIN or role == "comment"):
-                return role
+        for name in (m[1] or m[2] or m[3] or "").split():
+            before = ""
+            for part in map(str.lower, _NAME_PART.findall(name)):
+                if part in _MODIFIER:
+                    break  # what follows is said of the element's surroundings
+                role = _ROLE.get(part)
+                if role == "header" and before in _OF_TEXT and (tag, before) != ("header", "page"):
+                    role = "title"
+                if role and (tag not in _MAIN or role == "comment"):
+                    return role
+                before = part
     return None
 
 
-def _role(tag: str, attrs: str) -> str | None:
+def _roles(tag: str, attrs: str) -> tuple[str | None, str | None]:
+    """(by the element itself, by its names): the second can be void, the first cannot."""
     if tag in ("html", "body"):
-        return None
+        return None, None
     role = _BY_TAG.get(tag)
     if role in (None, "header") and attrs and ("=" in attrs or "hidden" in attrs.lower()):
-        return _named(tag, attrs) or role
-    return role
+        if _UNSEEN.search(attrs):
+            return "hidden", None
+        return role, _named(tag, attrs)
+    return role, None
+
+
+class _Part:
+    """An element: what it is, and what it holds."""
+
+    __slots__ = ("tag", "up", "hard", "soft", "words", "article", "main", "role", "inside", "title")
+
+    def __init__(self, tag: str, up: _Part | None, hard: str | None = None, soft: str | None = None):
+        self.tag, self.up, self.hard, self.soft = tag, up, hard, soft
+        self.words, self.article, self.main = 0, False, False
+        self.role, self.inside, self.title = None, False, False
+
+    def settle(self, void: bool = False) -> None:
+        """Role and place, from those of the element around it."""
+        up, own = self.up, None if self.soft == "title" else self.hard if void or not self.soft else self.soft
+        if own == "header" and up.inside:
+            own = None  # the heading of the article itself
+        self.role = up.role or own
+        self.inside = up.inside or (self.tag in _MAIN and not self.role)
+        self.title = up.title or self.soft == "title"
+
+    def context(self) -> str:
+        return self.role or ("main" if self.inside else "title" if self.title else "plain")
+
+
+def _settle(parts: list[_Part]) -> None:
+    """Roles of all elements, in page order; names that would exclude the main text are void."""
+    for p in parts[1:]:
+        p.settle()
+    if not any(p.soft and p.role for p in parts):
+        return
+    bare = any(p.words and not p.role for p in parts)
+    shut = {p for p in parts if p.hard and not (p.soft == "title" or (p.hard == "header" and p.up.inside))}
+    for p in reversed(parts[1:]):  # inner elements first
+        if p in shut:
+            p.words, p.article, p.main = 0, False, False
+            continue
+        p.main |= p.tag == "main"
+        p.article |= p.tag == "article" and p.soft != "comment"
+        p.up.words += p.words
+        p.up.article |= p.article and p.soft != "comment"
+        p.up.main |= p.main
+    total = parts[0].words
+    most = lambda p: 2 * p.words > total
+    outer = lambda p: p.soft not in (None, "title") and p.role and not p.up.role and p not in shut
+    began = free = any(p.inside and p.words for p in parts)
+    # with no text elsewhere and no better part, any that holds articles
+    rest = not bare and not any(outer(p) and p.article and (most(p) or p.soft not in _LISTED) for p in parts[1:])
+    within = set()  # parts whose names are void, and all inside them
+    for p in parts[1:]:
+        p.settle()
+        if outer(p):
+            holds = p.article and not (free if p.up in within else began) and (most(p) or p.soft not in _LISTED or rest)
+            if p.main or holds or (most(p) and (p.soft == "sidebar" or p.soft not in _LISTED or (p.soft != "hidden" and p.words == total))):
+                p.settle(void=True)
+                within.add(p)
+        if p.up in within:
+            within.add(p)
+        free = free or bool(p.inside and p.words)
 
 
 def tokens(page: str) -> list[tuple[str, str, str, int]]:
     """(kind, name or text, context, offset): kinds are word runs, tags (block or not) and breaks."""
-    out: list[tuple[str, str, str, int]] = []
-    stack: list[tuple[str, str | None, bool]] = []  # tag, role in force, inside the main part
-    role, inside = None, False
+    out: list[tuple[str, str, _Part, int]] = []
+    parts = [_Part("", None)]
+    stack = [parts[0]]  # open elements, below them the page
+    link = False
     for m in _TOKEN.finditer(page):
         text = m["text"]
         if text is not None:
             if text.strip() or out:
-                out.append(("text", text, role or ("main" if inside else "plain"), m.start()))
+                out.append(("text", text, stack[-1], m.start()))
+                if not link:
+                    stack[-1].words += len(text.split())
             continue
         tag = m["tag"]
         if tag is None:
             if m["raw"]:
-                out.append(("tag", m["raw"].lower(), role or "plain", m.start()))
+                out.append(("tag", m["raw"].lower(), stack[-1], m.start()))
             continue
         tag = tag.lower()
         block = tag in _BLOCK
         kind = "block" if block else "break" if tag in ("br", "td", "th") else "tag"
+        if tag == "a":
+            link = not m["close"]
         if tag in _VOID or m["close"]:
-            out.append((kind, tag, role or ("main" if inside else "plain"), m.start()))
+            out.append((kind, tag, stack[-1], m.start()))
         if tag in _VOID:
             continue
         if m["close"]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
+            for k in range(len(stack) - 1, 0, -1):
+                if stack[k].tag == tag:
                     del stack[k:]
                     break
-        else:
-            while block and stack and stack[-1][0] == "p":
-                stack.pop()
-            attrs = m["attrs"]
-            own = _role(tag, attrs) if tag in _BY_TAG or attrs else None
-            if own == "header" and stack and stack[-1][2]:
-                own = None  # the heading of the article itself
-            if own or tag in _KEPT_OPEN:
-                before_role, before_in = (stack[-1][1], stack[-1][2]) if stack else (None, False)
-                stack.append((tag, before_role or own, before_in or (tag in _MAIN and not (before_role or own))))
-        role, inside = (stack[-1][1], stack[-1][2]) if stack else (None, False)
-        if not m["close"]:
-            out.append((kind, tag, role or ("main" if inside else "plain"), m.start()))
-    return out
+            continue
+        while block and stack[-1].tag == "p":
+            stack.pop()
+        attrs = m["attrs"]
+        hard, soft = _roles(tag, attrs) if tag in _BY_TAG or attrs else (None, None)
+        if hard or soft or tag in _KEPT_OPEN:
+            parts.append(_Part(tag, stack[-1], hard, soft))
+            stack.append(parts[-1])
+        out.append((kind, tag, stack[-1], m.start()))
+    _settle(parts)
+    return [(kind, text, part.context(), at) for kind, text, part, at in out]
 
 
 def _classes(page: str) -> Iterator[tuple[tuple[str, str, str, int], str, int]]:
     """Each token with its class of weight and how many words it has."""
     toks = tokens(page)
     has_main = any(c == "main" for k, _, c, _ in toks if k == "text")
-    for t in toks:
-        kind, name, where, _ = t
+    for kind, name, where, at in toks:
+        if where == "title":
+            where = "main" if has_main else "plain"
+        t = (kind, name, where, at)
         if kind == "text":
             ctx = "outside" if has_main and where == "plain" else where
             yield t, f"word {ctx}", len(name.split())

@@ -176,6 +176,27 @@ def test_html_parts_inside_the_main_text():
             assert html_text.main_text(page) == f"One headline of six words here\n\n{want}\n\nThe end."
 
 
+def test_html_names_of_wrappers():
+    menu, foot = '<nav><a href="/">menu words</a></nav>', "<footer>all rights</footer>"
+    text = "<h1>A headline</h1><p>" + "text of the page " * 12 + "</p>"
+    want = "A headline\n\n" + ("text of the page " * 12).strip()
+    card = '<div class="related"><article><h3>Another page</h3><p>its teaser text</p></article></div>'
+    for name in ("has-sidebar", "content has-sidebar", "with-sidebar", "no-sidebar", "page has-header", "hasSidebar", "search-results", "sidebar-layout", "promo-page", "hidden"):
+        for tag in ("div", "section"):
+            for inner in (f"<article>{text}</article>{card}", f"<main>{text}</main>{card}", text)[: 2 if name == "hidden" else 3]:
+                assert html_text.main_text(f'<body>{menu}<{tag} id=page class="{name}">{inner}</{tag}>{foot}') == want, (name, tag, inner)
+    body = text.partition("</h1>")[2]
+    for name in ("post-header", "entry-header", "articleHeader"):
+        for rest in (f"<article>{body}</article>", f'<div class="post-content">{body}</div>'):
+            for tag in ("div", "header"):
+                assert html_text.main_text(f'<body>{menu}<{tag} class="{name}"><h1>A headline</h1></{tag}>{rest}{foot}') == want, (name, rest)
+    assert html_text.main_text('<body>' + '<div class="widget"><article><p>one of several</p></article></div>' * 3) == "\n\n".join(["one of several"] * 3)
+    # parts that are excluded by name stay so
+    for part in (card, '<div class="sidebar"><p>words beside the text</p></div>', '<section id="comments"><article><p>' + "I like it " * 90 + "</p></article></section>"):
+        assert html_text.main_text(f"<body>{menu}<article>{text}</article>{part}{foot}") == want
+    assert html_text.main_text(f"<body>{menu}<div id=content>{text}</div>" + '<div class="sidebar"><p>words beside the text</p></div>' + foot) == want
+
+
 def test_html_table(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "<article><p>a b</p></article>"), (3, "u", "<article><p>a b</p></article>")]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
