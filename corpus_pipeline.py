@@ -21,9 +21,14 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the one with the least id."""
-    gone = near_dedup.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
-    return docs.select(COLUMNS).join(gone, "doc_id", "left_anti")
+    """One row of each near-duplicate group stays: the one with the least id, null ids last, however ids repeat."""
+    rows = common.materialize(docs.select(COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = near_dedup.near_duplicates(rows, "_row").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_comp"))
+    found = common.materialize(found.join(rows.select("_row", "doc_id"), "_row"), "groups")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first")
+    best = common.materialize(found.groupBy("_comp").agg(first, F.count("*").alias("n")).where("n > 1").select("_comp", F.col("first._row").alias("_best")), "best")
+    gone = found.join(best, "_comp").where("_row != _best").select("_row")
+    return rows.join(gone, "_row", "left_anti").select(COLUMNS)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ with 6e-8.
 
 Defined results.  Null text, empty text and text without words: 0 shingles, linked with nothing,
 its own component.  Fewer words than the shingle width: one shingle of all words.  Repeated rows
-(the same id more than once): each row is answered; rows of one id share its component.  Null id:
+(the same id more than once): each row is answered, by its own text.  Null id:
 linked like any other row, always kept; its component is the least id that is not null.  Empty table: empty result.
 Extra columns are not read.
 """

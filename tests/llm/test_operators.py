@@ -401,6 +401,21 @@ def test_pipeline_against_its_parts(spark, tmp_path):
     assert got[7].decoded_sha256 == hashlib.sha256(good[7].encode()).hexdigest()
 
 
+def test_dedup_stage_keeps_one_row_of_a_group(spark):
+    import corpus_pipeline as cp
+
+    rng = random.Random(16)
+    a, b, c, d = (say(rng, 60) for _ in range(4))
+    rows = [(1, a), (2, a + " end"), (2, b), (3, c), (3, c), (None, d), (None, d + " end"), (None, a), (7, None), (7, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = cp.dedup(spark, docs, "")
+    assert got.columns == cp.COLUMNS
+    kept = sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
+    last = next(x for x in kept if x[0] is None and x[1])
+    assert last[1] in (d, d + " end")
+    assert kept == sorted([(1, a), (2, b), (3, c), last, (7, None), (7, None), (None, "")], key=str)
+
+
 def test_ranks_file_is_read_whole():
     with open(default_path("byte_bpe_50k.tiktoken"), "rb") as f:
         n = sum(bool(base64.b64decode(x.split()[0])) for x in f)
