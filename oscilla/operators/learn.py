@@ -114,8 +114,8 @@ def mixture(df: DataFrame, k: int = 3, value: str = "x", seed: int = 1, iteratio
 
 
 def bayes_information(model, n: int, k: int, d: int) -> float:
-    """BIC of a diagonal mixture: k (2 d + 1) - 1 parameters."""
-    return -2 * model.summary.logLikelihood + (k * (2 * d + 1) - 1) * float(np.log(n))
+    """BIC of a mixture with full covariances: k - 1 weights, k d means and k d (d + 1) / 2 covariances."""
+    return -2 * model.summary.logLikelihood + (k - 1 + k * d + k * d * (d + 1) // 2) * float(np.log(n))
 
 
 def sort_waveforms(df: DataFrame, k: int = 3, n_components: int = 3, value: str = "x", seed: int = 1):

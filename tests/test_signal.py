@@ -203,6 +203,13 @@ def test_one_long_cluster(spark):
     assert {r.cluster for r in learn.dbscan(df, 1.0, 3).collect()} == {0}
 
 
+def test_bic_counts_full_covariances():
+    from types import SimpleNamespace
+
+    model = SimpleNamespace(summary=SimpleNamespace(logLikelihood=-3.0))
+    assert math.isclose(learn.bayes_information(model, 50, 2, 3), 6 + 19 * math.log(50))  # 1 weight, 6 means, 12 covariances
+
+
 def test_psth_edges(spark):
     s = spark.createDataFrame([(1, 90), (1, 100), (1, 110), (1, 119), (1, 120), (2, 500)], "unit_id int, sample long")
     e = spark.createDataFrame([(0, 100)], "event_id long, sample long")
