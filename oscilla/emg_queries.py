@@ -183,7 +183,7 @@ def view_waveform(spark, d):
 m AS (SELECT channel, frame, min(CASE WHEN c >= t / 2 AND coalesce(pc, 0) < t / 2 THEN CASE WHEN pf IS NULL THEN freq ELSE pf + (t / 2 - pc) / (c - pc) * (freq - pf) END END) AS v FROM e GROUP BY ALL),
 j AS (SELECT channel, v, row_number() OVER (PARTITION BY channel ORDER BY frame) - 1 AS j, count(*) OVER (PARTITION BY channel) AS n FROM m),
 g AS (SELECT channel, CASE WHEN count(*) > 1 THEN regr_slope(v, j) END AS slope, avg(CASE WHEN j < 10 THEN v END) AS a, avg(CASE WHEN j >= n - 10 THEN v END) AS b FROM j GROUP BY channel)
-SELECT channel, round(slope, 4) + 0.0 AS slope, round(slope / a * 100, 4) + 0.0 AS percent_change, round((a - b) / a * 100, 4) + 0.0 AS fatigue_index FROM g""",
+SELECT channel, round(slope, 4) + 0.0 AS slope, round(slope / nullif(a, 0) * 100, 4) + 0.0 AS percent_change, round((a - b) / nullif(a, 0) * 100, 4) + 0.0 AS fatigue_index FROM g""",
 )
 def fatigue_summary(spark, d):
     s = emg.fatigue_summary(emg.spectral_indices(spectral.spectrogram(signal(spark, d), 64, 64, 1000.0)))
