@@ -8,12 +8,14 @@ that agree in a whole band are candidates.  Links count only after exact compari
 
 No bucket is expanded into its pairs.  First each member is compared with the least member of its
 bucket (a star: linear).  Classes so linked are merged into components.  Only buckets that still
-hold several components are looked into again, block by block, in numpy, with wider sketches of
-``WIDE`` coordinates.  In a second round each member names its most similar candidate of another
-component (linear again).  In the last round all pairs of still different components that could
-reach the threshold by their sketches, with a margin of five standard deviations, are verified;
-a pair that shares several bands is taken up in the first of them only.
-So pairs within a component are never made, which loses no component.
+hold several components are looked into again, with wider sketches of ``WIDE`` coordinates and the
+full sets.  Within a bucket only members of different components are compared: members of the
+largest component meet the rest, but not each other.  A bucket is dealt in blocks bounded by
+members and bytes, of which there are few copies.  A task verifies pairs of two blocks whose
+sketches could reach the threshold (a margin of five standard deviations) on their full sets, the
+likeliest first, and merges components as it goes, so it hands on at most one link for each
+component it saw, never all pairs.  A pair that shares several bands is taken up in the first of
+them only.  Pairs within a component are never made, which loses no component.
 
 With 40 bands of 5, a pair at the threshold of 0.75 shares no band with probability 2e-5, at 0.8
 with 6e-8.
@@ -43,8 +45,8 @@ from oscilla.llm.shingles import common as overlap
 BANDS, ROWS, PERCENT = 40, 5, 75
 #: Coordinates of the sketches that choose what is verified across components, a byte each.
 WIDE = 1024
-#: Members of a bucket that are compared in one task at a time.
-BLOCK = 768
+#: Members of a bucket that are dealt as one block; with more than BLOCKS such blocks, blocks grow up to BLOCK_BYTES of sketches and sets.
+BLOCK, BLOCKS, BLOCK_BYTES = 768, 8, 16 << 20
 
 
 def _sketched(width: int, bands: int, rows: int):
@@ -97,8 +99,8 @@ def _verify(percent: int):
     return run
 
 
-def _across(percent: int, best: bool):
-    """Candidate pairs of different components within one block pair of one bucket; ``best``: only each member's most similar one."""
+def _across(percent: int):
+    """Verified links between different components within one block, or between two, of one bucket: a forest, not all pairs."""
     least = percent / 100
     slack = 5 * (least * (1 - least) / WIDE) ** 0.5
 
@@ -106,25 +108,31 @@ def _across(percent: int, best: bool):
         both = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), -1)
         sig, bands = both[:, :WIDE], np.ascontiguousarray(both[:, WIDE:]).view(np.int64)
         n, blk, dig = pdf["n"].to_numpy(), pdf["blk"].to_numpy(), pdf["dig"].to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in pdf["set"]]
         comp = pd.factorize(pdf["comp"])[0]
         lo, hi = key[1], key[2]
         rows = np.flatnonzero(blk == lo)
         others = rows if lo == hi else np.flatnonzero(blk == hi)
-        pairs = set()
+        links = []
         for x, i in enumerate(rows):
-            j = others if best or lo != hi else others[x + 1 :]
-            j = j[comp[j] != comp[i]]
-            j = j[100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i])]
+            j = others if lo != hi else others[x + 1 :]
+            j = j[(comp[j] != comp[i]) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))]
+            if not len(j):
+                continue
+            like = (sig[j] == sig[i]).mean(axis=1)
+            j, like = j[like >= least - slack], like[like >= least - slack]
             if len(j):
-                like = (sig[j] == sig[i]).mean(axis=1)
-                if best:
-                    j = j[like == max(like.max(), least - slack)][:1]
-                else:
-                    j = j[like >= least - slack]
-                    agree = bands[j] == bands[i]
-                    j = j[bands[i][agree.argmax(axis=1)] == key[0]]
-                pairs.update((min(dig[i], dig[k]), max(dig[i], dig[k])) for k in j)
-        return pd.DataFrame(sorted(pairs), columns=["a", "b"])
+                agree = bands[j] == bands[i]
+                first = bands[i][agree.argmax(axis=1)] == key[0]
+                j, like = j[first], like[first]
+            for k in j[np.argsort(-like, kind="stable")]:
+                if comp[k] == comp[i]:
+                    continue  # linked by now
+                shared = overlap(sets[i], sets[k])
+                if 100 * shared >= percent * (n[i] + n[k] - shared):
+                    links.append((min(dig[i], dig[k]), max(dig[i], dig[k])))
+                    comp[comp == comp[k]] = comp[i]
+        return pd.DataFrame(links, columns=["a", "b"])
 
     return run
 
@@ -135,17 +143,30 @@ def _exact(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return full.select("a", "b", "set_a", "set_b").mapInArrow(_verify(percent), "a binary, b binary")
 
 
-def _pairs_across(placed: DataFrame, mixed: DataFrame, sets: DataFrame, percent: int, best: bool) -> DataFrame:
-    nblk = F.ceil(F.col("m") / BLOCK).cast("int")
-    held = placed.join(mixed, "band").withColumn("nblk", nblk).withColumn("blk", F.pmod(F.xxhash64("dig"), F.col("nblk")).cast("int"))
+def _links_across(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components that meet in a bucket.  ``placed``: band, dig, n, comp for each member of a shared bucket."""
+    of_comp = placed.groupBy("band", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("size"))
+    mixed = of_comp.groupBy("band").agg(F.sum("c").alias("m"), (F.sum("size") * 8 + F.sum("c") * (WIDE + 8 * BANDS)).alias("bytes"), F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("comps"))
+    mixed = common.materialize(mixed.where("comps > 1").select("band", "m", "bytes", F.col("top.c").alias("big"), F.col("top.comp").alias("big_comp")), "mixed")
+    blocks = lambda members, share: F.ceil(F.greatest(F.least(members / BLOCK, F.lit(float(BLOCKS))), share * F.col("bytes") / BLOCK_BYTES, F.lit(1.0))).cast("int")
+    split = blocks(F.col("m"), F.lit(1.0)) > 1  # a bucket of one block is dealt whole
+    rest = F.col("m") - F.when(split, F.col("big")).otherwise(0)
+    held = placed.join(mixed, "band").withColumn("nrest", blocks(rest, rest / F.col("m")))
+    held = held.withColumn("nbig", F.when(split, blocks(F.col("big"), F.col("big") / F.col("m"))).otherwise(0))
+    held = held.withColumn("isbig", (F.col("nbig") > 0) & (F.col("comp") == F.col("big_comp")))
+    spread = F.xxhash64("dig")
+    held = held.withColumn("blk", F.when(F.col("isbig"), F.col("nrest") + F.pmod(spread, F.greatest("nbig", F.lit(1)))).otherwise(F.pmod(spread, F.col("nrest"))).cast("int"))
+    others = F.sequence(F.lit(0), F.col("nrest") - 1 + F.when(F.col("isbig"), 0).otherwise(F.col("nbig")))
     dealt = (
-        held.join(sets.select("dig", "sig"), "dig")
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nblk") - 1)))
-        .select("band", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"), "blk", "dig", "n", "comp", "sig")
+        held.join(sets.select("dig", "sig", "set"), "dig")
+        .withColumn("other", F.explode(others))
+        .select("band", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"), "blk", "dig", "n", "comp", "sig", "set")
     )
     # few bytes but much work: as many tasks as the session's shuffles have, not as few as the bytes suggest
     dealt = dealt.repartition(int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")), "band", "lo", "hi")
-    return dealt.groupBy("band", "lo", "hi").applyInPandas(_across(percent, best), "a binary, b binary").distinct()
+    links = common.materialize(dealt.groupBy("band", "lo", "hi").applyInPandas(_across(percent), "a binary, b binary").distinct(), "links")
+    common.forget(mixed)
+    return links
 
 
 def near_duplicates(
@@ -156,34 +177,39 @@ def near_duplicates(
     base = base.withColumn("mark", F.xxhash64("text"))  # with the id, finds a class's text again, whatever ids are null or repeat
     seen = common.materialize(base.mapInArrow(_sketched(width, bands, rows), "doc_id long, mark long, n_shingles long, dig binary, bands array<bigint>"), "sketches")
 
-    classes = seen.where("dig IS NOT NULL").groupBy("dig").agg(F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    # copies are combined before any shuffle, so a text with a million of them is one row a task
+    held = seen.where("dig IS NOT NULL")
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("one")
+    ids = common.materialize(held.groupBy("dig").agg(one).select("dig", F.col("one.doc_id").alias("id"), F.col("one.mark").alias("of")), "classes")
+    classes = held.groupBy("dig").agg(F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     members = common.materialize(classes.select("dig", "n", F.explode("bands").alias("band")), "bands")
     # written first, so that both sides of the join are plain shuffles, whose hot keys Spark can split
     buckets = common.materialize(members.groupBy("band").agg(F.min("dig").alias("hub"), F.count("*").alias("m")).where("m > 1"), "hubs")
     shared = common.materialize(members.join(buckets, "band").select("band", "dig", "n", "hub"), "buckets")
+    common.forget(members)
+    common.forget(buckets)
 
     stars = shared.where("dig != hub").select(F.col("hub").alias("a"), F.col("dig").alias("b")).distinct()
-    wanted = shared.select("dig").distinct()
-    one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("one")
-    first = seen.join(wanted, "dig", "left_semi").groupBy("dig").agg(one).select("dig", F.col("one.doc_id").alias("id"), F.col("one.mark").alias("of"))
+    first = ids.join(shared.select("dig").distinct(), "dig", "left_semi")
     texts = base.where("text IS NOT NULL").join(first, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("of")))
     sets = texts.select("dig", "text").mapInArrow(_sets(width, bands, rows), "dig binary, set binary, sig binary").dropDuplicates(["dig"])
     sets = common.materialize(sets, "sets")
 
     links = common.materialize(_exact(stars, sets, percent), "links")
     comp = connected_components(links)
-    for best in (True, False):
-        placed = shared.select("band", "dig", "n").join(comp.select(F.col("node").alias("dig"), "comp"), "dig", "left").withColumn("comp", F.coalesce("comp", "dig"))
-        placed = common.materialize(placed, "members")
-        mixed = placed.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo != hi").select("band", "m")
-        mixed = common.materialize(mixed, "mixed")
-        across = common.materialize(_pairs_across(placed, mixed, sets, percent, best), "pairs")
-        more = common.materialize(_exact(across, sets, percent), "links")
-        links = links.unionByName(more)
-        comp = connected_components(links)
-
-    node = seen.select("doc_id", "n_shingles", "dig").join(comp.select(F.col("node").alias("dig"), "comp"), "dig", "left").withColumn("comp", F.coalesce("comp", "dig"))
-    node = common.materialize(node, "placed")
-    least = common.materialize(node.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("component_id")), "least")
-    out = node.join(least, "comp", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    placed = shared.select("band", "dig", "n").join(comp.select(F.col("node").alias("dig"), "comp"), "dig", "left").withColumn("comp", F.coalesce("comp", "dig"))
+    placed = common.materialize(placed, "members")
+    across = _links_across(placed, sets, percent)
+    for done in (shared, sets, placed, comp):
+        common.forget(done)
+    comp = connected_components(links.unionByName(across))
+
+    # components by class, then one join for the rows
+    known = common.materialize(ids.join(comp.select(F.col("node").alias("dig"), "comp"), "dig").select("dig", "id", "comp"), "known")
+    least = common.materialize(known.groupBy("comp").agg(F.min("id").alias("component_id")), "least")
+    linked = common.materialize(known.join(least, "comp").select("dig", "component_id"), "linked")
+    found = common.materialize(ids.join(linked, "dig", "left").select("dig", F.coalesce("component_id", "id").alias("component_id")), "found")
+    for done in (links, across, comp, ids, known, least, linked):
+        common.forget(done)
+    out = seen.select("doc_id", "n_shingles", "dig").join(found, "dig", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

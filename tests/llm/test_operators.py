@@ -56,25 +56,31 @@ def shingle_sets(texts):
     return out
 
 
-def test_near_duplicates_match_all_pairs(docs, nothing, texts):
-    sets = shingle_sets(texts)
-    parent = list(range(len(texts)))
+def groups_of(sets):
+    """Least member of each set's component, by all pairs."""
+    parent = list(range(len(sets)))
 
     def find(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    for i in range(len(texts)):
+    for i in range(len(sets)):
         for j in range(i):
             if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
                 a, b = sorted((find(i), find(j)))
                 parent[b] = a
+    return [find(i) for i in range(len(sets))]
+
+
+def test_near_duplicates_match_all_pairs(docs, nothing, texts):
+    sets = shingle_sets(texts)
+    least = groups_of(sets)
     got = near_dedup.near_duplicates(docs).collect()
     assert len(got) == len(texts) + 2
     for r in got:
         if r.doc_id is not None:
-            assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), find(r.doc_id), find(r.doc_id) == r.doc_id), r
+            assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), least[r.doc_id], least[r.doc_id] == r.doc_id), r
     assert near_dedup.near_duplicates(nothing).count() == 0
     w = say(random.Random(1), 60)
     odd = docs.sparkSession.createDataFrame([(None, w), (None, w + " end"), (8, "start " + w), (9, w), (9, "quite another text of more than five words")], "doc_id long, text string")
@@ -82,6 +88,26 @@ def test_near_duplicates_match_all_pairs(docs, nothing, texts):
     assert got == [(8, 8, True), (9, 8, False), (9, 9, True), (None, 8, True), (None, 8, True)]
 
 
+@pytest.mark.parametrize("size", [(4, 3, 1 << 24), (4, 3, 6000), (768, 8, 1 << 24)])
+def test_near_duplicates_by_blocks(spark, monkeypatch, size):
+    """Families around the threshold share buckets without being one component; many copies; one very long text."""
+    for name, value in zip(("BLOCK", "BLOCKS", "BLOCK_BYTES"), size, strict=True):
+        monkeypatch.setattr(near_dedup, name, value)
+    rng, some = random.Random(21), []
+    for _ in range(3):
+        base = say(rng, 90).split(" ")
+        for _ in range(36):
+            at, n = rng.randrange(60), rng.choice((2, 4, 6, 8, 12, 16))
+            some.append(" ".join(base[:at] + say(rng, n).split(" ") + base[at + n :]))
+    some += [some[5]] * 60 + [say(rng, 30_000)]
+    sets = shingle_sets(some)
+    least = groups_of(sets)
+    d = spark.createDataFrame(list(enumerate(some)), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(d).collect()}
+    assert got == {i: (len(sets[i]), least[i], least[i] == i) for i in range(len(some))}
+    assert 4 < len(set(least)) < 100
+
+
 def test_components(spark):
     e = spark.createDataFrame([(1, 2), (3, 2), (5, 6), (None, 1), (9, 9)] + [(k, k + 1) for k in range(20, 60)], "a long, b long")
     got = {r.node: r.comp for r in components.connected_components(e).collect()}
