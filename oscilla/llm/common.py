@@ -62,6 +62,13 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, f"{BATCH_BYTES}b")
 
 
+def spread(df: DataFrame, small: int = 64 << 20) -> DataFrame:
+    """A small table, by the optimizer's estimate, dealt over all cores: one row group would else be one task.  Larger ones as they are."""
+    if df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() > small:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def two_columns(df: DataFrame, key: str, text: str) -> DataFrame:
     """Key (long) and text (string, null as null) alone: extra columns cannot clash with results."""
     bound_batches(df.sparkSession)

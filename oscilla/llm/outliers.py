@@ -7,15 +7,23 @@ occur twice or more.  Windows are compared by 64-bit hashes within one text.
 Method.  Four transformed statistics (log of mean word length, log of one plus symbols per word,
 arcsine of the root of the share of repeated lines and of repeated words) are modelled per
 language and source by the minimum-covariance-determinant estimate: the mean and covariance of
-the three quarters of rows nearest to them.  It starts from coordinate-wise medians and takes
-``STEPS`` concentration steps.  Each step is one pass: distances fall into fine logarithmic bins,
-moments are summed per group and bin (combined before the shuffle), and a running sum over a
-group's bins finds the nearest three quarters.  No group is sorted or gathered, so a source with
-a third of all rows costs no more than others, and equal distances stay together.  The covariance
-is scaled to be consistent for normal data, and each coordinate's least standard deviation is
-added to its diagonal, so that constant statistics (no symbols at all) stay invertible and small
-departures from them are tolerated.  Rows with a Mahalanobis distance beyond the cut-off are
-rejected.  Groups with fewer than ``LEAST`` rows are pooled by language.
+those three quarters of the rows whose covariance has the least determinant.  The search is
+deterministic: from three starts (medians with the least scales, medians with quartile scales,
+the spatial sign covariance) concentration steps take the nearest three quarters of the rows
+again and again, each chain until its determinant stops falling; the chain with the least
+determinant wins, and one step of reweighting over the rows within the 0.975 quantile gives the
+final mean and covariance.  A step is one pass: distances fall into fine logarithmic bins, moments
+are summed per group and bin (combined before the shuffle), and a running sum over a group's bins
+finds the nearest three quarters.  No group is sorted or gathered, so a source with a third of all
+rows costs no more than others, and equal distances stay together.  Covariances are scaled to be
+consistent for normal data and regularised: each coordinate's least standard deviation is added to
+the diagonal, as in the minimum regularised covariance determinant, so that constant statistics
+(no symbols at all) stay invertible and small departures from them are tolerated.  Rows with a
+Mahalanobis distance beyond the cut-off are rejected.
+
+Small groups.  Groups with fewer than ``LEAST`` rows are pooled by language, and pools that are
+still smaller with each other.  What is left then is estimated however few its rows: with the
+regularised diagonal a single row has a covariance too, and a distance of 0.
 
 Defined results.  Null, empty and blank texts: all statistics 0, base_failed (fewer than 50 words),
 distance null, not kept.  Null language or source: a group of its own.  Repeated rows and ids:
@@ -35,9 +43,13 @@ FEATURES = ("x1", "x2", "x3", "x4")
 FLOOR = (0.08, 0.03, 0.2, 0.25)
 #: Share of rows a concentration step keeps, and the factor that makes its covariance consistent in 4 dimensions: 0.75 / P(chi2_6 <= q), q the 0.75 quantile of chi2_4.
 SHARE, CONSISTENT = 0.75, 1.486
+#: Reweighting: the 0.975 quantile of chi-squared with 4 degrees of freedom, and 0.975 / P(chi2_6 <= that quantile).
+WEIGHED, WEIGHED_CONSISTENT = 11.143, 1.0645
 #: The 0.9999 quantile of chi-squared with 4 degrees of freedom.
 CUTOFF = 23.51
-STEPS, LEAST, MIN_WORDS = 4, 50, 50
+#: A determinant falls if it falls by this part at least.
+FALL = 1e-6
+LEAST, MIN_WORDS = 50, 50
 #: Groups whose estimates (about 200 bytes each) may be broadcast.
 BROADCAST_GROUPS = common.BROADCAST_BYTES // 200
 _BLANK = "[\\\\x20\\\\x09-\\\\x0D]+"
@@ -94,8 +106,8 @@ def transformed(stats: DataFrame) -> DataFrame:
     return out.select("*", *(F.when(~F.col("base_failed"), v).alias(x) for x, v in zip(FEATURES, values, strict=True)))
 
 
-def _inverse(est: DataFrame) -> DataFrame:
-    """Means m_i and covariances c_ij become means and the inverse p_ij, by Cholesky factors in plain columns."""
+def _inverse(est: DataFrame, *keys: str) -> DataFrame:
+    """Means m_i and covariances c_ij become means, the inverse p_ij and the determinant, by Cholesky factors in plain columns."""
     for i in range(4):
         for j in range(i + 1):
             rest: Column = F.col(f"c{j}{i}")
@@ -117,7 +129,8 @@ def _inverse(est: DataFrame) -> DataFrame:
         for k in range(j, 4):
             total = total + F.col(f"w{k}{i}") * F.col(f"w{k}{j}")
         inv.append(total.alias(f"p{i}{j}"))
-    return est.select("g", *(f"m{i}" for i in range(4)), *inv)
+    root = F.col("l00") * F.col("l11") * F.col("l22") * F.col("l33")
+    return est.select(*(keys or ("g",)), *(f"m{i}" for i in range(4)), *inv, (root * root).alias("det"))
 
 
 def _distance() -> Column:
@@ -128,50 +141,85 @@ def _distance() -> Column:
     return F.greatest(total, F.lit(0.0))
 
 
-def _nearest(binned: DataFrame, by: list[str], need: Column) -> DataFrame:
-    """Bins of each group up to the one in which the running number of rows reaches ``need``."""
-    w = Window.partitionBy(*by).orderBy("bin")
-    whole = Window.partitionBy(*by)
-    out = binned.withColumn("before", F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("all", F.sum("n").over(whole))
-    return out.where(F.col("before") < need)
+def _running(binned: DataFrame, by: list[str]) -> DataFrame:
+    """Adds the rows in bins before each one, and in all, of each group."""
+    w, whole = Window.partitionBy(*by).orderBy("bin"), Window.partitionBy(*by)
+    return binned.withColumn("before", F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("all", F.sum("n").over(whole))
 
 
-def estimates(rows: DataFrame, steps: int = STEPS, small: bool = False) -> DataFrame:
-    """g, means and inverse covariances of the groups of ``rows`` (g, x1..x4 without nulls)."""
+_SUMS, _MEANS, _INVERSE = [f"s{i}" for i in range(4)] + [f"q{i}{j}" for i, j in _PAIRS], [f"m{i}" for i in range(4)], [f"p{i}{j}" for i, j in _PAIRS]
+
+
+def _moments() -> list[Column]:
+    """Sums about the group's present centre, so that squares do not cancel."""
+    dev = [F.col(x) - F.col(m) for x, m in zip(FEATURES, _MEANS, strict=True)]
+    return [F.sum(dev[i]).alias(f"s{i}") for i in range(4)] + [F.sum(dev[i] * dev[j]).alias(f"q{i}{j}") for i, j in _PAIRS]
+
+
+def _estimate(sums: DataFrame, consistent: float, *keys: str) -> DataFrame:
+    """Means, inverse covariances and determinants from sums about m_i."""
+    shift = [F.col(f"s{i}") / F.col("n") for i in range(4)]
+    cov = [((F.col(f"q{i}{j}") / F.col("n") - shift[i] * shift[j]) * consistent + (FLOOR[i] ** 2 if i == j else 0.0)).alias(f"c{i}{j}") for i, j in _PAIRS]
+    return _inverse(sums.select(*keys, *((F.col(m) + shift[i]).alias(m) for i, m in enumerate(_MEANS)), *cov), *keys)
+
+
+def starts(fit: DataFrame, small: bool) -> DataFrame:
+    """g, s (number of the start), means and inverse covariances to begin with; det is infinite."""
     held = (lambda e: F.broadcast(e)) if small else (lambda e: e)
-    # coordinate-wise medians, to a bin of 0.005
-    each = rows.select("g", F.posexplode(F.array(*(F.floor(F.col(x) * 200) for x in FEATURES))).alias("f", "bin")).groupBy("g", "f", "bin").agg(F.count("*").alias("n"))
-    mid = _nearest(each, ["g", "f"], F.col("all") / 2).groupBy("g", "f").agg(F.max("bin").alias("bin"))
-    est = mid.groupBy("g").agg(*(F.max(F.when(F.col("f") == i, (F.col("bin") + 0.5) / 200)).alias(f"m{i}") for i in range(4)))
-    est = est.select("g", *(f"m{i}" for i in range(4)), *(F.lit(1 / FLOOR[i] ** 2 if i == j else 0.0).alias(f"p{i}{j}") for i, j in _PAIRS))
-    for _ in range(steps):
-        near = rows.join(held(est), "g").withColumn("bin", F.floor(F.log(_distance() + 1e-6) * 32))
-        # moments about the group's present centre, so that squares do not cancel
-        dev = [F.col(x) - F.col(f"m{i}") for i, x in enumerate(FEATURES)]
-        sums = [F.sum(dev[i]).alias(f"s{i}") for i in range(4)] + [F.sum(dev[i] * dev[j]).alias(f"q{i}{j}") for i, j in _PAIRS]
-        at = [F.first(f"m{i}").alias(f"m{i}") for i in range(4)]
-        binned = near.groupBy("g", "bin").agg(F.count("*").alias("n"), *sums, *at)
-        kept = _nearest(binned, ["g"], F.ceil(F.col("all") * SHARE))
-        got = kept.groupBy("g").agg(
-            F.sum("n").alias("n"), *(F.sum(f"s{i}").alias(f"s{i}") for i in range(4)), *(F.sum(f"q{i}{j}").alias(f"q{i}{j}") for i, j in _PAIRS), *(F.first(f"m{i}").alias(f"o{i}") for i in range(4))
-        )
-        mean = [F.col(f"s{i}") / F.col("n") for i in range(4)]
-        cov = [((F.col(f"q{i}{j}") / F.col("n") - mean[i] * mean[j]) * CONSISTENT + (FLOOR[i] ** 2 if i == j else 0.0)).alias(f"c{i}{j}") for i, j in _PAIRS]
-        est = _inverse(got.select("g", *((F.col(f"o{i}") + mean[i]).alias(f"m{i}") for i in range(4)), *cov))
-    return est
-
-
-def robust_outliers(docs: DataFrame, cutoff: float = CUTOFF, steps: int = STEPS, least: int = LEAST, **columns: str) -> DataFrame:
+    # coordinate-wise quartiles, to a bin of 0.005
+    each = fit.select("g", F.posexplode(F.array(*(F.floor(F.col(x) * 200) for x in FEATURES))).alias("f", "bin")).groupBy("g", "f", "bin").agg(F.count("*").alias("n"))
+    at = [F.max(F.when(F.col("before") < F.col("all") * q, F.col("bin"))).alias(f"b{k}") for k, q in enumerate((0.25, 0.5, 0.75))]
+    mid = _running(each, ["g", "f"]).groupBy("g", "f").agg(*at)
+    spread = lambda i: F.greatest(F.lit(FLOOR[i]), F.max(F.when(F.col("f") == i, F.col("b2") - F.col("b0"))) / (200 * 1.349))
+    mid = mid.groupBy("g").agg(*(F.max(F.when(F.col("f") == i, (F.col("b1") + 0.5) / 200)).alias(f"m{i}") for i in range(4)), *(spread(i).alias(f"d{i}") for i in range(4)))
+    mid = common.materialize(mid, "quartiles")
+    plain = [F.lit(1 / FLOOR[i] ** 2 if i == j else 0.0).alias(f"p{i}{j}") for i, j in _PAIRS]
+    scaled = [(1 / (F.col(f"d{i}") * F.col(f"d{i}")) if i == j else F.lit(0.0)).alias(f"p{i}{j}") for i, j in _PAIRS]
+    z = [(F.col(x) - F.col(f"m{i}")) / F.col(f"d{i}") for i, x in enumerate(FEATURES)]
+    norm = z[0] * z[0] + z[1] * z[1] + z[2] * z[2] + z[3] * z[3]
+    signs = fit.join(held(mid), "g").groupBy("g").agg(*(F.avg(F.when(norm > 0, z[i] * z[j] / norm).otherwise(0.0)).alias(f"u{i}{j}") for i, j in _PAIRS))
+    cov = [(4 * F.col(f"u{i}{j}") * F.col(f"d{i}") * F.col(f"d{j}") + (FLOOR[i] ** 2 if i == j else 0.0)).alias(f"c{i}{j}") for i, j in _PAIRS]
+    third = _inverse(mid.join(signs, "g").select("g", *_MEANS, *cov)).select("g", F.lit(3).alias("s"), *_MEANS, *_INVERSE)
+    both = (mid.select("g", F.lit(k).alias("s"), *_MEANS, *p) for k, p in ((1, plain), (2, scaled)))
+    return next(both).unionByName(next(both)).unionByName(third).withColumn("det", F.lit(float("inf")))
+
+
+def estimates(fit: DataFrame, small: bool = False) -> DataFrame:
+    """g, means and inverse covariances of the groups of ``fit`` (g, x1..x4 without nulls)."""
+    held = (lambda e: F.broadcast(e)) if small else (lambda e: e)
+    est, fell = common.materialize(starts(fit, small), "starts"), True
+    while fell:  # determinants only fall, so this ends
+        near = fit.join(held(est.drop("det", "fell")), "g").withColumn("bin", F.floor(F.log(_distance() + 1e-6) * 64))
+        binned = near.groupBy("g", "s", "bin").agg(F.count("*").alias("n"), *_moments(), *(F.first(m).alias(m) for m in _MEANS))
+        kept = _running(binned, ["g", "s"]).where(F.col("before") < F.ceil(F.col("all") * SHARE))
+        got = _estimate(kept.groupBy("g", "s").agg(F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in _SUMS), *(F.first(m).alias(m) for m in _MEANS)), CONSISTENT, "g", "s")
+        got = got.select("g", "s", *(F.col(c).alias(f"new_{c}") for c in (*_MEANS, *_INVERSE, "det")))
+        lower = F.col("new_det") < F.col("det") * (1 - FALL)
+        step = est.drop("fell").join(got, ["g", "s"]).select("g", "s", *(F.when(lower, F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in (*_MEANS, *_INVERSE, "det")), lower.alias("fell"))
+        before, est = est, common.materialize(step, "estimates")
+        common.forget(before)
+        fell = not est.where("fell").isEmpty()
+    best = est.groupBy("g").agg(F.min(F.struct("det", "s", *_MEANS, *_INVERSE)).alias("best")).select("g", *(F.col(f"best.{c}").alias(c) for c in (*_MEANS, *_INVERSE)))
+    near = fit.join(held(best), "g").where(_distance() <= WEIGHED)
+    return _estimate(near.groupBy("g").agg(F.count("*").alias("n"), *_moments(), *(F.first(m).alias(m) for m in _MEANS)), WEIGHED_CONSISTENT, "g")
+
+
+def robust_outliers(docs: DataFrame, cutoff: float = CUTOFF, least: int = LEAST, **columns: str) -> DataFrame:
     """doc_id, the statistics, base_failed, distance2 and kept."""
-    rows = common.materialize(transformed(statistics(docs, **columns)), "statistics")
-    fit = rows.where("NOT base_failed")
-    sizes = common.materialize(fit.groupBy("g_full", "g_lang").agg(F.count("*").alias("size")), "groups")
-    names = sizes.select("g_full", F.when(F.col("size") >= least, F.col("g_full")).otherwise(F.concat("g_lang", F.lit("\u001f*"))).alias("g"))
+    rows = common.materialize(transformed(statistics(common.spread(docs), **columns)), "statistics")
+    sizes = common.materialize(rows.where("NOT base_failed").groupBy("g_full", "g_lang").agg(F.count("*").alias("size")), "groups")
+    few = F.col("size") < least
+    pools = sizes.where(few).groupBy("g_lang").agg(F.sum("size").alias("pool"))
+    pooled = F.when(F.col("pool") >= least, F.concat("g_lang", F.lit("\u001f*"))).otherwise("*")
+    names = sizes.join(pools, "g_lang", "left").select("g_full", F.when(few, pooled).otherwise(F.col("g_full")).alias("g"))
+    names = common.materialize(names, "names")
     small = sizes.count() <= BROADCAST_GROUPS
-    names = F.broadcast(names) if small else names
-    est = estimates(fit.select("g_full", *FEATURES).join(names, "g_full").drop("g_full"), steps, small)
-    est = common.materialize(est, "estimates")
-    out = rows.join(names, "g_full", "left").join(F.broadcast(est) if small else est, "g", "left").withColumn("distance2", _distance_or_null())
+    held = (lambda e: F.broadcast(e)) if small else (lambda e: e)
+    fit = common.materialize(rows.where("NOT base_failed").select("g_full", *FEATURES).join(held(names), "g_full").select("g", *FEATURES), "features")
+    est = common.materialize(estimates(fit, small), "estimates")
+    for done in (sizes, fit):
+        common.forget(done)
+    out = rows.join(held(names), "g_full", "left").join(held(est), "g", "left").withColumn("distance2", _distance_or_null())
     kept = ~F.col("base_failed") & (F.col("distance2") <= cutoff)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance2", F.coalesce(kept, F.lit(False)).alias("kept"))
 

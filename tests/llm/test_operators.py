@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -175,6 +176,52 @@ def test_covariance_inverse(spark):
     assert all(abs(got[f"p{i}{j}"] - want[i, j]) < 1e-9 for i in range(4) for j in range(i, 4))
 
 
+def exhaustive_mcd(x):
+    """Mean and inverse covariance by the least regularised determinant of all subsets of three quarters, then reweighted."""
+    floor = np.diag(np.square(outliers.FLOOR))
+    cov = lambda y, factor: np.cov(y.T, bias=True) * factor + floor
+    h = int(np.ceil(len(x) * outliers.SHARE))
+    best = min((list(c) for c in itertools.combinations(range(len(x)), h)), key=lambda c: np.linalg.det(cov(x[c], outliers.CONSISTENT)))
+    m, p = x[best].mean(axis=0), np.linalg.inv(cov(x[best], outliers.CONSISTENT))
+    near = np.einsum("ni,ij,nj->n", x - m, p, x - m) <= outliers.WEIGHED
+    return x[near].mean(axis=0), np.linalg.inv(cov(x[near], outliers.WEIGHED_CONSISTENT))
+
+
+def test_estimates_against_all_subsets(spark):
+    rng, groups = np.random.default_rng(5), {}
+    for k in range(24):
+        a = rng.normal(size=(4, 4)) * rng.choice([0.1, 1.0, 3.0])
+        x = rng.normal(size=(rng.integers(9, 14), 4)) @ a
+        x[: rng.integers(0, 3)] += rng.normal(size=4) * 40
+        groups[f"g{k}"] = x
+    rows = [(g, *map(float, v)) for g, x in groups.items() for v in x]
+    got = {r.g: r for r in outliers.estimates(spark.createDataFrame(rows, "g string, x1 double, x2 double, x3 double, x4 double")).collect()}
+    same = 0
+    for g, x in groups.items():
+        m, p = exhaustive_mcd(x)
+        r = got[g]
+        mine, inv = np.array([r[f"m{i}"] for i in range(4)]), np.array([[r[f"p{min(i, j)}{max(i, j)}"] for j in range(4)] for i in range(4)])
+        kept = lambda c, q: np.einsum("ni,ij,nj->n", x - c, q, x - c) <= outliers.CUTOFF  # noqa: B023, E731
+        same += bool((kept(mine, inv) == kept(m, p)).all())
+    assert same >= 22  # concentration from three starts may end in another local least of a dozen points
+
+
+def test_outliers_of_small_and_tied_groups(spark):
+    rng = random.Random(9)
+    long = lambda: say(rng, rng.randint(60, 90))
+    rows = [(i, long(), "en", "big") for i in range(50)] + [(100 + i, long(), "en", "less") for i in range(49)] + [(200, long(), "fr", "one")]
+    rows += [(300 + i, rows[0][1], "de", "tied") for i in range(60)] + [(7, rows[7][1], "en", "big"), (7, rows[7][1] + " ###" * 80, "en", "big"), (None, long(), None, None)]
+    d = spark.createDataFrame([(*r, 1, "g", 2.0) for r in rows], "doc_id long, text string, lang string, source string, n_words int, g string, x1 double")
+    got = outliers.robust_outliers(d).collect()
+    assert len(got) == len(rows) and sum(r.doc_id == 7 for r in got) == 3
+    bad = [r for r in got if not r.kept]
+    assert [(r.doc_id, r.n_symbols) for r in bad] == [(7, 240)]
+    assert all(r.distance2 < 1e-9 for r in got if r.doc_id and r.doc_id >= 300)  # all rows alike: no distance, none rejected
+    assert [(r.kept, r.distance2) for r in outliers.robust_outliers(d.where("doc_id = 200")).collect()] == [(True, 0.0)]
+    alone = outliers.robust_outliers(d.where("source = 'less'"), least=49).orderBy("doc_id").select("distance2").collect()
+    assert alone == outliers.robust_outliers(d.where("source = 'less'")).orderBy("doc_id").select("distance2").collect()  # pooled alone, it is the same group
+
+
 def test_html():
     page = (
         '<html><head><title>T</title><script>var a="</p>";</script></head><body class="has-sidebar"><nav><a href="/">menu words here</a></nav>'
