@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -299,6 +300,47 @@ def test_tokens_against_the_library(spark, docs, nothing, texts, tmp_path):
     assert token_files.read_token_files(spark, token_files.write_token_files(nothing, str(tmp_path / "none"))).count() == 0
 
 
+def scanned(df):
+    """Rows that the scans of a plan handed on when it was collected."""
+    plan = df._jdf.queryExecution().executedPlan()
+    leaves = (plan.executedPlan() if "AdaptiveSparkPlan" in plan.nodeName() else plan).collectLeaves()
+    return sum(leaves.apply(k).metrics().apply("numOutputRows").value() for k in range(leaves.size()))
+
+
+def test_selective_reads_of_token_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "WRITER", token_files.WRITER | {"parquet.block.size": "20000", "parquet.page.size": "2000", "parquet.page.row.count.limit": "40", "parquet.block.size.row.check.min": "10", "parquet.block.size.row.check.max": "10"})
+    rng = random.Random(31)
+    rows = [(i // 2 if i < 100 else i, say(rng, rng.randint(1, 40)), 9, "x") for i in range(4000)] + [(None, "a b", 1, "x"), (50, None, 1, "x")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int, tokens string").repartition(4)
+    path = token_files.write_token_files(d, str(tmp_path / "ids"))
+    every = sorted(token_files.read_token_files(spark, path).collect(), key=lambda r: r.start)
+    total = every[-1].start + every[-1].n_tokens
+    assert len(every) == 4002 and [x.doc_id for x in every] == sorted((r[0] for r in rows), key=lambda i: -1 if i is None else i)
+    for first, last in ((0, 1), (0, 10), (total // 2, total // 2 + 10), (total - 1, total), (total // 3, 2 * total // 3), (-5, total + 5), (7, 7), (total, total + 9)):
+        got = token_files.read_window(spark, path, first, last)
+        rows_got = sorted((r.start, r.doc_id, tuple(r.tokens)) for r in got.collect() if r.doc_id is not None)
+        assert rows_got == sorted((r.start, r.doc_id, tuple(r.tokens)) for r in every if r.doc_id is not None and r.start < last and r.start + r.n_tokens > first)
+        if last - first <= 10:
+            assert scanned(got) <= 400, "only pages around the window are read"
+    got = token_files.read_documents(spark, path, [3, 50, 2500, 99_999])
+    assert sorted((r.start, r.doc_id) for r in got.collect()) == [(r.start, r.doc_id) for r in every if r.doc_id in (3, 50, 2500)]
+    assert scanned(got) <= 800
+    assert "part" in (pushed := got._jdf.queryExecution().toString()) and "PushedFilters: [" in pushed
+    files = sorted((tmp_path / "ids" / "data").glob("*.parquet"))
+    seen = set()
+    for f in files:
+        meta = pq.ParquetFile(f).metadata
+        for g in range(meta.num_row_groups):
+            for c in range(meta.num_columns):
+                col = meta.row_group(g).column(c)
+                name = col.path_in_schema.split(".")[0]
+                seen.add(name)
+                assert col.has_offset_index and col.has_column_index
+                want = {"tokens": "RLE_DICTIONARY", "part": "RLE_DICTIONARY"}.get(name, "DELTA_BINARY_PACKED")
+                assert want in col.encodings, (name, col.encodings)
+    assert seen == {"part", "local_start", "doc_id", "n_tokens", "tokens"} and sum(pq.ParquetFile(f).metadata.num_row_groups for f in files) > 4
+
+
 def test_units_of_odd_white_space():
     rng = random.Random(3)
     parts = ["a", "B", " ", "  ", "\n", "\t", "'s", "'r", "'", "e", "é", "1", "<|endoftext|>", "　", "\x1c", "\x85", "!", "re", "​"]
