@@ -6,16 +6,22 @@ character that is not white space, followed by white space, both within the side
 alone.  Matches left of the window's start and right of its end then provably stand, and so do
 their tokens, since each match is encoded separately.
 
-A single match longer than a leaf is reduced by the same tree over bytes.  There the window grows
-by tokens until its outer tokens are compatible with their neighbours: encoding the two tokens'
-bytes yields just these two tokens.  A sequence of tokens is the BPE encoding of its bytes exactly
-if all adjacent pairs are compatible.
+Where the stretch around the middle has no such place for longer than a leaf, the span is halved at
+the stretch's end instead, where nothing needs joining; a span without any such place is taken
+match by match, once, not again at each level.
+
+A single match longer than a piece is reduced by the same tree over bytes, cut at pieces times
+powers of two, so that runs of one character stay in step.  There the window grows by tokens until
+its outer tokens are compatible with their neighbours: encoding the two tokens' bytes yields just
+these two tokens.  A sequence of tokens is the BPE encoding of its bytes exactly if all adjacent
+pairs are compatible.
 
 Decoding concatenates the bytes of halves up the tree.
 
 Defined results.  Null or empty text: no ids, empty bytes.  Repeated or null ids: a result for
-each row.  Very long texts and very long matches: bounded leaves, so no quadratic step.  Empty
-table: empty result.  Extra columns are not read.
+each row.  Very long texts, stretches and matches: each level of the tree takes time in proportion
+to the bytes at most, so the whole is never quadratic.  Empty table: empty result.  Extra columns
+are not read.
 """
 
 from __future__ import annotations
@@ -33,7 +39,7 @@ from oscilla.llm import common
 from oscilla.llm.vocab import WHITE, default_path
 
 #: Characters of a leaf; bytes of a leaf within one match.
-LEAF, PIECE = 4096, 512
+LEAF, PIECE = 4096, 1536
 _SAFE = re.compile(f"[^{WHITE}](?=[{WHITE}])")
 
 
@@ -59,23 +65,32 @@ class TreeEncoder:
         if hi - lo <= self.leaf:
             return self.bpe.encode_ordinary(text[lo:hi])
         mid = (lo + hi) // 2
-        return self._join(text, lo, mid, hi, self._span(text, lo, mid), self._span(text, mid, hi))
-
-    def _join(self, text: str, lo: int, mid: int, hi: int, left: list[int], right: list[int]) -> list[int]:
-        start, grow = lo, 64
-        while mid - grow > lo:
-            found = [m.end() for m in _SAFE.finditer(text, mid - grow, mid)]
+        start, stop = self._safe_before(text, lo, mid), self._safe_after(text, mid, hi)
+        if stop - start > self.leaf:
+            if start == lo and stop == hi:
+                return self._window(text[lo:hi])
+            cut = start if start > lo and (stop == hi or mid - start <= stop - mid) else stop
+            return self._span(text, lo, cut) + self._span(text, cut, hi)
+        return self._join(text, start, mid, stop, self._span(text, lo, mid), self._span(text, mid, hi))
+
+    def _safe_before(self, text: str, lo: int, mid: int) -> int:
+        """The last place before ``mid`` where every scan ends a match; ``lo`` if there is none."""
+        grow, last = 64, mid
+        while last > lo:
+            at = max(lo, mid - grow)
+            found = [m.end() for m in _SAFE.finditer(text, at, min(mid, last + 2))]
             if found:
-                start = found[-1]
-                break
-            grow *= 2
-        stop, grow = hi, 64
-        while mid + grow < hi:
-            m = _SAFE.search(text, mid, mid + grow)
-            if m:
-                stop = m.end()
-                break
-            grow *= 2
+                return found[-1]
+            grow, last = grow * 2, at
+        return lo
+
+    def _safe_after(self, text: str, mid: int, hi: int) -> int:
+        """The first such place after ``mid``; ``hi`` if there is none."""
+        m = _SAFE.search(text, mid, hi)
+        return m.end() if m else hi
+
+    def _join(self, text: str, start: int, mid: int, stop: int, left: list[int], right: list[int]) -> list[int]:
+        """Tokens left of ``start`` and right of ``stop`` stand; those between are encoded anew."""
         keep = len(left) - len(self._window(text[start:mid]))
         return left[:keep] + self._window(text[start:stop]) + right[len(self._window(text[mid:stop])) :]
 
@@ -91,12 +106,12 @@ class TreeEncoder:
         """One match."""
         if len(data) <= self.piece:
             return self._merge(data)
-        mid = len(data) // 2
+        mid = self.piece << ((len(data) - 1) // self.piece).bit_length() - 1
         left, right = self._bytes(data[:mid]), self._bytes(data[mid:])
         k = 1
         while True:
             i, j = max(0, len(left) - k), min(len(right), k)
-            window = self._merge(b"".join(map(self.bpe.decode_single_token_bytes, left[i:] + right[:j])))
+            window = self._merge(self.bpe.decode_bytes(left[i:] + right[:j]))
             if (i == 0 or self._stands(left[i - 1], window[0])) and (j == len(right) or self._stands(window[-1], right[j])):
                 return left[:i] + window + right[j:]
             k *= 2

@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -366,6 +367,20 @@ def test_tree_equals_whole_encoding():
         assert small.decode(ids) == t.encode()
 
 
+def test_tree_of_unbroken_texts():
+    enc = byte_bpe.tree_encoder(default_path("byte_bpe_50k.tiktoken"))
+    rng = random.Random(6)
+    n = 3_000_000
+    letters = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    mixed = "".join(rng.choices("ab1!é", k=n // 10))
+    for t in ("x" * n, letters, "é" * (n // 3) + " " + "あ" * (n // 3) + "ab" * 9, "abcde" * (n // 10), mixed, " " * (n // 10) + "a", ("y" * 5000 + " ") * 60, "word " * 9000 + "z" * 90_000 + " word" * 9000):
+        began = time.perf_counter()
+        ids = enc.encode(t)
+        spent = time.perf_counter() - began
+        assert ids == enc.bpe.encode_ordinary(t) and enc.decode(ids) == t.encode()
+        assert spent < 30
+
+
 def test_round_trip(docs, nothing, texts):
     enc = byte_bpe.tree_encoder(default_path("byte_bpe_50k.tiktoken"))
     for r in byte_bpe.round_trip(docs, with_tokens=True).where("doc_id IS NOT NULL").collect():
