@@ -8,23 +8,30 @@ tokens may be an entity of one of the four kinds; features of the whole span (it
 groups, checksums, what stands on either side) score each candidate segment and kind, all other
 tokens score zero, and bounded-entity dynamic programming chooses boundaries and kinds jointly.
 Segments must hold a digit or an at-sign, so stretches without them are outside every entity and
-windows between such stretches can be decoded one by one with the same result.  The model is
+windows between such stretches can be decoded one by one with the same result.  A segment of
+digits and their separators alone has 7 to 19 digits, or 4 or more and three points.  The model is
 fitted by conditional likelihood (forward and backward sums over segments) to sentences made by
 rule with a fixed seed.  Spans that it finds beside the base's are added; base spans stay.
 
 Defined results.  Null and empty texts: no spans.  Repeated rows and ids: each row is answered.
-Very long texts: whole; every pattern runs in linear time.  Empty table: empty result.  Extra
+Very long texts: whole; every pattern runs in linear time, and decoding keeps some bytes a token:
+segments are scored as they come, by sums that equal shapes share.  Empty table: empty result.  Extra
 columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from bisect import bisect_left, bisect_right
+from collections import deque
+from collections.abc import Callable, Iterator
 from functools import cache
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -48,16 +55,16 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _ANY = re.compile(r"[0-9@]|[(\[]\s?at\s?[)\]]", re.I)
 
 
+_TWICE = {str(d): d * 2 - 9 * (d > 4) for d in range(10)}
+_NO_DIGIT = re.compile(r"[^0-9]+")
+
+
 def luhn(digits: str) -> bool:
-    total = 0
-    for k, c in enumerate(reversed(digits)):
-        d = ord(c) - 48
-        total += d if k % 2 == 0 else d * 2 - 9 * (d > 4)
-    return total % 10 == 0
+    return (sum(map(int, digits[-1::-2])) + sum(map(_TWICE.__getitem__, digits[-2::-2]))) % 10 == 0
 
 
 def _digits(s: str) -> str:
-    return "".join(c for c in s if "0" <= c <= "9")
+    return _NO_DIGIT.sub("", s)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -90,7 +97,6 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 # ---- semi-Markov model ------------------------------------------------------------------------
 
 _TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|\s+|.", re.S)
-_NUMERIC = re.compile(r"[0-9+().\-\s]*")
 _AT = re.compile(r"@|[(\[]\s?at\s?[)\]]", re.I)
 _GROUP = re.compile(r"[0-9]+")
 
@@ -99,52 +105,133 @@ def _hash(s: str) -> int:
     return zlib.crc32(s.encode()) & (_DIM - 1)
 
 
+def _of_shape(shape: str, first: str) -> list[str]:
+    """Features that equal shapes share."""
+    groups = [int(g) for g in re.findall(r"([0-9]+);", shape)]
+    coarse = re.sub(r"(?:9|\W9)+", "9", re.sub(r"[0-9]+;", "9", shape))[:12]
+    return ["bias", "shape " + shape, "coarse " + coarse, f"digits {min(sum(groups), 20)}", f"groups {min(len(groups), 6)}", "first " + first]
+
+
+def _of_digits(span: str, digits: str) -> list[str]:
+    """Checks of the digits themselves."""
+    f = []
+    if 12 < len(digits) < 20:
+        f.append("luhn" if luhn(digits) else "no luhn")
+    if len(span) == len(digits) + 3 and span.count(".") == 3:
+        groups = _GROUP.findall(span)
+        if len(groups) == 4:
+            f.append("octets" if all(len(g) <= 3 and int(g) <= 255 for g in groups) else "no octets")
+    return f
+
+
+def _of_at(span: str) -> list[str]:
+    if not _AT.search(span):
+        return []
+    left, right = _AT.split(span, maxsplit=1)
+    local = " local" if re.fullmatch(r"[\w.%+-]+\s?", left, re.A) else " odd"
+    host = " host" if re.fullmatch(r"\s?[\w-]+((\.|\s?[(\[]\s?dot\s?[)\]]\s?)[\w-]+)+", right, re.A | re.I) else " odd"
+    return ["at" + local + host]
+
+
+def _of_left(text: str, lo: int) -> list[str]:
+    before = re.findall(r"\w+", text[max(0, lo - 24) : lo])
+    return [
+        "before " + (before[-1].lower() if before else ""),
+        "left " + (text[lo - 1] if lo and not text[lo - 1].isalnum() else "x" if lo else ""),
+        "joined" if lo > 1 and text[lo - 1] in "-./:," and text[lo - 2].isalnum() else "free",
+    ]
+
+
+def _of_right(text: str, hi: int) -> list[str]:
+    after = text[hi : hi + 2]
+    return ["right " + ("x" if after[:1].isalnum() or (after[:1] in ("-", ".", "/", ":", ",") and after[1:].isalnum()) else " ")]
+
+
+def _first(c: str) -> str:
+    return "9" if c.isdigit() else "a" if c.isalpha() else c
+
+
+def _shape(token: str, c: str) -> str:
+    return f"{min(len(token), 20)};" if "0" <= c <= "9" else "a" if c.isalnum() and not c.isdecimal() else token
+
+
 def features(text: str, lo: int, hi: int) -> list[int]:
     """Features of the whole span text[lo:hi] and its surroundings."""
     span = text[lo:hi]
-    shape = re.sub(r"[^\W\d_]+", "a", _GROUP.sub(lambda m: str(min(len(m[0]), 20)) + ";", span))
-    groups = _GROUP.findall(span)
-    d = "".join(groups)
-    f = ["bias", "shape " + shape, "coarse " + re.sub(r"(?:9|\W9)+", "9", re.sub(r"\d+;", "9", shape))[:12], f"digits {min(len(d), 20)}", f"groups {min(len(groups), 6)}", "first " + ("9" if span[0].isdigit() else "a" if span[0].isalpha() else span[0])]
-    if 12 < len(d) < 20:
-        f.append("luhn" if luhn(d) else "no luhn")
-    if len(groups) == 4 and span.count(".") == 3 and len(span) == len(d) + 3:
-        f.append("octets" if all(len(g) <= 3 and int(g) <= 255 for g in groups) else "no octets")
-    if _AT.search(span):
-        left, right = _AT.split(span, maxsplit=1)
-        f.append("at" + (" local" if re.fullmatch(r"[\w.%+-]+\s?", left, re.A) else " odd") + (" host" if re.fullmatch(r"\s?[\w-]+((\.|\s?[(\[]\s?dot\s?[)\]]\s?)[\w-]+)+", right, re.A | re.I) else " odd"))
-    before = re.findall(r"\w+", text[max(0, lo - 24) : lo])
-    f.append("before " + (before[-1].lower() if before else ""))
-    f.append("left " + (text[lo - 1] if lo and not text[lo - 1].isalnum() else "x" if lo else ""))
-    after = text[hi : hi + 2]
-    f.append("right " + ("x" if after[:1].isalnum() or (after[:1] in ("-", ".", "/", ":", ",") and after[1:].isalnum()) else " "))
-    f.append("joined" if lo > 1 and text[lo - 1] in "-./:," and text[lo - 2].isalnum() else "free")
+    shape = "".join(_shape(m[0], m[0][0]) for m in _TOKEN.finditer(span))
+    f = _of_shape(shape, _first(span[0])) + _of_digits(span, _digits(span)) + _of_at(span) + _of_left(text, lo) + _of_right(text, hi)
     return [_hash(x) for x in f]
 
 
-def segments(text: str, toks: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Candidate segments (first token, end token): whole words, with a digit or an at-sign, either numeric or around one at-sign."""
-    out = []
-    n = len(toks)
-    for i in range(n):
-        lo = toks[i][0]
-        c = text[lo]
-        if c.isspace() or (lo and text[lo - 1].isalnum() and c.isalnum()) or not (c.isalnum() or c in "+("):
+_DIGIT, _LETTER, _SPACE, _BREAK, _AT_OR_BRACKET, _SEPARATOR, _OTHER = range(7)
+_CLASS = {"@": _AT_OR_BRACKET, "(": _AT_OR_BRACKET, "[": _AT_OR_BRACKET} | dict.fromkeys(").+-", _SEPARATOR)
+
+
+def token_arrays(text: str, lo: int = 0, hi: int | None = None) -> tuple[array, bytearray]:
+    """Starts of the tokens of text[lo:hi] with its end behind them, and their classes."""
+    starts, classes = array("q"), bytearray()
+    for m in _TOKEN.finditer(text, lo, len(text) if hi is None else hi):
+        c = text[m.start()]
+        starts.append(m.start())
+        if "0" <= c <= "9":
+            classes.append(_DIGIT)
+        elif c.isspace():
+            classes.append(_BREAK if "\n" in m[0] else _SPACE)
+        else:
+            classes.append(_CLASS.get(c) or (_LETTER if c.isalnum() else _OTHER))
+    starts.append(len(text) if hi is None else hi)
+    return starts, classes
+
+
+def segments_from(text: str, starts: array, classes: bytearray, i: int, next_at: int) -> Iterator[tuple[int, bool, int]]:
+    """Candidate segments that begin with token i, as (end token, numeric, digits): whole words, with a digit or an at-sign, either
+    numeric or around one at-sign.  ``next_at``: the first token from i on that may belong to an at-sign."""
+    lo, k = starts[i], classes[i]
+    c = text[lo]
+    if k in (_SPACE, _BREAK) or (lo and c.isalnum() and text[lo - 1].isalnum()) or not (c.isalnum() or c in "+("):
+        return
+    n, size = len(classes), len(text)
+    last = min(n, i + LONGEST)
+    numeric, digits, dots = True, 0, 0
+    for j in range(i, last):
+        k, hi = classes[j], starts[j + 1]
+        if k == _BREAK:
+            return
+        if k == _DIGIT:
+            digits += hi - starts[j]
+        elif k in (_LETTER, _OTHER) or (k == _AT_OR_BRACKET and text[starts[j]] != "("):
+            numeric = False
+        elif text[starts[j]] == ".":
+            dots += 1
+        if next_at >= last and (not numeric or digits > 19):
+            return  # no at-sign in reach: nothing longer is a candidate
+        if k > _LETTER and not text[hi - 1].isalnum() or k == _SPACE or (hi < size and text[hi].isalnum()):
             continue
-        for j in range(i + 1, min(n, i + LONGEST) + 1):
-            hi = toks[j - 1][1]
-            span = text[lo:hi]
-            if "\n" in span:
-                break
-            if not (span[-1].isalnum() and not (hi < len(text) and text[hi].isalnum())):
-                continue
-            numeric = _NUMERIC.fullmatch(span)
-            ats = 0 if numeric else len(_AT.findall(span))
-            if numeric and any(x.isdigit() for x in span) or ats == 1 and len(span.split()) <= 7:
-                out.append((i, j))
-            elif not numeric and ats == 0 and len(span.split()) > 3:
-                break
-    return out
+        if numeric:
+            if 7 <= digits <= 19 or (dots == 3 and 4 <= digits <= 12):
+                yield j + 1, True, digits
+            continue
+        span = text[lo:hi]
+        ats = len(_AT.findall(span)) if next_at <= j else 0
+        if ats == 1 and len(span.split()) <= 7:
+            yield j + 1, False, digits
+        elif ats == 0 and len(span.split()) > 3:
+            return
+
+
+def _next_at(classes: bytearray, i: int, known: int) -> int:
+    """The first token from i on that may belong to an at-sign; ``known`` is the answer for i - 1."""
+    return known if known >= i else classes.find(_AT_OR_BRACKET, i) if classes.find(_AT_OR_BRACKET, i) >= 0 else len(classes)
+
+
+def segments(text: str) -> tuple[array, list[tuple[int, int]]]:
+    """Token starts and all candidate segments (first token, end token) of a text."""
+    starts, classes = token_arrays(text)
+    out, at = [], -1
+    for i in range(len(classes)):
+        at = _next_at(classes, i, at)
+        out += [(i, j) for j, _, _ in segments_from(text, starts, classes, i, at)]
+    return starts, out
 
 
 class SemiCRF:
@@ -152,10 +239,88 @@ class SemiCRF:
 
     def __init__(self, weight: np.ndarray):
         self.weight = weight
+        self.shapes: dict[tuple[str, str], tuple[float, ...]] = {}
+        self.right: dict[str, tuple[float, ...]] = {}
+        self.table: list[tuple[float, ...]] = []
+        self.rest: tuple[tuple[float, ...], ...] = ()
+
+    def __reduce__(self):
+        return SemiCRF, (self.weight,)  # what is remembered stays behind
 
     def scores(self, feats: list[list[int]]) -> np.ndarray:
         return np.array([self.weight[:, f].sum(axis=1) for f in feats]).reshape(len(feats), len(KINDS))
 
+    def part(self, names: list[str]) -> tuple[float, ...]:
+        """Sums over some features, one for each kind."""
+        if not self.table:
+            self.table = [tuple(x) for x in self.weight.T.astype(float).tolist()]
+        a, b, c, d = 0.0, 0.0, 0.0, 0.0
+        for x in names:
+            e, f, g, h = self.table[_hash(x)]
+            a, b, c, d = a + e, b + f, c + g, d + h
+        return a, b, c, d
+
+    def _most_of_rest(self, *names: str) -> tuple[float, ...]:
+        """What the right side and one of the features ``names`` can add to a segment at most, for each kind."""
+        right, more = self.right.values(), [self.part([x]) for x in names]
+        return tuple(max(r[y] for r in right) + max(x[y] for x in more) + 1e-9 for y in range(len(KINDS))) if names else tuple(max(r[y] for r in right) + 1e-9 for y in range(len(KINDS)))
+
+    def decode_text(self, text: str, lo: int, hi: int) -> list[tuple[int, int, int]]:
+        """The best set of disjoint entities (start, kind, end) of text[lo:hi], scored as segments come; some bytes a token are kept."""
+        starts, classes = token_arrays(text, lo, hi)
+        n = len(classes)
+        best, reach, back, kind = array("d", [0.0]) * (n + 1), array("d", [-math.inf]) * (n + 1), array("q", [-1]) * (n + 1), bytearray(n + 1)
+        if not self.right:
+            self.right = {x: self.part(["right " + x]) for x in ("x", " ")}
+            # by what a numeric segment's digits are checked for: nothing, Luhn's sum, octets
+            self.rest = self._most_of_rest(), self._most_of_rest("luhn", "no luhn"), self._most_of_rest("octets", "no octets")
+        right, shapes, at = self.right, self.shapes, -1
+        for i in range(n + 1):
+            if i:
+                best[i] = best[i - 1]
+                if reach[i] > best[i] + 1e-12:
+                    best[i] = reach[i]
+                else:
+                    back[i] = -1
+            if i == n:
+                break
+            at = _next_at(classes, i, at)
+            shape, done, left = "", i, None
+            for j, numeric, size in segments_from(text, starts, classes, i, at):
+                if left is None:
+                    left, first = self.part(_of_left(text, starts[i])), _first(text[starts[i]])
+                    l0, l1, l2, l3 = left
+                for k in range(done, j):
+                    token = text[starts[k] : starts[k + 1]]
+                    shape += _shape(token, token[0])
+                done = j
+                own = shapes.get((shape, first))
+                if own is None:
+                    if len(shapes) > 100_000:
+                        shapes.clear()
+                    own = shapes[shape, first] = self.part(_of_shape(shape, first))
+                a, b, c, d = own
+                a, b, c, d = a + l0, b + l1, c + l2, d + l3
+                if numeric:
+                    r0, r1, r2, r3 = self.rest[1 if size > 12 else 2 if shape.count(".") == 3 else 0]
+                    if a + r0 <= 0 and b + r1 <= 0 and c + r2 <= 0 and d + r3 <= 0:
+                        continue  # whatever the rest adds, the segment scores below nothing
+                span = text[starts[i] : starts[j]]
+                e, f, g, h = self.part(_of_digits(span, _digits(span)) + ([] if numeric else _of_at(span)))
+                w, x, y, z = right[_of_right(text, starts[j])[0][6:]]
+                total = a + e + w, b + f + x, c + g + y, d + h + z
+                top = max(total)
+                if best[i] + top > reach[j] + 1e-12:
+                    reach[j], back[j], kind[j] = best[i] + top, i, total.index(top)
+        out, j = [], n
+        while j > 0:
+            if back[j] < 0:
+                j -= 1
+            else:
+                out.append((starts[back[j]], kind[j], starts[j]))
+                j = back[j]
+        return out[::-1]
+
     def decode(self, n: int, segs: list[tuple[int, int]], score: np.ndarray) -> list[tuple[int, int, int]]:
         """The best set of disjoint (first token, kind, end token); on ties fewer and shorter entities."""
         ends: dict[int, list[int]] = {}
@@ -256,11 +421,10 @@ def fit(sentences: int = 700, rounds: int = 6, seed: int = 9) -> SemiCRF:
     data = []
     for _ in range(sentences):
         text, gold = _made(rng)
-        toks = [(m.start(), m.end()) for m in _TOKEN.finditer(text)]
-        segs = segments(text, toks)
-        start, end = {a: k for k, (a, _) in enumerate(toks)}, {b: k + 1 for k, (_, b) in enumerate(toks)}
-        want = {(start[a], KINDS.index(y), end[b]) for a, y, b in gold}
-        data.append((len(toks), segs, [features(text, toks[i][0], toks[j - 1][1]) for i, j in segs], want & {(i, y, j) for i, j in segs for y in range(len(KINDS))}))
+        at, segs = segments(text)
+        token = {a: k for k, a in enumerate(at)}
+        want = {(token[a], KINDS.index(y), token[b]) for a, y, b in gold}
+        data.append((len(at) - 1, segs, [features(text, at[i], at[j]) for i, j in segs], want & {(i, y, j) for i, j in segs for y in range(len(KINDS))}))
     model = SemiCRF(np.zeros((len(KINDS), _DIM)))
     rate = np.full((len(KINDS), _DIM), 0.1)
     for _ in range(rounds):
@@ -275,61 +439,40 @@ def default_model() -> SemiCRF:
     return fit()
 
 
-def added_spans(text: str, base: list[tuple[int, int, int]], model: SemiCRF) -> list[tuple[int, int, int]]:
-    """Entities of the model that touch no base span."""
-    marks = [m.start() for m in _ANY.finditer(text)]
-    if not marks:
-        return []
-    out: list[tuple[int, int, int]] = []
-    at = 0
-    while at < len(marks):
-        lo, hi = _window(text, marks[at])
-        last = at + 1
-        while last < len(marks) and marks[last] < hi:
-            lo2, hi2 = _window(text, marks[last])
-            hi = max(hi, hi2)
-            last += 1
-        group = marks[at:last]
-        at = last
-        covered = lambda p: any(a <= p < b for a, _, b in base)
-        if base and all(covered(p) for p in group):
-            continue  # every candidate holds a mark, so each would touch a base span
-        toks = [(m.start(), m.end()) for m in _TOKEN.finditer(text, lo, hi)]
-        segs = segments(text, toks)
-        if not segs:
-            continue
-        score = model.scores([features(text, toks[i][0], toks[j - 1][1]) for i, j in segs])
-        for i, y, j in model.decode(len(toks), segs, score):
-            a, b = toks[i][0], toks[j - 1][1]
-            if not any(a < e and s < b for s, _, e in base):
-                out.append((a, y, b))
-    return out
+_SCAN = re.compile(r"[0-9@]+|[(\[]\s?at\s?[)\]]|\s", re.I)
 
 
-_SPACES = re.compile(r"\s")
-
-
-def _window(text: str, mark: int) -> tuple[int, int]:
-    """From eight white-space characters or a line break before a mark to as many after it."""
-    lo = mark
-    for _ in range(8):
-        p = max(text.rfind(" ", 0, lo), text.rfind("\n", 0, lo))
-        if p < 0:
-            lo = 0
-            break
-        lo = p
-        if text[p] == "\n":
-            break
-    hi = mark
-    for _ in range(8):
-        m = _SPACES.search(text, hi + 1)
-        if not m:
-            hi = len(text)
-            break
-        hi = m.start()
+def _windows(text: str, covered: Callable[[int, int], bool]) -> Iterator[tuple[int, int]]:
+    """(lo, hi) from eight white-space characters or a line break before a run of marks to as many after the last mark, if a mark is not covered."""
+    before: deque[int] = deque([0], 8)  # the line's last white space; its beginning, as long as there are fewer than eight
+    lo, since, needed = -1, 0, False
+    for m in _SCAN.finditer(text):
+        a = m.start()
+        if not text[a].isspace():
+            if lo < 0:
+                lo = before[0]
+            since, needed = 0, needed or not covered(a, m.end())
+            continue
+        since += 1
+        if lo >= 0 and (since == 8 or m[0] == "\n"):
+            if needed:
+                yield lo, a
+            lo, needed = -1, False
         if m[0] == "\n":
-            break
-    return lo, hi
+            before.clear()
+        before.append(a)
+    if lo >= 0 and needed:
+        yield lo, len(text)
+
+
+def added_spans(text: str, base: list[tuple[int, int, int]], model: SemiCRF) -> list[tuple[int, int, int]]:
+    """Entities of the model that touch no base span; ``base`` ascends.  A window whose marks all lie in base spans has none, since every candidate holds a mark."""
+    begins, far = [a for a, _, _ in base], list(accumulate((b for _, _, b in base), max))
+    reached = lambda p: far[p - 1] if p else 0
+    out: list[tuple[int, int, int]] = []
+    for lo, hi in _windows(text, lambda a, b: reached(bisect_right(begins, a)) >= b):
+        out += [(a, y, b) for a, y, b in model.decode_text(text, lo, hi) if reached(bisect_left(begins, b)) <= a]
+    return out
 
 
 def find(text: str | None, model: SemiCRF) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:

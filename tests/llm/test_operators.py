@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+import resource
 import time
 import zlib
 
@@ -447,16 +448,46 @@ def test_segments_are_decoded_jointly():
         assert abs(got - best(0)) < 1e-9
 
 
+def decoded(text, model):
+    """The model's entities of a whole text, by features of each candidate in turn."""
+    at, segs = pii.segments(text)
+    score = model.scores([pii.features(text, at[i], at[j]) for i, j in segs])
+    return [(at[i], y, at[j]) for i, y, j in model.decode(len(at) - 1, segs, score)]
+
+
+def test_personal_data_by_windows():
+    """Windows and remembered sums give what plain decoding of the whole text gives."""
+    rng, model = random.Random(40), pii.default_model()
+    parts = ["12", "3456", " ", " ", "-", ".", "(", ")", "+", "a", "word ", "@", " (at) ", "x.org", "\n", "555-1234", "v1.2", "é", "10.0.0.1", "4012 8888 8888 1881", ",", "\t", "[at]", " two three four five six seven eight nine ten eleven "]
+    for k in range(1500):
+        t = "".join(rng.choices(parts, k=rng.randint(0, 40))) if k % 3 else "".join(pii._made(rng)[0] + " " for _ in range(3))
+        whole = decoded(t, model)
+        assert model.decode_text(t, 0, len(t)) == whole, t
+        base = pii.base_spans(t)
+        assert pii.added_spans(t, [], model) == whole, t
+        assert pii.added_spans(t, base, model) == [(a, y, b) for a, y, b in whole if not any(s < b and a < e for s, _, e in base)], t
+
+
+def test_personal_data_in_very_long_lines():
+    model = pii.default_model()
+    rng = random.Random(41)
+    line = " ".join(str(rng.randint(1, 10**rng.randint(1, 6))) for _ in range(1_150_000))[:5_000_000]
+    for t in (line, "1.2.3.4 " * 200_000, "1" * 5_000_000, "a@b " * 20_000, "x" * 5_000_000 + " 1", ("word " * 7 + "12 ") * 20_000):
+        began = time.perf_counter()
+        before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+        base, every = pii.find(t, model)
+        spent, more = time.perf_counter() - began, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before
+        assert set(base) <= set(every)
+        assert spent < 60 and more < 500_000, (t[:20], spent, more)
+
+
 def test_personal_data_beyond_the_base():
     rng = random.Random(321)
     model = pii.default_model()
     tp = fp = fn = 0
     for _ in range(200):
         t, gold = pii._made(rng)
-        toks = [(m.start(), m.end()) for m in pii._TOKEN.finditer(t)]
-        segs = pii.segments(t, toks)
-        score = model.scores([pii.features(t, toks[i][0], toks[j - 1][1]) for i, j in segs])
-        got = {(toks[i][0], pii.KINDS[y], toks[j - 1][1]) for i, y, j in model.decode(len(toks), segs, score)}
+        got = {(a, pii.KINDS[y], b) for a, y, b in decoded(t, model)}
         tp, fp, fn = tp + len(got & set(gold)), fp + len(got - set(gold)), fn + len(set(gold) - got)
     assert tp / (tp + fp) > 0.95 and tp / (tp + fn) > 0.95
     t = "call (555) 123-4567 or bob (at) example.com, version 2.0"
