@@ -1,12 +1,15 @@
 """Quality classifier: naive Bayes support vectors.
 
-Indicators of hashed n-grams (byte 1- to 3-grams, word 1-grams, and word 2- to 8-grams reduced to
-their pattern of equal words) are scaled by the ratio of the classes' log counts; a linear model with
+Indicators of hashed n-grams are byte 1- to 3-grams, word 1- to 3-grams, and word 2- to 8-grams
+reduced to one fact: that all their words are equal.  (A repeated word is mostly one that no other
+text has, so plain bigrams do not see repetition: without these, held-out accuracy at sf0.1 falls
+from 0.996 to 0.977.)  They are scaled by the ratio of the classes' log counts; a linear model with
 hinge loss is fitted to the scaled indicators by dual coordinate descent; a logistic curve fitted
 on rows that the model has not seen turns margins into scores.
 
-Fitting uses a bounded sample: ``PER_CLASS`` labelled rows of each class at most (documented
-parameter).  Scoring covers every row and whole texts.
+Fitting uses a bounded sample: ``PER_CLASS`` labelled ids of each class and ``SAMPLE`` indicators at
+most (documented parameters); of an id with several texts, the one with the least hash.  Scoring
+covers every row and whole texts.
 
 Defined results.  Null and empty texts: no indicators, the score of the intercept.  Repeated ids:
 a score for each row; where labels repeat, the least label counts.  No labels of one class: every
@@ -27,37 +30,53 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from oscilla.llm import common
-from oscilla.llm.samples import bounded_sample
-from oscilla.llm.shingles import mix, word_hashes
+from oscilla.llm.samples import bounded_sample, place
+from oscilla.llm.shingles import mix, shingle_hashes, word_hashes
 
-BITS = 18
+BITS = 20
 PER_CLASS = 4000
+#: Indicators (four bytes each) of all sampled rows together, about, at most.
+SAMPLE = 32 << 20
 THRESHOLD = 0.3
 _BYTES = 1 << 20
+_SHORT = 1 << 13
 
 
 def indicators(text: str | None) -> np.ndarray:
     """The distinct hashed n-grams of a whole text, ascending."""
     data = (text or "").encode()
-    seen = np.zeros(1 << BITS, bool)
+    seen = np.zeros(1 << BITS, bool) if len(data) > 8 * _SHORT else None
+    some: list[np.ndarray] = []
     shift = np.uint64(64 - BITS)
+
+    def add(x: np.ndarray) -> None:
+        if seen is None:
+            some.append(x >> shift)
+        else:
+            seen[x >> shift] = True
+
     for at in range(0, len(data), _BYTES):  # long texts block by block, two bytes over
         a = np.frombuffer(data[at : at + _BYTES + 2], np.uint8).astype(np.uint64)
         x = a + np.uint64(256)
-        seen[mix(x) >> shift] = True
+        add(mix(x))
         for k in range(1, 3):
             if len(a) > k:
                 x = x[:-1] * np.uint64(256) + a[k:]
-                seen[mix(x) >> shift] = True
+                add(mix(x))
     words = word_hashes(data)
     if len(words):
-        seen[words >> shift] = True
+        add(words)
+        for k in (2, 3):
+            if len(words) >= k:
+                add(shingle_hashes(words, k))
         same = words[1:] == words[:-1]
         for k in range(1, 8):  # runs of k + 1 equal words
             if not same.any():
                 break
-            seen[mix(np.array([(1 << 40) + k], np.uint64)) >> shift] = True
+            add(mix(np.array([(1 << 40) + k], np.uint64)))
             same = same[1:] & (words[k + 1 :] == words[: -k - 1])
+    if seen is None:
+        return np.unique(np.concatenate(some)).astype(np.int64) if some else np.zeros(0, np.int64)
     return np.flatnonzero(seen)
 
 
@@ -78,18 +97,19 @@ class Model:
 
 def _descend(xs: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, cost: float, epochs: int) -> tuple[np.ndarray, float]:
     """Dual coordinate descent for the hinge loss; the bias is a feature of value 1."""
-    vs = [ratio[x] / math.sqrt(len(x) + 1) for x in xs]
-    q = np.array([v @ v + 1 for v in vs])
+    norm = [math.sqrt(len(x) + 1) for x in xs]
+    q = np.array([(r := ratio[x]) @ r / n**2 + 1 for x, n in zip(xs, norm, strict=True)])
     w, b, alpha = np.zeros(len(ratio)), 0.0, np.zeros(len(xs))
     rng = np.random.default_rng(11)
     for _ in range(epochs):
         most = 0.0
         for i in rng.permutation(len(xs)):
-            g = y[i] * (w[xs[i]] @ vs[i] + b) - 1
+            x, v = xs[i], ratio[xs[i]] / norm[i]
+            g = y[i] * (w[x] @ v + b) - 1
             a = min(max(alpha[i] - g / q[i], 0.0), cost)
             if a != alpha[i]:
                 d = (a - alpha[i]) * y[i]
-                w[xs[i]] += d * vs[i]
+                w[x] += d * v
                 b += d
                 most = max(most, abs(a - alpha[i]))
                 alpha[i] = a
@@ -150,22 +170,27 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, key: str
     counts = {r["quality"]: r["n"] for r in lab.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     total = sum(counts.values())
     share = counts.get(1, 0) / total if total else 1.0
-    picked = bounded_sample(lab, "quality", "lab_id", per_class)
-    base = common.two_columns(docs, key, text)
+    picked = bounded_sample(lab, "quality", ["lab_id"], per_class)
+    base = common.two_columns(docs, key, text).withColumn("mark", F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.record_batches(batches):
-            xs = pa.array([indicators(t).astype(np.int32) for t in b.column("text").to_pylist()], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), xs], names=["doc_id", "quality", "x"])
-
-    # the sample has a bounded number of rows of two numbers each
-    rows = base.join(F.broadcast(picked), F.col("doc_id") == F.col("lab_id")).select("doc_id", "text", "quality").mapInArrow(run, "doc_id long, quality int, x array<int>").toArrow()
-    x = rows.column("x").combine_chunks()
-    stops, values = np.asarray(x.offsets), np.asarray(x.values)
-    ids, y = np.asarray(rows.column("doc_id")), np.asarray(rows.column("quality"))
-    xs = [values[i:j] for i, j in zip(stops[:-1], stops[1:], strict=True)]
-    order = np.lexsort([[int(v[:16].sum()) if len(v) else 0 for v in xs], [len(v) for v in xs], ids]) if len(ids) else []
-    return fit_rows([xs[i] for i in order], y[order] if len(ids) else y, share)
+            for k in range(0, b.num_rows, 64):  # few rows at a time: indicators may take more room than the text
+                rows = b.slice(k, 64)
+                xs = [indicators(t.as_py()).astype("<i4") for t in rows.column("text")]
+                cols = [pa.array([len(x) for x in xs], pa.int64()), pa.array([x.tobytes() for x in xs], pa.binary())]
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("mark"), rows.column("quality"), *cols], names=["doc_id", "mark", "quality", "size", "x"])
+
+    # the ids are a bounded sample of two numbers each; rows that repeat an id are reduced to one of them before the driver sees any
+    rows = base.join(F.broadcast(picked), F.col("doc_id") == F.col("lab_id")).select("doc_id", "mark", "text", "quality")
+    rows = rows.mapInArrow(run, "doc_id long, mark long, quality int, size long, x binary")
+    rows = common.materialize(rows.groupBy("doc_id").agg(F.min(F.struct("mark", "quality", "size", "x")).alias("one")).select("doc_id", "one.*"), "indicators")
+    size = rows.agg(F.sum("size")).first()[0] or 0
+    some = rows.where(place("doc_id", "mark") * size < SAMPLE) if size > SAMPLE else rows
+    got = some.select("doc_id", "quality", "x").toArrow().sort_by("doc_id")
+    common.forget(rows)
+    xs = [np.frombuffer(x.as_buffer(), "<i4") for x in got.column("x")]
+    return fit_rows(xs, np.asarray(got.column("quality")), share)
 
 
 def held_out(key: str):
