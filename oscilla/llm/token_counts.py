@@ -1,7 +1,7 @@
 """Token counts: Arrow functions that encode whole texts and return lengths only.
 
-Rows of an Arrow batch are regrouped into batches of about equal size; texts beyond that size are
-cut at safe boundaries, where no token can cross.
+Rows of an Arrow batch are regrouped into batches of about ``BATCH`` bytes of UTF-8; texts beyond
+that size are cut at safe boundaries, where no token can cross.
 
 Defined results.  Null or empty text: 0 bytes, 0 tokens.  Repeated ids and null ids: a result for
 each row.  Very long texts: cut safely, counted whole.  Empty table: empty result.  Extra columns
@@ -20,13 +20,14 @@ from oscilla.llm import common
 from oscilla.llm.vocab import default_path, encoder
 
 LIMIT = 512
+BATCH = 2 << 20
 
 
 def _counted(path: str, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for b in common.record_batches(batches):
-            n = pa.array(enc.encode((t or "" for t in b.column("text").to_pylist()), counts=True)[1])
+            n = pa.array(enc.encode((t or "" for t in b.column("text").to_pylist()), counts=True, most=BATCH)[1])
             size = pc.fill_null(pc.binary_length(b.column("text")), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), size, n, pc.greater(n, limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 

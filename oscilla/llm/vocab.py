@@ -48,6 +48,10 @@ def safe_pieces(text: str, most: int) -> Iterator[str]:
     yield text[at:]
 
 
+def utf8_length(text: str) -> int:
+    return len(text) if text.isascii() else len(text.encode())
+
+
 def _byte_characters() -> dict[int, str]:
     """The byte-level alphabet by rule: printable Latin-1 stands for itself, other bytes for 256, 257, ... in order."""
     plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -153,7 +157,7 @@ class UnitEncoder:
         return pool[np.repeat(begin[at] - ends[:-1], each) + np.arange(ends[-1])], n
 
     def encode(self, texts: Iterable[str], counts: bool = False, most: int = 8 << 20) -> tuple[np.ndarray, np.ndarray]:
-        """As above for any number of texts: worked off in batches of about ``most`` characters; longer texts are cut safely."""
+        """As above for any number of texts: worked off in batches of about ``most`` bytes of UTF-8; longer texts are cut safely."""
         pieces, owner, ids, n = [], [], [], []
         size = total = 0
 
@@ -167,12 +171,14 @@ class UnitEncoder:
 
         spans: list[int] = []
         for total, t in enumerate(texts, 1):
-            for x in safe_pieces(t, most) if len(t) > most else (t,):
-                if pieces and size + len(x) > most:
+            long = utf8_length(t) > most
+            for x in safe_pieces(t, most if t.isascii() else max(1, most // 4)) if long else (t,):
+                n_bytes = utf8_length(x)
+                if pieces and size + n_bytes > most:
                     flush()
                 pieces.append(x)
                 owner.append(total - 1)
-                size += len(x)
+                size += n_bytes
         if pieces:
             flush()
         out = np.zeros(total, np.int64)
