@@ -85,7 +85,7 @@ b{k} AS (SELECT g, s, floor(ln({dist} + 1e-6) * 64) AS bin, count(*) AS n, {sums
 k{k} AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY g, s ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(n) OVER (PARTITION BY g, s) AS all_ FROM b{k}),
 t{k} AS (SELECT g, s, sum(n)::DOUBLE AS n, {tot} FROM k{k} WHERE before < ceil(all_ * 0.75) GROUP BY g, s),
 c{k} AS (SELECT g, s, {cov("1.486")} FROM t{k}),{_inverse_of(f"v{k}", f"c{k}", "g, s")},
-e{k + 1} AS MATERIALIZED (SELECT e.g, e.s, {", ".join(f"CASE WHEN v.det < e.det * (1 - 1e-6::DOUBLE) THEN v.{c} ELSE e.{c} END AS {c}" for c in every)} FROM e{k} e JOIN v{k} v ON v.g = e.g AND v.s = e.s)"""
+e{k + 1} AS MATERIALIZED (SELECT e.g, e.s, {", ".join(f"CASE WHEN v.det < e.det * (1 - 1e-4::DOUBLE) THEN v.{c} ELSE e.{c} END AS {c}" for c in every)} FROM e{k} e JOIN v{k} v ON v.g = e.g AND v.s = e.s)"""
     sql += f""",
 best AS (SELECT * FROM e{steps} QUALIFY row_number() OVER (PARTITION BY g ORDER BY det, s) = 1),
 tw AS (SELECT g, count(*)::DOUBLE AS n, {tot.replace("sum(s", "sum(a").replace("sum(q", "sum(b")} FROM (SELECT g, m0, m1, m2, m3, {", ".join([f"x{i} - m{i} AS a{i}" for i in x] + [f"(x{i} - m{i}) * (x{j} - m{j}) AS b{i}{j}" for i, j in pairs])} FROM fit JOIN best USING (g) WHERE {dist} <= 11.143) GROUP BY g),

@@ -33,7 +33,7 @@ read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from oscilla.llm import common
@@ -48,7 +48,7 @@ WEIGHED, WEIGHED_CONSISTENT = 11.143, 1.0645
 #: The 0.9999 quantile of chi-squared with 4 degrees of freedom.
 CUTOFF = 23.51
 #: A determinant falls if it falls by this part at least.
-FALL = 1e-6
+FALL = 1e-4
 LEAST, MIN_WORDS = 50, 50
 #: Groups whose estimates (about 200 bytes each) may be broadcast.
 BROADCAST_GROUPS = common.BROADCAST_BYTES // 200
@@ -196,9 +196,10 @@ def estimates(fit: DataFrame, small: bool = False) -> DataFrame:
         got = got.select("g", "s", *(F.col(c).alias(f"new_{c}") for c in (*_MEANS, *_INVERSE, "det")))
         lower = F.col("new_det") < F.col("det") * (1 - FALL)
         step = est.drop("fell").join(got, ["g", "s"]).select("g", "s", *(F.when(lower, F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in (*_MEANS, *_INVERSE, "det")), lower.alias("fell"))
-        before, est = est, common.materialize(step, "estimates")
+        seen = Observation()
+        before, est = est, common.materialize(step.observe(seen, F.max("fell").alias("fell")).coalesce(1), "estimates")
         common.forget(before)
-        fell = not est.where("fell").isEmpty()
+        fell = bool(seen.get["fell"])
     best = est.groupBy("g").agg(F.min(F.struct("det", "s", *_MEANS, *_INVERSE)).alias("best")).select("g", *(F.col(f"best.{c}").alias(c) for c in (*_MEANS, *_INVERSE)))
     near = fit.join(held(best), "g").where(_distance() <= WEIGHED)
     return _estimate(near.groupBy("g").agg(F.count("*").alias("n"), *_moments(), *(F.first(m).alias(m) for m in _MEANS)), WEIGHED_CONSISTENT, "g")
