@@ -23,13 +23,15 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; where unset (tests), one local folder is set."""
+    """The shared folder named by spark.checkpoint.dir.  Where it is unset: in local mode one local folder, on a cluster an error."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isDefined():
         return jsc.getCheckpointDir().get().rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     made = tempfile.mkdtemp(prefix="oscilla-")
     spark.sparkContext.setCheckpointDir(made)
     return made
@@ -62,7 +64,7 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, f"{BATCH_BYTES}b")
 
 
-def spread(df: DataFrame, small: int = 64 << 20) -> DataFrame:
+def spread(df: DataFrame, small: int = 20 << 20) -> DataFrame:
     """A small table, by the optimizer's estimate, dealt over all cores: one row group would else be one task.  Larger ones as they are."""
     if df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() > small:
         return df
@@ -72,7 +74,7 @@ def spread(df: DataFrame, small: int = 64 << 20) -> DataFrame:
 def two_columns(df: DataFrame, key: str, text: str) -> DataFrame:
     """Key (long) and text (string, null as null) alone: extra columns cannot clash with results."""
     bound_batches(df.sparkSession)
-    return df.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    return spread(df).select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
 
 
 def crc_mod(key: str, n: int):

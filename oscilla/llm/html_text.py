@@ -334,5 +334,5 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", body: str
             )
 
     common.bound_batches(pages.sparkSession)
-    base = pages.select(F.col(f"`{key}`").cast("long").alias("page_id"), F.col(f"`{url}`").cast("string").alias("url"), F.col(f"`{body}`").cast("string").alias("html"))
+    base = common.spread(pages).select(F.col(f"`{key}`").cast("long").alias("page_id"), F.col(f"`{url}`").cast("string").alias("url"), F.col(f"`{body}`").cast("string").alias("html"))
     return base.mapInArrow(run, "page_id long, url string, text string, n_chars long")
