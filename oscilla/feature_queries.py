@@ -2,17 +2,29 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from oscilla import model
+from oscilla import oracle_parts as parts
 from oscilla.operators import filters, kernels, learn, neighbourhood, pointwise
 from oscilla.queries import COLS, SIG, WIDE, out, r6, register, signal
 
 _X3 = "p AS (SELECT vec_id AS id, label, [embedding[1]::DOUBLE, embedding[2]::DOUBLE, embedding[3]::DOUBLE] AS x FROM embeddings)"
 
 
+_X = "p AS MATERIALIZED (SELECT vec_id AS id, label, embedding::DOUBLE[] AS x FROM embeddings)"
+_BANDPASS = filters.design("butter", "bandpass", (20.0, 200.0), 1000.0, 4)
+_ELLIPTIC = filters.design("ellip", "lowpass", 100.0, 1000.0, 4)
+_CASCADE = np.concatenate([filters.notch(50.0, 1000.0, 5.0, 2), filters.design("cheby1", "highpass", 10.0, 1000.0, 2)])
+_SMOOTH = filters.design("butter", "lowpass", 20.0, 1000.0, 4)
+_TKEO = """te AS (SELECT channel, i, value * value - lag(value) OVER w * lead(value) OVER w AS e FROM sig WINDOW w AS (PARTITION BY channel ORDER BY i)),
+tk AS (SELECT channel, i, abs(coalesce(e, lead(e) OVER w, lag(e) OVER w)) AS value FROM te WINDOW w AS (PARTITION BY channel ORDER BY i))"""
+
+
 def vectors(spark, d):
     return model.read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").cast("array<double>").alias("x"))
 
@@ -30,13 +42,13 @@ def channel_covariance(spark, d):
     return w.agg(*((F.round(F.covar_pop(a, b), 3) + 0.0).alias(f"{a}_{b}") for k, a in enumerate(COLS) for b in COLS[k:]))
 
 
-@register("whitened_covariance", "SELECT " + ", ".join(f"{float(a == b)}::DOUBLE AS {a}_{b}" for k, a in enumerate(COLS) for b in COLS[k:]))
+@register("whitened_covariance", f"WITH {WIDE}, {parts.whitened(COLS, 'wide')} SELECT " + ", ".join(f"round(covar_pop({a}, {b}), 4) + 0.0 AS {a}_{b}" for k, a in enumerate(COLS) for b in COLS[k:]) + " FROM white")
 def whitened_covariance(spark, d):
     w = learn.whiten(model.item_signal(spark, d), COLS)
     return w.agg(*((F.round(F.covar_pop(a, b), 4) + 0.0).alias(f"{a}_{b}") for k, a in enumerate(COLS) for b in COLS[k:]))
 
 
-@register("whitened_signal")
+@register("whitened_signal", f"WITH {WIDE}, {parts.whitened(COLS, 'wide')} SELECT i, {', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in COLS)} FROM white")
 def whitened_signal(spark, d):
     return learn.whiten(model.item_signal(spark, d), COLS).select("i", *r6(*COLS))
 
@@ -54,14 +66,34 @@ def principal_components(spark, d):
     return learn.components(v, 5).transform(v).select("id", *(F.round(F.col("components")[k], 6).alias(f"pc{k}") for k in range(5)))
 
 
-@register("kmeans_labels")
+_START = "SELECT row_number() OVER (ORDER BY id) - 1 AS c, x FROM (SELECT id, x FROM p ORDER BY id LIMIT {k})"
+
+
+@register("kmeans_labels", f"WITH {_X}, {parts.lloyd('p', _START.format(k=10), 40)} SELECT id, cluster::INTEGER AS cluster FROM lab")
 def kmeans_labels(spark, d):
-    return learn.kmeans(vectors(spark, d), 10)[1].select("id", "cluster")
+    v = vectors(spark, d)
+    return learn.lloyd(v, learn.first_rows(v, 10))[1].select("id", "cluster")
 
 
-@register("mixture_labels")
+@register(
+    "mixture_labels",
+    f"WITH {_X}, {parts.diagonal_mixture('p', _START.format(k=4), 4, 8, 1e-6)} SELECT id, arg_max(c, (logp, -c))::INTEGER AS cluster FROM res GROUP BY id",
+)
 def mixture_labels(spark, d):
-    return learn.mixture(low_vectors(spark, d), 4)[1].select("id", "cluster")
+    v = vectors(spark, d)
+    return learn.diagonal_mixture(v, learn.first_rows(v, 4), steps=8, tolerance=-1e30).label(v).select("id", "cluster")
+
+
+@register(
+    "mixture_choice",
+    " UNION ALL ".join(
+        f"(WITH {_X}, {parts.diagonal_mixture('p', _START.format(k=k), k, 6, 1e-6)} SELECT {k} AS k, round(-2 * sum(total) + {k * 128 + k - 1} * ln(count(*)), 3) AS bic FROM (SELECT DISTINCT id, total FROM res))" for k in (2, 3, 4)
+    ),
+)
+def mixture_choice(spark, d):
+    """Bayes criteria of diagonal mixtures of several sizes."""
+    scores = learn.choose_mixture(vectors(spark, d), [2, 3, 4], steps=6, tolerance=-1e30)[1]
+    return spark.createDataFrame([(k, round(float(v), 3)) for k, v in scores.items()], "k int, bic double")
 
 
 @register("sorted_waveforms")
@@ -92,11 +124,59 @@ def density_clusters(spark, d):
     return learn.dbscan(low_vectors(spark, d), 0.12, 5)
 
 
+_NEAR = "list_distance(a.x, b.x) <= {eps}::DOUBLE"
+_CLUSTERS = """{n}e AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM p a, p b WHERE list_distance(a.x, b.x) <= {eps}::DOUBLE), {n}core AS (SELECT a AS id FROM {n}e GROUP BY a HAVING count(*) >= 5),
+{n}l AS (SELECT a, b FROM {n}e WHERE a IN (SELECT id FROM {n}core) AND b IN (SELECT id FROM {n}core)), {n}r(id, far) AS (SELECT id, id FROM {n}core UNION SELECT r.id, l.b FROM {n}r r JOIN {n}l l ON l.a = r.far),
+{n}c AS MATERIALIZED (SELECT id, min(far) AS cluster FROM {n}r GROUP BY id), {n}bo AS (SELECT e.a AS id, min(cluster) AS cluster FROM {n}e e JOIN {n}c c ON c.id = e.b GROUP BY e.a),
+{n}lab AS MATERIALIZED (SELECT p.id, p.x, coalesce(c.cluster, bo.cluster, -1)::BIGINT AS cluster FROM p LEFT JOIN {n}c c ON c.id = p.id LEFT JOIN {n}bo bo ON bo.id = p.id)"""
+_HALF = "p AS MATERIALIZED (SELECT vec_id AS id, embedding::DOUBLE[] AS x FROM embeddings WHERE label < 5), rest AS (SELECT vec_id AS id, embedding::DOUBLE[] AS x FROM embeddings WHERE label >= 3)"
+
+
+@register(
+    "density_predicted",
+    f"""WITH RECURSIVE {_HALF}, {_CLUSTERS.format(n="", eps=0.9)}, m AS (SELECT a.id, arg_min(c.cluster, (list_distance(a.x, b.x), b.id)) AS cluster FROM rest a JOIN p b ON list_distance(a.x, b.x) <= 0.9::DOUBLE JOIN c ON c.id = b.id GROUP BY a.id)
+SELECT rest.id, coalesce(m.cluster, -1)::BIGINT AS cluster FROM rest LEFT JOIN m USING (id)""",
+)
+def density_predicted(spark, d):
+    """Clusters of some labels' vectors, and where vectors of others (some of them shared) would fall."""
+    _checkpoints(spark)
+    v = vectors(spark, d)
+    known, new = v.where("label < 5"), v.where("label >= 3")
+    cores = learn.core_points(known, 0.9, 5).join(learn.dbscan(known, 0.9, 5), "id")
+    return learn.predict_clusters(new, cores, 0.9)
+
+
+@register(
+    "density_scores",
+    f"WITH RECURSIVE {_X}, " + ", ".join(_CLUSTERS.format(n=f"t{k}", eps=e) for k, e in enumerate((0.7, 0.9, 1.1))) + " "
+    + " UNION ALL ".join(f"SELECT {e}::DOUBLE AS eps, count(DISTINCT CASE WHEN cluster >= 0 THEN cluster END)::INTEGER AS clusters, round(avg((cluster < 0)::INTEGER), 6) AS noise_ratio FROM t{k}lab" for k, e in enumerate((0.7, 0.9, 1.1))),
+)
+def density_scores(spark, d):
+    """Number of clusters and share of noise over a range of eps."""
+    _checkpoints(spark)
+    return learn.density_scores(vectors(spark, d), [0.7, 0.9, 1.1], 5).select("eps", "clusters", *r6("noise_ratio"))
+
+
+@register(
+    "rotated_trajectories",
+    """WITH e AS (SELECT label AS trial, vec_id AS t, embedding::DOUBLE[] AS x FROM embeddings), s AS (SELECT trial, list_distance(x, lag(x) OVER (PARTITION BY trial ORDER BY t)) AS d FROM e),
+f AS (SELECT trial, arg_min(x, t) AS a, arg_max(x, t) AS b FROM e GROUP BY trial)
+SELECT f.trial, round(sum(d), 6) AS path_length, round(avg(d), 6) AS mean_speed, round(any_value(list_distance(a, b)), 6) AS displacement FROM s JOIN f USING (trial) GROUP BY f.trial""",
+)
+def rotated_trajectories(spark, d):
+    """Trajectories in all principal components: a rotation, which keeps lengths."""
+    v = vectors(spark, d)
+    t = learn.components(v, 64).transform(v).select(F.col("label").alias("trial"), F.col("id").alias("t"), F.col("components").alias("x"))
+    return learn.trajectory_metrics(t).select("trial", *r6("path_length", "mean_speed", "displacement"))
+
+
 def _checkpoints(spark) -> str:
-    """The session's checkpoint folder; set to a temporary one only where none is named."""
+    """The session's checkpoint folder.  Where none is named: in local mode a temporary one, on a cluster an error."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext._jsc.sc()
     if not sc.getCheckpointDir().isDefined():
+        if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="oscilla-"))
     return named or sc.getCheckpointDir().get()
 
@@ -115,24 +195,24 @@ def trajectory_metrics(spark, d):
 # ---- filters and kernels --------------------------------------------------------------------
 
 
-@register("bandpass_filter")
+@register("bandpass_filter", f"WITH RECURSIVE {SIG}, {parts.zero_phase('sig', _BANDPASS)} SELECT channel, i, round(value, 6) + 0.0 AS value FROM zp")
 def bandpass_filter(spark, d):
-    return out(filters.apply(signal(spark, d), filters.design("butter", "bandpass", (20.0, 200.0), 1000.0, 4)))
+    return out(filters.apply(signal(spark, d), _BANDPASS))
 
 
-@register("elliptic_lowpass_forward")
+@register("elliptic_lowpass_forward", f"WITH RECURSIVE {SIG}, src AS (SELECT channel, i, value AS x FROM sig), {parts.sections('fw', 'src', _ELLIPTIC, False)} SELECT channel, i, round(y, 6) + 0.0 AS value FROM fw WHERE i >= 0")
 def elliptic_lowpass_forward(spark, d):
-    return out(filters.apply(signal(spark, d), filters.design("ellip", "lowpass", 100.0, 1000.0, 4), zero_phase=False))
+    return out(filters.apply(signal(spark, d), _ELLIPTIC, zero_phase=False))
 
 
-@register("notch_cascade")
+@register("notch_cascade", f"WITH RECURSIVE {SIG}, {parts.zero_phase('sig', _CASCADE)} SELECT channel, i, round(value, 6) + 0.0 AS value FROM zp")
 def notch_cascade(spark, d):
     return out(filters.cascade(signal(spark, d), [filters.notch(50.0, 1000.0, 5.0, 2), filters.design("cheby1", "highpass", 10.0, 1000.0, 2)]))
 
 
-@register("energy_envelope")
+@register("energy_envelope", f"WITH RECURSIVE {SIG}, {_TKEO}, {parts.zero_phase('tk', _SMOOTH)} SELECT channel, i, round(value, 2) + 0.0 AS value FROM zp")
 def energy_envelope(spark, d):
-    return out(filters.energy_envelope(signal(spark, d), 20.0, 1000.0))
+    return filters.energy_envelope(signal(spark, d), 20.0, 1000.0).select("channel", "i", (F.round("value", 2) + F.lit(0.0)).alias("value"))
 
 
 @register(
@@ -143,7 +223,12 @@ def rms_envelope(spark, d):
     return out(neighbourhood.moving(signal(spark, d), 101, "rms"))
 
 
-@register("hilbert_envelope")
+@register(
+    "hilbert_envelope",
+    f"""WITH {SIG}, n AS (SELECT channel, count(*) AS n FROM sig GROUP BY channel), h AS (SELECT a.channel, a.i, any_value(a.value) AS x, sum(CASE WHEN a.i = b.i THEN 0 WHEN n % 2 = 0 THEN CASE WHEN (a.i - b.i) % 2 = 0 THEN 0 ELSE 2 * b.value / tan(pi() * (a.i - b.i) / n) END
+ELSE b.value * (cos(pi() * (a.i - b.i) / n) - CASE WHEN (a.i - b.i) % 2 = 0 THEN 1 ELSE -1 END) / sin(pi() * (a.i - b.i) / n) END) / any_value(n) AS q FROM sig a JOIN sig b USING (channel) JOIN n USING (channel) GROUP BY a.channel, a.i)
+SELECT channel, i, round(sqrt(x * x + q * q), 6) + 0.0 AS value FROM h""",
+)
 def hilbert_envelope(spark, d):
     return out(kernels.hilbert_envelope(signal(spark, d)))
 
@@ -159,12 +244,31 @@ def windowed_entropy(spark, d):
     return kernels.windowed_entropy(signal(spark, d), 50, 50, 2, 0.5).select("channel", "frame", *r6("value"))
 
 
-@register("entropy_onsets")
+@register(
+    "entropy_onsets",
+    f"""WITH {SIG}, w AS (SELECT channel, i // 10 - o AS frame, i - (i // 10 - o) * 10 AS j, i, value FROM sig, range(5) r(o) WHERE i // 10 - o >= 0), ok AS (SELECT channel, frame, 0.2 * stddev_pop(value) AS tol FROM w GROUP BY ALL HAVING count(*) = 50),
+t AS MATERIALIZED (SELECT channel, frame, j, CASE WHEN tol = 0 THEN 0.2 ELSE tol END AS tol, value AS a, lead(value) OVER x AS b, lead(value, 2) OVER x AS c FROM w JOIN ok USING (channel, frame) WINDOW x AS (PARTITION BY channel, frame ORDER BY j)),
+m AS (SELECT p.channel, p.frame, count(*) AS m2, count(CASE WHEN abs(p.c - q.c) <= p.tol THEN 1 END) AS m3 FROM t p JOIN t q ON p.channel = q.channel AND p.frame = q.frame AND q.j > p.j AND p.j < 48 AND q.j < 48 AND abs(p.a - q.a) <= p.tol AND abs(p.b - q.b) <= p.tol GROUP BY ALL),
+e AS MATERIALIZED (SELECT ok.channel, ok.frame AS i, CASE WHEN m2 > 0 AND m3 > 0 THEN -ln(m3 / m2) END AS v FROM ok LEFT JOIN m USING (channel, frame)),
+st AS (SELECT channel, avg(v) - stddev_pop(v) AS t FROM e GROUP BY channel HAVING count(*) >= 5), f AS (SELECT e.*, coalesce(v < t, false) AS low FROM e JOIN st USING (channel)),
+g AS (SELECT channel, i, i - row_number() OVER (PARTITION BY channel ORDER BY i) AS g FROM f WHERE low), r AS (SELECT channel, min(i) AS a, max(i) AS b FROM g GROUP BY channel, g),
+dr AS (SELECT r.channel, a, b, avg(CASE WHEN i > a - 4 AND i <= a THEN v END) - avg(CASE WHEN i BETWEEN a AND b THEN v END) AS entropy_drop FROM r JOIN e USING (channel) GROUP BY ALL)
+SELECT dr.channel, a * 10 AS onset_idx, b * 10 + 50 AS offset_idx, round(entropy_drop, 6) + 0.0 AS entropy_drop, round(max(abs(value)), 6) AS amplitude, (b * 10 + 50 - a * 10) / 1000.0 AS duration
+FROM dr JOIN sig ON sig.channel = dr.channel AND sig.i >= a * 10 AND sig.i < b * 10 + 50 GROUP BY ALL""",
+)
 def entropy_onsets(spark, d):
-    return kernels.entropy_onsets(signal(spark, d), 50, 10, 1000.0)
+    e = kernels.entropy_onsets(signal(spark, d), 50, 10, 1000.0)
+    return e.select("channel", "onset_idx", "offset_idx", *r6("entropy_drop", "amplitude"), "duration")
 
 
-@register("template_matches")
+@register(
+    "template_matches",
+    f"""WITH RECURSIVE {SIG}, tp AS (SELECT j, (w - 1) / sqrt(1.2::DOUBLE) AS w FROM (VALUES (-2, 0.0), (-1, 1.0), (0, 3.0), (1, 1.0), (2, 0.0)) t(j, w)), v AS (SELECT a.channel, a.i, sum(b.value * w) AS d, stddev_pop(b.value) AS sd FROM sig a JOIN tp ON true JOIN sig b ON b.channel = a.channel AND b.i = a.i + j GROUP BY ALL HAVING count(*) = 5),
+c AS (SELECT channel, i, d / 5 / CASE WHEN sd > 0 THEN sd ELSE 1 END AS v FROM v), n AS (SELECT *, coalesce(lag(v) OVER w, -2) AS a, coalesce(lead(v) OVER w, -2) AS b FROM c WINDOW w AS (PARTITION BY channel ORDER BY i)),
+f AS MATERIALIZED (SELECT channel, i, v, row_number() OVER (PARTITION BY channel ORDER BY i) AS k FROM n WHERE v > 0.9 AND v >= a AND v > b),
+s(channel, k, g, i, v) AS (SELECT channel, k, 1, i, v FROM f WHERE k = 1 UNION ALL SELECT f.channel, f.k, CASE WHEN f.i - s.i < 10 THEN g ELSE g + 1 END, CASE WHEN f.i - s.i < 10 AND f.v <= s.v THEN s.i ELSE f.i END, CASE WHEN f.i - s.i < 10 AND f.v <= s.v THEN s.v ELSE f.v END FROM s JOIN f ON f.channel = s.channel AND f.k = s.k + 1)
+SELECT channel, arg_max(i, k) AS index, round(arg_max(v, k), 6) + 0.0 AS correlation FROM s GROUP BY channel, g""",
+)
 def template_matches(spark, d):
     return kernels.template_matches(signal(spark, d), [0.0, 1.0, 3.0, 1.0, 0.0], 0.9, 10).select("channel", "index", *r6("correlation"))
 
@@ -189,14 +293,14 @@ def warped_subtraction(spark, d):
     return out(kernels.subtract_templates(s, s.where("i % 100 = 50").select("channel", "i"), _TPL, "warped", band=2))
 
 
-@register("mel_cepstrum")
+@register("mel_cepstrum", f"WITH {SIG}, {parts.cepstrum('mel', 8, 16, 128, 64, 1000.0)} SELECT channel, frame, k::INTEGER AS k, round(value, 6) + 0.0 AS value FROM cep")
 def mel_cepstrum(spark, d):
     from oscilla.operators import spectral
 
     return spectral.cepstrum(signal(spark, d), 8, 16, 128, 64, 1000.0).select("channel", "frame", "k", *r6("value"))
 
 
-@register("linear_cepstrum")
+@register("linear_cepstrum", f"WITH {SIG}, {parts.cepstrum('linear', 8, 16, 128, 64, 1000.0)} SELECT channel, frame, k::INTEGER AS k, round(value, 6) + 0.0 AS value FROM cep")
 def linear_cepstrum(spark, d):
     from oscilla.operators import spectral
 
@@ -220,7 +324,12 @@ def wide_round_trip(spark, d):
     return model.long_to_wide(signal(spark, d), ["click", "view"]).select("i", F.round("c0", 6).alias("c0"), F.round("c1", 6).alias("c1"))
 
 
-@register("reference_chain")
+@register(
+    "reference_chain",
+    f"""WITH {WIDE}, med AS (SELECT i, c0 - m AS c0, c1 - m AS c1 FROM (SELECT *, list_median([c0, c1, c2, c3]) AS m FROM wide)), {parts.whitened(["c0", "c1"], "med")},
+l AS (SELECT i, unnest([0, 1]) AS channel, unnest([c0, c1]) AS value FROM white), te AS (SELECT channel, i, value * value - lag(value) OVER w * lead(value) OVER w AS e FROM l WINDOW w AS (PARTITION BY channel ORDER BY i))
+SELECT channel, i, round(coalesce(e, lead(e) OVER w, lag(e) OVER w), 6) + 0.0 AS value FROM te WINDOW w AS (PARTITION BY channel ORDER BY i)""",
+)
 def reference_chain(spark, d):
     """Median reference, whitening, normalisation and energy as one plan over a wide signal."""
     w = learn.whiten(pointwise.common_reference(model.item_signal(spark, d), COLS, "median"), ["c0", "c1"])

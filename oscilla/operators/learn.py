@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from oscilla.functions.components import settled_labels
-from oscilla.functions.windows import band_join
+
+
+#: Tables up to this size are broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
 def covariance(df: DataFrame, columns: list[str], ddof: int = 0, centre: bool = True) -> tuple[np.ndarray, np.ndarray, int]:
@@ -34,19 +37,48 @@ def vector_covariance(df: DataFrame, value: str = "x") -> tuple[np.ndarray, np.n
         if n:
             yield pd.DataFrame({"n": [n], "s": [s.tolist()], "q": [q.ravel().tolist()]})
 
+    # sums of both kinds by place, so one pass gives all
     parts = df.select(value).mapInPandas(run, "n long, s array<double>, q array<double>")
-    got = parts.select("n", F.posexplode("s").alias("k", "v")).groupBy("k").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).orderBy("k").collect()
-    quad = parts.select(F.posexplode("q").alias("k", "v")).groupBy("k").agg(F.sum("v").alias("v")).orderBy("k").collect()
-    n, d = got[0]["n"], len(got)
-    mean = np.array([r["v"] for r in got]) / n
-    return mean, np.array([r["v"] for r in quad]).reshape(d, d) / n - np.outer(mean, mean), n
+    each = parts.select("n", F.posexplode(F.concat(F.array(F.col("n").cast("double")), "s", "q")).alias("k", "v"))
+    got = [r["v"] for r in each.groupBy("k").agg(F.sum("v").alias("v")).orderBy("k").collect()]
+    if not got:
+        return np.zeros(0), np.zeros((0, 0)), 0
+    n, d = int(got[0]), round((4 * len(got) - 3) ** 0.5 / 2 - 0.5)  # 1 + d + d^2 sums
+    mean = np.array(got[1 : d + 1]) / n
+    return mean, np.array(got[d + 1 :]).reshape(d, d) / n - np.outer(mean, mean), n
+
+
+def eigen(cov: np.ndarray, small: int = 32) -> tuple[np.ndarray, np.ndarray]:
+    """Eigenvalues and vectors.  Small matrices by cyclic rotations, which keep the least eigenvalues of badly scaled columns exact to their own size."""
+    n = len(cov)
+    if n > small:
+        return np.linalg.eigh(cov)
+    a, u = np.array(cov, float), np.eye(n)
+    for _ in range(50):
+        done = True
+        for p in range(n):
+            for q in range(p + 1, n):
+                if abs(a[p, q]) <= 1e-18 * np.sqrt(abs(a[p, p] * a[q, q])):
+                    continue
+                done = False
+                theta = (a[q, q] - a[p, p]) / (2 * a[p, q])
+                t = (-1.0 if theta < 0 else 1.0) / (abs(theta) + np.hypot(theta, 1.0))
+                c = 1 / np.sqrt(t * t + 1)
+                j = np.array([[c, t * c], [-t * c, c]])
+                a[:, [p, q]] = a[:, [p, q]] @ j
+                a[[p, q], :] = j.T @ a[[p, q], :]
+                a[p, q] = a[q, p] = 0.0
+                u[:, [p, q]] = u[:, [p, q]] @ j
+        if done:
+            break
+    return np.diag(a).copy(), u
 
 
 def whitening_matrix(cov: np.ndarray, eps: float | None = None, median_square: float | None = None) -> np.ndarray:
     """ZCA: U diag(1 / sqrt(S + eps)) U'.  eps from the data's median square where it is small, else 1e-16."""
     if eps is None:
         eps = max(1e-16, median_square * 1e-3) if median_square is not None and 0 < median_square < 1 else 1e-16
-    s, u = np.linalg.eigh(cov)
+    s, u = eigen(cov)
     return u @ np.diag(1 / np.sqrt(np.maximum(s, 0) + eps)) @ u.T
 
 
@@ -104,6 +136,128 @@ def kmeans(df: DataFrame, k: int = 8, value: str = "x", seed: int = 1, iteration
     return model, model.transform(rows).drop("_vec")
 
 
+def first_rows(df: DataFrame, k: int, value: str = "x", key: str = "id") -> np.ndarray:
+    """The vectors of the k least keys, as a plain start."""
+    return np.array([r[value] for r in df.orderBy(key).limit(k).select(value).collect()], float)
+
+
+def lloyd(df: DataFrame, centres: np.ndarray, value: str = "x", steps: int = 300) -> tuple[np.ndarray, DataFrame]:
+    """K-means from given centres: the final centres, and df with ``cluster`` (ties: the least).  Ends when no centre moves.
+
+    A step is one pass: each task adds up its rows by cluster, and k sums come back.
+    """
+
+    def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+        return np.stack([((x - row) ** 2).sum(axis=1) for row in c], axis=1).argmin(axis=1)
+
+    for _ in range(steps):
+        held = centres
+
+        def sums(batches, held=held):
+            total, n = np.zeros_like(held), np.zeros(len(held), int)
+            for b in batches:
+                if len(b):
+                    x = np.stack(b[value].to_list()).astype(float)
+                    lab = nearest(x, held)
+                    np.add.at(total, lab, x)
+                    n += np.bincount(lab, minlength=len(held))
+            yield pd.DataFrame({"c": range(len(held)), "n": n, "s": total.tolist()})
+
+        parts = df.select(value).mapInPandas(sums, "c int, n long, s array<double>").where("n > 0")
+        each = parts.select("c", "n", F.posexplode("s").alias("k", "v")).groupBy("c", "k").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).collect()
+        moved = centres.copy()
+        for r in each:  # k centres of d numbers
+            moved[r["c"], r["k"]] = r["v"] / r["n"]
+        same, centres = np.array_equal(moved, centres), moved
+        if same:
+            break
+    final = centres
+
+    @F.pandas_udf("int")
+    def label(x: pd.Series) -> pd.Series:
+        return pd.Series(nearest(np.stack(x.to_list()).astype(float), final)) if len(x) else pd.Series([], dtype="int32")
+
+    return centres, df.withColumn("cluster", label(F.col(value)))
+
+
+class DiagonalMixture:
+    """A mixture of normal distributions with diagonal covariances."""
+
+    def __init__(self, log_weight: np.ndarray, mean: np.ndarray, variance: np.ndarray, log_likelihood: float = float("nan"), n: int = 0):
+        self.log_weight, self.mean, self.variance, self.log_likelihood, self.n = log_weight, mean, variance, log_likelihood, n
+
+    def log_densities(self, x: np.ndarray) -> np.ndarray:
+        return np.stack([w - 0.5 * (np.log(2 * np.pi * v) + (x - m) ** 2 / v).sum(axis=1) for w, m, v in zip(self.log_weight, self.mean, self.variance, strict=True)], axis=1)
+
+    @property
+    def parameters(self) -> int:
+        return self.mean.size * 2 + len(self.mean) - 1
+
+    @property
+    def bic(self) -> float:
+        return -2 * self.log_likelihood + self.parameters * float(np.log(max(self.n, 1)))
+
+    @property
+    def aic(self) -> float:
+        return -2 * self.log_likelihood + 2 * self.parameters
+
+    def label(self, df: DataFrame, value: str = "x") -> DataFrame:
+        """df with ``cluster``, the likeliest component (ties: the least)."""
+
+        @F.pandas_udf("int")
+        def best(x: pd.Series) -> pd.Series:
+            return pd.Series(self.log_densities(np.stack(x.to_list()).astype(float)).argmax(axis=1)) if len(x) else pd.Series([], dtype="int32")
+
+        return df.withColumn("cluster", best(F.col(value)))
+
+
+def diagonal_mixture(df: DataFrame, start: np.ndarray, value: str = "x", steps: int = 100, tolerance: float = 1e-3, least: float = 1e-6) -> DiagonalMixture:
+    """Expectation and maximisation from given means, equal weights and the table's variances.
+
+    Ends after ``steps`` steps, or when the mean log likelihood of a row gains less than ``tolerance``.
+    ``least`` is added to every variance.  A step is one pass that brings back k (2 d + 2) sums.
+    """
+    mean, cov, n = vector_covariance(df, value)
+    k, d = start.shape
+    model = DiagonalMixture(np.full(k, -np.log(k)), start.astype(float), np.tile(np.diag(cov) + least, (k, 1)), n=n)
+
+    def passes(model):
+        def run(batches):
+            r, s, q, like = np.zeros(k), np.zeros((k, d)), np.zeros((k, d)), 0.0
+            for b in batches:
+                if len(b):
+                    x = np.stack(b[value].to_list()).astype(float)
+                    logp = model.log_densities(x)
+                    top = logp.max(axis=1, keepdims=True)
+                    total = top + np.log(np.exp(logp - top).sum(axis=1, keepdims=True))
+                    p = np.exp(logp - total)
+                    r, s, q, like = r + p.sum(axis=0), s + p.T @ x, q + p.T @ (x * x), like + float(total.sum())
+            yield pd.DataFrame({"v": [np.concatenate([[like], r, s.ravel(), q.ravel()]).tolist()]})
+
+        parts = df.select(value).mapInPandas(run, "v array<double>")
+        v = np.array([x["v"] for x in parts.select(F.posexplode("v").alias("k", "v")).groupBy("k").agg(F.sum("v").alias("v")).orderBy("k").collect()])
+        return v[0], v[1 : k + 1], v[k + 1 : k + 1 + k * d].reshape(k, d), v[k + 1 + k * d :].reshape(k, d)
+
+    before = -np.inf
+    for step in range(steps + 1):
+        like, r, s, q = passes(model)
+        model.log_likelihood = like
+        if step == steps or like - before < tolerance * n:
+            return model
+        before = like
+        r = np.maximum(r, 1e-300)[:, None]
+        m = s / r
+        model = DiagonalMixture(np.log(r[:, 0] / n), m, np.maximum(q / r - m * m, 0) + least, n=n)
+    return model
+
+
+def choose_mixture(df: DataFrame, sizes: list[int], value: str = "x", key: str = "id", criterion: str = "bic", **options) -> tuple[DiagonalMixture, dict[int, float]]:
+    """The diagonal mixture with the least information criterion among several sizes, and all their criteria."""
+    models = {k: diagonal_mixture(df, first_rows(df, k, value, key), value, **options) for k in sizes}
+    scores = {k: getattr(m, criterion) for k, m in models.items()}
+    return models[min(scores, key=lambda k: (scores[k], k))], scores
+
+
 def mixture(df: DataFrame, k: int = 3, value: str = "x", seed: int = 1, iterations: int = 100):
     from pyspark.ml.clustering import GaussianMixture
     from pyspark.ml.functions import array_to_vector
@@ -129,13 +283,15 @@ def silhouette(df: DataFrame, value: str = "x", cluster: str = "cluster", key: s
     """Silhouette with squared Euclidean distances: key, cluster, silhouette; noise (-1) and singletons 0.
 
     The mean squared distance to a cluster follows from its size, vector sum and sum of squares,
-    so no pairs of rows are made; the table of clusters is broadcast.
+    so no pairs of rows are made; the table of clusters is broadcast if it is small.
     """
     flat = df.where(F.col(cluster) >= 0).select(cluster, F.posexplode(value).alias("_k", "_v"))
     each = flat.groupBy(cluster, "_k").agg(F.sum("_v").alias("_s"), F.sum(F.col("_v") * F.col("_v")).alias("_q"), F.count("*").alias("_n"))
     table = each.groupBy(cluster).agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "_s"))), lambda s: s["_s"]).alias("_sum"), F.sum("_q").alias("_psi"), F.max("_n").alias("_n"))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda p, q: p + q)
-    t = F.broadcast(table.select(F.col(cluster).alias("_c"), "_sum", "_psi", "_n"))
+    t = table.select(F.col(cluster).alias("_c"), "_sum", "_psi", "_n")
+    if (t.agg(F.sum(F.size("_sum") * 8 + 32)).first()[0] or 0) <= BROADCAST_BYTES:
+        t = F.broadcast(t)
     rows = df.select(key, cluster, value).crossJoin(t)  # one row for each cluster
     total = F.col("_n") * dot(value, value) - 2 * dot(value, "_sum") + F.col("_psi")
     own = F.col("_c") == F.col(cluster)
@@ -144,29 +300,74 @@ def silhouette(df: DataFrame, value: str = "x", cluster: str = "cluster", key: s
     return g.select(key, cluster, s.alias("silhouette"))
 
 
+def _near(a: DataFrame, b: DataFrame, eps: float, axes: int = 3) -> DataFrame:
+    """Pairs (a, xa, ..) and (b, xb, ..) at most eps apart, with their squared distance d2: an equi-join on cells of a grid.
+
+    Cells are eps wide (and a little) on the first ``axes`` axes; a left point looks into its own cell and those around it,
+    so points that are further apart on any of these axes never meet.  The distance is exact on all axes.
+    """
+    cell = lambda x, k: F.floor(F.coalesce(F.element_at(x, k + 1), F.lit(0.0)) / (eps * (1 + 1e-9)))
+    left = a
+    for k in range(axes):
+        wide = F.when(F.size("xa") > k, F.array(*(cell(F.col("xa"), k) + s for s in (-1, 0, 1)))).otherwise(F.array(F.lit(0).cast("long")))
+        left = left.withColumn(f"_g{k}", F.explode(wide))
+    right = b.select("*", *(F.when(F.size("xb") > k, cell(F.col("xb"), k)).otherwise(F.lit(0).cast("long")).alias(f"_g{k}") for k in range(axes)))
+    d2 = F.aggregate(F.zip_with("xa", "xb", lambda p, q: (p - q) * (p - q)), F.lit(0.0).cast("double"), lambda p, q: p + q)
+    cells = [f"_g{k}" for k in range(axes)]
+    return left.join(right, cells).drop(*cells).withColumn("d2", d2).where(F.col("d2") <= eps * eps)
+
+
 def neighbours(df: DataFrame, eps: float, value: str = "x", key: str = "id") -> DataFrame:
-    """Pairs of rows at most eps apart, without a cross join: points whose projections on one axis differ by more than eps are never paired."""
-    unit = 1_000_000
-    at = F.floor(F.element_at(value, 1) / eps * unit).cast("long")
-    a = df.select(F.col(key).alias("a"), F.col(value).alias("xa"), at.alias("a_at"))
-    b = df.select(F.col(key).alias("b"), F.col(value).alias("xb"), at.alias("b_at"))
-    pairs = band_join(a, b, -unit - 1, unit + 2, left_at="a_at", right_at="b_at")
-    dist = F.aggregate(F.zip_with("xa", "xb", lambda p, q: (p - q) * (p - q)), F.lit(0.0).cast("double"), lambda p, q: p + q)
-    return pairs.where(dist <= eps * eps).select("a", "b")
+    """Pairs of rows at most eps apart, without a cross join."""
+    return _near(df.select(F.col(key).alias("a"), F.col(value).alias("xa")), df.select(F.col(key).alias("b"), F.col(value).alias("xb")), eps).select("a", "b")
 
 
 def dbscan(df: DataFrame, eps: float, least: int = 5, value: str = "x", key: str = "id", include_self: bool = True) -> DataFrame:
     """key, cluster: connected core points (clusters named by their least core id), border points with the least such cluster, noise -1."""
-    near = neighbours(df, eps, value, key).persist()
+    near = neighbours(df, eps, value, key).checkpoint()
     count = near.groupBy("a").agg(F.count("*").alias("n"))
     core = count.where(F.col("n") - (0 if include_self else 1) >= least).select(F.col("a").alias("core"))
-    links = near.join(core.withColumnRenamed("core", "a"), "a", "left_semi").join(core.withColumnRenamed("core", "b"), "b", "left_semi").select("a", "b").persist()
+    links = near.join(core.withColumnRenamed("core", "a"), "a", "left_semi").join(core.withColumnRenamed("core", "b"), "b", "left_semi").select("a", "b").checkpoint()
     label = settled_labels(links.select(F.col("a").alias("x"), F.col("b").alias("y")), lambda df: df.checkpoint())  # a core point is its own neighbour
     reach = near.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias(key)).agg(F.min("comp").alias("border"))
     own = label.withColumnRenamed("node", key)
     return df.select(key).join(own, key, "left").join(reach, key, "left").select(key, F.coalesce("comp", "border", F.lit(-1)).alias("cluster"))
 
 
+def core_points(df: DataFrame, eps: float, least: int = 5, value: str = "x", key: str = "id") -> DataFrame:
+    """key, x of the core points."""
+    count = neighbours(df, eps, value, key).groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return df.join(count.select(F.col("a").alias(key)), key, "left_semi").select(key, value)
+
+
+def predict_clusters(new: DataFrame, cores: DataFrame, eps: float, value: str = "x", key: str = "id") -> DataFrame:
+    """key, cluster of new points: the cluster of the nearest core point (key, x, cluster) within eps (ties: its least key), else -1."""
+    both = new.select(F.col(key).alias("a"), F.col(value).alias("xa")), cores.select(F.col(key).alias("b"), F.col(value).alias("xb"), "cluster")
+    near = _near(*both, eps).groupBy("a").agg(F.min(F.struct("d2", "b", "cluster")).alias("_m")).select(F.col("a").alias(key), F.col("_m.cluster").alias("cluster"))
+    return new.select(key).join(near, key, "left").select(key, F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+
+
+def density_scores(df: DataFrame, eps_values: list[float], least: int = 5, value: str = "x", key: str = "id") -> DataFrame:
+    """For each eps: clusters, share of noise, and mean silhouette of the clustered points (null with fewer than two clusters)."""
+    rows = []
+    for eps in eps_values:
+        lab = dbscan(df, eps, least, value, key).checkpoint()
+        n = lab.agg(F.count_distinct(F.when(F.col("cluster") >= 0, F.col("cluster"))).alias("clusters"), F.avg((F.col("cluster") < 0).cast("double")).alias("noise")).first()
+        sil = None
+        if n["clusters"] > 1:
+            sil = silhouette(df.join(lab.where("cluster >= 0"), key), value, "cluster", key).agg(F.avg("silhouette")).first()[0]
+        rows.append((float(eps), int(n["clusters"]), float(n["noise"] or 0.0), sil))
+    return df.sparkSession.createDataFrame(rows, "eps double, clusters int, noise_ratio double, silhouette double")
+
+
+def choose_eps(scores: DataFrame, criterion: str = "silhouette") -> float | None:
+    """The first eps with the best score: greatest silhouette or number of clusters, or least noise among those with a cluster."""
+    best = {"silhouette": F.desc_nulls_last("silhouette"), "cluster_count": F.desc("clusters"), "noise_ratio": F.asc("noise_ratio")}[criterion]
+    rows = scores.where("clusters > 0") if criterion == "noise_ratio" else scores
+    top = rows.orderBy(best, "eps").first()
+    return top["eps"] if top else None
+
+
 def trajectory_metrics(df: DataFrame, by: tuple[str, ...] = ("trial",), at: str = "t", value: str = "x") -> DataFrame:
     """Path length and mean speed of each trial's trajectory, and distance from its first to its last point."""
     w = Window.partitionBy(*by).orderBy(at)
