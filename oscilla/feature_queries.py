@@ -13,7 +13,6 @@ from oscilla import oracle_parts as parts
 from oscilla.operators import filters, kernels, learn, neighbourhood, pointwise
 from oscilla.queries import COLS, SIG, WIDE, out, r6, register, signal
 
-_X3 = "p AS (SELECT vec_id AS id, label, [embedding[1]::DOUBLE, embedding[2]::DOUBLE, embedding[3]::DOUBLE] AS x FROM embeddings)"
 
 
 _X = "p AS MATERIALIZED (SELECT vec_id AS id, label, embedding::DOUBLE[] AS x FROM embeddings)"
@@ -29,10 +28,6 @@ def vectors(spark, d):
     return model.read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").cast("array<double>").alias("x"))
 
 
-def low_vectors(spark, d):
-    return vectors(spark, d).withColumn("x", F.slice("x", 1, 3))
-
-
 @register(
     "channel_covariance",
     f"WITH {WIDE} SELECT " + ", ".join(f"round(covar_pop({a}, {b}), 3) + 0.0 AS {a}_{b}" for k, a in enumerate(COLS) for b in COLS[k:]) + " FROM wide",
@@ -103,38 +98,30 @@ def sorted_waveforms(spark, d):
 
 @register(
     "silhouette",
-    f"""WITH {_X3}, g AS (SELECT a.id, a.label, b.label AS c, sum((a.x[1] - b.x[1]) ** 2 + (a.x[2] - b.x[2]) ** 2 + (a.x[3] - b.x[3]) ** 2) AS s, count(*) AS n FROM p a, p b GROUP BY ALL),
+    f"""WITH {_X}, g AS (SELECT a.id, a.label, b.label AS c, sum(list_distance(a.x, b.x) ** 2) AS s, count(*) AS n FROM p a, p b GROUP BY ALL),
 m AS (SELECT id, label, max(CASE WHEN c = label AND n > 1 THEN s / (n - 1) END) AS a, min(CASE WHEN c <> label THEN s / n END) AS b FROM g GROUP BY ALL)
 SELECT id, label, round(CASE WHEN a IS NULL OR b IS NULL THEN 0 WHEN a < b THEN 1 - a / b WHEN a > b THEN b / a - 1 ELSE 0 END, 6) + 0.0 AS silhouette FROM m""",
 )
 def silhouette(spark, d):
-    return learn.silhouette(low_vectors(spark, d), "x", "label").select("id", "label", *r6("silhouette"))
-
-
-@register(
-    "density_clusters",
-    f"""WITH RECURSIVE {_X3}, e AS (SELECT a.id AS a, b.id AS b FROM p a, p b WHERE (a.x[1] - b.x[1]) ** 2 + (a.x[2] - b.x[2]) ** 2 + (a.x[3] - b.x[3]) ** 2 <= 0.0144::DOUBLE),
-core AS (SELECT a AS id FROM e GROUP BY a HAVING count(*) >= 5), l AS (SELECT a, b FROM e WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)),
-r(id, far) AS (SELECT id, id FROM core UNION SELECT r.id, l.b FROM r JOIN l ON l.a = r.far), c AS (SELECT id, min(far) AS cluster FROM r GROUP BY id),
-bo AS (SELECT e.a AS id, min(cluster) AS cluster FROM e JOIN c ON c.id = e.b GROUP BY e.a)
-SELECT p.id, coalesce(c.cluster, bo.cluster, -1)::BIGINT AS cluster FROM p LEFT JOIN c ON c.id = p.id LEFT JOIN bo ON bo.id = p.id""",
-)
-def density_clusters(spark, d):
-    _checkpoints(spark)
-    return learn.dbscan(low_vectors(spark, d), 0.12, 5)
+    return learn.silhouette(vectors(spark, d), "x", "label").select("id", "label", *r6("silhouette"))
 
 
-_NEAR = "list_distance(a.x, b.x) <= {eps}::DOUBLE"
 _CLUSTERS = """{n}e AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM p a, p b WHERE list_distance(a.x, b.x) <= {eps}::DOUBLE), {n}core AS (SELECT a AS id FROM {n}e GROUP BY a HAVING count(*) >= 5),
 {n}l AS (SELECT a, b FROM {n}e WHERE a IN (SELECT id FROM {n}core) AND b IN (SELECT id FROM {n}core)), {n}r(id, far) AS (SELECT id, id FROM {n}core UNION SELECT r.id, l.b FROM {n}r r JOIN {n}l l ON l.a = r.far),
 {n}c AS MATERIALIZED (SELECT id, min(far) AS cluster FROM {n}r GROUP BY id), {n}bo AS (SELECT e.a AS id, min(cluster) AS cluster FROM {n}e e JOIN {n}c c ON c.id = e.b GROUP BY e.a),
 {n}lab AS MATERIALIZED (SELECT p.id, p.x, coalesce(c.cluster, bo.cluster, -1)::BIGINT AS cluster FROM p LEFT JOIN {n}c c ON c.id = p.id LEFT JOIN {n}bo bo ON bo.id = p.id)"""
+@register("density_clusters", f"WITH RECURSIVE {_X}, {_CLUSTERS.format(n='', eps=1.18)} SELECT id, cluster FROM lab")
+def density_clusters(spark, d):
+    _checkpoints(spark)
+    return learn.dbscan(vectors(spark, d), 1.18, 5)
+
+
 _HALF = "p AS MATERIALIZED (SELECT vec_id AS id, embedding::DOUBLE[] AS x FROM embeddings WHERE label < 5), rest AS (SELECT vec_id AS id, embedding::DOUBLE[] AS x FROM embeddings WHERE label >= 3)"
 
 
 @register(
     "density_predicted",
-    f"""WITH RECURSIVE {_HALF}, {_CLUSTERS.format(n="", eps=0.9)}, m AS (SELECT a.id, arg_min(c.cluster, (list_distance(a.x, b.x), b.id)) AS cluster FROM rest a JOIN p b ON list_distance(a.x, b.x) <= 0.9::DOUBLE JOIN c ON c.id = b.id GROUP BY a.id)
+    f"""WITH RECURSIVE {_HALF}, {_CLUSTERS.format(n="", eps=1.2)}, m AS (SELECT a.id, arg_min(c.cluster, (list_distance(a.x, b.x), b.id)) AS cluster FROM rest a JOIN p b ON list_distance(a.x, b.x) <= 1.2::DOUBLE JOIN c ON c.id = b.id GROUP BY a.id)
 SELECT rest.id, coalesce(m.cluster, -1)::BIGINT AS cluster FROM rest LEFT JOIN m USING (id)""",
 )
 def density_predicted(spark, d):
@@ -142,19 +129,19 @@ def density_predicted(spark, d):
     _checkpoints(spark)
     v = vectors(spark, d)
     known, new = v.where("label < 5"), v.where("label >= 3")
-    cores = learn.core_points(known, 0.9, 5).join(learn.dbscan(known, 0.9, 5), "id")
-    return learn.predict_clusters(new, cores, 0.9)
+    cores = learn.core_points(known, 1.2, 5).join(learn.dbscan(known, 1.2, 5), "id")
+    return learn.predict_clusters(new, cores, 1.2)
 
 
 @register(
     "density_scores",
-    f"WITH RECURSIVE {_X}, " + ", ".join(_CLUSTERS.format(n=f"t{k}", eps=e) for k, e in enumerate((0.7, 0.9, 1.1))) + " "
-    + " UNION ALL ".join(f"SELECT {e}::DOUBLE AS eps, count(DISTINCT CASE WHEN cluster >= 0 THEN cluster END)::INTEGER AS clusters, round(avg((cluster < 0)::INTEGER), 6) AS noise_ratio FROM t{k}lab" for k, e in enumerate((0.7, 0.9, 1.1))),
+    f"WITH RECURSIVE {_X}, " + ", ".join(_CLUSTERS.format(n=f"t{k}", eps=e) for k, e in enumerate((1.1, 1.18, 1.25))) + " "
+    + " UNION ALL ".join(f"SELECT {e}::DOUBLE AS eps, count(DISTINCT CASE WHEN cluster >= 0 THEN cluster END)::INTEGER AS clusters, round(avg((cluster < 0)::INTEGER), 6) AS noise_ratio FROM t{k}lab" for k, e in enumerate((1.1, 1.18, 1.25))),
 )
 def density_scores(spark, d):
     """Number of clusters and share of noise over a range of eps."""
     _checkpoints(spark)
-    return learn.density_scores(vectors(spark, d), [0.7, 0.9, 1.1], 5).select("eps", "clusters", *r6("noise_ratio"))
+    return learn.density_scores(vectors(spark, d), [1.1, 1.18, 1.25], 5).select("eps", "clusters", *r6("noise_ratio"))
 
 
 @register(
