@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from oscilla import model
+from oscilla.functions.windows import over_neighbours
 from oscilla.operators import extract, spikes
 from oscilla.queries import DAY, HOUR, SIG, SPIKES, STIM, q6, r6, register, signal
 
@@ -17,13 +18,17 @@ def train(spark, d):
     return model.event_spikes(spark, d)
 
 
-def onsets(spark, d, every: int = 25):
-    """Every 25th sample of a channel as an event."""
-    s = signal(spark, d).where(F.col("i") % every == 0)
+def onsets(spark, d):
+    """Local maxima beyond mean and one standard deviation of their channel: crowded, unevenly spaced events."""
+    x = signal(spark, d)
+    near = over_neighbours(x, 1, 1, lambda r, w: r.withColumn("_a", F.lag("value").over(w)).withColumn("_b", F.lead("value").over(w)))
+    limit = x.groupBy("channel").agg((F.avg("value") + F.stddev_pop("value")).alias("_t"))
+    s = near.join(limit, "channel").where("value > _a AND value > _b AND value > _t")
     return s.select(F.col("i").alias("event_id"), "channel", "i")
 
 
-_ON = "ev AS (SELECT i AS event_id, channel, i FROM sig WHERE i % 25 = 0)"
+_PEAKS = """pk AS (SELECT channel, i, value > lag(value) OVER w AND value > lead(value) OVER w AND value > avg(value) OVER c + stddev_pop(value) OVER c AS top FROM sig WINDOW w AS (PARTITION BY channel ORDER BY i), c AS (PARTITION BY channel))"""
+_ON = f"{_PEAKS}, ev AS (SELECT i AS event_id, channel, i FROM pk WHERE top)"
 _N = "n AS (SELECT channel, max(i) + 1 AS n FROM sig GROUP BY channel)"
 _EP = f"""{SIG}, {_ON}, {_N},
 ep AS (SELECT ev.event_id, ev.channel, s.i - ev.i AS offset_, s.value FROM ev JOIN n USING (channel) JOIN sig s ON s.channel = ev.channel AND s.i BETWEEN ev.i - 5 AND ev.i + 10 WHERE ev.i >= 5 AND ev.i + 10 < n)"""
@@ -43,7 +48,7 @@ def epochs_without_outliers(spark, d):
     return extract.epochs(signal(spark, d), onsets(spark, d), 5, 10, reject=2.5)
 
 
-_SPAN = "sp AS (SELECT i AS event_id, channel, i AS onset_idx, i + 3 + i % 17 AS offset_idx FROM sig WHERE i % 25 = 0)"
+_SPAN = f"{_PEAKS}, sp AS (SELECT i AS event_id, channel, i AS onset_idx, i + 3 + i % 17 AS offset_idx FROM pk WHERE top)"
 
 
 def spans(spark, d):

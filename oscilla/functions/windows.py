@@ -35,8 +35,24 @@ def with_length(df: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     return df.join(df.groupBy(*keys).agg((F.max("i") + 1).alias("n")), list(keys))
 
 
+def running(df: DataFrame, at: str, value: Column, name: str, keys: tuple[str, ...] = KEYS, backwards: bool = False, strict: bool = True, block: int = BLOCK) -> DataFrame:
+    """Adds ``name``: of the rows before this one by ``at`` (after it, if ``backwards``), the greatest (least) ``value``; the row itself counts unless ``strict``.
+
+    Rows are ordered within (keys, block); a row for each block, a far smaller table, carries over
+    what the blocks before hold.  So no task orders a whole channel.
+    """
+    rows = df.withColumn("_blk", F.floor(F.col(at) / block)).withColumn("_v", value)
+    best, pick = (F.min, F.least) if backwards else (F.max, F.greatest)
+    order = (lambda c: F.col(c).desc()) if backwards else (lambda c: F.col(c).asc())
+    last = -1 if strict else Window.currentRow
+    near = best("_v").over(Window.partitionBy(*keys, "_blk").orderBy(order(at)).rowsBetween(Window.unboundedPreceding, last))
+    blocks = rows.groupBy(*keys, "_blk").agg(best("_v").alias("_b"))
+    far = blocks.withColumn("_far", best("_b").over(Window.partitionBy(*keys).orderBy(order("_blk")).rowsBetween(Window.unboundedPreceding, -1))).drop("_b")
+    return rows.withColumn("_near", near).join(far, [*keys, "_blk"], "left").withColumn(name, pick("_near", "_far")).drop("_blk", "_v", "_near", "_far")
+
+
 def runs(df: DataFrame, mask: Column, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """Maximal runs of rows whose mask is true: keys, first, last.  Only border rows reach the pairing window."""
+    """Maximal runs of rows whose mask is true: keys, first, last.  Only border rows are paired, block by block."""
     flagged = over_neighbours(
         df.select(*keys, "i", F.coalesce(mask, F.lit(False)).alias("_on")),
         1,
@@ -45,11 +61,35 @@ def runs(df: DataFrame, mask: Column, keys: tuple[str, ...] = KEYS) -> DataFrame
         keys,
     )
     edge = flagged.where(F.col("_on") & (~F.col("_was") | ~F.col("_next")))
-    w = Window.partitionBy(*keys).orderBy("i")
-    paired = edge.withColumn("last", F.when(F.col("_next"), F.lead("i").over(w)).otherwise(F.col("i")))
+    nxt = running(edge, "i", F.col("i"), "_after", keys, backwards=True)
+    paired = nxt.withColumn("last", F.when(F.col("_next"), F.col("_after")).otherwise(F.col("i")))
     return paired.where(~F.col("_was")).select(*keys, F.col("i").alias("first"), "last")
 
 
+def stretches(events: DataFrame, distance: int, keys: tuple[str, ...] = KEYS, at: str = "i") -> DataFrame:
+    """Adds ``_run``, the first event of the crowded stretch an event belongs to: gaps of ``distance`` and more part them."""
+    rows = running(events, at, F.col(at), "_before", keys)
+    rows = rows.withColumn("_start", F.when(F.col("_before").isNull() | (F.col(at) - F.col("_before") >= distance), F.col(at)))
+    return running(rows, at, F.col("_start"), "_run", keys, strict=False).drop("_before", "_start")
+
+
+def _folded(events: DataFrame, distance: int, keys: tuple[str, ...], at: str, step: Callable[[Column, Column], Column]) -> DataFrame:
+    others = [c for c in events.columns if c not in keys]
+    run = stretches(events, distance, keys, at).groupBy(*keys, "_run").agg(F.array_sort(F.collect_list(F.struct(at, *(c for c in others if c != at)))).alias("_all"))
+    kept = F.aggregate("_all", F.slice("_all", 1, 0), step)
+    return run.select(*keys, F.explode(kept).alias("_x")).select(*keys, *(F.col(f"_x.{c}").alias(c) for c in others)).select(events.columns)
+
+
+def highest_within(events: DataFrame, distance: int, value: str, keys: tuple[str, ...] = KEYS, at: str = "i") -> DataFrame:
+    """Events thinned in order: one within ``distance`` of the kept one before replaces it if its value is greater, and is dropped otherwise."""
+    if distance <= 1:
+        return events
+    last = lambda acc: F.element_at(acc, -1)
+    far = lambda acc, x: (F.size(acc) == 0) | (x[at] - last(acc)[at] >= distance)
+    swap = lambda acc, x: F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(x))
+    return _folded(events, distance, keys, at, lambda acc, x: F.when(far(acc, x), F.concat(acc, F.array(x))).when(x[value] > last(acc)[value], swap(acc, x)).otherwise(acc))
+
+
 def refractory(events: DataFrame, distance: int, keys: tuple[str, ...] = KEYS, at: str = "i") -> DataFrame:
     """Greedy scan: an event stays if it lies ``distance`` or more after the last that stayed.
 
@@ -58,17 +98,10 @@ def refractory(events: DataFrame, distance: int, keys: tuple[str, ...] = KEYS, a
     """
     if distance <= 1:
         return events
-    w = Window.partitionBy(*keys).orderBy(at)
-    gap = F.col(at) - F.lag(at).over(w)
-    grouped = events.withColumn("_new", F.when(gap < distance, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    others = [c for c in events.columns if c not in keys]
-    run = grouped.groupBy(*keys, "_run").agg(F.array_sort(F.collect_list(F.struct(at, *(c for c in others if c != at)))).alias("_all"))
-    kept = F.aggregate(
-        "_all",
-        F.slice("_all", 1, 0),
+    return _folded(
+        events, distance, keys, at,
         lambda acc, x: F.when((F.size(acc) == 0) | (x[at] - F.element_at(acc, -1)[at] >= distance), F.concat(acc, F.array(x))).otherwise(acc),
-    )
-    return run.select(*keys, F.explode(kept).alias("_x")).select(*keys, *(F.col(f"_x.{c}").alias(c) for c in others)).select(events.columns)
+    )
 
 
 def band_join(left: DataFrame, right: DataFrame, lo: int, hi: int, on: tuple[str, ...] = (), left_at: str = "l_at", right_at: str = "r_at") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from oscilla.functions.windows import KEYS, over_neighbours, refractory, runs
+from oscilla.functions.windows import KEYS, over_neighbours, refractory, running, runs
 
 
 def thresholds(df: DataFrame, value: float, mode: str = "mad", keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -71,9 +71,8 @@ def contractions(df: DataFrame, method: str = "std", value: float = 3.0, min_sam
     marks = F.explode(F.array(F.struct(F.lit(1).alias("_is_on"), F.col("first").alias("i")), F.struct(F.lit(0).alias("_is_on"), F.least(F.col("last") + 1, F.col("n") - 1).alias("i"))))
     both = spans.select(*keys, marks.alias("_m")).select(*keys, "_m._is_on", "_m.i").distinct()
     both = refractory(both, refractory_samples, (*keys, "_is_on"))
-    # the first offset after each onset: one ordered pass over both
-    w = Window.partitionBy(*keys).orderBy(F.col("i"), F.col("_is_on")).rowsBetween(1, Window.unboundedFollowing)
-    nxt = both.withColumn("offset_idx", F.min(F.when(F.col("_is_on") == 0, F.col("i"))).over(w)).where("_is_on = 1 AND offset_idx > i").drop("_is_on")
+    # the first offset after each onset
+    nxt = running(both, "i", F.when(F.col("_is_on") == 0, F.col("i")), "offset_idx", keys, backwards=True).where("_is_on = 1 AND offset_idx > i").drop("_is_on")
     events = nxt.withColumnRenamed("i", "onset_idx").where(F.col("offset_idx") - F.col("onset_idx") >= min_samples)
     return peak_in(df, events, keys).withColumn("duration", (F.col("offset_idx") - F.col("onset_idx")) / fs)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from oscilla.functions.windows import KEYS, explode_windows, with_length
+from oscilla.functions.windows import KEYS, explode_windows
 
 EVENT = ("event_id",)
 
@@ -26,7 +26,7 @@ def epochs(df: DataFrame, events: DataFrame, pre: int = 10, post: int = 40, keys
     Each event lists its samples and meets them in an equi-join.  ``reject`` drops epochs in which
     a sample lies more than so many standard deviations from the epoch's mean.
     """
-    n = with_length(df, keys).select(*keys, "n").distinct()
+    n = df.groupBy(*keys).agg((F.max("i") + 1).alias("n"))
     inside = events.join(n, list(keys)).where((F.col("i") >= pre) & (F.col("i") + post < F.col("n"))).drop("n")
     out = explode_windows(inside.withColumnRenamed("i", "at"), -pre, post, "at").join(df, [*keys, "i"]).select(*EVENT, *keys, "offset", "value")
     if reject is not None:
@@ -38,7 +38,7 @@ def epochs(df: DataFrame, events: DataFrame, pre: int = 10, post: int = 40, keys
 
 def variable_epochs(df: DataFrame, events: DataFrame, shortest: int = 1, longest: int | None = None, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Rows of [onset_idx, offset_idx), the offset cut at the channel's end; events of other lengths are left out."""
-    n = with_length(df, keys).select(*keys, "n").distinct()
+    n = df.groupBy(*keys).agg((F.max("i") + 1).alias("n"))
     cut = events.join(n, list(keys)).withColumn("stop", F.least("offset_idx", "n"))
     size = F.col("stop") - F.col("onset_idx")
     cut = cut.where((size >= shortest) & (size <= longest if longest is not None else F.lit(True)))
@@ -137,6 +137,7 @@ def cosine_similarity(vectors: DataFrame, key: str = "label", value: str = "x")
     a = vectors.select(F.col(key).alias("a"), F.col(value).alias("xa"))
     b = vectors.select(F.col(key).alias("b"), F.col(value).alias("xb"))
     dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda s, t: s * t), F.lit(0.0), lambda s, t: s + t)
-    pairs = a.crossJoin(F.broadcast(b))
+    size = vectors.agg(F.sum(F.size(value) * 8 + 32)).first()[0] or 0
+    pairs = a.crossJoin(F.broadcast(b) if size <= 32 << 20 else b)  # a small set by its meaning; beyond that the planner decides
     norm = F.sqrt(dot("xa", "xa")) * F.sqrt(dot("xb", "xb"))
     return pairs.select("a", "b", F.when(norm == 0, 0.0).otherwise(dot("xa", "xb") / norm).alias("similarity"))

@@ -99,59 +99,57 @@ def template_correlation(df: DataFrame, template: list[float], normalized: bool
 
 def template_matches(df: DataFrame, template: list[float], threshold: float = 0.6, distance: int = 1) -> DataFrame:
     """Local maxima of the correlation beyond the threshold; within the distance the higher one replaces the lower."""
-    from oscilla.functions.windows import over_neighbours
+    from oscilla.functions.windows import highest_within, over_neighbours
 
     c = template_correlation(df, template)
     near = over_neighbours(c, 1, 1, lambda d, w: d.withColumn("_a", F.lag("value").over(w)).withColumn("_b", F.lead("value").over(w)))
     found = near.where((F.col("value") > threshold) & (F.col("value") >= F.coalesce("_a", F.lit(-2.0))) & (F.col("value") > F.coalesce("_b", F.lit(-2.0))))
+    return highest_within(found.select("channel", "i", "value"), distance, "value").select("channel", F.col("i").alias("index"), F.col("value").alias("correlation"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
-        for ch, i, v in pdf.sort_values("i")[["channel", "i", "value"]].itertuples(index=False):
-            if out and i - out[-1][1] < distance:
-                if v > out[-1][2]:
-                    out[-1] = (ch, i, v)
-            else:
-                out.append((ch, i, v))
-        return pd.DataFrame(out, columns=["channel", "index", "correlation"])
-
-    return found.select("channel", "i", "value").groupBy("channel").applyInPandas(run, f"channel {_kind(df)}, index long, correlation double")
 
+def changepoint_probability(x: np.ndarray, hazard: float = 0.01, variance: bool = True, longest: int | None = None) -> np.ndarray:
+    """P(run length = 0) by the forward recursion over segment starts; normal segments with fitted mean (and variance, 1e-8 at least).
 
-def changepoint_probability(x: np.ndarray, hazard: float = 0.01, variance: bool = True) -> np.ndarray:
-    """P(run length = 0) by the forward recursion over segment starts; normal segments with fitted mean (and variance, 1e-8 at least)."""
+    ``longest`` bounds the segments that are considered, so that work grows with the samples and not with their square.
+    """
     n = len(x)
+    x = x - (x.mean() if n else 0.0)
     c1, c2 = np.concatenate([[0], np.cumsum(x)]), np.concatenate([[0], np.cumsum(x * x)])
     log = np.full(n + 1, -np.inf)
     log[0] = 0.0
     out = np.zeros(n)
     for t in range(1, n + 1):
-        s = np.arange(t)
+        s = np.arange(max(0, t - longest) if longest else 0, t)
         k = t - s
         mean = (c1[t] - c1[s]) / k
         ss = np.maximum(c2[t] - c2[s] - k * mean * mean, 0)
-        var = np.maximum(ss / k, 1e-8) if variance else np.ones(t)
+        var = np.maximum(ss / k, 1e-8) if variance else np.ones(len(k))
         like = -0.5 * (k * np.log(2 * np.pi * var) + ss / var)
-        score = log[:t] + like + (k - 1) * math.log(1 - hazard) + math.log(hazard)
+        score = log[s] + like + (k - 1) * math.log(1 - hazard) + math.log(hazard)
         log[t] = np.logaddexp.reduce(score)
         out[t - 1] = math.exp(min(0.0, score[-1] - log[t]))
     return out
 
 
-def changepoints(df: DataFrame, hazard: float = 0.01, threshold: float = 0.3, distance: int = 10, variance: bool = True) -> DataFrame:
-    """Local maxima of the changepoint probability, paired in turn as onset and offset."""
+def changepoints(
+    df: DataFrame, hazard: float = 0.01, threshold: float = 0.3, distance: int = 10, variance: bool = True, fs: float = 1.0, min_samples: int = 0, longest: int | None = None
+) -> DataFrame:
+    """Local maxima of the changepoint probability, thinned by ``distance`` and paired in turn as onset and offset: onset_idx, offset_idx, probability (at the onset), duration.
+
+    Events shorter than ``min_samples`` are dropped.  The recursion runs over a whole channel.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("i")
-        p, i = changepoint_probability(pdf["value"].to_numpy(float), hazard, variance), pdf["i"].to_numpy()
+        p, i = changepoint_probability(pdf["value"].to_numpy(float), hazard, variance, longest), pdf["i"].to_numpy()
         at: list[int] = []
-        for k in range(1, len(p) - 1):
-            if p[k] > threshold and p[k] >= p[k - 1] and p[k] > p[k + 1] and (not at or k - at[-1] >= distance):
-                at.append(k)
-        pairs = [(pdf["channel"].iloc[0], int(i[a]), int(i[b]), float(p[a])) for a, b in zip(at[::2], at[1::2], strict=False)]
-        return pd.DataFrame(pairs, columns=["channel", "onset_idx", "offset_idx", "probability"])
+        for k in np.flatnonzero((p[1:-1] > threshold) & (p[1:-1] > p[:-2]) & (p[1:-1] >= p[2:])) + 1 if len(p) > 2 else ():
+            if not at or k - at[-1] >= distance:
+                at.append(int(k))
+        pairs = [(pdf["channel"].iloc[0], int(i[a]), int(i[b]), float(p[a]), (b - a) / fs) for a, b in zip(at[::2], at[1::2], strict=False) if b - a >= min_samples]
+        return pd.DataFrame(pairs, columns=["channel", "onset_idx", "offset_idx", "probability", "duration"])
 
-    return df.select("channel", "i", "value").groupBy("channel").applyInPandas(run, f"channel {_kind(df)}, onset_idx long, offset_idx long, probability double")
+    return df.select("channel", "i", "value").groupBy("channel").applyInPandas(run, f"channel {_kind(df)}, onset_idx long, offset_idx long, probability double, duration double")
 
 
 # ---- template subtraction ---------------------------------------------------------------------
@@ -214,17 +212,32 @@ def subtract_warped(x: np.ndarray, at: np.ndarray, template: np.ndarray, band: i
     return y
 
 
-def subtract_templates(df: DataFrame, events: DataFrame, template: list[float], method: str = "correlation", reach: int = 0, band: int = 10) -> DataFrame:
-    """Template subtraction per channel; a channel's events are one ordered scan."""
-    t = np.asarray(template, float)
+def subtract_templates(df: DataFrame, events: DataFrame, template: list[float], method: str = "correlation", reach: int = 0, band: int = 10, block: int = 1 << 16) -> DataFrame:
+    """Template subtraction; events whose windows may touch are one ordered scan, and only the samples they reach go to Python.
 
-    def run(key, signal: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
-        if not len(signal):
-            return pd.DataFrame({"channel": [], "i": [], "value": []})
-        signal = signal.sort_values("i")
-        x, first = signal["value"].to_numpy(float), int(signal["i"].iloc[0])
-        at = marks["at"].to_numpy() - first if len(marks) else np.zeros(0, int)
-        y = subtract(x, at, t, reach) if method == "correlation" else subtract_warped(x, at, t, band)
-        return signal[["channel", "i"]].assign(value=y)
+    Stretches of such events are dealt by the block of their first one; an event that repeats counts once.  Samples outside every window pass as they are.
+    """
+    from oscilla.functions.windows import stretches
 
-    return df.select("channel", "i", "value").groupBy("channel").cogroup(events.select(F.col("channel").alias("of"), F.col("i").alias("at")).groupBy("of")).applyInPandas(run, f"channel {_kind(df)}, i long, value double")
+    t = np.asarray(template, float)
+    half, size = len(t) // 2, len(t)
+    marks = stretches(events.select("channel", "i").distinct(), size + 2 * reach + 1)
+    reached = marks.select("channel", "_run", F.col("i").alias("at"), F.explode(F.sequence(F.col("i") - half - reach, F.col("i") - half + size - 1 + reach)).alias("i"))
+    wanted = reached.groupBy("channel", "i", "_run").agg(F.max(F.col("at") == F.col("i")).alias("mark"))
+    rows = df.select("channel", "i", "value").join(wanted, ["channel", "i"]).withColumn("_blk", F.floor(F.col("_run") / block))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, part in pdf.sort_values(["_run", "i"]).groupby("_run"):
+            i, x = part["i"].to_numpy(), part["value"].to_numpy(float)
+            at = np.flatnonzero(part["mark"].to_numpy())
+            # samples before a recording's begin or after its end are missing: places by sample number
+            first = int(i[0])
+            whole = np.zeros(int(i[-1]) - first + 1)
+            whole[i - first] = x
+            y = subtract(whole, i[at] - first, t, reach) if method == "correlation" else subtract_warped(whole, i[at] - first, t, band)
+            out.append(part[["channel", "i"]].assign(new=y[i - first]))
+        return pd.concat(out)
+
+    new = rows.groupBy("channel", "_blk").applyInPandas(run, f"channel {_kind(df)}, i long, new double")
+    return df.select("channel", "i", "value").join(new, ["channel", "i"], "left").select("channel", "i", F.coalesce("new", "value").alias("value"))

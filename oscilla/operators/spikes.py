@@ -6,6 +6,7 @@ Times are whole numbers (samples or microseconds), so every bin decision is exac
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -79,13 +80,18 @@ def density(spikes: DataFrame, width: int, n: int, sigma_bins: float, second: in
 def correlograms(spikes: DataFrame, width: int, window: int, second: int, normalization: str | None = "rate", autos: bool = True, crosses: bool = True) -> DataFrame:
     """unit1, unit2, bin, count, value over lags of at most window / 2: all pairs of spikes, self pairs included in autos."""
     half = window // 2
-    a = spikes.select(F.col("unit_id").alias("unit1"), F.col("sample").alias("a_at"))
-    b = spikes.select(F.col("unit_id").alias("unit2"), F.col("sample").alias("b_at"))
-    pairs = band_join(a, b, -half, half, left_at="a_at", right_at="b_at")
-    keep: Column = F.lit(False)
-    keep = keep | (F.col("unit1") == F.col("unit2")) if autos else keep
-    keep = keep | (F.col("unit1") < F.col("unit2")) if crosses else keep
-    binned = pairs.where(keep).groupBy("unit1", "unit2", F.floor((F.col("b_at") - F.col("a_at") + half) / width).cast("int").alias("bin")).agg(F.count("*").alias("count"))
+    times = spikes.groupBy("unit_id", "sample").agg(F.count("*").alias("n"))  # equal times once, with their number
+    a = times.select(F.col("unit_id").alias("unit1"), F.col("sample").alias("a_at"), F.col("n").alias("n1"))
+    b = times.select(F.col("unit_id").alias("unit2"), F.col("sample").alias("b_at"), F.col("n").alias("n2"))
+    parts = []
+    if autos:  # a unit meets itself alone
+        own = band_join(a.withColumn("_u", F.col("unit1")), b.withColumn("_u", F.col("unit2")), -half, half, ("_u",), "a_at", "b_at")
+        parts.append(own.select("unit1", "unit2", "a_at", "b_at", "n1", "n2"))
+    if crosses:
+        parts.append(band_join(a, b, -half, half, left_at="a_at", right_at="b_at").where("unit1 < unit2").select("unit1", "unit2", "a_at", "b_at", "n1", "n2"))
+    pairs = reduce(DataFrame.unionByName, parts)
+    lag = F.floor((F.col("b_at") - F.col("a_at") + half) / width).cast("int").alias("bin")
+    binned = pairs.groupBy("unit1", "unit2", lag).agg(F.sum(F.col("n1") * F.col("n2")).alias("count"))
     if normalization == "rate":
         n1 = spikes.groupBy(F.col("unit_id").alias("unit1")).agg(F.count("*").alias("_n"))
         return binned.join(n1, "unit1").withColumn("value", F.col("count") / (F.col("_n") * (width / second))).drop("_n")
