@@ -48,17 +48,32 @@ def whitened_signal(spark, d):
     return learn.whiten(model.item_signal(spark, d), COLS).select("i", *r6(*COLS))
 
 
-@register("principal_variance", "WITH e AS (SELECT unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS k FROM embeddings), v AS (SELECT k, var_samp(x) AS v FROM e GROUP BY k) SELECT count(*)::BIGINT AS n, round(sum(v), 6) AS total_variance FROM v")
+_SCALED = "zs AS MATERIALIZED (SELECT i, " + ", ".join(f"(w.{c} - m_{c}) / s_{c} AS {c}" for c in COLS) + " FROM wide w, (SELECT " + ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in COLS) + " FROM wide))"
+
+
+def scaled_items(spark, d):
+    """The item signal with standardised columns."""
+    w = model.item_signal(spark, d)
+    st = w.agg(*(F.avg(c).alias(f"m_{c}") for c in COLS), *(F.stddev_pop(c).alias(f"s_{c}") for c in COLS))
+    return w.crossJoin(F.broadcast(st)).select("i", F.array(*((F.col(c) - F.col(f"m_{c}")) / F.col(f"s_{c}") for c in COLS)).alias("x"))
+
+
+@register(
+    "principal_variance",
+    f"WITH {WIDE}, {_SCALED}, {parts.principal(COLS, 'zs')} SELECT k::INTEGER AS k, round(variance, 6) AS variance, round(variance / sum(variance) OVER (), 6) AS ratio FROM pcs",
+)
 def principal_variance(spark, d):
-    """The variances of all components add up to the total variance."""
-    pcs = learn.components(vectors(spark, d), 64)
-    return spark.createDataFrame([(len(pcs.variance), float(round(pcs.variance.sum(), 6)))], "n long, total_variance double")
+    pcs = learn.components(scaled_items(spark, d), 4)
+    return spark.createDataFrame([(k, round(float(v), 6), round(float(r), 6)) for k, (v, r) in enumerate(zip(pcs.variance, pcs.ratio, strict=True))], "k int, variance double, ratio double")
 
 
-@register("principal_components")
+@register(
+    "principal_components",
+    f"WITH {WIDE}, {_SCALED}, {parts.principal(COLS, 'zs')} SELECT i, " + ", ".join(f"round(max(CASE WHEN k = {k} THEN list_dot_product([{', '.join(COLS)}], u) END), 6) + 0.0 AS pc{k}" for k in range(4)) + " FROM zs, pcs GROUP BY i",
+)
 def principal_components(spark, d):
-    v = vectors(spark, d)
-    return learn.components(v, 5).transform(v).select("id", *(F.round(F.col("components")[k], 6).alias(f"pc{k}") for k in range(5)))
+    v = scaled_items(spark, d)
+    return learn.components(v, 4).transform(v).select("i", *((F.round(F.col("components")[k], 6) + F.lit(0.0)).alias(f"pc{k}") for k in range(4)))
 
 
 _START = "SELECT row_number() OVER (ORDER BY id) - 1 AS c, x FROM (SELECT id, x FROM p ORDER BY id LIMIT {k})"
@@ -91,9 +106,10 @@ def mixture_choice(spark, d):
     return spark.createDataFrame([(k, round(float(v), 3)) for k, v in scores.items()], "k int, bic double")
 
 
-@register("sorted_waveforms")
+@register("sorted_waveforms", f"WITH {_X}, {parts.lloyd('p', _START.format(k=10), 40)} SELECT id, cluster::INTEGER AS cluster FROM lab")
 def sorted_waveforms(spark, d):
-    return learn.sort_waveforms(vectors(spark, d), 10, 5)[2].select("id", "cluster")
+    """Sorting in all principal components: a rotation, so the clusters are those of the vectors themselves."""
+    return learn.sort_waveforms(vectors(spark, d), 10, 64, start="first")[2].select("id", "cluster")
 
 
 @register(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from oscilla.functions.quantiles import quantiles
 from oscilla.functions.windows import KEYS, over_neighbours, refractory, running, runs
 
 
@@ -18,8 +19,8 @@ def thresholds(df: DataFrame, value: float, mode: str = "mad", keys: tuple[str,
     elif mode == "rms":
         got = df.groupBy(*keys).agg((-value * F.sqrt(F.avg(x * x))).alias("lower"), (value * F.sqrt(F.avg(x * x))).alias("upper"))
     elif mode == "mad":
-        mid = df.groupBy(*keys).agg(F.percentile(x, F.lit(0.5)).alias("_mid"))
-        dev = df.join(mid, list(keys)).groupBy(*keys, "_mid").agg((F.percentile(F.abs(x - F.col("_mid")), F.lit(0.5)) / 0.67449 * value).alias("_d"))
+        mid = quantiles(df, x, [0.5], keys).withColumnRenamed("q0", "_mid")
+        dev = quantiles(df.join(mid, list(keys)), F.abs(x - F.col("_mid")), [0.5], keys).join(mid, list(keys)).withColumn("_d", F.col("q0") / 0.67449 * value)
         got = dev.select(*keys, (F.col("_mid") - F.col("_d")).alias("lower"), (F.col("_mid") + F.col("_d")).alias("upper"))
     else:
         raise ValueError(f"unknown threshold mode {mode!r}")

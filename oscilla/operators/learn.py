@@ -95,7 +95,7 @@ class Components:
     """Principal components: mean, axes (rows), variances; signs by the largest loading."""
 
     def __init__(self, mean: np.ndarray, cov: np.ndarray, n: int, k: int, whiten: bool = False):
-        s, u = np.linalg.eigh(cov * n / max(1, n - 1))
+        s, u = eigen(cov * n / max(1, n - 1))
         order = np.argsort(s)[::-1][:k]
         axes = u[:, order].T
         axes *= np.sign(axes[np.arange(len(axes)), np.abs(axes).argmax(axis=1)])[:, None]
@@ -272,10 +272,11 @@ def bayes_information(model, n: int, k: int, d: int) -> float:
     return -2 * model.summary.logLikelihood + (k - 1 + k * d + k * d * (d + 1) // 2) * float(np.log(n))
 
 
-def sort_waveforms(df: DataFrame, k: int = 3, n_components: int = 3, value: str = "x", seed: int = 1):
-    """Components, then clusters: labels of waveforms."""
+def sort_waveforms(df: DataFrame, k: int = 3, n_components: int = 3, value: str = "x", seed: int = 1, start: str = "random", key: str = "id"):
+    """Components, then clusters: labels of waveforms.  ``start="first"`` begins with the rows of the k least keys."""
     pcs = components(df, n_components, value)
-    model, out = kmeans(pcs.transform(df, value), k, "components", seed)
+    rows = pcs.transform(df, value)
+    model, out = kmeans(rows, k, "components", seed) if start == "random" else lloyd(rows, first_rows(rows, k, "components", key), "components")
     return pcs, model, out
 
 

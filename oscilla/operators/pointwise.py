@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from oscilla.functions.quantiles import quantiles
+
 KEYS = ("channel",)
 
 
@@ -31,12 +33,12 @@ def statistics(df: DataFrame, method: str, keys: tuple[str, ...] = ()) -> DataFr
     if method == "minmax":
         return group(df).agg(F.min(x).alias("centre"), one(F.max(x) - F.min(x)).alias("scale"))
     if method == "robust":
-        q = group(df).agg(F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-        return q.select(*keys, F.col("q")[1].alias("centre"), one(F.col("q")[2] - F.col("q")[0]).alias("scale"))
+        q = quantiles(df, x, [0.25, 0.5, 0.75], keys)
+        return q.select(*keys, F.col("q1").alias("centre"), one(F.col("q2") - F.col("q0")).alias("scale"))
     if method == "mad":
-        mid = group(df).agg(F.percentile(x, F.lit(0.5)).alias("centre"))
-        dev = _joined(df, mid, keys)
-        return (dev.groupBy(*keys, "centre") if keys else dev.groupBy("centre")).agg(one(F.percentile(F.abs(x - F.col("centre")), F.lit(0.5)) * 1.4826).alias("scale"))
+        mid = quantiles(df, x, [0.5], keys).withColumnRenamed("q0", "centre")
+        dev = quantiles(_joined(df, mid, keys), F.abs(x - F.col("centre")), [0.5], keys)
+        return _joined(mid, dev, keys).select(*keys, "centre", one(F.col("q0") * 1.4826).alias("scale"))
     raise ValueError(f"unknown normalisation {method!r}")
 
 
@@ -98,5 +100,5 @@ def noise_level(df: DataFrame, method: str = "mad", keys: tuple[str, ...] = KEYS
     x = F.col("value")
     if method == "std":
         return df.groupBy(*keys).agg(F.stddev_pop(x).alias("noise"))
-    mid = df.groupBy(*keys).agg(F.percentile(x, F.lit(0.5)).alias("_mid"))
-    return df.join(mid, list(keys)).groupBy(*keys).agg((F.percentile(F.abs(x - F.col("_mid")), F.lit(0.5)) / 0.67449).alias("noise"))
+    mid = quantiles(df, x, [0.5], keys).withColumnRenamed("q0", "_mid")
+    return quantiles(df.join(mid, list(keys)), F.abs(x - F.col("_mid")), [0.5], keys).select(*keys, (F.col("q0") / 0.67449).alias("noise"))

@@ -68,7 +68,8 @@ def jitter_corrected(spikes: DataFrame, width: int, window: int, second: int, ji
     """
     plain = trains.correlograms(spikes, width, window, second, None, autos=False)
     each = spikes.select("unit_id", "sample").withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
-    moved = each.withColumn("at", F.col("sample") + F.pmod(F.xxhash64("unit_id", "sample", "run", F.lit(seed)), F.lit(2 * jitter + 1)) - jitter)
+    place = F.conv(F.substring(F.md5(F.concat_ws(":", "unit_id", "sample", "run", F.lit(seed)).cast("binary")), 1, 12), 16, 10).cast("long")
+    moved = each.withColumn("at", F.col("sample") + place % (2 * jitter + 1) - jitter)
     half = window // 2
     from oscilla.functions.windows import band_join
 
@@ -126,6 +127,26 @@ def align(template: np.ndarray, reference: np.ndarray, reach: int = 5) -> tuple[
     return best[1], at
 
 
+def aligned_templates(templates: DataFrame, reference, reach: int = 5, key: str = "unit_id", channel: str = "channel") -> DataFrame:
+    """Every template (key, channel, offset, value) moved by the shift of greatest dot product with the template of ``reference``: key, shift, channel, offset, value.
+
+    All channels of a template move together; samples that the moved window lacks are zero; on ties the least shift.
+    """
+    ref = templates.where(F.col(key) == F.lit(reference)).select(channel, F.col("offset").alias("_at"), F.col("value").alias("_r"))
+    moved = templates.withColumn("shift", F.explode(F.sequence(F.lit(-reach), F.lit(reach)))).withColumn("_at", F.col("offset") + F.col("shift"))
+    dot = moved.join(ref, [channel, "_at"]).groupBy(key, "shift").agg(F.sum(F.col("value") * F.col("_r")).alias("_d"))
+    best = dot.groupBy(key).agg(F.max(F.struct("_d", (-F.col("shift")).alias("_s"))).alias("_b")).select(key, (-F.col("_b._s")).alias("shift"))
+    place = templates.join(best, key).select(key, "shift", channel, F.col("offset").alias("_from"), "value")
+    frame = place.select(key, "shift", channel, F.col("_from").alias("offset"))
+    return frame.join(place.select(key, channel, (F.col("_from") + F.col("shift")).alias("offset"), "value"), [key, channel, "offset"], "left").select(key, "shift", channel, "offset", F.coalesce("value", F.lit(0.0)).alias("value"))
+
+
+def cluster_templates(rows: DataFrame, cluster: str = "cluster", value: str = "x") -> DataFrame:
+    """Mean waveform of each cluster: cluster, offset, value."""
+    each = rows.select(cluster, F.posexplode(value).alias("offset", "_v"))
+    return each.groupBy(cluster, "offset").agg(F.avg("_v").alias("value"))
+
+
 def edge_change(frames: DataFrame, value: str, share: float = 0.1, by: tuple[str, ...] = ("channel",), at: str = "frame") -> DataFrame:
     """Mean of the first and the last tenth of the frames (one at least), slope, and the relative fall in percent."""
     from pyspark.sql import Window

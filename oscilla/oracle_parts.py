@@ -62,12 +62,12 @@ cl AS (SELECT channel, frame, m, greatest(v, max(v) OVER (PARTITION BY channel,
 cep AS (SELECT channel, frame, k, sum(v * cos(pi() / {n_filters} * (m + 0.5) * k)) * sqrt(2.0 / {n_filters}) / CASE WHEN k = 0 THEN sqrt(2.0) ELSE 1 END AS value FROM cl, range({n_out}) r(k) GROUP BY channel, frame, k)"""
 
 
-def inverse_root(columns: list[str], source: str, eps: float = 1e-16, sweeps: int = 8) -> str:
-    """Table ``root`` (w_ij): U diag(1 / sqrt(S + eps)) U' of the population covariance of ``columns``, by cyclic rotations."""
+def rotations(columns: list[str], source: str, sweeps: int = 8, moment: str = "covar_pop") -> tuple[str, str]:
+    """Tables up to the last one, whose name comes second: a diagonal (a_kk) and vectors (u_ik) of the covariance of ``columns``, by cyclic rotations."""
     n = len(columns)
     a = lambda i, j: f"a{min(i, j)}{max(i, j)}"
     names = [a(i, j) for i in range(n) for j in range(i, n)] + [f"u{i}{j}" for i in range(n) for j in range(n)]
-    first = [f"covar_pop({columns[i]}, {columns[j]}) AS {a(i, j)}" for i in range(n) for j in range(i, n)] + [f"{float(i == j)}::DOUBLE AS u{i}{j}" for i in range(n) for j in range(n)]
+    first = [f"{moment}({columns[i]}, {columns[j]}) AS {a(i, j)}" for i in range(n) for j in range(i, n)] + [f"{float(i == j)}::DOUBLE AS u{i}{j}" for i in range(n) for j in range(n)]
     means = [f"avg({c}) AS mean_{k}" for k, c in enumerate(columns)]
     out, last, k = f"mean_ AS (SELECT {', '.join(means)} FROM {source}),\njac0 AS MATERIALIZED (SELECT {', '.join(first)} FROM {source})", "jac0", 0
     for _ in range(sweeps):
@@ -86,10 +86,26 @@ def inverse_root(columns: list[str], source: str, eps: float = 1e-16, sweeps: in
                 rows = ", ".join(f"{new.get(x, x)} AS {x}" for x in names)
                 out += f",\njac{k} AS MATERIALIZED (SELECT {rows} FROM (SELECT *, t * c AS s FROM (SELECT *, 1 / sqrt(t * t + 1) AS c FROM (SELECT *, {t} AS t FROM {last}))))"
                 last = f"jac{k}"
-    w = ", ".join(" + ".join(f"u{i}{k} * u{j}{k} / sqrt(greatest({a(k, k)}, 0) + {eps!r}::DOUBLE)" for k in range(n)) + f" AS w_{i}{j}" for i in range(n) for j in range(n))
+    return out, last
+
+
+def inverse_root(columns: list[str], source: str, eps: float = 1e-16) -> str:
+    """Table ``root`` (w_ij): U diag(1 / sqrt(S + eps)) U' of the population covariance of ``columns``."""
+    n = range(len(columns))
+    out, last = rotations(columns, source)
+    w = ", ".join(" + ".join(f"u{i}{k} * u{j}{k} / sqrt(greatest(a{k}{k}, 0) + {eps!r}::DOUBLE)" for k in n) + f" AS w_{i}{j}" for i in n for j in n)
     return f"{out},\nroot AS MATERIALIZED (SELECT {w} FROM {last})"
 
 
+def principal(columns: list[str], source: str) -> str:
+    """Table ``pcs`` (k, variance, u list): components of ``columns`` by falling variance, the largest loading positive."""
+    n = range(len(columns))
+    out, last = rotations(columns, source, moment="covar_samp")
+    rows = " UNION ALL ".join(f"SELECT a{k}{k} AS variance, [{', '.join(f'u{i}{k}' for i in n)}] AS u FROM {last}" for k in n)
+    sign = "list_transform(u, lambda v: v * CASE WHEN list_max(u) >= -list_min(u) THEN 1 ELSE -1 END)"
+    return f"{out},\npcs AS MATERIALIZED (SELECT row_number() OVER (ORDER BY variance DESC) - 1 AS k, variance, {sign} AS u FROM ({rows}))"
+
+
 def whitened(columns: list[str], source: str) -> str:
     """Table ``white``: the columns of ``source`` (i, columns) times the inverse root of their covariance."""
     n = range(len(columns))

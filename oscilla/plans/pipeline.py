@@ -115,6 +115,18 @@ class ProcessingNode:
         self._note("process " + ", ".join(o.name for o in chosen))
         return (df, [o.describe() for o in chosen]) if return_info else df
 
+    def window(self, start: int, end: int, groups: list[str] | None = None) -> DataFrame:
+        """Samples start..end - 1 as the whole signal would give them, reading only these and the operators' neighbourhoods on either side.
+
+        For operators that declare how far they look; statistics over a whole signal are not of that kind.
+        """
+        chosen = self.pipeline.ops(groups)
+        reach = sum(op.halo for op in chosen)
+        df = time_slice(self.source, 1, max(0, start - reach), end + reach, "samples")
+        for op in chosen:
+            df = df.transform(op.transform)
+        return time_slice(df, 1, start, end, "samples")
+
     def describe(self) -> list[dict]:
         return [{"group": g, "position": k, **op.describe()} for g, held in self.pipeline.groups.items() for k, op in enumerate(held)]
 

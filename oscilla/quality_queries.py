@@ -6,11 +6,21 @@ from pyspark.sql import functions as F
 
 from oscilla import model
 from oscilla.event_queries import _EP, MIN, SEC, onsets, train
-from oscilla.operators import emg, extract, harmonics, quality
+from oscilla.operators import emg, extract, harmonics, kernels, quality, view
 from oscilla.queries import DAY, HOUR, SIG, SPIKES, STIM, out, r6, register, signal
 
 
-@register("amplitude_cutoff")
+@register(
+    "amplitude_cutoff",
+    f"""WITH {SPIKES}, st AS (SELECT unit_id, min(value) AS lo, max(value) AS hi, count(*) AS n FROM spikes GROUP BY unit_id HAVING count(*) / 10 >= 5),
+c AS (SELECT unit_id, CASE WHEN hi > lo THEN least(floor((value - lo) / ((hi - lo) / 10)), 9) ELSE 0 END AS b, count(*) AS c FROM spikes JOIN st USING (unit_id) GROUP BY ALL),
+h AS (SELECT st.*, b.b, coalesce(c, 0) / n / ((hi - lo) / 10) AS p FROM st CROSS JOIN range(10) b(b) LEFT JOIN c ON c.unit_id = st.unit_id AND c.b = b.b),
+k AS (SELECT d, exp(-0.5 * (d / 3.0) * (d / 3.0)) / sum(exp(-0.5 * (d / 3.0) * (d / 3.0))) OVER () AS w FROM range(-12, 13) r(d)),
+s AS (SELECT h.unit_id, t.b, sum(p * w) AS p, any_value((hi - lo) / 10) AS size FROM range(10) t(b), k, h WHERE h.b = CASE WHEN (t.b + d + 20) % 20 < 10 THEN (t.b + d + 20) % 20 ELSE 19 - (t.b + d + 20) % 20 END GROUP BY ALL),
+m AS (SELECT *, first_value(p) OVER w AS p0, arg_max(b, (p, -b)) OVER (PARTITION BY unit_id) AS top FROM s WINDOW w AS (PARTITION BY unit_id ORDER BY b)), a AS (SELECT unit_id, arg_min(b, (abs(p - p0), b)) AS stop_ FROM m WHERE b >= top GROUP BY unit_id),
+r AS (SELECT unit_id, least(sum(p * size), 0.5) AS v FROM m JOIN a USING (unit_id) WHERE b >= stop_ GROUP BY unit_id)
+SELECT u.unit_id, round(v, 6) + 0.0 AS amplitude_cutoff FROM (SELECT DISTINCT unit_id FROM spikes) u LEFT JOIN r USING (unit_id)""",
+)
 def amplitude_cutoff(spark, d):
     return quality.amplitude_cutoff(train(spark, d).withColumnRenamed("value", "amplitude"), 10, 3.0, 5.0).select("unit_id", *r6("amplitude_cutoff"))
 
@@ -26,7 +36,13 @@ def unit_snr(spark, d):
     return quality.signal_to_noise(t, noise).select("unit_id", "channel", *r6("snr"))
 
 
-@register("jitter_corrected")
+@register(
+    "jitter_corrected",
+    f"""WITH {SPIKES}, p AS (SELECT a.unit_id AS unit1, b.unit_id AS unit2, ((b.sample - a.sample + {5 * MIN}) // {MIN})::INTEGER AS bin, count(*) AS c FROM spikes a JOIN spikes b ON b.sample >= a.sample - {5 * MIN} AND b.sample < a.sample + {5 * MIN} AND a.unit_id < b.unit_id GROUP BY ALL),
+j AS MATERIALIZED (SELECT unit_id, run, sample + ('0x' || left(md5(concat_ws(':', unit_id, sample, run, 1)), 12))::BIGINT % {4 * MIN + 1} - {2 * MIN} AS at FROM spikes, range(5) r(run)),
+q AS (SELECT a.unit_id AS unit1, b.unit_id AS unit2, ((b.at - a.at + {5 * MIN}) // {MIN})::INTEGER AS bin, count(*) / 5 AS base FROM j a JOIN j b ON a.run = b.run AND b.at >= a.at - {5 * MIN} AND b.at < a.at + {5 * MIN} AND a.unit_id < b.unit_id GROUP BY ALL)
+SELECT unit1, unit2, bin, round(greatest(c - coalesce(base, 0), 0), 6) + 0.0 AS value FROM p LEFT JOIN q USING (unit1, unit2, bin)""",
+)
 def jitter_corrected(spark, d):
     return quality.jitter_corrected(train(spark, d), MIN, 10 * MIN, SEC, 2 * MIN, 5).select("unit1", "unit2", "bin", *r6("value"))
 
@@ -78,6 +94,61 @@ def segment_change(spark, d):
     return quality.edge_change(m, "mav").select("channel", *r6("first", "last", "slope", "fall_pct"))
 
 
+@register(
+    "aligned_templates",
+    f"""WITH {_EP}, t AS (SELECT channel, offset_, avg(value) AS value FROM ep GROUP BY ALL), r AS (SELECT offset_ AS r_at, value AS r FROM t WHERE channel = 'view'), sh AS (SELECT unnest(range(-5, 6)) AS shift),
+d AS (SELECT channel, shift, sum(value * r) AS d FROM t, sh, r WHERE r_at = offset_ + shift GROUP BY ALL), b AS (SELECT channel, arg_max(shift, (d, -shift)) AS shift FROM d GROUP BY channel)
+SELECT t.channel, b.shift::INTEGER AS shift, t.offset_::INTEGER AS "offset", round(coalesce(s.value, 0), 6) + 0.0 AS value FROM t JOIN b USING (channel) LEFT JOIN t s ON s.channel = t.channel AND s.offset_ = t.offset_ - b.shift""",
+)
+def aligned_templates(spark, d):
+    """Channels' templates moved onto that of one channel."""
+    t = extract.template(extract.epochs(signal(spark, d), onsets(spark, d), 5, 10)).withColumnRenamed("channel", "unit_id").withColumn("channel", F.lit(0))
+    a = quality.aligned_templates(t, "view", 5)
+    return a.select(F.col("unit_id").alias("channel"), "shift", "offset", *r6("value"))
+
+
+@register(
+    "cluster_templates",
+    "WITH e AS (SELECT label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings) SELECT label, k::INTEGER AS \"offset\", round(avg(v), 6) + 0.0 AS value FROM e GROUP BY ALL",
+)
+def cluster_templates(spark, d):
+    v = model.read(spark, d, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("x"))
+    return quality.cluster_templates(v, "label").select("label", "offset", *r6("value"))
+
+
+@register(
+    "changepoints",
+    f"""WITH RECURSIVE {SIG}, c AS (SELECT channel, i, value - avg(value) OVER (PARTITION BY channel) AS v FROM sig), l AS MATERIALIZED (SELECT channel, [0.0::DOUBLE] || list(c1 ORDER BY i) AS c1, [0.0::DOUBLE] || list(c2 ORDER BY i) AS c2, count(*) AS n
+FROM (SELECT channel, i, sum(v) OVER w AS c1, sum(v * v) OVER w AS c2 FROM c WINDOW w AS (PARTITION BY channel ORDER BY i)) GROUP BY channel),
+s(channel, t, lg, p) AS (SELECT channel, 0::BIGINT, [0.0::DOUBLE], 0.0::DOUBLE FROM l UNION ALL
+SELECT channel, t, list_append(lg, mx + ln(list_sum(list_transform(sc, lambda x: exp(x - mx))))), exp(least(0.0, sc[len(sc)] - mx - ln(list_sum(list_transform(sc, lambda x: exp(x - mx)))))) FROM (SELECT *, list_max(sc) AS mx FROM (SELECT s.channel, s.t + 1 AS t, lg,
+list_transform(range(greatest(0, s.t + 1 - 150), s.t + 1), lambda a: lg[a + 1] - 0.5 * ((s.t + 1 - a) * ln(2 * pi() * greatest(greatest(c2[s.t + 2] - c2[a + 1] - power(c1[s.t + 2] - c1[a + 1], 2) / (s.t + 1 - a), 0) / (s.t + 1 - a), 1e-8))
+ + greatest(c2[s.t + 2] - c2[a + 1] - power(c1[s.t + 2] - c1[a + 1], 2) / (s.t + 1 - a), 0) / greatest(greatest(c2[s.t + 2] - c2[a + 1] - power(c1[s.t + 2] - c1[a + 1], 2) / (s.t + 1 - a), 0) / (s.t + 1 - a), 1e-8)) + (s.t - a) * ln(0.95::DOUBLE) + ln(0.05::DOUBLE)) AS sc FROM s JOIN l USING (channel) WHERE s.t < l.n))),
+pr AS (SELECT channel, t - 1 AS i, p FROM s WHERE t > 0), nb AS (SELECT *, lag(p) OVER w AS a, lead(p) OVER w AS b FROM pr WINDOW w AS (PARTITION BY channel ORDER BY i)),
+f AS MATERIALIZED (SELECT channel, i, p, row_number() OVER (PARTITION BY channel ORDER BY i) AS k FROM nb WHERE p > 0.06 AND p > a AND p >= b),
+th(channel, k, i, p, kept) AS (SELECT channel, k, i, p, true FROM f WHERE k = 1 UNION ALL SELECT f.channel, f.k, CASE WHEN f.i - th.i >= 10 THEN f.i ELSE th.i END, f.p, f.i - th.i >= 10 FROM th JOIN f ON f.channel = th.channel AND f.k = th.k + 1),
+o AS (SELECT channel, i, p, row_number() OVER (PARTITION BY channel ORDER BY i) - 1 AS j FROM th WHERE kept)
+SELECT a.channel, a.i AS onset_idx, b.i AS offset_idx, round(a.p, 6) AS probability, (b.i - a.i) / 1000.0 AS duration FROM o a JOIN o b ON b.channel = a.channel AND b.j = a.j + 1 WHERE a.j % 2 = 0 AND b.i - a.i >= 12""",
+)
+def changepoints(spark, d):
+    c = kernels.changepoints(signal(spark, d), 0.05, 0.06, 10, True, 1000.0, 12, 150)
+    return c.select("channel", "onset_idx", "offset_idx", *r6("probability"), "duration")
+
+
+@register(
+    "view_triangles",
+    f"""WITH RECURSIVE {SIG}, n AS (SELECT channel, max(i) + 1 AS n FROM sig GROUP BY channel), k AS (SELECT sig.*, CASE WHEN i = 0 THEN -1 WHEN i = n - 1 THEN 80 ELSE floor((i - 1) * 80 / (n - 2)) END AS k FROM sig JOIN n USING (channel)),
+mm AS (SELECT channel, k, arg_min(i, (value, i)) AS a, arg_max(i, (value, -i)) AS b FROM k GROUP BY ALL), pt AS (SELECT channel, a AS i FROM mm UNION SELECT channel, b FROM mm),
+q AS MATERIALIZED (SELECT pt.channel, pt.i, value, row_number() OVER (PARTITION BY pt.channel ORDER BY pt.i) - 1 AS r, count(*) OVER (PARTITION BY pt.channel) AS m FROM pt JOIN sig ON sig.channel = pt.channel AND sig.i = pt.i),
+b AS MATERIALIZED (SELECT channel, r, i, value, m, (SELECT max(e) FROM range(39) t(e) WHERE floor(e * ((m - 2) / 38.0)) + 1 <= r) AS e FROM q WHERE m > 40 AND r > 0), mean AS MATERIALIZED (SELECT channel, least(e, 38) AS e, avg(i) AS mx, avg(value) AS my FROM b GROUP BY ALL),
+s(channel, e, r, x, y) AS (SELECT channel, -1, r, i::DOUBLE, value FROM q WHERE r = 0 AND m > 40 UNION ALL SELECT channel, e, r, i, value FROM (SELECT b.channel, b.e, b.r, b.i::DOUBLE AS i, b.value, row_number() OVER (PARTITION BY b.channel ORDER BY abs((s.x - mx) * (b.value - s.y) - (s.x - b.i) * (my - s.y)) DESC, b.r) AS o
+FROM s JOIN b ON b.channel = s.channel AND b.e = s.e + 1 AND b.e < 38 JOIN mean ON mean.channel = b.channel AND mean.e = b.e + 1) WHERE o = 1)
+SELECT channel, x::BIGINT AS i, y AS value FROM s UNION ALL SELECT channel, i, value FROM q WHERE m <= 40 OR r = m - 1""",
+)
+def view_triangles(spark, d):
+    return view.min_max_triangles(signal(spark, d), 40)
+
+
 @register("harmonic_removal")
 def harmonic_removal(spark, d):
     return out(harmonics.remove_harmonics(signal(spark, d), 1000.0, 50.0, 4))
