@@ -311,3 +311,124 @@ def test_streams(spark, tmp_path):
 def test_views(spark, noise):
     assert view.area(noise, "min").where("channel = 'a'").agg(F.countDistinct("fill")).first()[0] == 1
     assert view.sample_rows(noise, 50).count() < noise.count()
+
+
+def test_running_stretches_and_runs_by_blocks(spark, monkeypatch):
+    """Blocks change nothing: plain loops over events of two channels, with and without events in every block."""
+    import random
+
+    from oscilla.functions import windows
+
+    rng = random.Random(3)
+    events = sorted({(c, rng.randrange(4000), rng.randrange(9)) for c in "ab" for _ in range(150)})
+    events = list({(c, i): (c, i, v) for c, i, v in events}.values())
+    df = spark.createDataFrame(events, "channel string, i long, v int")
+    for block in (50, 1 << 16):
+        got = {(r.channel, r.i): (r.before, r.after, r.upto) for r in windows.running(windows.running(windows.running(df, "i", F.col("v"), "before", block=block), "i", F.col("i"), "after", backwards=True, block=block), "i", F.col("v"), "upto", strict=False, block=block).collect()}
+        for c, i, v in events:
+            early, late = [x for d, j, x in events if d == c and j < i], [j for d, j, _ in events if d == c and j > i]
+            assert got[c, i] == (max(early, default=None), min(late, default=None), max([*early, v]))
+    monkeypatch.setattr(windows, "BLOCK", 64)
+    for distance in (2, 15, 200):
+        want_first, want_best = [], []
+        for c in "ab":
+            kept, best = [], []
+            for _, i, v in sorted(e for e in events if e[0] == c):
+                if not kept or i - kept[-1] >= distance:
+                    kept.append(i)
+                if not best or i - best[-1][0] >= distance:
+                    best.append((i, v))
+                elif v > best[-1][1]:
+                    best[-1] = (i, v)
+            want_first += [(c, i) for i in kept]
+            want_best += [(c, *x) for x in best]
+        assert sorted((r.channel, r.i) for r in windows.refractory(df, distance).collect()) == want_first
+        assert sorted((r.channel, r.i, r.v) for r in windows.highest_within(df, distance, "v").collect()) == want_best
+
+
+def test_quantiles_are_exact(spark, monkeypatch):
+    import numpy as np
+
+    from oscilla.functions import quantiles as q
+
+    rng = np.random.default_rng(4)
+    rows = [("a", float(v)) for v in np.round(rng.lognormal(size=6000) * 50, 1)] + [("b", float(v)) for v in rng.normal(size=7)] + [("c", 5.0)] * 3000 + [("d", None)] + [("e", 1.0), ("e", 2.0)]
+    df = spark.createDataFrame(rows, "channel string, value double")
+    shares = [0.0, 0.25, 0.5, 0.75, 0.99, 1.0]
+    for small in (2000, 100_000):
+        monkeypatch.setattr(q, "SMALL", small)
+        got = {r.channel: r for r in q.quantiles(df, F.col("value"), shares, ("channel",)).collect()}
+        assert set(got) == {"a", "b", "c", "e"}
+        for c, r in got.items():
+            x = [v for k, v in rows if k == c]
+            for k, s in enumerate(shares):
+                assert abs(r[f"q{k}"] - np.quantile(x, s)) < 1e-9, (c, s, small)
+    r = q.quantiles(df, F.col("value"), [0.5]).first()
+    assert abs(r.q0 - np.quantile([v for _, v in rows if v is not None], 0.5)) < 1e-9
+
+
+def test_events_of_one_long_channel(spark):
+    """Five million samples of one channel: no step gathers or orders them in one task."""
+    import time
+
+    from oscilla.operators import detect
+
+    x = spark.range(5_000_000).select(F.lit("c").alias("channel"), F.col("id").alias("i"), F.abs(F.sin(F.col("id") * 0.37) * F.sin(F.col("id") * 0.00011)).alias("value"))
+    began = time.perf_counter()
+    events = detect.contractions(x, "absolute", 0.9, refractory_samples=5)
+    n = events.count()
+    assert n > 50_000 and time.perf_counter() - began < 240
+
+
+def test_changepoints_of_a_step(spark):
+    import numpy as np
+
+    from oscilla.operators import kernels
+
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(0, 1, 150), rng.normal(8, 1, 100), rng.normal(0, 1, 150)])
+    df = spark.createDataFrame([("c", i, float(v)) for i, v in enumerate(x)], "channel string, i long, value double")
+    for longest in (None, 260):
+        got = kernels.changepoints(df, 0.001, 0.5, 10, False, 1000.0, 5, longest).collect()
+        assert [(r.onset_idx, r.offset_idx) for r in got] == [(150, 250)] and abs(got[0].duration - 0.1) < 1e-12 and got[0].probability > 0.5
+    assert kernels.changepoints(df, 0.001, 0.5, 10, False, min_samples=5000).count() == 0
+    whole = kernels.changepoint_probability(x, 0.01, True)
+    assert np.allclose(kernels.changepoint_probability(x, 0.01, True, 10_000), whole) and np.isfinite(whole).all()
+
+
+def test_overlapping_templates_are_subtracted_in_turn(spark):
+    import numpy as np
+
+    from oscilla.operators import kernels
+
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=500)
+    at = [3, 40, 42, 47, 120, 300, 303, 306, 309, 495]
+    t = [1.0, 2.0, 4.0, 2.0, 1.0]
+    df = spark.createDataFrame([("c", i, float(v)) for i, v in enumerate(x)] + [("quiet", i, 1.0) for i in range(9)], "channel string, i long, value double")
+    events = spark.createDataFrame([("c", i) for i in at], "channel string, i long")
+    for reach in (0, 3):
+        for block in (10, 1 << 16):
+            got = {(r.channel, r.i): r.value for r in kernels.subtract_templates(df, events, t, reach=reach, block=block).collect()}
+            want = kernels.subtract(x, np.array(at), np.array(t), reach)
+            assert max(abs(got["c", i] - v) for i, v in enumerate(want)) < 1e-12 and all(got["quiet", i] == 1.0 for i in range(9))
+    warped = {r.i: r.value for r in kernels.subtract_templates(df.where("channel = 'c'"), events, t, "warped", band=2).collect()}
+    apart = [3, 120, 495]
+    want = kernels.subtract_warped(x, np.array(apart), np.array(t), 2)
+    assert all(abs(warped[i] - want[i]) < 1e-12 for k in apart for i in range(k - 2, k + 3) if i < 500)
+
+
+def test_choice_of_eps_and_mixture(spark):
+    import numpy as np
+
+    from oscilla.operators import learn
+
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(c, 0.1, (40, 2)) for c in (0, 5, 10)])
+    df = spark.createDataFrame([(i * 7 % 120, list(map(float, v))) for i, v in enumerate(x)], "id long, x array<double>")
+    scores = learn.density_scores(df, [0.001, 0.5, 30.0], 5)
+    assert [r.clusters for r in scores.orderBy("eps").collect()] == [0, 3, 1]
+    assert learn.choose_eps(scores) == 0.5 and learn.choose_eps(scores, "cluster_count") == 0.5 and learn.choose_eps(scores, "noise_ratio") in (0.5, 30.0)
+    model, every = learn.choose_mixture(df, [1, 3, 6])
+    assert min(every, key=every.get) == len(model.mean) >= 3
+    assert learn.vector_covariance(df.where("false"))[2] == 0
