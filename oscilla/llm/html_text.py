@@ -6,10 +6,14 @@ sidebar, notice, advert, form or among reader comments (by its element or the wo
 id or role) scores nothing, tags and words alike, so it cannot break a region that it stands in.
 What a class, id or role only says for itself (has-sidebar, no-header, post-header) makes no part
 excluded, nor does any name where the element holds the page's main element, its only articles or
-most of its words outside links.
-One linear scan finds the contiguous region with the greatest total.  Its blocks, without those parts, are the page's text: character
-references are decoded, white space inside a block is one space, blocks are joined by two line
-feeds.
+most of its words outside links.  Inside an article, and for paragraphs, headings and the like
+anywhere, a name excludes only if all its words name furniture or say nothing (share-buttons, but
+not share-price or newsletter-story).
+One linear scan finds the contiguous region with the greatest total.  Tags between two words cost
+``BREAK`` at most, less than one word of main text gains, so no picture, rule or empty table cuts
+off what stands before it.  The region's blocks, without those parts, are the page's text:
+character references are decoded, white space inside a block is one space, blocks are joined by
+two line feeds.
 
 The weights are smoothed log odds from a set of labelled pages that :func:`labelled_pages` makes
 from layouts and random words by a fixed seed.
@@ -72,53 +76,69 @@ _LISTED = frozenset("comment sidebar advert notice hidden".split())
 _MODIFIER = frozenset("has with no without".split())
 #: Before "header": the heading of a text, not of the site.
 _OF_TEXT = frozenset("post entry article story page content blog news recipe product title".split())
+#: Words beside a furniture word that leave its meaning as it is.
+_NEUTRAL = frozenset(
+    "list lists item items box wrap wrapper block container inner outer slot unit bar row col column panel area module group link links button buttons icon icons "
+    "top bottom left right center inline fixed sticky floating small large wide narrow mobile desktop post posts article articles stories entry entries thread threads "
+    "count tools toolbar label title heading form field us me now here main primary secondary global site page".split()
+)
+#: Elements of running text.
+_TEXT = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th blockquote pre figure figcaption caption q em strong".split())
+#: What a run of tags without a word costs at most.
+BREAK = 3.5
 #: Contexts that count; all others are the roles of excluded parts.
 _SCORED = ("main", "plain")
 
 
 @lru_cache(10_000)
-def _named(tag: str, attrs: str) -> str | None:
-    """The role that the names of an element suggest; "title" for the heading of an article."""
+def _named(tag: str, attrs: str) -> tuple[str | None, bool]:
+    """The role that the names of an element suggest ("title" for the heading of an article), and whether other words in the name cast doubt on it."""
+    doubtful = None
     for m in _NAMING.finditer(attrs):
         for name in (m[1] or m[2] or m[3] or "").split():
-            before = ""
-            for part in map(str.lower, _NAME_PART.findall(name)):
+            before, parts = "", [x.lower() for x in _NAME_PART.findall(name)]
+            for part in parts:
                 if part in _MODIFIER:
                     break  # what follows is said of the element's surroundings
                 role = _ROLE.get(part)
                 if role == "header" and before in _OF_TEXT and (tag, before) != ("header", "page"):
                     role = "title"
                 if role and (tag not in _MAIN or role == "comment"):
-                    return role
+                    if role == "title" or all(x in _ROLE or x in _NEUTRAL or len(x) < 3 for x in parts):
+                        return role, False
+                    doubtful = doubtful or role
+                    break
                 before = part
-    return None
+    return doubtful, doubtful is not None
 
 
-def _roles(tag: str, attrs: str) -> tuple[str | None, str | None]:
-    """(by the element itself, by its names): the second can be void, the first cannot."""
+def _roles(tag: str, attrs: str) -> tuple[str | None, str | None, bool]:
+    """(by the element itself, by its names, whether that is doubtful): the second can be void, the first cannot."""
     if tag in ("html", "body"):
-        return None, None
+        return None, None, False
     role = _BY_TAG.get(tag)
     if role in (None, "header") and attrs and ("=" in attrs or "hidden" in attrs.lower()):
         if _UNSEEN.search(attrs):
-            return "hidden", None
-        return role, _named(tag, attrs)
-    return role, None
+            return "hidden", None, False
+        return role, *_named(tag, attrs)
+    return role, None, False
 
 
 class _Part:
     """An element: what it is, and what it holds."""
 
-    __slots__ = ("tag", "up", "hard", "soft", "words", "article", "main", "role", "inside", "title")
+    __slots__ = ("tag", "up", "hard", "soft", "doubt", "words", "article", "main", "role", "inside", "title")
 
-    def __init__(self, tag: str, up: _Part | None, hard: str | None = None, soft: str | None = None):
-        self.tag, self.up, self.hard, self.soft = tag, up, hard, soft
+    def __init__(self, tag: str, up: _Part | None, hard: str | None = None, soft: str | None = None, doubt: bool = False):
+        self.tag, self.up, self.hard, self.soft, self.doubt = tag, up, hard, soft, doubt
         self.words, self.article, self.main = 0, False, False
         self.role, self.inside, self.title = None, False, False
 
     def settle(self, void: bool = False) -> None:
         """Role and place, from those of the element around it."""
         up, own = self.up, None if self.soft == "title" else self.hard if void or not self.soft else self.soft
+        if self.doubt and (up.inside or self.tag in _TEXT):
+            own = self.hard
         if own == "header" and up.inside:
             own = None  # the heading of the article itself
         self.role = up.role or own
@@ -202,9 +222,9 @@ def tokens(page: str) -> list[tuple[str, str, str, int]]:
         while block and stack[-1].tag == "p":
             stack.pop()
         attrs = m["attrs"]
-        hard, soft = _roles(tag, attrs) if tag in _BY_TAG or attrs else (None, None)
+        hard, soft, doubt = _roles(tag, attrs) if tag in _BY_TAG or attrs else (None, None, False)
         if hard or soft or tag in _KEPT_OPEN:
-            parts.append(_Part(tag, stack[-1], hard, soft))
+            parts.append(_Part(tag, stack[-1], hard, soft, doubt))
             stack.append(parts[-1])
         out.append((kind, tag, stack[-1], m.start()))
     _settle(parts)
@@ -296,13 +316,19 @@ def main_text(page: str | None, weight: dict[str, float] | None = None) -> str:
         return ""
     weight = weight or weights()
     toks = list(_classes(page))
-    best = total = 0.0
+    best = total = run_cost = 0.0
     first = start = stop = 0
     for k, ((_, _, where, _), name, n) in enumerate(toks):
         if where not in _SCORED:
             continue
         w = weight.get(name)
-        total += n * w if w is not None else -0.3 if name[0] == "t" else 0.0
+        if name[0] == "t":
+            cost = max(-0.3 if w is None else w, -BREAK - run_cost)  # what is left of a run's bound
+            run_cost += cost
+            total += cost
+        else:
+            run_cost = 0.0 if n else run_cost
+            total += n * (w or 0.0)
         if total <= 0:
             total, first = 0.0, k + 1
         elif total > best:
