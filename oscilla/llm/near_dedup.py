@@ -169,10 +169,16 @@ def _links_across(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     return links
 
 
-def near_duplicates(
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **options: int) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_shingles, component_id (least id reachable), kept."""
+    return groups(docs, key, text, **options).drop("mark", "group")
+
+
+def groups(
     docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id (least id reachable), kept."""
+    """As :func:`near_duplicates`, with ``mark`` (xxhash64 of the text, which with the id names a row up to repeats) and ``group``, a
+    component's own name however ids repeat (null without shingles)."""
     base = common.two_columns(docs, key, text)
     base = base.withColumn("mark", F.xxhash64("text"))  # with the id, finds a class's text again, whatever ids are null or repeat
     seen = common.materialize(base.mapInArrow(_sketched(width, bands, rows), "doc_id long, mark long, n_shingles long, dig binary, bands array<bigint>"), "sketches")
@@ -207,9 +213,11 @@ def near_duplicates(
     # components by class, then one join for the rows
     known = common.materialize(ids.join(comp.select(F.col("node").alias("dig"), "comp"), "dig").select("dig", "id", "comp"), "known")
     least = common.materialize(known.groupBy("comp").agg(F.min("id").alias("component_id")), "least")
-    linked = common.materialize(known.join(least, "comp").select("dig", "component_id"), "linked")
-    found = common.materialize(ids.join(linked, "dig", "left").select("dig", F.coalesce("component_id", "id").alias("component_id")), "found")
+    linked = common.materialize(known.join(least, "comp").select("dig", "comp", "component_id"), "linked")
+    found = ids.join(linked, "dig", "left").select("dig", F.coalesce("comp", "dig").alias("group"), F.coalesce("component_id", "id").alias("component_id"))
+    found = common.materialize(found, "found")
     for done in (links, across, comp, ids, known, least, linked):
         common.forget(done)
-    out = seen.select("doc_id", "n_shingles", "dig").join(found, "dig", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = seen.select("doc_id", "mark", "n_shingles", "dig").join(found, "dig", "left")
+    out = out.select("doc_id", "mark", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "group")
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
