@@ -1,7 +1,12 @@
 """A corpus pipeline: quality classifier, near-dedup, decontamination, PII, byte-level BPE.
 
-Each stage reads what the one before wrote.  All but the last return the columns of ``documents``;
-rows with null ids or texts pass through every filter that does not reject them.
+Each stage reads what the one before wrote.  All but the last return the columns of ``documents``.
+
+Defined results.  Rows with null ids or texts pass through every filter that does not reject them.
+Empty tables: empty results.  Repeated ids: each row is judged by its own text, and the dedup stage
+keeps one row of a group of copies, the one with the least id (null ids last, then the least text
+hash), however ids repeat; rows without words are never copies.  Very long texts: whole.  Extra
+columns, whatever their names, are dropped by the first stage.
 """
 
 from __future__ import annotations
@@ -22,13 +27,22 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each near-duplicate group stays: the one with the least id, null ids last, however ids repeat."""
-    rows = common.materialize(docs.select(COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "rows")
-    found = near_dedup.near_duplicates(rows, "_row").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_comp"))
-    found = common.materialize(found.join(rows.select("_row", "doc_id"), "_row"), "groups")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first")
-    best = common.materialize(found.groupBy("_comp").agg(first, F.count("*").alias("n")).where("n > 1").select("_comp", F.col("first._row").alias("_best")), "best")
-    gone = found.join(best, "_comp").where("_row != _best").select("_row")
-    return rows.join(gone, "_row", "left_anti").select(COLUMNS)
+    docs = docs.select(COLUMNS)
+    # rows are named by id and text hash; only names that stand for several equal rows are thinned by dropping duplicates
+    found = near_dedup.groups(docs).where("group IS NOT NULL")
+    members = common.materialize(found.groupBy("group", "doc_id", "mark").agg(F.count("*").alias("c")), "members")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("first")
+    best = members.groupBy("group").agg(first, F.sum("c").alias("n")).where("n > 1")
+    best = common.materialize(best.select("group", F.col("first.doc_id").alias("best_id"), F.col("first.mark").alias("best_mark")), "best")
+    stays = F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("mark") == F.col("best_mark"))
+    judged = members.join(best, "group").select(F.col("doc_id").alias("of"), F.col("mark").alias("of_mark"), stays.alias("stays"), "c")
+    judged = common.materialize(judged.where("NOT stays OR c > 1"), "judged")
+    for done in (members, best):
+        common.forget(done)
+    rows = docs.withColumn("_mark", F.xxhash64("text"))
+    named = F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("_mark") == F.col("of_mark"))
+    once = rows.join(judged.where("stays"), named, "left_semi").dropDuplicates(["doc_id", "_mark"])
+    return rows.join(judged, named, "left_anti").unionByName(once).select(COLUMNS)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,8 +75,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again before the next."""
     docs = common.load(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = common.materialize(docs, name)
-    return docs
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, common.materialize(stage(spark, docs, sf_dir), name)
+        if k:
+            common.forget(before)  # the stage's output is written, so nothing reads its input any more
+    return STAGES[-1][1](spark, docs, sf_dir)
