@@ -307,6 +307,17 @@ def quality_summary(spark, d):
     return q.select("label", "n_units", *(F.round(c, 12).alias(c) for c in ("mean_rate", "std_rate", "min_rate", "max_rate")), F.round("mean_cv", 6).alias("mean_cv"), "violations", "spikes")
 
 
+@register(
+    "quality_summary_amplitudes",
+    f"""WITH {_US}, a AS (SELECT unit_id, avg(value) AS amplitude, count(*) % 7 AS contamination FROM spikes GROUP BY unit_id)
+SELECT label, count(*) AS n_units, round(avg(amplitude), 6) AS mean_amplitude, round(avg(contamination), 6) AS mean_contamination FROM un JOIN a USING (unit_id) GROUP BY label""",
+)
+def quality_summary_amplitudes(spark, d):
+    """The summary of units that carry an amplitude and a contamination, as sorters write them."""
+    a = train(spark, d).groupBy("unit_id").agg(F.avg("value").alias("amplitude"), (F.count("*") % 7).alias("contamination"))
+    return spikes.quality_summary(units(spark, d).join(a, "unit_id")).select("label", "n_units", *r6("mean_amplitude", "mean_contamination"))
+
+
 @register(
     "channel_summary",
     f"""WITH {_US}, tm AS (SELECT unit_id, event_type AS channel, avg(value) AS value FROM spikes GROUP BY ALL), pr AS (SELECT unit_id, arg_min(channel, (-abs(value), channel)) AS channel FROM tm GROUP BY unit_id)

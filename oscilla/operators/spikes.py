@@ -200,11 +200,15 @@ def unit_summary(spikes: DataFrame, fs: float, violation: float = 0.002) -> Data
 
 
 def quality_summary(units: DataFrame, label: str = "label") -> DataFrame:
-    """Per label: number of units, and mean, standard deviation, least and greatest rate, mean cv, violations and spikes."""
+    """Per label: number of units, and mean, standard deviation, least and greatest rate, mean cv, violations and spikes.
+
+    Where units have ``amplitude`` or ``contamination``, their means too.
+    """
     r = F.col("firing_rate")
+    more = [F.avg(c).alias(f"mean_{c}") for c in ("amplitude", "contamination") if c in units.columns]
     return units.groupBy(label).agg(
         F.count("*").alias("n_units"), F.avg(r).alias("mean_rate"), F.stddev_samp(r).alias("std_rate"), F.min(r).alias("min_rate"), F.max(r).alias("max_rate"),
-        F.avg("cv_isi").alias("mean_cv"), F.sum("isi_violations").alias("violations"), F.sum("n_spikes").alias("spikes"),
+        F.avg("cv_isi").alias("mean_cv"), F.sum("isi_violations").alias("violations"), F.sum("n_spikes").alias("spikes"), *more,
     )
 
 

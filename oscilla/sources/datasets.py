@@ -148,18 +148,71 @@ def read_sorting(spark: SparkSession, folder: str, exclude: tuple[str, ...] = ()
     return spikes.join(units.select("unit_id"), "unit_id", "left_semi"), units, params
 
 
-def write_sorting(folder: str, spikes: DataFrame, units: DataFrame, fs: float, templates: np.ndarray | None = None) -> str:
-    """A sorting folder on the driver's disk, for viewers: arrays, cluster groups, parameters, template similarity."""
+def read_templates(spark: SparkSession, folder: str) -> DataFrame:
+    """Template waveforms of a sorting folder: template, offset, channel, value; channels by channel_map.npy where there is one.
+
+    Templates are a few hundred arrays, whatever the recording's length.
+    """
+    import pandas as pd
+
+    names = _listed(spark, folder)
+    t = _array(spark, f"{folder}/templates.npy")
+    k, j, c = (x.ravel() for x in np.indices(t.shape))
+    channel = _array(spark, f"{folder}/channel_map.npy").ravel()[c] if "channel_map.npy" in names else c
+    rows = pd.DataFrame({"template": k.astype("int32"), "offset": j.astype("int32"), "channel": channel.astype("int32"), "value": t.ravel().astype(float)})
+    return spark.createDataFrame(rows, "template int, offset int, channel int, value double")
+
+
+def _column_files(rows: DataFrame, columns: dict[str, tuple[str, str, tuple[int, ...]]]) -> int:
+    """Columns of a sorted table as .npy files, filled part by part: the driver holds one part at a time."""
+    n = rows.count()
+    files = {c: np.lib.format.open_memmap(path, "w+", kind, (n, *width)) if n else np.zeros((0, *width), kind) for c, (path, kind, width) in columns.items()}
+    at = 0
+    buffer: list = []
+
+    def flush() -> None:
+        nonlocal at, buffer
+        for c, f in files.items():
+            if buffer:
+                f[at : at + len(buffer)] = [r[c] for r in buffer]
+        at, buffer = at + len(buffer), []
+
+    for r in rows.toLocalIterator():
+        buffer.append(r)
+        if len(buffer) == 1 << 16:
+            flush()
+    flush()
+    for c, f in files.items():
+        if n:
+            f.flush()
+        else:
+            np.save(columns[c][0], f)
+    return n
+
+
+def write_sorting(folder: str, spikes: DataFrame, units: DataFrame, fs: float, templates: np.ndarray | None = None, positions: np.ndarray | None = None) -> str:
+    """A sorting folder on the driver's disk, for viewers: arrays, cluster groups, parameters, template similarity.
+
+    Spikes may carry ``amplitude`` and ``components`` (an array of equal length for each spike); both are written.
+    """
     os.makedirs(folder, exist_ok=True)
-    rows = spikes.orderBy("sample", "unit_id").select("unit_id", "sample").toPandas()
-    np.save(f"{folder}/spike_times.npy", rows["sample"].to_numpy("int64"))
-    np.save(f"{folder}/spike_clusters.npy", rows["unit_id"].to_numpy("int32"))
+    wanted = {"sample": (f"{folder}/spike_times.npy", "int64", ()), "unit_id": (f"{folder}/spike_clusters.npy", "int32", ())}
+    if "amplitude" in spikes.columns:
+        wanted["amplitude"] = f"{folder}/amplitudes.npy", "float64", ()
+    rows = spikes.orderBy("sample", "unit_id")
+    width = spikes.select(F.max(F.size("components"))).first()[0] if "components" in spikes.columns else None
+    if width:
+        wanted["components"] = f"{folder}/pc_features.npy", "float32", (width,)
+    _column_files(rows.select(*wanted), wanted)
     if templates is not None:
         flat = templates.reshape(len(templates), -1)
         norm = np.linalg.norm(flat, axis=1)
         unit = flat / np.where(norm > 0, norm, 1)[:, None]
         np.save(f"{folder}/templates.npy", templates.astype("float32"))
         np.save(f"{folder}/similar_templates.npy", (unit @ unit.T).astype("float32"))
+        channels = templates.shape[2] if templates.ndim == 3 else 1
+        np.save(f"{folder}/channel_map.npy", np.arange(channels, dtype="int32"))
+        np.save(f"{folder}/channel_positions.npy", positions if positions is not None else np.stack([np.zeros(channels), np.arange(channels)], 1))
     units.selectExpr("unit_id AS cluster_id", "group").orderBy("cluster_id").toPandas().to_csv(f"{folder}/cluster_group.tsv", sep="\t", index=False)
     with open(f"{folder}/params.py", "w") as f:
         f.write(f"sample_rate = {float(fs)}\nhp_filtered = False\n")

@@ -432,3 +432,23 @@ def test_choice_of_eps_and_mixture(spark):
     model, every = learn.choose_mixture(df, [1, 3, 6])
     assert min(every, key=every.get) == len(model.mean) >= 3
     assert learn.vector_covariance(df.where("false"))[2] == 0
+
+
+def test_sorting_folder_with_templates_and_features(spark, tmp_path):
+    from oscilla.sources import datasets
+
+    rng = np.random.default_rng(11)
+    rows = [(int(u), int(t), float(a), [float(a), 1.0, 2.0]) for u, t, a in zip(rng.integers(0, 3, 500), rng.integers(0, 10_000, 500), rng.normal(size=500), strict=True)]
+    s = spark.createDataFrame(rows, "unit_id int, sample long, amplitude double, components array<double>")
+    u = spark.createDataFrame([(k, "good") for k in range(3)], "unit_id int, group string")
+    t = rng.normal(size=(3, 5, 2))
+    folder = datasets.write_sorting(str(tmp_path / "sorted"), s, u, 30000.0, t)
+    times, clusters, amplitudes, features = (np.load(f"{folder}/{n}.npy") for n in ("spike_times", "spike_clusters", "amplitudes", "pc_features"))
+    assert sorted(zip(clusters.tolist(), times.tolist(), amplitudes.tolist(), strict=True)) == sorted((r[0], r[1], r[2]) for r in rows)
+    assert (np.diff(times) >= 0).all() and features.shape == (500, 3) and np.allclose(features[:, 0], amplitudes, atol=1e-6)
+    back = {(r.template, r.offset, r.channel): r.value for r in datasets.read_templates(spark, folder).collect()}
+    assert len(back) == 30 and all(abs(back[k, j, c] - t[k, j, c]) < 1e-6 for k in range(3) for j in range(5) for c in range(2))
+    spikes, _, params = datasets.read_sorting(spark, folder)
+    assert spikes.count() == 500 and params["sample_rate"] == 30000.0
+    empty = datasets.write_sorting(str(tmp_path / "none"), s.where("false"), u, 1.0)
+    assert len(np.load(f"{empty}/spike_times.npy")) == 0
