@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from oscilla import model
 from oscilla.functions.windows import over_neighbours
 from oscilla.operators import extract, spikes
-from oscilla.queries import DAY, HOUR, SIG, SPIKES, STIM, q6, r6, register, signal
+from oscilla.queries import DAY, HOUR, SIG, SPIKES, STIM, off6, q6, r6, register, signal
 
 MIN = 60_000_000
 SEC = 1_000_000
@@ -75,9 +75,9 @@ def aligned_waveforms(spark, d):
     return w.select("event_id", "channel", F.col("offset").cast("int").alias("offset"), "value")
 
 
-@register("template_mean", f"WITH {_EP} SELECT channel, offset_::INTEGER AS \"offset\", round(avg(value), 6) + 0.0 AS value FROM ep GROUP BY ALL")
+@register("template_mean", f"WITH {_EP} SELECT channel, offset_::INTEGER AS \"offset\", round(avg(value) + 1e-9, 6) + 0.0 AS value FROM ep GROUP BY ALL")
 def template_mean(spark, d):
-    return extract.template(extract.epochs(signal(spark, d), onsets(spark, d), 5, 10)).select("channel", "offset", *r6("value"))
+    return extract.template(extract.epochs(signal(spark, d), onsets(spark, d), 5, 10)).select("channel", "offset", *off6("value"))
 
 
 @register(
@@ -94,12 +94,12 @@ def template_distribution(spark, d):
     "triggered_average",
     f"""WITH {SIG}, {_N}, s AS (SELECT i % 3 AS unit_id, channel, i FROM sig WHERE value > 60),
 ep AS (SELECT unit_id, s.channel, g.i - s.i AS o, g.value FROM s JOIN n USING (channel) JOIN sig g ON g.channel = s.channel AND g.i BETWEEN s.i - 4 AND s.i + 5 WHERE s.i >= 4 AND s.i + 5 < n)
-SELECT unit_id, channel, o::INTEGER AS "offset", round(avg(value), 6) + 0.0 AS average, round(var_samp(value), 4) + 0.0 AS variance FROM ep GROUP BY ALL""",
+SELECT unit_id, channel, o::INTEGER AS "offset", round(avg(value) + 1e-9, 6) + 0.0 AS average, round(var_samp(value), 4) + 0.0 AS variance FROM ep GROUP BY ALL""",
 )
 def triggered_average(spark, d):
     s = signal(spark, d)
     st = extract.triggered_average(s, s.where("value > 60").select((F.col("i") % 3).alias("unit_id"), "channel", "i"), 4, 6)
-    return st.select("unit_id", "channel", "offset", *r6("average"), (F.round("variance", 4) + 0.0).alias("variance"))
+    return st.select("unit_id", "channel", "offset", *off6("average"), (F.round("variance", 4) + 0.0).alias("variance"))
 
 
 @register(

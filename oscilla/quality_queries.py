@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from oscilla import model
 from oscilla.event_queries import _EP, MIN, SEC, onsets, train
 from oscilla.operators import emg, extract, harmonics, kernels, quality, view
-from oscilla.queries import DAY, HOUR, SIG, SPIKES, STIM, out, r6, register, signal
+from oscilla.queries import DAY, HOUR, SIG, SPIKES, STIM, off6, out, r6, register, signal
 
 
 @register(
@@ -98,13 +98,13 @@ def segment_change(spark, d):
     "aligned_templates",
     f"""WITH {_EP}, t AS (SELECT channel, offset_, avg(value) AS value FROM ep GROUP BY ALL), r AS (SELECT offset_ AS r_at, value AS r FROM t WHERE channel = 'view'), sh AS (SELECT unnest(range(-5, 6)) AS shift),
 d AS (SELECT channel, shift, sum(value * r) AS d FROM t, sh, r WHERE r_at = offset_ + shift GROUP BY ALL), b AS (SELECT channel, arg_max(shift, (d, -shift)) AS shift FROM d GROUP BY channel)
-SELECT t.channel, b.shift::INTEGER AS shift, t.offset_::INTEGER AS "offset", round(coalesce(s.value, 0), 6) + 0.0 AS value FROM t JOIN b USING (channel) LEFT JOIN t s ON s.channel = t.channel AND s.offset_ = t.offset_ - b.shift""",
+SELECT t.channel, b.shift::INTEGER AS shift, t.offset_::INTEGER AS "offset", round(coalesce(s.value, 0) + 1e-9, 6) + 0.0 AS value FROM t JOIN b USING (channel) LEFT JOIN t s ON s.channel = t.channel AND s.offset_ = t.offset_ - b.shift""",
 )
 def aligned_templates(spark, d):
     """Channels' templates moved onto that of one channel."""
     t = extract.template(extract.epochs(signal(spark, d), onsets(spark, d), 5, 10)).withColumnRenamed("channel", "unit_id").withColumn("channel", F.lit(0))
     a = quality.aligned_templates(t, "view", 5)
-    return a.select(F.col("unit_id").alias("channel"), "shift", "offset", *r6("value"))
+    return a.select(F.col("unit_id").alias("channel"), "shift", "offset", *off6("value"))
 
 
 @register(
