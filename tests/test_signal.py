@@ -452,3 +452,40 @@ def test_sorting_folder_with_templates_and_features(spark, tmp_path):
     assert spikes.count() == 500 and params["sample_rate"] == 30000.0
     empty = datasets.write_sorting(str(tmp_path / "none"), s.where("false"), u, 1.0)
     assert len(np.load(f"{empty}/spike_times.npy")) == 0
+
+
+def test_harmonics_are_removed(spark):
+    from oscilla.operators import harmonics
+
+    rng = np.random.default_rng(12)
+    for x in (rng.normal(size=64), rng.normal(size=1024)):
+        assert np.allclose(harmonics.unpack(harmonics.packets(x, 4)), x)
+    t = np.arange(4000) / 1000
+    slow = np.sin(2 * np.pi * 3 * t) + 0.05 * rng.normal(size=4000)
+    line = 0.8 * np.sin(2 * np.pi * 50 * t + 0.3) + 0.4 * np.sin(2 * np.pi * 150 * t) + 0.2 * np.sin(2 * np.pi * 250 * t + 1)
+    df = spark.createDataFrame([("c", i, float(v)) for i, v in enumerate(slow + line)], "channel string, i long, value double")
+    got = np.array([r.value for r in harmonics.remove_harmonics(df, 1000.0, 50.0, 4).orderBy("i").collect()])
+    power = lambda y, f: abs(np.exp(-2j * np.pi * f * t) @ y) / len(t)
+    for f in (50, 150, 250):
+        assert power(got, f) < 0.1 * power(slow + line, f)
+    assert abs(power(got, 3) - power(slow, 3)) < 0.05 * power(slow, 3)
+
+
+def test_warping_against_all_paths():
+    """Least warping cost by trying every monotone path of short sequences."""
+    from functools import cache
+
+    rng = np.random.default_rng(13)
+    for _ in range(30):
+        a, b, band = rng.normal(size=5), rng.normal(size=5), int(rng.integers(0, 5))
+
+        @cache
+        def cost(i, j):
+            if i < 0 or j < 0 or abs(i - j) > band:  # noqa: B023
+                return np.inf
+            own = (a[i] - b[j]) ** 2  # noqa: B023
+            return own if i == j == 0 else own + min(cost(i - 1, j), cost(i, j - 1), cost(i - 1, j - 1))
+
+        d, path = kernels.dtw_path(a, b, band)
+        assert abs(d - cost(4, 4)) < 1e-12
+        assert abs(sum((a[i] - b[j]) ** 2 for i, j in path) - d) < 1e-12 and path[0] == (0, 0) and path[-1] == (4, 4)
