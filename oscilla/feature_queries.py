@@ -173,6 +173,19 @@ def rotated_trajectories(spark, d):
     return learn.trajectory_metrics(t).select("trial", *r6("path_length", "mean_speed", "displacement"))
 
 
+@register(
+    "component_trajectories",
+    f"""WITH {WIDE}, {_SCALED}, {parts.principal(COLS, 'zs')}, e AS MATERIALIZED (SELECT i // 500 AS trial, i AS t, list(list_dot_product([{", ".join(COLS)}], u) ORDER BY k) AS x FROM zs, pcs GROUP BY i, trial),
+s AS (SELECT trial, list_distance(x[1:2], lag(x[1:2]) OVER (PARTITION BY trial ORDER BY t)) AS d FROM e), f AS (SELECT trial, arg_min(x[1:2], t) AS a, arg_max(x[1:2], t) AS b FROM e GROUP BY trial)
+SELECT f.trial, round(sum(d), 5) AS path_length, round(avg(d), 6) AS mean_speed, round(any_value(list_distance(a, b)), 6) AS displacement FROM s JOIN f USING (trial) GROUP BY f.trial""",
+)
+def component_trajectories(spark, d):
+    """Trajectories of stretches of the item signal in its first two components."""
+    t = scaled_items(spark, d).select(F.floor(F.col("i") / 500).alias("trial"), F.col("i").alias("t"), "x")
+    m = learn.trajectories(t, "dpca", 2, ("time", "choice"))[2]
+    return m.select("trial", F.round("path_length", 5).alias("path_length"), *r6("mean_speed", "displacement"))
+
+
 def _checkpoints(spark) -> str:
     """The session's checkpoint folder.  Where none is named: in local mode a temporary one, on a cluster an error."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)

@@ -369,6 +369,23 @@ def choose_eps(scores: DataFrame, criterion: str = "silhouette") -> float | None
     return top["eps"] if top else None
 
 
+TRAJECTORIES = ("pca", "dpca")
+
+
+def trajectories(df: DataFrame, method: str = "pca", k: int = 3, parameters: tuple[str, ...] = (), value: str = "x", by: tuple[str, ...] = ("trial",), at: str = "t"):
+    """Trajectories in the first k components: the model, rows with ``components``, their metrics, and for "dpca" the components of each task parameter.
+
+    "dpca" means principal components too, of which every parameter is given the first k div (number of parameters).
+    """
+    if method not in TRAJECTORIES:
+        raise ValueError(f"unknown trajectories {method!r}; there are {TRAJECTORIES}")
+    pcs = components(df, k, value)
+    rows = pcs.transform(df, value)
+    share = k // len(parameters) if parameters else 0
+    parts = {p: (pcs.axes[:share], pcs.ratio[:share]) for p in parameters} if method == "dpca" else {}
+    return pcs, rows, trajectory_metrics(rows, by, at, "components"), parts
+
+
 def trajectory_metrics(df: DataFrame, by: tuple[str, ...] = ("trial",), at: str = "t", value: str = "x") -> DataFrame:
     """Path length and mean speed of each trial's trajectory, and distance from its first to its last point."""
     w = Window.partitionBy(*by).orderBy(at)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from oscilla import emg_queries, event_queries, feature_queries, model, presets, queries  # noqa: F401  (they register the SQL used below)
+from oscilla import emg_queries, event_queries, feature_queries, model, presets, quality_queries, queries  # noqa: F401  (they register the SQL used below)
 from oscilla import oracle_parts as parts
 from oscilla.operators import filters
 from oscilla.plans.pipeline import Op, Pipeline, ProcessingNode, standard_pipeline
@@ -106,6 +106,12 @@ def preset_common_median(spark, d):
     return standard_pipeline([presets.common_median(COLS)]).process(model.item_signal(spark, d)).select("i", *r6(*COLS))
 
 
+@register("preset_changepoints", ORACLE_SQL["changepoints"])
+def preset_changepoints(spark, d):
+    op = presets.changepoint_detector("realtime", 1000.0, 150, hazard=0.05, threshold=0.2, distance=0.01, duration=0.012)
+    return Pipeline().add(Op("scale", lambda x: x.withColumn("value", F.col("value") / 50))).add(op).process(signal(spark, d)).select("channel", "onset_idx", "offset_idx", *r6("probability"), "duration")
+
+
 @register(
     "node_window",
     f"""WITH {SIG}, te AS (SELECT channel, i, value * value - lag(value) OVER w * lead(value) OVER w AS e FROM sig WINDOW w AS (PARTITION BY channel ORDER BY i)), tk AS (SELECT channel, i, coalesce(e, lead(e) OVER w, lag(e) OVER w) AS value FROM te WINDOW w AS (PARTITION BY channel ORDER BY i)),

@@ -101,3 +101,18 @@ def rms_envelope(window: int = 101) -> list[Op]:
 def peak_envelope() -> list[Op]:
     """Under the compatible definition the magnitude alone."""
     return [rectifier("abs")]
+
+
+#: Fixed values of the changepoint detectors: hazard, threshold, fitted variance, least distance and least duration in seconds.
+CHANGEPOINTS = {
+    "sensitive": {"hazard": 0.005, "threshold": 0.2, "variance": True, "distance": 0.1, "duration": 0.01},
+    "robust": {"hazard": 0.02, "threshold": 0.4, "variance": True, "distance": 0.2, "duration": 0.03},
+    "realtime": {"hazard": 0.01, "threshold": 0.3, "variance": False, "distance": 0.1, "duration": 0.02},
+}
+
+
+def changepoint_detector(kind: str, fs: float, longest: int | None = None, **changed: float) -> Op:
+    """An operator that gives events instead of samples; the last of its pipeline."""
+    p = CHANGEPOINTS[kind] | changed
+    run: Callable = lambda d: kernels.changepoints(d, p["hazard"], p["threshold"], int(p["distance"] * fs), bool(p["variance"]), fs, int(p["duration"] * fs), longest)
+    return Op(f"{kind} changepoints", run, 0, dict(p))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from oscilla import model
-from oscilla.event_queries import _EP, MIN, SEC, onsets, train
+from oscilla.event_queries import _EP, _SPAN, MIN, SEC, onsets, spans, train
 from oscilla.operators import emg, extract, harmonics, kernels, quality, view
 from oscilla.queries import DAY, HOUR, SIG, SPIKES, STIM, off6, out, r6, register, signal
 
@@ -67,6 +67,26 @@ def view_psth(spark, d):
     return v.select("unit_id", "bin", F.round("rate", 9).alias("rate"), F.round("sem", 9).alias("sem"))
 
 
+@register(
+    "view_raster_psth",
+    f"""WITH {SPIKES}, {STIM}, r AS (SELECT unit_id, e.event_id, (s.sample - e.sample + {30 * MIN}) // {10 * MIN} AS bin FROM stim e JOIN spikes s ON s.sample >= e.sample - {30 * MIN} AND s.sample < e.sample + {30 * MIN}),
+t AS (SELECT unit_id, count(DISTINCT event_id) AS t FROM r GROUP BY unit_id) SELECT unit_id, bin::INTEGER AS bin, count(*) AS hits, round(count(*) / any_value(t) / 600.0, 9) AS rate FROM r JOIN t USING (unit_id) GROUP BY unit_id, bin""",
+)
+def view_raster_psth(spark, d):
+    """Both panels of the composite, brought together by bin."""
+    both = view.raster_psth(train(spark, d), model.purchases(spark, d), 30 * MIN, 30 * MIN, 10 * MIN, SEC)
+    hits = both["raster"].groupBy("unit_id", F.floor((F.col("rel") + 30 * MIN) / (10 * MIN)).cast("int").alias("bin")).agg(F.count("*").alias("hits"))
+    return hits.join(both["psth"], ["unit_id", "bin"]).select("unit_id", "bin", "hits", F.round("rate", 9).alias("rate"))
+
+
+@register(
+    "view_event_spans",
+    f"""WITH {SIG}, {_SPAN} SELECT event_id, channel, greatest(onset_idx, 100) AS onset_idx, least(offset_idx, 160) AS offset_idx FROM sp WHERE onset_idx <= 160 AND offset_idx >= 100""",
+)
+def view_event_spans(spark, d):
+    return view.event_spans(spans(spark, d), 100, 160).select("event_id", "channel", "onset_idx", "offset_idx")
+
+
 @register("onset_consistency", f"""WITH {_EP}, t AS (SELECT channel, offset_, avg(value) AS value FROM ep GROUP BY ALL) SELECT a.channel AS a, b.channel AS b, round(corr(a.value, b.value), 6) + 0.0 AS correlation FROM t a JOIN t b USING (offset_) WHERE a.channel < b.channel GROUP BY ALL""")
 def onset_consistency(spark, d):
     t = extract.template(extract.epochs(signal(spark, d), onsets(spark, d), 5, 10))
@@ -118,20 +138,20 @@ def cluster_templates(spark, d):
 
 @register(
     "changepoints",
-    f"""WITH RECURSIVE {SIG}, c AS (SELECT channel, i, value - avg(value) OVER (PARTITION BY channel) AS v FROM sig), l AS MATERIALIZED (SELECT channel, [0.0::DOUBLE] || list(c1 ORDER BY i) AS c1, [0.0::DOUBLE] || list(c2 ORDER BY i) AS c2, count(*) AS n
+    f"""WITH RECURSIVE {SIG}, c AS (SELECT channel, i, value / 50 - avg(value / 50) OVER (PARTITION BY channel) AS v FROM sig), l AS MATERIALIZED (SELECT channel, [0.0::DOUBLE] || list(c1 ORDER BY i) AS c1, [0.0::DOUBLE] || list(c2 ORDER BY i) AS c2, count(*) AS n
 FROM (SELECT channel, i, sum(v) OVER w AS c1, sum(v * v) OVER w AS c2 FROM c WINDOW w AS (PARTITION BY channel ORDER BY i)) GROUP BY channel),
 s(channel, t, lg, p) AS (SELECT channel, 0::BIGINT, [0.0::DOUBLE], 0.0::DOUBLE FROM l UNION ALL
 SELECT channel, t, list_append(lg, mx + ln(list_sum(list_transform(sc, lambda x: exp(x - mx))))), exp(least(0.0, sc[len(sc)] - mx - ln(list_sum(list_transform(sc, lambda x: exp(x - mx)))))) FROM (SELECT *, list_max(sc) AS mx FROM (SELECT s.channel, s.t + 1 AS t, lg,
-list_transform(range(greatest(0, s.t + 1 - 150), s.t + 1), lambda a: lg[a + 1] - 0.5 * ((s.t + 1 - a) * ln(2 * pi() * greatest(greatest(c2[s.t + 2] - c2[a + 1] - power(c1[s.t + 2] - c1[a + 1], 2) / (s.t + 1 - a), 0) / (s.t + 1 - a), 1e-8))
- + greatest(c2[s.t + 2] - c2[a + 1] - power(c1[s.t + 2] - c1[a + 1], 2) / (s.t + 1 - a), 0) / greatest(greatest(c2[s.t + 2] - c2[a + 1] - power(c1[s.t + 2] - c1[a + 1], 2) / (s.t + 1 - a), 0) / (s.t + 1 - a), 1e-8)) + (s.t - a) * ln(0.95::DOUBLE) + ln(0.05::DOUBLE)) AS sc FROM s JOIN l USING (channel) WHERE s.t < l.n))),
+list_transform(range(greatest(0, s.t + 1 - 150), s.t + 1), lambda a: lg[a + 1] - 0.5 * ((s.t + 1 - a) * ln(2 * pi()) + greatest(c2[s.t + 2] - c2[a + 1] - power(c1[s.t + 2] - c1[a + 1], 2) / (s.t + 1 - a), 0)) + (s.t - a) * ln(0.95::DOUBLE) + ln(0.05::DOUBLE)) AS sc FROM s JOIN l USING (channel) WHERE s.t < l.n))),
 pr AS (SELECT channel, t - 1 AS i, p FROM s WHERE t > 0), nb AS (SELECT *, lag(p) OVER w AS a, lead(p) OVER w AS b FROM pr WINDOW w AS (PARTITION BY channel ORDER BY i)),
-f AS MATERIALIZED (SELECT channel, i, p, row_number() OVER (PARTITION BY channel ORDER BY i) AS k FROM nb WHERE p > 0.06 AND p > a AND p >= b),
+f AS MATERIALIZED (SELECT channel, i, p, row_number() OVER (PARTITION BY channel ORDER BY i) AS k FROM nb WHERE p > 0.2 AND p > a AND p >= b),
 th(channel, k, i, p, kept) AS (SELECT channel, k, i, p, true FROM f WHERE k = 1 UNION ALL SELECT f.channel, f.k, CASE WHEN f.i - th.i >= 10 THEN f.i ELSE th.i END, f.p, f.i - th.i >= 10 FROM th JOIN f ON f.channel = th.channel AND f.k = th.k + 1),
 o AS (SELECT channel, i, p, row_number() OVER (PARTITION BY channel ORDER BY i) - 1 AS j FROM th WHERE kept)
 SELECT a.channel, a.i AS onset_idx, b.i AS offset_idx, round(a.p, 6) AS probability, (b.i - a.i) / 1000.0 AS duration FROM o a JOIN o b ON b.channel = a.channel AND b.j = a.j + 1 WHERE a.j % 2 = 0 AND b.i - a.i >= 12""",
 )
 def changepoints(spark, d):
-    c = kernels.changepoints(signal(spark, d), 0.05, 0.06, 10, True, 1000.0, 12, 150)
+    x = signal(spark, d).withColumn("value", F.col("value") / 50)
+    c = kernels.changepoints(x, 0.05, 0.2, 10, False, 1000.0, 12, 150)
     return c.select("channel", "onset_idx", "offset_idx", *r6("probability"), "duration")
 
 

@@ -148,6 +148,18 @@ def read_sorting(spark: SparkSession, folder: str, exclude: tuple[str, ...] = ()
     return spikes.join(units.select("unit_id"), "unit_id", "left_semi"), units, params
 
 
+def derived_folder(base: str, elsewhere: str | None = None) -> str:
+    """Where a recording's derived data belongs: drv_<recording> inside it, or under its parent's name elsewhere."""
+    base = base.rstrip("/")
+    parent, name = os.path.split(base)
+    return f"{elsewhere.rstrip('/')}/{os.path.basename(parent)}/drv_{name}" if elsewhere else f"{base}/drv_{name}"
+
+
+def stream_folder(derived: str, name: str) -> str:
+    """The folder of one stream of a recording."""
+    return f"{derived.rstrip('/')}/{name}.ant"
+
+
 def read_templates(spark: SparkSession, folder: str) -> DataFrame:
     """Template waveforms of a sorting folder: template, offset, channel, value; channels by channel_map.npy where there is one.
 
