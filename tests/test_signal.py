@@ -170,7 +170,7 @@ def test_changepoints(spark):
     x = np.concatenate([rng.normal(0, 1, 60), rng.normal(12, 1, 60), rng.normal(0, 1, 60)])
     p = kernels.changepoint_probability(x)
     assert p.shape == (180,) and ((p >= 0) & (p <= 1)).all()
-    assert kernels.changepoints(frame(spark, a=x), 0.01, 0.2, 10).columns == ["channel", "onset_idx", "offset_idx", "probability"]
+    assert kernels.changepoints(frame(spark, a=x), 0.01, 0.2, 10).columns == ["channel", "onset_idx", "offset_idx", "probability", "duration"]
 
 
 def test_whitening_and_components(spark):
