@@ -187,10 +187,14 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, key: str
     rows = common.materialize(rows.groupBy("doc_id").agg(F.min(F.struct("mark", "quality", "size", "x")).alias("one")).select("doc_id", "one.*"), "indicators")
     size = rows.agg(F.sum("size")).first()[0] or 0
     some = rows.where(place("doc_id", "mark") * size < SAMPLE) if size > SAMPLE else rows
-    got = some.select("doc_id", "quality", "x").toArrow().sort_by("doc_id")
+    got = some.select("doc_id", "quality", "x").toArrow()
     common.forget(rows)
-    xs = [np.frombuffer(x.as_buffer(), "<i4") for x in got.column("x")]
-    return fit_rows(xs, np.asarray(got.column("quality")), share)
+    order = np.argsort(np.asarray(got.column("doc_id")), kind="stable").tolist()
+    y, x = np.asarray(got.column("quality")), got.column("x")
+    model = fit_rows([np.frombuffer(x[i].as_buffer(), "<i4") for i in order], y[order] if order else y, share)
+    del got, x
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def held_out(key: str):
