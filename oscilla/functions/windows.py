@@ -42,12 +42,14 @@ def running(df: DataFrame, at: str, value: Column, name: str, keys: tuple[str, .
     what the blocks before hold.  So no task orders a whole channel.
     """
     rows = df.withColumn("_blk", F.floor(F.col(at) / block)).withColumn("_v", value)
+    # one exchange for both uses below: the same columns by the same keys, so that Spark computes what comes before it once
+    rows = rows.repartition(*keys, "_blk")
     best, pick = (F.min, F.least) if backwards else (F.max, F.greatest)
     order = (lambda c: F.col(c).desc()) if backwards else (lambda c: F.col(c).asc())
     last = -1 if strict else Window.currentRow
     near = best("_v").over(Window.partitionBy(*keys, "_blk").orderBy(order(at)).rowsBetween(Window.unboundedPreceding, last))
-    blocks = rows.groupBy(*keys, "_blk").agg(best("_v").alias("_b"))
-    far = blocks.withColumn("_far", best("_b").over(Window.partitionBy(*keys).orderBy(order("_blk")).rowsBetween(Window.unboundedPreceding, -1))).drop("_b")
+    blocks = rows.groupBy(*keys, "_blk").agg(best("_v").alias("_b"), F.bit_xor(F.xxhash64(*df.columns)).alias("_all")).where("_all IS NOT NULL")  # needs every column, like the rows themselves
+    far = blocks.withColumn("_far", best("_b").over(Window.partitionBy(*keys).orderBy(order("_blk")).rowsBetween(Window.unboundedPreceding, -1))).drop("_b", "_all")
     return rows.withColumn("_near", near).join(far, [*keys, "_blk"], "left").withColumn(name, pick("_near", "_far")).drop("_blk", "_v", "_near", "_far")
 
 
@@ -68,9 +70,12 @@ def runs(df: DataFrame, mask: Column, keys: tuple[str, ...] = KEYS) -> DataFrame
 
 def stretches(events: DataFrame, distance: int, keys: tuple[str, ...] = KEYS, at: str = "i") -> DataFrame:
     """Adds ``_run``, the first event of the crowded stretch an event belongs to: gaps of ``distance`` and more part them."""
-    rows = running(events, at, F.col(at), "_before", keys)
-    rows = rows.withColumn("_start", F.when(F.col("_before").isNull() | (F.col(at) - F.col("_before") >= distance), F.col(at)))
-    return running(rows, at, F.col("_start"), "_run", keys, strict=False).drop("_before", "_start")
+    # whether an event lies within the distance before this one, a neighbour of bounded reach, decides where a stretch begins
+    rows = events if at == "i" else events.withColumnRenamed(at, "i")
+    rows = over_neighbours(rows, distance, 0, lambda d, w: d.withColumn("_before", F.lag("i").over(w)), keys)
+    rows = rows.withColumn("_start", F.when(F.col("_before").isNull() | (F.col("i") - F.col("_before") >= distance), F.col("i"))).drop("_before")
+    out = running(rows, "i", F.col("_start"), "_run", keys, strict=False).drop("_start")
+    return out if at == "i" else out.withColumnRenamed("i", at)
 
 
 def _folded(events: DataFrame, distance: int, keys: tuple[str, ...], at: str, step: Callable[[Column, Column], Column]) -> DataFrame:
