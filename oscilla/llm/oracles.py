@@ -95,7 +95,55 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 coalesce(NOT base_failed AND {dist} <= 23.51, false) AS kept FROM r LEFT JOIN ew USING (g)"""
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_WARC = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+bits AS (SELECT *, array_to_string(list_transform(range(1, 41), lambda j:
+  substr('0000000100100011010001010110011110001001101010111100110111101111', 4 * instr('0123456789abcdef', substr(hex, j, 1)) - 3, 4)), '') AS b FROM p),
+d AS (SELECT page_id, payload_bytes, hex, array_to_string(list_transform(range(0, 32), lambda i:
+  substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(1, 6), lambda j: substr(b, 5 * i + j, 1)::INT * (1 << (5 - j))))::INT, 1)), '') AS payload_digest FROM bits),
+m AS (SELECT hex, max(page_id) AS best FROM d GROUP BY hex)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> best THEN best END AS refers_to
+FROM d JOIN m USING (hex)"""
+
+_PHRASES = rf"""
+WITH pc AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pc),
+n AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+f AS MATERIALIZED (
+  SELECT lang, k, phrase, count(*)::HUGEINT AS f FROM (
+    SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i+k-1], ' '))) AS phrase FROM w, range(1, 4) r(k) WHERE len(ws) >= k) t GROUP BY ALL),
+c AS MATERIALIZED (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE k >= 2 AND f >= 10),
+cut AS (SELECT lang, k, phrase, f AS a, j, array_to_string(ws[1:j], ' ') AS first, array_to_string(ws[j+1:k], ' ') AS rest FROM c, range(1, 3) r(j) WHERE j < k),
+s AS (SELECT cut.*, x.f AS l, y.f AS r, 1000000::HUGEINT * a * a // (x.f * y.f) AS score FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = cut.first JOIN f y ON y.lang = cut.lang AND y.phrase = cut.rest),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+sub AS (SELECT lang, phrase, max(f) AS most FROM (SELECT lang, f, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) AS phrase FROM c WHERE k = 3) GROUP BY ALL),
+kept AS (SELECT b.* FROM b LEFT JOIN sub USING (lang, phrase) WHERE most IS NULL OR 100 * most < 50 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score FROM ranked JOIN n USING (lang) WHERE rank <= 2000"""
+
+_RESAMPLE = rf"""
+WITH tab AS (SELECT list_transform(range(0, 256), lambda i: list_reduce(list_concat([i], range(0, 8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+dw AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+du AS MATERIALIZED (SELECT rid, unnest(ws) AS w FROM dw),
+bu AS MATERIALIZED (SELECT unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+words AS (SELECT w, hex(encode(w)) AS h FROM (SELECT w FROM du UNION SELECT w FROM bu)),
+bk AS MATERIALIZED (SELECT w, xor(list_reduce(list_concat([4294967295], list_transform(range(0, len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)),
+  lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS b FROM words, tab),
+s AS (SELECT b, count(*) AS s FROM du JOIN bk USING (w) GROUP BY b),
+t AS (SELECT b, count(*) AS t FROM bu JOIN bk USING (w) GROUP BY b),
+g AS MATERIALIZED (SELECT b, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM du) + 10000)::DOUBLE / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT count(*) FROM bu) + 10000)::DOUBLE)))::BIGINT AS gain FROM s FULL JOIN t USING (b)),
+x AS (SELECT rid, sum(gain)::BIGINT AS weight FROM du JOIN bk USING (w) JOIN g USING (b) GROUP BY rid),
+y AS (SELECT doc_id, len(ws)::BIGINT AS n_features, coalesce(weight, 0) AS weight, ('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT AS h FROM dw LEFT JOIN x USING (rid)),
+z AS (SELECT doc_id, n_features, weight, (weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))))::BIGINT AS score FROM y),
+r AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY n_features >= 20) AS n FROM z)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * n // 100 THEN place END AS rank FROM r"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_warc_source": _WARC,
+    "op12_phrase_mining": _PHRASES,
+    "op13_importance_resampling": _RESAMPLE,
     "op1_robust_outliers": _outliers(),
     "op3_minhash_near_dedup": f"""
 WITH RECURSIVE {_SHINGLES}, {_LINKS}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oscilla.llm import byte_bpe, common, decontaminate, html_text, language, near_dedup, outliers, pii, quality, token_counts, token_files
+from oscilla.llm import byte_bpe, common, decontaminate, html_text, language, near_dedup, outliers, phrases, pii, quality, resample, token_counts, token_files, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,6 +55,19 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, language.fit(docs))
 
 
+def op11_warc_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.write_pages(common.load(spark, sf_dir, "pages"), common.shared_path(spark, "warc"))
+    return warc.page_records(spark, path).drop("payload")
+
+
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.phrases(common.load(spark, sf_dir, "documents"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(common.load(spark, sf_dir, "documents"), common.load(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_robust_outliers": op1_robust_outliers,
     "op2_html_text": op2_html_text,
@@ -66,4 +79,7 @@ QUERIES: dict[str, Query] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_token_counts": op9_token_counts,
     "op10_language_id": op10_language_id,
+    "op11_warc_source": op11_warc_source,
+    "op12_phrase_mining": op12_phrase_mining,
+    "op13_importance_resampling": op13_importance_resampling,
 }
