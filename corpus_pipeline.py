@@ -22,7 +22,6 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     model = quality.fit(docs, common.load(spark, sf_dir, "labels"))
-    common.give_back(spark)
     return quality.accepted(docs.select(COLUMNS), model)
 
 
@@ -40,7 +39,6 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     judged = common.materialize(judged.where("NOT stays OR c > 1"), "judged")
     for done in (members, best):
         common.forget(done)
-    common.give_back(spark)
     rows = docs.withColumn("_mark", F.xxhash64("text"))
     named = F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("_mark") == F.col("of_mark"))
     once = rows.join(judged.where("stays"), named, "left_semi").dropDuplicates(["doc_id", "_mark"])
@@ -49,19 +47,16 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark item."""
-    common.give_back(spark)
     return decontaminate.without_contaminated(docs.select(COLUMNS), common.load(spark, sf_dir, "benchmark"))
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data masked in the text; n_chars follows."""
-    common.give_back(spark)
     return pii.masked(docs.select(COLUMNS)).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, with digests of the ids and of the decoded bytes."""
-    common.give_back(spark)
     return byte_bpe.round_trip(docs, with_tokens=True)
 
 
