@@ -57,13 +57,6 @@ def forget(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def give_back(spark: SparkSession) -> None:
-    """Executors collect their garbage and return free heap to the system, where Python workers and child processes need room beside
-    them.  A heap that a shuffle made grow would else stay as large.  Dealt to all cores as tasks; an executor without one keeps its heap."""
-    n = spark.sparkContext.defaultParallelism
-    spark.range(0, n, 1, n).select(F.reflect(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
-
-
 def bound_batches(spark: SparkSession) -> None:
     """Arrow batches of at most BATCH_BYTES for this session, unless it asks for smaller ones: long texts then do not add up."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"

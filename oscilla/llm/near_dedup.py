@@ -179,8 +179,6 @@ def groups(
 ) -> DataFrame:
     """As :func:`near_duplicates`, with ``mark`` (xxhash64 of the text, which with the id names a row up to repeats) and ``group``, a
     component's own name however ids repeat (null without shingles)."""
-    spark = docs.sparkSession
-    common.give_back(spark)
     base = common.two_columns(docs, key, text)
     base = base.withColumn("mark", F.xxhash64("text"))  # with the id, finds a class's text again, whatever ids are null or repeat
     seen = common.materialize(base.mapInArrow(_sketched(width, bands, rows), "doc_id long, mark long, n_shingles long, dig binary, bands array<bigint>"), "sketches")
@@ -196,7 +194,6 @@ def groups(
     shared = common.materialize(members.join(buckets, "band").select("band", "dig", "n", "hub"), "buckets")
     common.forget(members)
     common.forget(buckets)
-    common.give_back(spark)
 
     stars = shared.where("dig != hub").select(F.col("hub").alias("a"), F.col("dig").alias("b")).distinct()
     first = ids.join(shared.select("dig").distinct(), "dig", "left_semi")
@@ -208,9 +205,7 @@ def groups(
     comp = connected_components(links)
     placed = shared.select("band", "dig", "n").join(comp.select(F.col("node").alias("dig"), "comp"), "dig", "left").withColumn("comp", F.coalesce("comp", "dig"))
     placed = common.materialize(placed, "members")
-    common.give_back(spark)
     across = _links_across(placed, sets, percent)
-    common.give_back(spark)
     for done in (shared, sets, placed, comp):
         common.forget(done)
     comp = connected_components(links.unionByName(across))
@@ -223,7 +218,6 @@ def groups(
     found = common.materialize(found, "found")
     for done in (links, across, comp, ids, known, least, linked):
         common.forget(done)
-    common.give_back(spark)
     out = seen.select("doc_id", "mark", "n_shingles", "dig").join(found, "dig", "left")
     out = out.select("doc_id", "mark", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "group")
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -15,7 +15,7 @@ rule with a fixed seed.  Spans that it finds beside the base's are added; base s
 
 Defined results.  Null and empty texts: no spans.  Repeated rows and ids: each row is answered.
 Very long texts: whole; every pattern runs in linear time, and decoding keeps some bytes a token:
-segments are scored as they come, by sums that equal shapes share.  Empty table: empty result.  Extra
+segments are scored as they come, by sums that equal shapes share, and numeric ones a block of starts at a time.  Empty table: empty result.  Extra
 columns are not read.
 """
 
@@ -234,6 +234,123 @@ def segments(text: str) -> tuple[array, list[tuple[int, int]]]:
     return starts, out
 
 
+#: Tokens from which on numeric segments are scored by arrays, and starts that are scored together.
+DENSE, DENSE_BLOCK = 512, 1 << 14
+
+
+class _NumericShapes:
+    """Numeric segments of many starts at once.  A shape is a state, reached from the shape without its last token; every
+    state's features are summed once, however many segments have it."""
+
+    def __init__(self, model: SemiCRF):
+        self.model = model
+        self.tokens: dict[str, int] = {}
+        self.clear()
+        part = lambda x: np.array(model.part([x]))
+        self.checks = np.array([part("no luhn"), part("luhn"), part("no octets"), part("octets"), np.zeros(len(KINDS))])
+        self.right = np.array([model.part(["right  "]), model.part(["right x"])])
+
+    def clear(self) -> None:
+        self.states, self.next, self.own = [""], {}, [None]
+        self.tokens = {f"{k};": k for k in range(21)}
+        self.lefts: dict[tuple[str, ...], tuple[float, ...]] = {}
+
+    def _step(self, state: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """The states after one more token each; only pairs that are new cost a look-up."""
+        pairs, where = np.unique(state * (1 << 24) + token, return_inverse=True)
+        names = None
+        out = np.empty(len(pairs), np.int64)
+        for k, pair in enumerate(pairs.tolist()):
+            got = self.next.get(pair)
+            if got is None:
+                names = names or list(self.tokens)
+                got = self.next[pair] = len(self.states)
+                self.states.append(self.states[pair >> 24] + names[pair & 0xFFFFFF])
+                self.own.append(None)
+            out[k] = got
+        return out[where]
+
+    def _sums(self, state: np.ndarray) -> np.ndarray:
+        distinct, where = np.unique(state, return_inverse=True)
+        for k in distinct.tolist():
+            if self.own[k] is None:
+                shape = self.states[k]
+                self.own[k] = self.model.part(_of_shape(shape, "9" if "0" <= shape[0] <= "9" else shape[0]))
+        return np.array([self.own[k] for k in distinct.tolist()])[where]
+
+    def _left(self, text: str, lo: int) -> tuple[float, ...]:
+        names = tuple(_of_left(text, lo))
+        got = self.lefts.get(names)
+        if got is None:
+            got = self.lefts[names] = self.model.part(list(names))
+        return got
+
+    def scored(self, text: str, starts: array, classes: bytearray, a: int, b: int) -> list[tuple[int, int, float, int]]:
+        """(first token, end token, score, kind) of segments that begin with tokens a .. b - 1, by first and end token."""
+        if len(self.states) > 200_000 or len(self.lefts) > 200_000 or len(self.tokens) > 100_000:
+            self.clear()
+        n = len(classes)
+        b, e = min(b, n), min(b + LONGEST, n)
+        cls, at = np.frombuffer(classes[a : e + 1], np.uint8)[: e - a], np.array(starts[a : e + 1], np.int64)
+        size = np.diff(at)
+        char = np.frombuffer(text[at[0] : at[-1] + 1].encode("utf-32-le", "surrogatepass"), "<u4")[at[:-1] - at[0]]
+        digit = cls == _DIGIT
+        word = np.append(digit | (cls == _LETTER), at[-1] < len(text) and text[at[-1]].isalnum())  # whether a token begins with a word's character
+        before = np.concatenate([[at[0] > 0 and text[at[0] - 1].isalnum()], word[:-1]])[: e - a]
+        fine = digit | (cls == _SPACE) | (cls == _SEPARATOR)
+        first = np.flatnonzero(((digit & ~before) | ((cls == _SEPARATOR) & (char == ord("+"))))[: b - a])
+        digits = np.concatenate([[0], np.cumsum(size * digit)])
+        dots = np.concatenate([[0], np.cumsum((cls == _SEPARATOR) & (char == ord(".")))])
+        token = np.where(digit, np.minimum(size, 20), 0)
+        for k in np.flatnonzero(fine & ~digit).tolist():
+            token[k] = self.tokens.setdefault(text[at[k] : at[k + 1]], len(self.tokens))
+        state, found = np.zeros(len(first), np.int64), []
+        for length in range(1, LONGEST + 1):
+            last = first + length - 1
+            stays = last < e - a
+            stays[stays] = fine[last[stays]]
+            first, last, state = first[stays], last[stays], state[stays]
+            n_digits = digits[last + 1] - digits[first]
+            stays = n_digits <= 19
+            first, last, n_digits = first[stays], last[stays], n_digits[stays]
+            if not len(first):
+                break
+            state = self._step(state[stays], token[last])
+            n_dots = dots[last + 1] - dots[first]
+            good = digit[last] & ~word[last + 1] & (((n_digits >= 7) & (n_digits <= 19)) | ((n_dots == 3) & (n_digits >= 4) & (n_digits <= 12)))
+            found.append(np.stack([x[good] for x in (first, last + 1, state, n_digits, n_dots)]))
+        first, stop, state, n_digits, n_dots = np.concatenate(found, axis=1) if found else np.zeros((5, 0), np.int64)
+        if not len(first):
+            return []
+        total = self._sums(state)
+        some, where = np.unique(first, return_inverse=True)
+        total += np.array([self._left(text, at[k]) for k in some.tolist()])[where]
+        # beside what follows: a sign and then a word's character, or not
+        after = np.zeros(len(stop), np.int64)
+        inner = stop < e - a - 1
+        after[inner] = np.isin(char[stop[inner]], [ord(c) for c in "-./:,"]) & word[stop[inner] + 1]
+        for k in np.flatnonzero(~inner).tolist():
+            after[k] = _of_right(text, int(at[stop[k]])) == ["right x"]
+        total += self.right[after]
+        check = np.full(len(first), 4)
+        long = (n_digits > 12) & (n_digits < 20)
+        if long.any():
+            d = np.frombuffer("".join(text[at[k] : at[k + 1]] for k in np.flatnonzero(digit).tolist()).encode(), np.uint8).astype(np.int64) - 48
+            twice = d * 2 - 9 * (d > 4)
+            odd = np.arange(len(d)) % 2 == 1
+            sums = [np.concatenate([[0], np.cumsum(np.where(odd == side, d, twice))]) for side in (False, True)]
+            p, q = digits[first[long]], digits[stop[long]]
+            check[long] = np.where((q - 1) % 2 == 0, sums[0][q] - sums[0][p], sums[1][q] - sums[1][p]) % 10 == 0
+        for k in np.flatnonzero((n_dots == 3) & (at[stop] - at[first] == n_digits + 3)).tolist():
+            said = _of_digits(text[at[first[k]] : at[stop[k]]], "0" * int(n_digits[k]))
+            check[k] = 3 if "octets" in said else 2 if "no octets" in said else check[k]
+        total += self.checks[check]
+        top = total.max(axis=1)
+        keep = np.flatnonzero(top > 0)
+        keep = keep[np.lexsort((stop[keep], first[keep]))]
+        return list(zip((first[keep] + a).tolist(), (stop[keep] + a).tolist(), top[keep].tolist(), total[keep].argmax(axis=1).tolist(), strict=True))
+
+
 class SemiCRF:
     """Weights by kind and feature; entities score by segment, other tokens zero."""
 
@@ -243,6 +360,7 @@ class SemiCRF:
         self.right: dict[str, tuple[float, ...]] = {}
         self.table: list[tuple[float, ...]] = []
         self.rest: tuple[tuple[float, ...], ...] = ()
+        self.numeric: _NumericShapes | None = None
 
     def __reduce__(self):
         return SemiCRF, (self.weight,)  # what is remembered stays behind
@@ -275,6 +393,7 @@ class SemiCRF:
             # by what a numeric segment's digits are checked for: nothing, Luhn's sum, octets
             self.rest = self._most_of_rest(), self._most_of_rest("luhn", "no luhn"), self._most_of_rest("octets", "no octets")
         right, shapes, at = self.right, self.shapes, -1
+        dense = self._dense(text, starts, classes) if n >= DENSE else None
         for i in range(n + 1):
             if i:
                 best[i] = best[i - 1]
@@ -285,6 +404,11 @@ class SemiCRF:
             if i == n:
                 break
             at = _next_at(classes, i, at)
+            if dense and at >= min(n, i + LONGEST):
+                for j, top, y in dense(i):
+                    if best[i] + top > reach[j] + 1e-12:
+                        reach[j], back[j], kind[j] = best[i] + top, i, y
+                continue
             shape, done, left = "", i, None
             for j, numeric, size in segments_from(text, starts, classes, i, at):
                 if left is None:
@@ -321,6 +445,25 @@ class SemiCRF:
                 j = back[j]
         return out[::-1]
 
+    def _dense(self, text: str, starts: array, classes: bytearray) -> Callable[[int], Iterator[tuple[int, float, int]]]:
+        """(end token, score, kind) of the numeric segments of each start that score above nothing, starts asked for in ascending
+        order and without an at-sign in reach: scored for a block of starts at a time, as whole arrays."""
+        self.numeric = self.numeric or _NumericShapes(self)
+        block, at, hi = [], 0, 0
+
+        def of(i: int) -> Iterator[tuple[int, float, int]]:
+            nonlocal block, at, hi
+            if i >= hi:
+                hi = i + DENSE_BLOCK
+                block, at = self.numeric.scored(text, starts, classes, i, hi), 0
+            while at < len(block) and block[at][0] < i:
+                at += 1
+            while at < len(block) and block[at][0] == i:
+                yield block[at][1:]
+                at += 1
+
+        return of
+
     def decode(self, n: int, segs: list[tuple[int, int]], score: np.ndarray) -> list[tuple[int, int, int]]:
         """The best set of disjoint (first token, kind, end token); on ties fewer and shorter entities."""
         ends: dict[int, list[int]] = {}

@@ -88,20 +88,6 @@ def test_class_names_inside_an_article(name):
     assert got == ["Title", ("a first paragraph of it " * 5).strip(), ("the article goes on here " * 9).strip(), "The end."]
 
 
-def test_stages_return_the_heap_of_what_ran_before(spark, tmp_path):
-    import corpus_pipeline as cp
-
-    for table, rows, cols in (("labels", [(1, 1), (2, 0)], "doc_id long, quality int"), ("benchmark", [(1, "a b c")], "item_id long, text string")):
-        spark.createDataFrame(rows, cols).write.parquet(str(tmp_path / f"{table}.parquet"))
-    docs = spark.createDataFrame([(k, f"text {k} of some words", "aa", "s", 20) for k in range(9)], "doc_id long, text string, lang string, source string, n_chars long")
-    heap = spark._jvm.java.lang.Runtime.getRuntime().totalMemory
-    for name, stage in cp.STAGES:
-        spark.range(0, 4, 1, 4).select(F.length(F.expr("repeat(string(id), 300000000)"))).write.format("noop").mode("overwrite").save()
-        before = heap()
-        stage(spark, docs, str(tmp_path))
-        assert heap() < before - (300 << 20), (name, before, heap())
-
-
 def test_pipeline_stages_on_awkward_tables(spark, awkward, tmp_path):
     import corpus_pipeline as cp
 

@@ -468,6 +468,22 @@ def test_personal_data_by_windows():
         assert pii.added_spans(t, base, model) == [(a, y, b) for a, y, b in whole if not any(s < b and a < e for s, _, e in base)], t
 
 
+def test_segments_scored_by_arrays(monkeypatch):
+    """Numeric segments of blocks of starts, of any block's size, give the spans of the plain loop."""
+    model, rng = pii.default_model(), random.Random(43)
+    number = lambda: str(rng.randint(1, 10 ** rng.randint(1, 9)))
+    signs = [*"+.-() \n@,:", "  ", "word", "a1", "\u0663", "4111 1111 1111 1111", "1.2.3.4", "300.2.3.4", "\u00e9"]
+    for _ in range(300):
+        text = "".join((number() if rng.random() < 0.4 else rng.choice(signs)) + rng.choice(["", " ", ".", " "]) for _ in range(rng.randint(1, 160)))
+        lo = rng.randint(0, len(text) // 3)
+        hi = rng.randint(lo, len(text))
+        monkeypatch.setattr(pii, "DENSE", 1 << 40)
+        plain = model.decode_text(text, lo, hi)
+        monkeypatch.setattr(pii, "DENSE", 1)
+        monkeypatch.setattr(pii, "DENSE_BLOCK", rng.choice([1, 3, 20, 1000]))
+        assert model.decode_text(text, lo, hi) == plain
+
+
 def test_personal_data_in_very_long_lines():
     model = pii.default_model()
     rng = random.Random(41)
