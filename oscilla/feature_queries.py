@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from oscilla import model
 from oscilla import oracle_parts as parts
+from oscilla.functions import fourier
 from oscilla.operators import filters, kernels, learn, neighbourhood, pointwise
 from oscilla.queries import COLS, SIG, WIDE, out, r6, register, signal
 
@@ -249,6 +250,19 @@ def hilbert_envelope(spark, d):
     return out(kernels.hilbert_envelope(signal(spark, d)))
 
 
+@register(
+    "channel_spectrum",
+    f"""WITH {SIG}, n AS (SELECT channel, count(*) AS n FROM sig GROUP BY channel), k AS (SELECT channel, n, i AS k FROM sig JOIN n USING (channel)),
+s AS (SELECT channel, k, any_value(n) AS n, sum(value * cos(2 * pi() * ((i * k) % n) / n)) AS re, sum(value * sin(2 * pi() * ((i * k) % n) / n)) AS im FROM k JOIN sig USING (channel) GROUP BY ALL)
+SELECT channel, k, round((re * re + im * im) / (n * n), 6) + 0.0 AS power FROM s""",
+)
+def channel_spectrum(spark, d):
+    df = signal(spark, d)
+    n = df.groupBy("channel").agg(F.count("*").alias("n"))
+    power = (F.col("re") * F.col("re") + F.col("im") * F.col("im")) / (F.col("n") * F.col("n"))
+    return fourier.spectrum(df).join(n, "channel").select("channel", "k", power.alias("power")).select("channel", "k", *r6("power"))
+
+
 @register(
     "windowed_entropy",
     f"""WITH {SIG}, w AS (SELECT channel, i // 50 AS frame, i % 50 AS j, value FROM sig), ok AS (SELECT channel, frame, 0.5 * stddev_pop(value) AS tol FROM w GROUP BY ALL HAVING count(*) = 50),

@@ -7,10 +7,13 @@ windows run inside blocks, and the copies are dropped.  Results do not depend on
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BLOCK = 1 << 16
 KEYS = ("channel",)
@@ -78,35 +81,137 @@ def stretches(events: DataFrame, distance: int, keys: tuple[str, ...] = KEYS, at
     return out if at == "i" else out.withColumnRenamed("i", at)
 
 
-def _folded(events: DataFrame, distance: int, keys: tuple[str, ...], at: str, step: Callable[[Column, Column], Column]) -> DataFrame:
-    others = [c for c in events.columns if c not in keys]
-    run = stretches(events, distance, keys, at).groupBy(*keys, "_run").agg(F.array_sort(F.collect_list(F.struct(at, *(c for c in others if c != at)))).alias("_all"))
-    kept = F.aggregate("_all", F.slice("_all", 1, 0), step)
-    return run.select(*keys, F.explode(kept).alias("_x")).select(*keys, *(F.col(f"_x.{c}").alias(c) for c in others)).select(events.columns)
+#: Blocks whose scans are joined into one; "no event before" in the tables of scans.
+SUPER, NONE = 1 << 10, -(1 << 63)
 
 
-def highest_within(events: DataFrame, distance: int, value: str, keys: tuple[str, ...] = KEYS, at: str = "i") -> DataFrame:
-    """Events thinned in order: one within ``distance`` of the kept one before replaces it if its value is greater, and is dropped otherwise."""
-    if distance <= 1:
-        return events
-    last = lambda acc: F.element_at(acc, -1)
-    far = lambda acc, x: (F.size(acc) == 0) | (x[at] - last(acc)[at] >= distance)
-    swap = lambda acc, x: F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(x))
-    return _folded(events, distance, keys, at, lambda acc, x: F.when(far(acc, x), F.concat(acc, F.array(x))).when(x[value] > last(acc)[value], swap(acc, x)).otherwise(acc))
+def _successors(at: np.ndarray, value: np.ndarray | None, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each event of ascending ``at``: the event that follows it in a scan, and whether it stays.
 
+    A plain scan goes on to the first event at ``distance`` or more.  One by ``value`` goes on to a greater event that
+    comes before that, which then takes the event's place.  The number of events stands for none.
+    """
+    far = np.searchsorted(at, at + distance)
+    if value is None:
+        return far, np.ones(len(at), bool)
+    up, waiting = np.full(len(at), len(at)), []
+    for k, v in enumerate(value.tolist()):
+        while waiting and value[waiting[-1]] < v:
+            up[waiting.pop()] = k
+        waiting.append(k)
+    return np.minimum(far, up), up >= far
+
+
+def _meet(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """An inner join in which null keys are equal."""
+    named = right.select(*(F.col(c).alias(f"_of_{c}") if c in on else F.col(c) for c in right.columns))
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in on]
+    return left.join(named, same).drop(*(f"_of_{c}" for c in on))
+
+
+def _scan(events: DataFrame, distance: int, keys: tuple[str, ...], at: str, value: str | None, block: int) -> DataFrame:
+    """Events that a greedy scan along ``at`` keeps, without one task for a crowded stretch.
+
+    A scan is a chain: each event has one successor, whatever came before.  What a block of samples does to a scan is
+    thus a small table: for each event that may be the last before the block (none, or one within the distance of its
+    border) the last event when the scan leaves the block.  Tables of SUPER blocks are joined into one, those of a
+    channel are followed in order, and every block then learns with which event it is entered and scans its own events.
+    A task holds the events of one block, ``block`` samples or ``distance`` if that is more, or a table of few rows a block.
+    """
+    width, all_columns = max(block, distance), list(events.columns)
+    fields = {f.name: f for f in events.schema}
+    key_fields = [fields[k] for k in keys]
+    blk, place = F.floor(F.col(at) / width), F.pmod(F.col(at), F.lit(width))
+    last = F.when(place >= width - distance, blk + 1)
+    schema = lambda *more: T.StructType([*key_fields, *(T.StructField(c, T.LongType()) for c in more)])
+
+    def thinned(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray | None]:
+        """Places in order, with the greatest value of each."""
+        a = pdf[at].to_numpy(np.int64)
+        if value is None:
+            return np.unique(a), None
+        v = pdf[value].to_numpy(float, na_value=-np.inf)
+        order = np.lexsort((-v, a))
+        first = np.flatnonzero(np.diff(a[order], prepend=a[order[0]] - 1))
+        return a[order][first], v[order][first]
+
+    def table(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        a, v = thinned(pdf)
+        own, n = int(np.searchsorted(a, key[-1] * width)), len(a)
+        rows = []
+        if own < n:
+            nxt = _successors(a, v, distance)[0].tolist()
+            end = list(range(n))
+            for k in range(n - 1, -1, -1):
+                if nxt[k] < n:
+                    end[k] = end[nxt[k]]
+            rows = [(NONE, int(a[end[own]]))] + [(int(a[k]), int(a[end[k]])) for k in range(own) if nxt[k] >= own]
+        return pd.DataFrame([(*key, *r) for r in rows], columns=[*keys, "_blk", "_came", "_left"])
+
+    def tables(pdf: pd.DataFrame, by: str) -> Iterator[tuple[int, dict[int, int]]]:
+        """The table of each block, in order."""
+        for k, part in pdf.sort_values(by, kind="stable").groupby(by, sort=True):
+            yield int(k), dict(zip(part["_came"].tolist(), part["_left"].tolist(), strict=True))
+
+    def joined(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = [t for _, t in tables(pdf, "_blk")]
+        now = parts[0]
+        for t in parts[1:]:
+            now = {came: t.get(left, t[NONE]) for came, left in now.items()}
+        return pd.DataFrame([(*key, *r) for r in now.items()], columns=[*keys, "_super", "_came", "_left"])
+
+    def followed(by: str, rest: list[str]):
+        def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            state = int(pdf["_enters"].iloc[0]) if "_enters" in pdf else NONE
+            rows = []
+            for k, t in tables(pdf, by):
+                rows.append((*key, k, state))
+                state = t.get(state, t[NONE])
+            return pd.DataFrame(rows, columns=[*rest, by, "_enters"])
+
+        return run
+
+    def kept(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([at, "_n"]).drop_duplicates(at)
+        a = pdf[at].to_numpy(np.int64)
+        nxt, stays = _successors(a, None if value is None else pdf[value].to_numpy(float, na_value=-np.inf), distance)
+        lo, hi = (int(np.searchsorted(a, (key[-1] + k) * width)) for k in (0, 1))
+        came, k = int(pdf["_enters"].iloc[0]), lo
+        before = int(np.searchsorted(a[:lo], came))
+        if before < lo and a[before] == came:
+            k = int(nxt[before])
+        nxt, chosen = nxt.tolist(), []
+        while k < hi:
+            chosen.append(k)
+            k = nxt[k]
+        return pdf.iloc[[k for k in chosen if stays[k]]][all_columns]
+
+    rows = events.where(F.col(at).isNotNull())
+    columns = [*keys, at] if value is None else [*dict.fromkeys([*keys, at, value])]
+    small = rows.select(*columns, F.explode(F.array_compact(F.array(blk, last))).alias("_blk"))
+    by_block = small.groupBy(*keys, "_blk").applyInPandas(table, schema("_blk", "_came", "_left")).withColumn("_super", F.floor(F.col("_blk") / SUPER))
+    by_super = by_block.groupBy(*keys, "_super").applyInPandas(joined, schema("_super", "_came", "_left"))
+    enters = by_super.groupBy(*keys).applyInPandas(followed("_super", [*keys]), schema("_super", "_enters"))
+    entered = _meet(by_block, enters, [*keys, "_super"]).groupBy(*keys, "_super").applyInPandas(followed("_blk", [*keys, "_super"]), schema("_super", "_blk", "_enters")).drop("_super")
+    others = [F.col(c).asc() for c in events.columns if c not in keys and c not in (at, value)]
+    order = [F.col(at).asc(), *([] if value is None else [F.col(value).desc()]), *others]
+    first = F.when(place < distance, blk - 1) if value is not None else F.lit(None).cast("long")
+    full = rows.withColumn("_blk", F.explode(F.array_compact(F.array(blk, first, last))))
+    full = full.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, "_blk").orderBy(*order)))
+    return _meet(full, entered, [*keys, "_blk"]).groupBy(*keys, "_blk").applyInPandas(kept, events.schema)
+
+
+def highest_within(events: DataFrame, distance: int, value: str, keys: tuple[str, ...] = KEYS, at: str = "i", block: int = BLOCK) -> DataFrame:
+    """Events thinned in order: one within ``distance`` of the kept one before replaces it if its value is greater, and is dropped otherwise.
+
+    Null values are least.  Of several events at one place the one with the greatest value counts, then the first by the other columns.
+    """
+    return events if distance <= 1 else _scan(events, distance, keys, at, value, block)
 
-def refractory(events: DataFrame, distance: int, keys: tuple[str, ...] = KEYS, at: str = "i") -> DataFrame:
-    """Greedy scan: an event stays if it lies ``distance`` or more after the last that stayed.
 
-    Events that far from the one before always stay and start anew, so each crowded stretch is
-    scanned alone, inside the JVM.
-    """
-    if distance <= 1:
-        return events
-    return _folded(
-        events, distance, keys, at,
-        lambda acc, x: F.when((F.size(acc) == 0) | (x[at] - F.element_at(acc, -1)[at] >= distance), F.concat(acc, F.array(x))).otherwise(acc),
-    )
+def refractory(events: DataFrame, distance: int, keys: tuple[str, ...] = KEYS, at: str = "i", block: int = BLOCK) -> DataFrame:
+    """Greedy scan: an event stays if it lies ``distance`` or more after the last that stayed; of several at one place the first by the other columns."""
+    return events if distance <= 1 else _scan(events, distance, keys, at, None, block)
 
 
 def band_join(left: DataFrame, right: DataFrame, lo: int, hi: int, on: tuple[str, ...] = (), left_at: str = "l_at", right_at: str = "r_at") -> DataFrame:

@@ -9,26 +9,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from oscilla.functions import fourier
+
 
 def _kind(df: DataFrame) -> str:
     return dict(df.dtypes)["channel"]
 
 
-def hilbert_envelope(df: DataFrame) -> DataFrame:
-    """Magnitude of the analytic signal over the whole channel (its transform is global, so a channel is one task)."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i")
-        x = pdf["value"].to_numpy(float)
-        n = len(x)
-        keep = np.zeros(n)
-        keep[0] = 1
-        keep[1 : (n + 1) // 2] = 2
-        if n % 2 == 0:
-            keep[n // 2] = 1
-        return pdf[["channel", "i"]].assign(value=np.abs(np.fft.ifft(np.fft.fft(x) * keep)))
-
-    return df.select("channel", "i", "value").groupBy("channel").applyInPandas(run, f"channel {_kind(df)}, i long, value double")
+def hilbert_envelope(df: DataFrame, most: int = fourier.MOST) -> DataFrame:
+    """Magnitude of the analytic signal over the whole channel, whose transform runs in groups of ``most`` samples."""
+    z = fourier.analytic_signal(df.select("channel", "i", "value"), most=most)
+    return z.select("channel", "i", F.hypot("re", "im").alias("value"))
 
 
 def sample_entropy(x: np.ndarray, m: int = 2, r: float = 0.2, normalize: bool = True) -> float:

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
+from oscilla.functions import fourier
 from oscilla.functions.windows import KEYS, over_neighbours
 
 
@@ -53,15 +54,20 @@ def moving(df: DataFrame, window: int, stat: str = "mean", center: bool = True,
     return over_neighbours(df, lo, hi, add, keys).withColumn("value", F.col("_m")).drop("_m")
 
 
-def convolve(df: DataFrame, weights: list[float], center: bool = True, normalize: bool = True, align: str = "sample", keys: tuple[str, ...] = KEYS) -> DataFrame:
+def convolve(df: DataFrame, weights: list[float], center: bool = True, normalize: bool = True, align: str = "sample", keys: tuple[str, ...] = KEYS, method: str = "auto") -> DataFrame:
     """Weighted moving average with ``weights``; truncated windows are renormalised by the weights they use.
 
+    ``method``: "direct" sums, "fft" for overlapping segments, or "auto" for what :func:`fir_method` says.
     ``align="sample"`` gives each weight to its offset from the sample.  ``align="edge"`` slides the
     weights at the borders: the left border uses the last ones, the right border the first.
     """
     n = len(weights)
     lo = n // 2 if center else n - 1
     hi = n - 1 - lo
+    if method not in ("auto", "direct", "fft"):
+        raise ValueError(f"unknown method {method!r}")
+    if align == "sample" and (fir_method(n) if method == "auto" else method) == "fft":
+        return fourier.convolved(df, weights, lo, normalize, keys)
 
     def add(d: DataFrame, w: WindowSpec) -> DataFrame:
         values = F.collect_list("value").over(w.rowsBetween(-lo, hi))
@@ -122,7 +128,7 @@ def sinc_filter(df: DataFrame, cutoff: float, fs: float, size: int = 31, shape:
 
 
 def fir_method(size: int) -> str:
-    """Direct sums below 49 weights, a block transform above."""
+    """Direct sums below 49 weights, overlapping segments and their transforms above."""
     return "fft" if size > 48 else "direct"
 
 

@@ -237,6 +237,15 @@ def sinc_filter(spark, d):
     return out(neighbourhood.sinc_filter(signal(spark, d), 10.0, 100.0, 9))
 
 
+@register(
+    "long_sinc_filter",
+    f"""WITH {SIG}, k AS (SELECT k, (CASE WHEN k = 500 THEN 0.02 ELSE sin(0.02 * pi() * (k - 500)) / (pi() * (k - 500)) END) * (0.54 - 0.46 * cos(2 * pi() * k / 1000)) AS w FROM range(0, 1001) t(k))
+SELECT a.channel, a.i, round(sum(b.value * w) / sum(w), 6) + 0.0 AS value FROM sig a JOIN k ON true JOIN sig b ON b.channel = a.channel AND b.i = a.i - 500 + k GROUP BY ALL""",
+)
+def long_sinc_filter(spark, d):
+    return out(neighbourhood.sinc_filter(signal(spark, d), 10.0, 1000.0, 1001))
+
+
 @register("comb_notch", f"WITH {SIG} SELECT channel, i, round(value - 0.9 * coalesce(lag(value, 20) OVER w, 0), 6) + 0.0 AS value FROM sig {_W}")
 def comb_notch(spark, d):
     return out(neighbourhood.comb_notch(signal(spark, d), 50.0, 1000.0, 0.9))

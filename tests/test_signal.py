@@ -328,7 +328,6 @@ def test_running_stretches_and_runs_by_blocks(spark, monkeypatch):
         for c, i, v in events:
             early, late = [x for d, j, x in events if d == c and j < i], [j for d, j, _ in events if d == c and j > i]
             assert got[c, i] == (max(early, default=None), min(late, default=None), max([*early, v]))
-    monkeypatch.setattr(windows, "BLOCK", 64)
     for distance in (2, 15, 200):
         want_first, want_best = [], []
         for c in "ab":
@@ -342,8 +341,36 @@ def test_running_stretches_and_runs_by_blocks(spark, monkeypatch):
                     best[-1] = (i, v)
             want_first += [(c, i) for i in kept]
             want_best += [(c, *x) for x in best]
-        assert sorted((r.channel, r.i) for r in windows.refractory(df, distance).collect()) == want_first
-        assert sorted((r.channel, r.i, r.v) for r in windows.highest_within(df, distance, "v").collect()) == want_best
+        for block, group in ((1 << 16, 1 << 10), (64, 2), (7, 1)):  # chains over many blocks, and over many tables of blocks
+            monkeypatch.setattr(windows, "SUPER", group)
+            assert sorted((r.channel, r.i) for r in windows.refractory(df, distance, block=block).collect()) == want_first
+            assert sorted((r.channel, r.i, r.v) for r in windows.highest_within(df, distance, "v", block=block).collect()) == want_best
+
+
+def test_scans_of_awkward_events(spark):
+    """Ties at one place, nulls, negative places, other columns, empty tables."""
+    rows = [("a", -9, 1, None), ("a", -9, 3, "z"), ("a", -9, 3, "y"), ("a", -7, None, "n"), ("a", -2, 2, "m"), ("a", None, 9, "x"), ("a", 4, None, "q"), ("b", 5, None, "p"), (None, 5, 1, "r")]
+    df = spark.createDataFrame(rows, "channel string, i long, v int, note string")
+    for block in (1, 1 << 16):
+        assert {tuple(r) for r in windows.refractory(df, 6, block=block).collect()} == {rows[0], rows[4], rows[6], rows[7], rows[8]}
+        assert {tuple(r) for r in windows.highest_within(df, 8, "v", block=block).collect()} == {rows[2], rows[6], rows[7], rows[8]} | {("a", 4, None, "q")}
+    assert windows.refractory(df.where("false"), 5).count() == 0 and windows.refractory(df, 5).schema == df.schema
+    assert windows.refractory(df, 1).count() == len(rows)
+
+
+def test_crowded_stretch_of_a_whole_channel(spark):
+    """Half a million events with every gap below the distance: one chain, no task that holds it."""
+    df = spark.range(0, 1_500_000, 3).select(F.lit("a").alias("channel"), F.col("id").alias("i"), F.pmod(F.col("id") * 7919, F.lit(10_007)).alias("v"))
+    got = windows.refractory(df, 10).agg(F.count("*"), F.min("i"), F.max("i"), F.countDistinct(F.pmod("i", F.lit(12)))).first()
+    assert tuple(got) == (125_000, 0, 1_499_988, 1)
+    value = lambda i: i * 7919 % 10_007
+    best = []
+    for i in range(0, 1_500_000, 3):
+        if not best or i - best[-1] >= 10:
+            best.append(i)
+        elif value(i) > value(best[-1]):
+            best[-1] = i
+    assert sorted(r.i for r in windows.highest_within(df, 10, "v").select("i").collect()) == best
 
 
 def test_quantiles_are_exact(spark, monkeypatch):
