@@ -211,16 +211,18 @@ def _part(first: int | Column, n: Column | None = None) -> Column:
     return F.array_join(F.slice("ws", first, n), " ")
 
 
-def scored(counts: DataFrame) -> DataFrame:
+def scored(counts: DataFrame, longest: int = LONGEST) -> DataFrame:
     """(lang, words, phrase, a, l, r, score) of every candidate of the exact counts."""
-    salt = F.pmod(F.xxhash64("phrase"), F.lit(SALTS))
-    cand = counts.where("words >= 2").select("lang", "words", "phrase", F.col("f").alias("a"), salt.alias("salt"), F.split("phrase", " ").alias("ws"))
+    cand = counts.where("words >= 2").select("lang", "words", "phrase", F.col("f").alias("a"), F.split("phrase", " ").alias("ws"))
     cuts = cand.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("words") - 1)))
-    cuts = cuts.select("lang", "words", "phrase", "a", "salt", "k", _part(1, F.col("k")).alias("first"), _part(F.col("k") + 1, F.col("words") - F.col("k")).alias("rest"))
-    # a word may begin or end a large share of the candidates: its row stands in SALTS places
-    parts = counts.where("words >= 1").select("lang", "phrase", "f", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")).alias("salt"))
-    for side, name in (("first", "l"), ("rest", "r")):
-        cuts = cuts.join(parts.select("lang", F.col("phrase").alias(side), F.col("f").alias(name), "salt"), ["lang", side, "salt"])
+    cuts = cuts.select("lang", "words", "phrase", "a", "k", _part(1, F.col("k")).alias("first"), _part(F.col("k") + 1, F.col("words") - F.col("k")).alias("rest"))
+    # a word may begin or end a large share of the candidates: a single word's row stands in SALTS places, a longer part's in one
+    places = F.when(F.col("words") == 1, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))).cast("array<long>")
+    parts = counts.where(f"words BETWEEN 1 AND {max(1, longest - 1)}").select("lang", "phrase", "f", F.explode(places).alias("salt"))
+    salt = F.pmod(F.xxhash64("phrase"), F.lit(SALTS))
+    for side, name, single in (("first", "l", F.col("k") == 1), ("rest", "r", F.col("k") == F.col("words") - 1)):
+        cuts = cuts.withColumn("salt", F.when(single, salt).otherwise(0))
+        cuts = cuts.join(parts.select("lang", F.col("phrase").alias(side), F.col("f").alias(name), "salt"), ["lang", side, "salt"]).drop("salt")
     wide = lambda c: F.col(c).cast("decimal(19,0)")
     cuts = cuts.withColumn("top", (wide("a") * wide("a")).cast("decimal(31,0)") * F.lit(1_000_000).cast("decimal(7,0)")).withColumn("under", wide("l") * wide("r"))
     cuts = cuts.withColumn("score", F.expr("top div under"))
@@ -239,7 +241,7 @@ def subsumed(counts: DataFrame, share: int = SHARE) -> DataFrame:
 def phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, share: int = SHARE, top: int = TOP, text: str = "text", lang: str = "lang", width: int | None = None) -> DataFrame:
     """Each language's first ``top`` phrases by score and a descending, then phrase: lang, rank, phrase, a, l, r, n, score."""
     counts = frequent(docs, least, longest, text, lang, width)
-    left = scored(counts).join(subsumed(counts, share), ["lang", "phrase"], "left_anti")
+    left = scored(counts, longest).join(subsumed(counts, share), ["lang", "phrase"], "left_anti")
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase").asc()]
     # the best of each of SALTS parts first, so that no task orders all phrases of one language
     left = left.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)))
