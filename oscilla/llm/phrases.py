@@ -47,6 +47,8 @@ NARROWEST = 1 << 16
 #: Counters that are merged together.
 BLOCK = 1 << 20
 SALTS = 16
+#: Bytes of texts that are sketched, and that are counted, together; texts beyond LONG are taken apart in chunks.
+SKETCHED, COUNTED, LONG = 2 << 20, 4 << 20, 4 << 20
 LEAST, LONGEST, SHARE, TOP = 10, 3, 50, 2000
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
@@ -63,16 +65,18 @@ def _cells(hashes: np.ndarray, width: int) -> list[np.ndarray]:
     return [(_mixed(hashes * _ODD[k] + np.uint64(k)) & np.uint64(width - 1)).astype(np.int64) for k in range(DEPTH)]
 
 
-def _batches(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[tuple[Words, np.ndarray, list[str]]]:
-    """Words of each batch of (lang, text) with their language numbers and the languages; long texts in chunks."""
+def _batches(batches: Iterator[pa.RecordBatch], longest: int, most: int) -> Iterator[tuple[Words, np.ndarray, list[str]]]:
+    """Words of about ``most`` bytes of texts of (lang, text) at a time, with their language numbers and the languages; long texts in chunks."""
     for b in common.record_batches(batches):
         langs = b.column("lang").dictionary_encode()
         lang, names = langs.indices.to_numpy(zero_copy_only=False), langs.dictionary.to_pylist()
         size = pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False)
-        plain = np.flatnonzero(size <= 4 << 20)
-        words = SPLITTER.words(b.column("text").take(pa.array(plain)))
-        yield words, lang[plain][words.text], names
-        for k in np.flatnonzero(size > 4 << 20):
+        plain = np.flatnonzero(size <= LONG)
+        for some in np.split(plain, np.flatnonzero(np.diff(np.cumsum(size[plain], dtype=np.int64) // most)) + 1):
+            if len(some):
+                words = SPLITTER.words(b.column("text").take(pa.array(some)))
+                yield words, lang[some][words.text], names
+        for k in np.flatnonzero(size > LONG):
             for part, carried in SPLITTER.chunks(b.column("text")[int(k)].as_py().encode(), longest):
                 words = SPLITTER.words(pa.array([part], pa.large_binary()).cast(pa.large_string()), np.array([carried]))
                 yield words, np.full(len(words.word), lang[k]), names
@@ -98,7 +102,7 @@ def _runs(words: Words, one: np.ndarray, longest: int) -> Iterator[tuple[int, np
 def _sketched(width: int, longest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = np.zeros((DEPTH, width), np.uint8)
-        for words, lang, names in _batches(batches, longest):
+        for words, lang, names in _batches(batches, longest, SKETCHED):
             hashes = np.concatenate([h for _, _, h in _runs(words, _hashes(words, lang, names), longest)])
             distinct, counts = np.unique(hashes, return_counts=True)
             for row, cells in zip(rows, _cells(distinct, width), strict=True):
@@ -159,7 +163,7 @@ def _survivors(bits, width: int, longest: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = bits.value
-        for words, lang, names in _batches(batches, longest):
+        for words, lang, names in _batches(batches, longest, COUNTED):
             text_of = words.distinct.to_pylist()
             total = np.bincount(lang[words.owned], minlength=len(names)) if len(lang) else np.zeros(len(names), np.int64)
             out: tuple[list, list, list, list] = ([], [], [], [])
