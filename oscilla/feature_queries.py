@@ -364,3 +364,41 @@ def reference_chain(spark, d):
     """Median reference, whitening, normalisation and energy as one plan over a wide signal."""
     w = learn.whiten(pointwise.common_reference(model.item_signal(spark, d), COLS, "median"), ["c0", "c1"])
     return out(neighbourhood.tkeo(model.wide_to_long(w, ["c0", "c1"])))
+
+
+@register("zarr_round_trip", f"WITH {WIDE} SELECT i, round(c1, 6) + 0.0 AS c1, round(c3, 6) + 0.0 AS c3 FROM wide WHERE i >= 700 AND i < 5200")
+def zarr_round_trip(spark, d):
+    """A wide signal written as an array in chunks, and a window of two channels read back from the chunks that hold it."""
+    import uuid
+
+    from oscilla.sources import zarr
+
+    path = zarr.write_zarr(model.item_signal(spark, d), f"{_checkpoints(spark).rstrip('/')}/array-{uuid.uuid4().hex}", chunk=1000)
+    return zarr.read_zarr(spark, path, [1, 3]).where("i >= 700 AND i < 5200").select("i", F.round("1", 6).alias("c1"), F.round("3", 6).alias("c3"))
+
+
+_FACTOR_STEP = ", ".join(f"s{min(i, j)}{max(i, j)}" for i in range(4) for j in range(i, 4))
+
+
+def _factor_sql(steps: int) -> str:
+    """One factor of four channels by the textbook steps: w and noise p from s, the covariances."""
+    x = range(4)
+    s = lambda i, j: f"s{min(i, j)}{max(i, j)}"
+    cov = ", ".join(f"covar_pop(c{i}, c{j}) AS s{i}{j}" for i in x for j in range(i, 4))
+    names = _FACTOR_STEP
+    norm = "(1 + " + " + ".join(f"w{i} * w{i} / p{i}" for i in x) + ")"
+    spread = ", ".join("(" + " + ".join(f"{s(i, j)} * w{j} / p{j}" for j in x) + f") / {norm} AS t{i}" for i in x)
+    inner = "(1 - (" + " + ".join(f"w{i} * w{i} / p{i}" for i in x) + f") / {norm} + (" + " + ".join(f"w{i} / p{i} * t{i}" for i in x) + f") / {norm})"
+    return f"""WITH RECURSIVE {WIDE}, m AS (SELECT avg(c0) AS m0, avg(c1) AS m1, avg(c2) AS m2, avg(c3) AS m3, {cov} FROM wide),
+e AS (SELECT 1 AS k, {", ".join(f"sqrt(s{i}{i}) / 2 AS w{i}, s{i}{i} * 0.75 AS p{i}" for i in x)}, {names} FROM m
+UNION ALL SELECT k + 1, {", ".join(f"t{i} / g, s{i}{i} - t{i} / g * t{i}" for i in x)}, {names} FROM (SELECT *, {inner} AS g FROM (SELECT *, {spread} FROM e WHERE k < {steps}))),
+z AS (SELECT {", ".join(f"w{i}, p{i}" for i in x)}, {norm} AS v FROM e WHERE k = {steps})
+SELECT i, round(({" + ".join(f"w{i} / p{i} * (c{i} - m{i})" for i in x)}) / v, 6) + 0.0 AS score FROM wide, m, z"""
+
+
+@register("factor_scores", _factor_sql(41))
+def factor_scores(spark, d):
+    df = model.item_signal(spark, d).select("i", F.array(*(F.col(c) for c in COLS)).alias("x"))
+    mean, cov, n = learn.vector_covariance(df, "x")
+    fit = learn.Factors(mean, cov, n, 1, iterations=40, tolerance=-1e9, start=np.sqrt(np.diag(cov)) / 2)
+    return fit.transform(df).select("i", (F.round(F.element_at("components", 1), 6) + F.lit(0.0)).alias("score"))

@@ -369,17 +369,70 @@ def choose_eps(scores: DataFrame, criterion: str = "silhouette") -> float | None
     return top["eps"] if top else None
 
 
-TRAJECTORIES = ("pca", "dpca")
+class Factors:
+    """Factor analysis x = mean + W z + e, with noise of its own variance in each coordinate: loadings W (d, k), noise, log-likelihoods of the steps.
+
+    Expectation and maximisation need the covariance alone, so the rows are read once.  Loadings are turned so that the factors
+    are independent given the data, the strongest first, signs by the largest loading: with that the result does not depend on
+    the start, where the model determines it.
+    """
+
+    def __init__(self, mean: np.ndarray, cov: np.ndarray, n: int, k: int, iterations: int = 1000, tolerance: float = 1e-8, start: np.ndarray | None = None):
+        d, own = len(cov), np.diag(cov).copy()
+        if not 1 <= k <= d:
+            raise ValueError("between one factor and as many as there are coordinates")
+        least = np.maximum(1e-12 * own, 1e-300)  # of each coordinate, whatever its unit
+        if start is None:
+            s, u = eigen(cov)
+            top = np.argsort(s)[::-1][:k]
+            rest = (s.sum() - s[top].sum()) / max(1, d - k)
+            start = u[:, top] * np.sqrt(np.maximum(s[top] - rest, 0.0))
+        w, noise = np.array(start, float).reshape(d, k), np.maximum(own - (np.asarray(start, float).reshape(d, k) ** 2).sum(axis=1), np.maximum(own * 1e-3, least))
+        self.likelihood: list[float] = []
+        for _ in range(iterations):
+            under = w.T / noise  # W' / noise
+            inner = np.linalg.inv(np.eye(k) + under @ w)
+            log_det = np.log(noise).sum() - np.linalg.slogdet(inner)[1]
+            beta = inner @ under
+            spread = cov @ beta.T
+            trace = (own / noise).sum() - np.trace(under @ spread)
+            self.likelihood.append(-0.5 * n * (d * np.log(2 * np.pi) + log_det + trace))
+            if len(self.likelihood) > 1 and self.likelihood[-1] - self.likelihood[-2] < tolerance * n:
+                break
+            w = spread @ np.linalg.inv(np.eye(k) - beta @ w + beta @ spread)
+            noise = np.maximum(own - (w * spread).sum(axis=1), least)
+        s, u = np.linalg.eigh(w.T / noise @ w)
+        w = w @ u[:, np.argsort(s)[::-1]]
+        w = w * np.where(w[np.abs(w).argmax(axis=0), np.arange(k)] < 0, -1.0, 1.0)
+        self.mean, self.loadings, self.noise = mean, w, noise
+
+    def transform(self, df: DataFrame, value: str = "x", out: str = "components") -> DataFrame:
+        """Adds the expected factors given each row, as plain column arithmetic."""
+        under = self.loadings.T / self.noise
+        score = np.linalg.inv(np.eye(len(under)) + under @ self.loadings) @ under
+        base = -(score @ self.mean)
+        dot = lambda row: F.aggregate(F.zip_with(F.col(value), F.array(*map(F.lit, row.tolist())), lambda p, q: p * q), F.lit(0.0).cast("double"), lambda p, q: p + q)
+        return df.withColumn(out, F.array(*(dot(row) + float(b) for row, b in zip(score, base, strict=True))))
+
+
+def factors(df: DataFrame, k: int = 3, value: str = "x", **options) -> Factors:
+    """Factor analysis of the vectors of ``df`` by one pass for their covariance."""
+    mean, cov, n = vector_covariance(df, value)
+    return Factors(mean, cov, n, k, **options)
+
+
+TRAJECTORIES = ("pca", "fa", "dpca")
 
 
 def trajectories(df: DataFrame, method: str = "pca", k: int = 3, parameters: tuple[str, ...] = (), value: str = "x", by: tuple[str, ...] = ("trial",), at: str = "t"):
     """Trajectories in the first k components: the model, rows with ``components``, their metrics, and for "dpca" the components of each task parameter.
 
+    "fa" means the expected factors of a factor analysis.
     "dpca" means principal components too, of which every parameter is given the first k div (number of parameters).
     """
     if method not in TRAJECTORIES:
         raise ValueError(f"unknown trajectories {method!r}; there are {TRAJECTORIES}")
-    pcs = components(df, k, value)
+    pcs = factors(df, k, value) if method == "fa" else components(df, k, value)
     rows = pcs.transform(df, value)
     share = k // len(parameters) if parameters else 0
     parts = {p: (pcs.axes[:share], pcs.ratio[:share]) for p in parameters} if method == "dpca" else {}

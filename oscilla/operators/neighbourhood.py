@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from oscilla.functions import fourier
 from oscilla.functions.windows import KEYS, over_neighbours
@@ -137,6 +140,81 @@ def smooth(df: DataFrame, window: int, center: bool = True) -> DataFrame:
     return moving(df, window, "mean", center)
 
 
+def savgol_weights(window: int, order: int, at: int | None = None) -> list[float]:
+    """Weights of a least-squares polynomial through ``window`` samples, read at its middle or at sample ``at``."""
+    if window < 1 or not 0 <= order < window:
+        raise ValueError("the order must be less than the window")
+    half = window // 2
+    x = (np.arange(window) - half) / max(half, 1)
+    to = (half if at is None else at) - half
+    powers = x[:, None] ** np.arange(order + 1)
+    return (np.linalg.pinv(powers).T @ (to / max(half, 1)) ** np.arange(order + 1)).tolist()
+
+
+def savitzky_golay(df: DataFrame, window: int, order: int, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """True Savitzky-Golay: each sample becomes the value of a polynomial fitted to the window around it.
+
+    At the borders the polynomial of the first (last) whole window is read at each of its samples.  Channels shorter than
+    the window are fitted whole, by a polynomial of at most that order.  :func:`smooth` keeps the compatible moving mean.
+    """
+    if window % 2 == 0:
+        raise ValueError("the window must be odd")
+    half = window // 2
+    middle = savgol_weights(window, order)
+
+    def add(d: DataFrame, w: WindowSpec) -> DataFrame:
+        near = F.collect_list("value").over(w.rowsBetween(-half, half))
+        fit = F.aggregate(F.zip_with(near, F.array(*map(F.lit, middle)), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+        return d.withColumn("_s", F.when(F.size(near) == window, fit))
+
+    inner = over_neighbours(df, half, half, add, keys)
+    if half == 0:
+        return inner.withColumn("value", F.col("_s")).drop("_s")
+    # the first and last windows of each channel: two short arrays, and a matrix of weights by length and place
+    n = df.groupBy(*keys).agg((F.max("i") + 1).alias("_n"))
+    ends = df.join(n, list(keys)).where((F.col("i") < window) | (F.col("i") >= F.col("_n") - window))
+    listed = lambda condition: F.transform(F.array_sort(F.collect_list(F.when(condition, F.struct("i", "value")))), lambda s: s["value"])
+    ends = ends.groupBy(*keys, "_n").agg(listed(F.col("i") < window).alias("_first"), listed(F.col("i") >= F.col("_n") - window).alias("_last"))
+    table = {m: [savgol_weights(m, min(order, m - 1), k) for k in range(m)] for m in range(1, window + 1)}
+    of_size = F.array(*(F.array(*(F.array(*map(F.lit, row)) for row in table[m])) for m in range(1, window + 1)))
+    left = F.col("i") < half
+    place = F.when(left | (F.col("_n") <= window), F.col("i")).otherwise(F.col("i") - F.col("_n") + window)
+    values = F.when(left, F.col("_first")).otherwise(F.col("_last"))
+    weights = F.element_at(F.element_at(of_size, F.size(values)), (place + 1).cast("int"))
+    edge = F.aggregate(F.zip_with(values, weights, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    return inner.join(ends, list(keys)).withColumn("value", F.coalesce("_s", edge)).select(df.columns)
+
+
+def peak_follower(df: DataFrame, attack: float, release: float, fs: float, keys: tuple[str, ...] = KEYS, block: int = 1 << 16) -> DataFrame:
+    """Envelope that rises towards |x| with time constant ``attack`` and falls with ``release`` (seconds): y += (1 - exp(-1 / (fs t))) (|x| - y), from 0.
+
+    What y was is forgotten at least as fast as the slower constant says, so a block that begins that much earlier (where it no
+    longer changes a double) gives the values of a scan of the whole channel.  Null and NaN samples leave y as it is.
+    """
+    if attack < 0 or release < 0:
+        raise ValueError("time constants are not negative")
+    up, down = (1.0 if t == 0 else 1 - math.exp(-1 / (fs * t)) for t in (attack, release))
+    slow = min(up, down)
+    halo = 1 if slow >= 1 else math.ceil(40 / -math.log1p(-slow))
+    block = max(block, halo)
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("i")
+        out, y = [], 0.0
+        for x in np.abs(pdf["value"].to_numpy(float, na_value=np.nan)).tolist():
+            if x == x:
+                y += (up if x > y else down) * (x - y)
+            out.append(y)
+        own = (pdf["i"] // block == key[-1]).to_numpy()
+        return pdf.assign(value=out)[own][columns]
+
+    columns = list(df.columns)
+    blk, at = F.floor(F.col("i") / block), F.pmod(F.col("i"), F.lit(block))
+    rows = df.withColumn("_blk", F.explode(F.array_compact(F.array(blk, F.when(at >= block - halo, blk + 1)))))
+    fields = [T.StructField("value", T.DoubleType()) if f.name == "value" else f for f in df.schema]
+    return rows.groupBy(*keys, "_blk").applyInPandas(run, T.StructType(fields))
+
+
 def exponential(df: DataFrame, alpha: float, keys: tuple[str, ...] = KEYS, block: int = 512) -> DataFrame:
     """y[0] = x[0], y[i] = alpha x[i] + (1 - alpha) y[i-1], exact over whole channels.
 

@@ -237,10 +237,32 @@ def sinc_filter(spark, d):
     return out(neighbourhood.sinc_filter(signal(spark, d), 10.0, 100.0, 9))
 
 
+@register(
+    "savitzky_golay",
+    f"""WITH {SIG}, n AS (SELECT channel, count(*) AS n FROM sig GROUP BY channel), w(place, k, w) AS (VALUES (0, 0, 31), (0, 1, 9), (0, 2, -3), (0, 3, -5), (0, 4, 3), (1, 0, 9), (1, 1, 13), (1, 2, 12), (1, 3, 6), (1, 4, -5),
+  (2, 0, -3), (2, 1, 12), (2, 2, 17), (2, 3, 12), (2, 4, -3), (3, 0, -5), (3, 1, 6), (3, 2, 12), (3, 3, 13), (3, 4, 9), (4, 0, 3), (4, 1, -5), (4, 2, -3), (4, 3, 9), (4, 4, 31)),
+p AS (SELECT channel, i, least(greatest(i - 2, 0), n - 5) AS first FROM sig JOIN n USING (channel))
+SELECT p.channel, p.i, round(sum(w * value) / 35 + 1e-9, 6) + 0.0 AS value FROM p JOIN w ON w.place = p.i - first JOIN sig s ON s.channel = p.channel AND s.i = first + k GROUP BY ALL""",
+)
+def savitzky_golay(spark, d):
+    return neighbourhood.savitzky_golay(signal(spark, d), 5, 2).select("channel", "i", *off6("value"))
+
+
+@register(
+    "peak_follower",
+    f"""WITH RECURSIVE {SIG}, y AS (SELECT channel, i, (1 - exp(-1 / 2)) * abs(value) AS y FROM sig WHERE i = 0
+UNION ALL SELECT s.channel, s.i, y + (CASE WHEN abs(value) > y THEN 1 - exp(-1 / 2) ELSE 1 - exp(-1 / 50) END) * (abs(value) - y) FROM y JOIN sig s ON s.channel = y.channel AND s.i = y.i + 1)
+SELECT channel, i, round(y, 6) + 0.0 AS value FROM y""",
+)
+def peak_follower(spark, d):
+    return out(neighbourhood.peak_follower(signal(spark, d), 0.002, 0.05, 1000.0))
+
+
 @register(
     "long_sinc_filter",
-    f"""WITH {SIG}, k AS (SELECT k, (CASE WHEN k = 500 THEN 0.02 ELSE sin(0.02 * pi() * (k - 500)) / (pi() * (k - 500)) END) * (0.54 - 0.46 * cos(2 * pi() * k / 1000)) AS w FROM range(0, 1001) t(k))
-SELECT a.channel, a.i, round(sum(b.value * w) / sum(w), 6) + 0.0 AS value FROM sig a JOIN k ON true JOIN sig b ON b.channel = a.channel AND b.i = a.i - 500 + k GROUP BY ALL""",
+    f"""WITH {SIG}, p AS (SELECT a.channel, a.i, b.value, b.i - a.i AS j FROM sig a JOIN sig b ON b.channel = a.channel AND b.i BETWEEN a.i - 500 AND a.i + 500),
+w AS (SELECT *, (CASE WHEN j = 0 THEN 0.02 ELSE sin(0.02 * pi() * j) / (pi() * j) END) * (0.54 - 0.46 * cos(2 * pi() * (j + 500) / 1000)) AS w FROM p)
+SELECT channel, i, round(sum(value * w) / sum(w), 6) + 0.0 AS value FROM w GROUP BY ALL""",
 )
 def long_sinc_filter(spark, d):
     return out(neighbourhood.sinc_filter(signal(spark, d), 10.0, 1000.0, 1001))

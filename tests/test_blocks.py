@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from oscilla.functions import fourier
-from oscilla.operators import kernels, neighbourhood
+from oscilla.operators import kernels, learn, neighbourhood
 
 
 def channels(spark, sizes, seed=1):
@@ -105,3 +105,66 @@ def test_segments_with_gaps_and_nulls(spark):
         k = [j for j in range(3) if i - 1 + j in have]
         assert abs(got["a", i] - sum(w[j] * have[i - 1 + j] for j in k) / sum(w[j] for j in k)) < 1e-9
     assert fourier.convolved(df.where("false"), w, 1).schema.names == df.columns
+
+
+@pytest.mark.parametrize("window,order", [(1, 0), (5, 2), (9, 3), (31, 4)])
+def test_savitzky_golay(spark, window, order):
+    df, x = channels(spark, [1, 4, 31, 700])
+    got = {(r.channel, r.i): r.value for r in neighbourhood.savitzky_golay(df, window, order).collect()}
+    assert len(got) == 736
+    for c, xs in x.items():
+        n = len(xs)
+        for i in range(n):
+            lo = min(max(i - window // 2, 0), max(n - window, 0))
+            part = xs[lo : lo + window]
+            fit = np.polynomial.Polynomial.fit(np.arange(len(part)), part, min(order, len(part) - 1))
+            assert abs(got[c, i] - fit(i - lo)) < 1e-6
+    line = df.withColumn("value", 3.0 * F.col("i") - 2 + F.col("i") * F.col("i") * 0.5)
+    if order >= 2:  # polynomials up to the order stay as they are, at the borders too
+        assert neighbourhood.savitzky_golay(line, window, order).join(line.withColumnRenamed("value", "v"), ["channel", "i"]).agg(F.max(F.abs(F.col("value") - F.col("v")))).first()[0] < 1e-6
+
+
+def test_peak_follower(spark):
+    df, x = channels(spark, [1, 3, 4000])
+    df = df.withColumn("value", F.when(F.col("i") == 2, None).otherwise(F.col("value"))).withColumn("note", F.lit("n"))
+    for attack, release in ((0.0, 0.0), (0.001, 0.02), (0.05, 0.002)):
+        up, down = (1.0 if t == 0 else 1 - np.exp(-1 / (1000 * t)) for t in (attack, release))
+        got = neighbourhood.peak_follower(df, attack, release, 1000.0, block=64).collect()
+        mine = {(r.channel, r.i): r.value for r in got}
+        assert len(mine) == len(got) == 4004
+        for c, xs in x.items():
+            y = 0.0
+            for i, v in enumerate(np.abs(xs).tolist()):
+                y += 0.0 if i == 2 else (up if v > y else down) * (v - y)
+                assert abs(mine[c, i] - y) < 1e-12
+    with pytest.raises(ValueError):
+        neighbourhood.peak_follower(df, -1, 0, 1.0)
+
+
+def test_factor_analysis(spark):
+    """Likelihood never falls, loadings and noise are found again, and scores are those of the plain formula."""
+    rng = np.random.default_rng(7)
+    w = np.array([[2, 0.0], [1.5, 0], [1, 0.3], [0, 1], [0, -0.8], [0.2, 0.5]])
+    noise = np.array([0.5, 0.2, 0.4, 0.3, 0.6, 0.1])
+    x = rng.normal(size=(20_000, 2)) @ w.T + rng.normal(size=(20_000, 6)) * np.sqrt(noise) + 5
+    df = spark.createDataFrame([(i, i // 100, v.tolist()) for i, v in enumerate(x)], "t long, trial long, x array<double>")
+    fit = learn.factors(df, 2)
+    assert all(b >= a - 1e-6 for a, b in zip(fit.likelihood, fit.likelihood[1:])) and len(fit.likelihood) > 3
+    assert np.allclose(fit.loadings @ fit.loadings.T, w @ w.T, atol=0.1) and np.allclose(fit.noise, noise, atol=0.06)
+    under = fit.loadings.T @ np.diag(1 / fit.noise)
+    inner = under @ fit.loadings
+    assert abs(inner[0, 1]) < 1e-6 * inner[0, 0] and inner[0, 0] > inner[1, 1]
+    got = np.array([r.components for r in fit.transform(df).orderBy("t").limit(50).collect()])
+    cov = fit.loadings @ fit.loadings.T + np.diag(fit.noise)
+    assert np.allclose(got, (x[:50] - x.mean(axis=0)) @ np.linalg.inv(cov) @ fit.loadings, atol=1e-8)
+    other = learn.Factors(*learn.vector_covariance(df), 2, start=rng.normal(size=(6, 2)) * 0.3, tolerance=1e-12, iterations=5000)
+    same = learn.Factors(*learn.vector_covariance(df), 2, tolerance=1e-12, iterations=5000)
+    assert np.allclose(other.loadings, same.loadings, atol=1e-3)
+    model, rows, metrics, _ = learn.trajectories(df, "fa", 2)
+    assert isinstance(model, learn.Factors) and metrics.count() == 200 and len(rows.first()["components"]) == 2
+    constant = spark.createDataFrame([([1.0, 2.0, 3.0],)] * 4, "x array<double>")
+    assert np.allclose([r.components for r in learn.factors(constant, 1).transform(constant).collect()], 0)
+    with pytest.raises(ValueError):
+        learn.factors(df, 7)
+    with pytest.raises(ValueError, match="unknown trajectories"):
+        learn.trajectories(df, "xyz")
