@@ -45,7 +45,6 @@ def _inverse_of(name: str, source: str, keys: str) -> str:
 def _outliers(steps: int = 16) -> str:
     """The whole outlier rule: statistics, pools, three starts, concentration steps while the determinant falls, reweighting, distances."""
     x, pairs = range(4), [(i, j) for i in range(4) for j in range(i, 4)]
-    floor = ("0.08", "0.03", "0.2", "0.25")
     sql = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, lang, source FROM documents),
 wd AS (SELECT rid, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls, text FROM d),
@@ -55,41 +54,43 @@ rp AS (SELECT rid, sum(least(3, coalesce(nx - p, 3)))::BIGINT AS n_repeat_words
 st AS (SELECT d.rid, doc_id, lang, source, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, len(regexp_extract_all(d.text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
   len(ls) AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM d JOIN wd USING (rid) LEFT JOIN rp USING (rid)),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, coalesce('=' || lang, '-') AS gl, coalesce('=' || lang, '-') || chr(31) || coalesce('=' || source, '-') AS gf FROM st),
-x AS MATERIALIZED (SELECT *, CASE WHEN NOT base_failed THEN ln(word_chars / n_words) END AS x0, CASE WHEN NOT base_failed THEN ln(1 + n_symbols / n_words) END AS x1,
-  CASE WHEN NOT base_failed THEN asin(sqrt(n_dup_lines / greatest(n_lines, 1))) END AS x2, CASE WHEN NOT base_failed THEN asin(sqrt(least(n_repeat_words / n_words, 1.0))) END AS x3 FROM f),
+x AS MATERIALIZED (SELECT *, CASE WHEN NOT base_failed THEN ln(word_chars / n_words) END AS x0, CASE WHEN NOT base_failed THEN sqrt((n_symbols + 0.375::DOUBLE) / n_words) END AS x1,
+  CASE WHEN NOT base_failed THEN asin(sqrt(least((n_dup_lines + 0.375::DOUBLE) / (greatest(n_lines, 1) + 0.75::DOUBLE), 1.0))) END AS x2, CASE WHEN NOT base_failed THEN asin(sqrt(least((n_repeat_words / 6 + 0.375::DOUBLE) / (n_words / 6 + 0.75::DOUBLE), 1.0))) END AS x3,
+  CASE WHEN NOT base_failed THEN 1 / word_chars END AS v0, CASE WHEN NOT base_failed THEN 1 / (4 * n_words) END AS v1, CASE WHEN NOT base_failed THEN 1 / (4 * greatest(n_lines, 1) + 2) END AS v2, CASE WHEN NOT base_failed THEN 1 / (4 * (n_words / 6) + 2) END AS v3 FROM f),
 sz AS (SELECT gf, any_value(gl) AS gl, count(*) AS size FROM x WHERE NOT base_failed GROUP BY gf),
-pl AS (SELECT gl, sum(size) AS pool FROM sz WHERE size < 50 GROUP BY gl),
-nm AS (SELECT gf, CASE WHEN size >= 50 THEN gf WHEN pool >= 50 THEN gl || chr(31) || '*' ELSE '*' END AS g FROM sz LEFT JOIN pl USING (gl)),
+pl AS (SELECT gl, sum(size) AS pool FROM sz WHERE size < 10 GROUP BY gl),
+nm AS (SELECT gf, CASE WHEN size >= 10 THEN gf WHEN pool >= 10 THEN gl || chr(31) || '*' ELSE '*' END AS g FROM sz LEFT JOIN pl USING (gl)),
 r AS MATERIALIZED (SELECT x.*, g FROM x LEFT JOIN nm USING (gf)),
 fit AS MATERIALIZED (SELECT * FROM r WHERE NOT base_failed),
+rg AS MATERIALIZED (SELECT g, avg(v0) AS r0, avg(v1) AS r1, avg(v2) AS r2, avg(v3) AS r3 FROM fit GROUP BY g),
 md AS (SELECT g, k, bin, coalesce(sum(n) OVER (PARTITION BY g, k ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(n) OVER (PARTITION BY g, k) AS all_
   FROM (SELECT g, k, bin, count(*) AS n FROM (SELECT g, unnest([0, 1, 2, 3]) AS k, unnest([floor(x0 * 200), floor(x1 * 200), floor(x2 * 200), floor(x3 * 200)]) AS bin FROM fit) GROUP BY ALL)),
 qu AS (SELECT g, k, max(CASE WHEN before < all_ * 0.25 THEN bin END) AS b0, max(CASE WHEN before < all_ * 0.5 THEN bin END) AS b1, max(CASE WHEN before < all_ * 0.75 THEN bin END) AS b2 FROM md GROUP BY ALL),
 """
-    sql += f"""mid AS MATERIALIZED (SELECT g, {", ".join(f"max(CASE WHEN k = {i} THEN (b1 + 0.5) / 200 END)::DOUBLE AS m{i}, greatest({floor[i]}::DOUBLE, max(CASE WHEN k = {i} THEN b2 - b0 END) / (200 * 1.349::DOUBLE)) AS d{i}" for i in x)} FROM qu GROUP BY g),
+    sql += f"""mid AS MATERIALIZED (SELECT g, {", ".join(f"max(CASE WHEN k = {i} THEN (b1 + 0.5) / 200 END)::DOUBLE AS m{i}, greatest(sqrt(max(r{i})), max(CASE WHEN k = {i} THEN b2 - b0 END) / (200 * 1.349::DOUBLE)) AS d{i}, max(r{i}) AS r{i}" for i in x)} FROM qu JOIN rg USING (g) GROUP BY g),
 z AS (SELECT g, {", ".join(f"(x{i} - m{i}) / d{i} AS z{i}" for i in x)} FROM fit JOIN mid USING (g)),
 u AS (SELECT g, {", ".join(f"avg(CASE WHEN z0 * z0 + z1 * z1 + z2 * z2 + z3 * z3 > 0 THEN z{i} * z{j} / (z0 * z0 + z1 * z1 + z2 * z2 + z3 * z3) ELSE 0 END) AS u{i}{j}" for i, j in pairs)} FROM z GROUP BY g),
-sg AS (SELECT g, m0, m1, m2, m3, {", ".join(f"4 * u{i}{j} * d{i} * d{j} + {f'{floor[i]}::DOUBLE * {floor[i]}' if i == j else '0'} AS c{i}{j}" for i, j in pairs)} FROM mid JOIN u USING (g)),{_inverse_of("sgn", "sg", "g")},
+sg AS (SELECT g, m0, m1, m2, m3, {", ".join(f"4 * u{i}{j} * d{i} * d{j} + {f'r{i}' if i == j else '0'} AS c{i}{j}" for i, j in pairs)} FROM mid JOIN u USING (g)),{_inverse_of("sgn", "sg", "g")},
 e0 AS MATERIALIZED (
-  SELECT g, 1 AS s, m0, m1, m2, m3, {", ".join(f"{f'1 / ({floor[i]}::DOUBLE * {floor[i]})' if i == j else '0.0::DOUBLE'} AS p{i}{j}" for i, j in pairs)}, 'inf'::DOUBLE AS det FROM mid
+  SELECT g, 1 AS s, m0, m1, m2, m3, {", ".join(f"{f'1 / r{i}' if i == j else '0.0::DOUBLE'} AS p{i}{j}" for i, j in pairs)}, 'inf'::DOUBLE AS det FROM mid
   UNION ALL SELECT g, 2, m0, m1, m2, m3, {", ".join(f"{f'1 / (d{i} * d{i})' if i == j else '0.0'}" for i, j in pairs)}, 'inf'::DOUBLE FROM mid
   UNION ALL SELECT g, 3, m0, m1, m2, m3, {", ".join(f"p{i}{j}" for i, j in pairs)}, 'inf'::DOUBLE FROM sgn)"""
     dist = "greatest(" + " + ".join(f"(x{i} - m{i}) * (x{j} - m{j}) * p{i}{j} * {1 if i == j else 2}" for i, j in pairs) + ", 0)"
     sums = ", ".join([f"sum(x{i} - m{i}) AS s{i}" for i in x] + [f"sum((x{i} - m{i}) * (x{j} - m{j})) AS q{i}{j}" for i, j in pairs] + [f"any_value(m{i}) AS m{i}" for i in x])
     tot = ", ".join([f"sum(s{i}) AS s{i}" for i in x] + [f"sum(q{i}{j}) AS q{i}{j}" for i, j in pairs] + [f"any_value(m{i}) AS o{i}" for i in x])
-    cov = lambda factor: ", ".join([f"o{i} + s{i} / n AS m{i}" for i in x] + [f"(q{i}{j} / n - s{i} / n * (s{j} / n)) * {factor}::DOUBLE + {f'{floor[i]}::DOUBLE * {floor[i]}' if i == j else '0'} AS c{i}{j}" for i, j in pairs])
+    cov = lambda factor: ", ".join([f"o{i} + s{i} / n AS m{i}" for i in x] + [f"(q{i}{j} / n - s{i} / n * (s{j} / n)) * {factor}::DOUBLE + {f'r{i}' if i == j else '0'} AS c{i}{j}" for i, j in pairs])
     every = [f"m{i}" for i in x] + [f"p{i}{j}" for i, j in pairs] + ["det"]
     for k in range(steps):
         sql += f""",
 b{k} AS (SELECT g, s, floor(ln({dist} + 1e-6) * 64) AS bin, count(*) AS n, {sums} FROM fit JOIN e{k} USING (g) GROUP BY ALL),
 k{k} AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY g, s ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(n) OVER (PARTITION BY g, s) AS all_ FROM b{k}),
 t{k} AS (SELECT g, s, sum(n)::DOUBLE AS n, {tot} FROM k{k} WHERE before < ceil(all_ * 0.75) GROUP BY g, s),
-c{k} AS (SELECT g, s, {cov("1.486")} FROM t{k}),{_inverse_of(f"v{k}", f"c{k}", "g, s")},
+c{k} AS (SELECT g, s, {cov("1.486")} FROM t{k} JOIN rg USING (g)),{_inverse_of(f"v{k}", f"c{k}", "g, s")},
 e{k + 1} AS MATERIALIZED (SELECT e.g, e.s, {", ".join(f"CASE WHEN v.det < e.det * (1 - 1e-4::DOUBLE) THEN v.{c} ELSE e.{c} END AS {c}" for c in every)} FROM e{k} e JOIN v{k} v ON v.g = e.g AND v.s = e.s)"""
     sql += f""",
 best AS (SELECT * FROM e{steps} QUALIFY row_number() OVER (PARTITION BY g ORDER BY det, s) = 1),
 tw AS (SELECT g, count(*)::DOUBLE AS n, {tot.replace("sum(s", "sum(a").replace("sum(q", "sum(b")} FROM (SELECT g, m0, m1, m2, m3, {", ".join([f"x{i} - m{i} AS a{i}" for i in x] + [f"(x{i} - m{i}) * (x{j} - m{j}) AS b{i}{j}" for i, j in pairs])} FROM fit JOIN best USING (g) WHERE {dist} <= 11.143) GROUP BY g),
-cw AS (SELECT g, {cov("1.0645")} FROM tw),{_inverse_of("ew", "cw", "g")}"""
+cw AS (SELECT g, {cov("1.0645")} FROM tw JOIN rg USING (g)),{_inverse_of("ew", "cw", "g")}"""
     return sql + f"""
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(CASE WHEN NOT base_failed THEN {dist} END, 6) AS distance2,
 coalesce(NOT base_failed AND {dist} <= 23.51, false) AS kept FROM r LEFT JOIN ew USING (g)"""

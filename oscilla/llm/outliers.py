@@ -4,26 +4,30 @@ Statistics.  Words are maximal runs outside 0x20 and 0x09-0x0D.  Per text: words
 points, symbols ``#*$%&|<>``, lines equal to an earlier line, and words inside 3-word windows that
 occur twice or more.  Windows are compared by 64-bit hashes within one text.
 
-Method.  Four transformed statistics (log of mean word length, log of one plus symbols per word,
-arcsine of the root of the share of repeated lines and of repeated words) are modelled per
-language and source by the minimum-covariance-determinant estimate: the mean and covariance of
-those three quarters of the rows whose covariance has the least determinant.  The search is
-deterministic: from three starts (medians with the least scales, medians with quartile scales,
-the spatial sign covariance) concentration steps take the nearest three quarters of the rows
-again and again, each chain until its determinant stops falling; the chain with the least
-determinant wins, and one step of reweighting over the rows within the 0.975 quantile gives the
-final mean and covariance.  A step is one pass: distances fall into fine logarithmic bins, moments
-are summed per group and bin (combined before the shuffle), and a running sum over a group's bins
-finds the nearest three quarters.  No group is sorted or gathered, so a source with a third of all
-rows costs no more than others, and equal distances stay together.  Covariances are scaled to be
-consistent for normal data and regularised: each coordinate's least standard deviation is added to
-the diagonal, as in the minimum regularised covariance determinant, so that constant statistics
-(no symbols at all) stay invertible and small departures from them are tolerated.  Rows with a
-Mahalanobis distance beyond the cut-off are rejected.
-
-Small groups.  Groups with fewer than ``LEAST`` rows are pooled by language, and pools that are
-still smaller with each other.  What is left then is estimated however few its rows: with the
-regularised diagonal a single row has a covariance too, and a distance of 0.
+Method.  Four transformed statistics are modelled per language and source by the
+minimum-covariance-determinant estimate: the mean and covariance of those three quarters of the
+rows whose covariance has the least determinant.  They are the log of the mean word length, and for
+symbols per word, repeated lines per line and repeats per six words (a repeat is two windows of
+three words at least) the roots that make a count's error the same at every rate (arcsine for
+shares, with 3/8 added to the count).  The search is deterministic: from three starts (medians
+with the least scales, medians with quartile scales, the spatial sign covariance) concentration
+steps take the nearest three quarters of the rows again and again, each chain until its determinant
+stops falling; the chain with the least determinant wins, and one step of reweighting over the rows
+within the 0.975 quantile gives the final mean and covariance.  A step is one pass: distances fall
+into fine logarithmic bins, moments are summed per group and bin (combined before the shuffle), and
+a running sum over a group's bins finds the nearest three quarters.  No group is sorted or gathered,
+so a source with a third of all rows costs no more than others, and equal distances stay together.
+Covariances are scaled to be consistent for normal data.  To the diagonal comes the group's own
+sampling error: the mean, over its rows, of the variance that each statistic has because a text is
+finite (1 / word characters, 1 / 4 words, 1 / (4 lines + 2), 1 / (4 words / 6 + 2)).  So a
+statistic that is constant in a group stays invertible and is judged by what chance allows at these
+lengths; no scale is set from outside.  Rows with a squared Mahalanobis distance beyond the 0.9999
+quantile are rejected.
+
+Small groups.  Groups with fewer than ``LEAST`` rows, too few for four dimensions, are pooled by
+language, and pools that are still smaller with each other.  What is left then is estimated however
+few its rows: with the sampling error on the diagonal a single row has a covariance too, and a
+distance of 0.
 
 Defined results.  Null, empty and blank texts: all statistics 0, base_failed (fewer than 50 words),
 distance null, not kept.  Null language or source: a group of its own.  Repeated rows and ids:
@@ -38,9 +42,9 @@ from pyspark.sql import functions as F
 
 from oscilla.llm import common
 
-FEATURES = ("x1", "x2", "x3", "x4")
-#: Least standard deviation of each transformed statistic.
-FLOOR = (0.08, 0.03, 0.2, 0.25)
+FEATURES, ERRORS = ("x1", "x2", "x3", "x4"), ("v1", "v2", "v3", "v4")
+#: Words of the least repeat.
+REPEAT = 6
 #: Share of rows a concentration step keeps, and the factor that makes its covariance consistent in 4 dimensions: 0.75 / P(chi2_6 <= q), q the 0.75 quantile of chi2_4.
 SHARE, CONSISTENT = 0.75, 1.486
 #: Reweighting: the 0.975 quantile of chi-squared with 4 degrees of freedom, and 0.975 / P(chi2_6 <= that quantile).
@@ -49,7 +53,7 @@ WEIGHED, WEIGHED_CONSISTENT = 11.143, 1.0645
 CUTOFF = 23.51
 #: A determinant falls if it falls by this part at least.
 FALL = 1e-4
-LEAST, MIN_WORDS = 50, 50
+LEAST, MIN_WORDS = 10, 50
 #: Groups whose estimates (about 200 bytes each) may be broadcast.
 BROADCAST_GROUPS = common.BROADCAST_BYTES // 200
 _BLANK = "[\\\\x20\\\\x09-\\\\x0D]+"
@@ -93,17 +97,15 @@ def statistics(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: s
 
 
 def transformed(stats: DataFrame) -> DataFrame:
-    """The statistics with x1 to x4 and the name ``g`` of the row's language and source; x null where the base failed."""
+    """The statistics with x1 to x4, their sampling variances v1 to v4 and the name ``g`` of the row's language and source; x and v null where the base failed."""
     n = F.col("n_words").cast("double")
     name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
-    values = (
-        F.log(F.col("word_chars") / n),
-        F.log1p(F.col("n_symbols") / n),
-        F.asin(F.sqrt(F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)))),
-        F.asin(F.sqrt(F.least(F.col("n_repeat_words") / n, F.lit(1.0)))),
-    )
+    lines, repeats, places = F.greatest(F.col("n_lines"), F.lit(1)), F.col("n_repeat_words") / REPEAT, n / REPEAT
+    share = lambda k, m: F.asin(F.sqrt(F.least((k + 0.375) / (m + 0.75), F.lit(1.0))))
+    values = (F.log(F.col("word_chars") / n), F.sqrt((F.col("n_symbols") + 0.375) / n), share(F.col("n_dup_lines"), lines), share(repeats, places))
+    errors = (1 / F.col("word_chars"), 1 / (4 * n), 1 / (4 * lines + 2), 1 / (4 * places + 2))
     out = stats.select("*", name("lang").alias("g_lang"), F.concat(name("lang"), F.lit("\u001f"), name("source")).alias("g_full"))
-    return out.select("*", *(F.when(~F.col("base_failed"), v).alias(x) for x, v in zip(FEATURES, values, strict=True)))
+    return out.select("*", *(F.when(~F.col("base_failed"), v).alias(x) for x, v in zip((*FEATURES, *ERRORS), (*values, *errors), strict=True)))
 
 
 def _inverse(est: DataFrame, *keys: str) -> DataFrame:
@@ -147,6 +149,7 @@ def _running(binned: DataFrame, by: list[str]) -> DataFrame:
     return binned.withColumn("before", F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("all", F.sum("n").over(whole))
 
 
+_REGULAR = [f"r{i}" for i in range(4)]
 _SUMS, _MEANS, _INVERSE = [f"s{i}" for i in range(4)] + [f"q{i}{j}" for i, j in _PAIRS], [f"m{i}" for i in range(4)], [f"p{i}{j}" for i, j in _PAIRS]
 
 
@@ -157,52 +160,54 @@ def _moments() -> list[Column]:
 
 
 def _estimate(sums: DataFrame, consistent: float, *keys: str) -> DataFrame:
-    """Means, inverse covariances and determinants from sums about m_i."""
+    """Means, inverse covariances and determinants from sums about m_i; r_i comes to the diagonal and stays."""
     shift = [F.col(f"s{i}") / F.col("n") for i in range(4)]
-    cov = [((F.col(f"q{i}{j}") / F.col("n") - shift[i] * shift[j]) * consistent + (FLOOR[i] ** 2 if i == j else 0.0)).alias(f"c{i}{j}") for i, j in _PAIRS]
+    cov = [((F.col(f"q{i}{j}") / F.col("n") - shift[i] * shift[j]) * consistent + (F.col(f"r{i}") if i == j else 0.0)).alias(f"c{i}{j}") for i, j in _PAIRS]
+    keys = (*keys, *_REGULAR)
     return _inverse(sums.select(*keys, *((F.col(m) + shift[i]).alias(m) for i, m in enumerate(_MEANS)), *cov), *keys)
 
 
 def starts(fit: DataFrame, small: bool) -> DataFrame:
-    """g, s (number of the start), means and inverse covariances to begin with; det is infinite."""
+    """g, s (number of the start), means, inverse covariances and sampling variances to begin with; det is infinite."""
     held = (lambda e: F.broadcast(e)) if small else (lambda e: e)
     # coordinate-wise quartiles, to a bin of 0.005
     each = fit.select("g", F.posexplode(F.array(*(F.floor(F.col(x) * 200) for x in FEATURES))).alias("f", "bin")).groupBy("g", "f", "bin").agg(F.count("*").alias("n"))
     at = [F.max(F.when(F.col("before") < F.col("all") * q, F.col("bin"))).alias(f"b{k}") for k, q in enumerate((0.25, 0.5, 0.75))]
     mid = _running(each, ["g", "f"]).groupBy("g", "f").agg(*at)
-    spread = lambda i: F.greatest(F.lit(FLOOR[i]), F.max(F.when(F.col("f") == i, F.col("b2") - F.col("b0"))) / (200 * 1.349))
-    mid = mid.groupBy("g").agg(*(F.max(F.when(F.col("f") == i, (F.col("b1") + 0.5) / 200)).alias(f"m{i}") for i in range(4)), *(spread(i).alias(f"d{i}") for i in range(4)))
+    regular = fit.groupBy("g").agg(*(F.avg(v).alias(r) for v, r in zip(ERRORS, _REGULAR, strict=True)))
+    spread = lambda i: F.greatest(F.sqrt(F.max(f"r{i}")), F.max(F.when(F.col("f") == i, F.col("b2") - F.col("b0"))) / (200 * 1.349))
+    mid = mid.join(regular, "g").groupBy("g").agg(*(F.max(r).alias(r) for r in _REGULAR), *(F.max(F.when(F.col("f") == i, (F.col("b1") + 0.5) / 200)).alias(f"m{i}") for i in range(4)), *(spread(i).alias(f"d{i}") for i in range(4)))
     mid = common.materialize(mid, "quartiles")
-    plain = [F.lit(1 / FLOOR[i] ** 2 if i == j else 0.0).alias(f"p{i}{j}") for i, j in _PAIRS]
+    plain = [(1 / F.col(f"r{i}") if i == j else F.lit(0.0)).alias(f"p{i}{j}") for i, j in _PAIRS]
     scaled = [(1 / (F.col(f"d{i}") * F.col(f"d{i}")) if i == j else F.lit(0.0)).alias(f"p{i}{j}") for i, j in _PAIRS]
     z = [(F.col(x) - F.col(f"m{i}")) / F.col(f"d{i}") for i, x in enumerate(FEATURES)]
     norm = z[0] * z[0] + z[1] * z[1] + z[2] * z[2] + z[3] * z[3]
     signs = fit.join(held(mid), "g").groupBy("g").agg(*(F.avg(F.when(norm > 0, z[i] * z[j] / norm).otherwise(0.0)).alias(f"u{i}{j}") for i, j in _PAIRS))
-    cov = [(4 * F.col(f"u{i}{j}") * F.col(f"d{i}") * F.col(f"d{j}") + (FLOOR[i] ** 2 if i == j else 0.0)).alias(f"c{i}{j}") for i, j in _PAIRS]
-    third = _inverse(mid.join(signs, "g").select("g", *_MEANS, *cov)).select("g", F.lit(3).alias("s"), *_MEANS, *_INVERSE)
-    both = (mid.select("g", F.lit(k).alias("s"), *_MEANS, *p) for k, p in ((1, plain), (2, scaled)))
+    cov = [(4 * F.col(f"u{i}{j}") * F.col(f"d{i}") * F.col(f"d{j}") + (F.col(f"r{i}") if i == j else 0.0)).alias(f"c{i}{j}") for i, j in _PAIRS]
+    third = _inverse(mid.join(signs, "g").select("g", *_REGULAR, *_MEANS, *cov), "g", *_REGULAR).select("g", F.lit(3).alias("s"), *_MEANS, *_INVERSE, *_REGULAR)
+    both = (mid.select("g", F.lit(k).alias("s"), *_MEANS, *p, *_REGULAR) for k, p in ((1, plain), (2, scaled)))
     return next(both).unionByName(next(both)).unionByName(third).withColumn("det", F.lit(float("inf")))
 
 
 def estimates(fit: DataFrame, small: bool = False) -> DataFrame:
-    """g, means and inverse covariances of the groups of ``fit`` (g, x1..x4 without nulls)."""
+    """g, means and inverse covariances of the groups of ``fit`` (g, x1..x4 and v1..v4 without nulls)."""
     held = (lambda e: F.broadcast(e)) if small else (lambda e: e)
     est, fell = common.materialize(starts(fit, small), "starts"), True
     while fell:  # determinants only fall, so this ends
         near = fit.join(held(est.drop("det", "fell")), "g").withColumn("bin", F.floor(F.log(_distance() + 1e-6) * 64))
-        binned = near.groupBy("g", "s", "bin").agg(F.count("*").alias("n"), *_moments(), *(F.first(m).alias(m) for m in _MEANS))
+        binned = near.groupBy("g", "s", "bin").agg(F.count("*").alias("n"), *_moments(), *(F.first(m).alias(m) for m in (*_MEANS, *_REGULAR)))
         kept = _running(binned, ["g", "s"]).where(F.col("before") < F.ceil(F.col("all") * SHARE))
-        got = _estimate(kept.groupBy("g", "s").agg(F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in _SUMS), *(F.first(m).alias(m) for m in _MEANS)), CONSISTENT, "g", "s")
+        got = _estimate(kept.groupBy("g", "s").agg(F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in _SUMS), *(F.first(m).alias(m) for m in (*_MEANS, *_REGULAR))), CONSISTENT, "g", "s")
         got = got.select("g", "s", *(F.col(c).alias(f"new_{c}") for c in (*_MEANS, *_INVERSE, "det")))
         lower = F.col("new_det") < F.col("det") * (1 - FALL)
-        step = est.drop("fell").join(got, ["g", "s"]).select("g", "s", *(F.when(lower, F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in (*_MEANS, *_INVERSE, "det")), lower.alias("fell"))
+        step = est.drop("fell").join(got, ["g", "s"]).select("g", "s", *_REGULAR, *(F.when(lower, F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in (*_MEANS, *_INVERSE, "det")), lower.alias("fell"))
         seen = Observation()
         before, est = est, common.materialize(step.observe(seen, F.max("fell").alias("fell")).coalesce(1), "estimates")
         common.forget(before)
         fell = bool(seen.get["fell"])
-    best = est.groupBy("g").agg(F.min(F.struct("det", "s", *_MEANS, *_INVERSE)).alias("best")).select("g", *(F.col(f"best.{c}").alias(c) for c in (*_MEANS, *_INVERSE)))
+    best = est.groupBy("g").agg(F.min(F.struct("det", "s", *_MEANS, *_INVERSE, *_REGULAR)).alias("best")).select("g", *(F.col(f"best.{c}").alias(c) for c in (*_MEANS, *_INVERSE, *_REGULAR)))
     near = fit.join(held(best), "g").where(_distance() <= WEIGHED)
-    return _estimate(near.groupBy("g").agg(F.count("*").alias("n"), *_moments(), *(F.first(m).alias(m) for m in _MEANS)), WEIGHED_CONSISTENT, "g")
+    return _estimate(near.groupBy("g").agg(F.count("*").alias("n"), *_moments(), *(F.first(m).alias(m) for m in (*_MEANS, *_REGULAR))), WEIGHED_CONSISTENT, "g")
 
 
 def robust_outliers(docs: DataFrame, cutoff: float = CUTOFF, least: int = LEAST, **columns: str) -> DataFrame:
@@ -216,7 +221,7 @@ def robust_outliers(docs: DataFrame, cutoff: float = CUTOFF, least: int = LEAST,
     names = common.materialize(names, "names")
     small = sizes.count() <= BROADCAST_GROUPS
     held = (lambda e: F.broadcast(e)) if small else (lambda e: e)
-    fit = common.materialize(rows.where("NOT base_failed").select("g_full", *FEATURES).join(held(names), "g_full").select("g", *FEATURES), "features")
+    fit = common.materialize(rows.where("NOT base_failed").select("g_full", *FEATURES, *ERRORS).join(held(names), "g_full").select("g", *FEATURES, *ERRORS), "features")
     est = common.materialize(estimates(fit, small), "estimates")
     for done in (sizes, fit):
         common.forget(done)

@@ -179,9 +179,9 @@ def test_covariance_inverse(spark):
     assert all(abs(got[f"p{i}{j}"] - want[i, j]) < 1e-9 for i in range(4) for j in range(i, 4))
 
 
-def exhaustive_mcd(x):
+def exhaustive_mcd(x, errors):
     """Mean and inverse covariance by the least regularised determinant of all subsets of three quarters, then reweighted."""
-    floor = np.diag(np.square(outliers.FLOOR))
+    floor = np.diag(errors)
     cov = lambda y, factor: np.cov(y.T, bias=True) * factor + floor
     h = int(np.ceil(len(x) * outliers.SHARE))
     best = min((list(c) for c in itertools.combinations(range(len(x)), h)), key=lambda c: np.linalg.det(cov(x[c], outliers.CONSISTENT)))
@@ -197,11 +197,12 @@ def test_estimates_against_all_subsets(spark):
         x = rng.normal(size=(rng.integers(9, 14), 4)) @ a
         x[: rng.integers(0, 3)] += rng.normal(size=4) * 40
         groups[f"g{k}"] = x
-    rows = [(g, *map(float, v)) for g, x in groups.items() for v in x]
-    got = {r.g: r for r in outliers.estimates(spark.createDataFrame(rows, "g string, x1 double, x2 double, x3 double, x4 double")).collect()}
+    errors = {g: rng.choice([1e-4, 1e-2, 0.05], size=(len(x), 4)) for g, x in groups.items()}
+    rows = [(g, *map(float, v), *map(float, e)) for g, x in groups.items() for v, e in zip(x, errors[g], strict=True)]
+    got = {r.g: r for r in outliers.estimates(spark.createDataFrame(rows, "g string, x1 double, x2 double, x3 double, x4 double, v1 double, v2 double, v3 double, v4 double")).collect()}
     same = 0
     for g, x in groups.items():
-        m, p = exhaustive_mcd(x)
+        m, p = exhaustive_mcd(x, errors[g].mean(axis=0))
         r = got[g]
         mine, inv = np.array([r[f"m{i}"] for i in range(4)]), np.array([[r[f"p{min(i, j)}{max(i, j)}"] for j in range(4)] for i in range(4)])
         kept = lambda c, q: np.einsum("ni,ij,nj->n", x - c, q, x - c) <= outliers.CUTOFF  # noqa: B023, E731
@@ -209,6 +210,37 @@ def test_estimates_against_all_subsets(spark):
     assert same >= 22  # concentration from three starts may end in another local least of a dozen points
 
 
+def test_the_estimate_decides(spark):
+    """A group's own spread decides: the same deviation is ordinary in one and far out in another; sampling errors alone would reject other rows."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for g, scale in (("narrow", 0.02), ("wide", 0.4)):
+        for k in range(200):
+            rows.append((g, k, *map(float, rng.normal(size=4) * [scale, 0.05, 0.05, 0.05])))
+        rows.append((g, 999, 0.5, 0.0, 0.0, 0.0))
+    fit = spark.createDataFrame([(*r, 1e-4, 1e-4, 1e-4, 1e-4) for r in rows], "g string, k int, x1 double, x2 double, x3 double, x4 double, v1 double, v2 double, v3 double, v4 double")
+    est = outliers.estimates(fit)
+    kept = {(r.g, r.k): r.d <= outliers.CUTOFF for r in fit.join(est, "g").withColumn("d", outliers._distance()).select("g", "k", "d").collect()}
+    assert kept["wide", 999] and not kept["narrow", 999]
+    assert sum(kept.values()) >= 398
+    by_errors = {(r[0], r[1]): sum(x * x for x in r[2:]) / 1e-4 <= outliers.CUTOFF for r in rows}
+    assert sum(by_errors[k] != kept[k] for k in kept) > 300
+
+
+def test_texts_are_judged_by_their_group(spark):
+    """Long words reject a text where words are alike in length, and not where they vary."""
+    rng = random.Random(15)
+    word = lambda a, b: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(a, b)))
+    text = lambda a, b: " ".join(word(a, b) for _ in range(300))
+    rows = [(k, text(4, 6), "en", "even") for k in range(60)]
+    for k in range(60):
+        lo = rng.randint(2, 8)
+        rows.append((100 + k, text(lo, lo + 2), "en", "mixed"))
+    rows += [(900, text(7, 9), "en", "even"), (901, text(7, 9), "en", "mixed")]
+    got = {r.doc_id: r.kept for r in outliers.robust_outliers(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not got[900] and got[901] and sum(got.values()) >= 119
+
+
 def test_outliers_of_small_and_tied_groups(spark):
     rng = random.Random(9)
     long = lambda: say(rng, rng.randint(60, 90))
