@@ -6,8 +6,11 @@ aggregates; lag and lead windows stay inside a segment.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BY = ("channel", "segment")
 
@@ -93,12 +96,94 @@ def trend(metrics: DataFrame, value: str, window: int = 10, by: tuple[str, ...]
     return rows.groupBy(*by).agg(F.regr_slope("_v", "_x").alias("_s"), F.avg("_v").alias("_m")).select(*by, F.when(F.col("_m") != 0, F.col("_s") / F.col("_m")).alias("trend"))
 
 
+def _inversions(rank: np.ndarray) -> int:
+    """Pairs i < j with rank[i] > rank[j], of ranks 0 .. n - 1, a bit at a time: each level is a stable partition of every group."""
+    n, total, a = len(rank), 0, rank
+    for bit in range(max(n - 1, 1).bit_length() - 1, -1, -1):
+        group = a >> (bit + 1)
+        begin = np.flatnonzero(np.diff(group, prepend=-1))
+        start = np.repeat(begin, np.diff(np.append(begin, n)))
+        one = (a >> bit) & 1
+        ones = np.cumsum(one) - one
+        ones -= ones[start]
+        zeros = np.arange(n) - start - ones
+        total += int(ones[one == 0].sum())
+        zeros_of = np.add.reduceat(1 - one, begin) if n else begin
+        to = start + np.where(one == 1, np.repeat(zeros_of, np.diff(np.append(begin, n))) + ones, zeros)
+        out = np.empty_like(a)
+        out[to] = a
+        a = out
+    return total
+
+
+def median_slope(x: np.ndarray, y: np.ndarray, pairs: int = 1 << 17) -> float:
+    """The median of the slopes of all pairs with different x (NaN if there is none), without making the pairs.
+
+    How many slopes are at most s is a count of inversions: a pair's slope is at most s if y - s x does not rise along it.  So the
+    median is found by halving an interval of slopes, to the last digits; up to ``pairs`` pairs are made outright.
+    """
+    order = np.lexsort((y, x))
+    x, y = x[order], y[order]
+    n = len(x)
+    same = np.unique(x, return_counts=True)[1]
+    total = n * (n - 1) // 2 - int((same * (same - 1) // 2).sum())
+    if not total:
+        return float("nan")
+    if n * (n - 1) // 2 <= pairs:
+        i, j = np.triu_indices(n, 1)
+        apart = x[j] > x[i]
+        return float(np.median((y[j] - y[i])[apart] / (x[j] - x[i])[apart]))
+
+    def at_most(s: float) -> int:
+        z = y - s * x
+        # among equal x ascending, so that they are no inversions; equal z of different x are
+        line = np.lexsort((z, x))
+        zs, xs = z[line], x[line]
+        by_z = np.lexsort((-np.arange(n), zs))
+        rank = np.empty(n, np.int64)
+        rank[by_z] = np.arange(n)
+        twins = np.diff(np.append(np.flatnonzero(np.concatenate([[True], (xs[1:] != xs[:-1]) | (zs[1:] != zs[:-1])])), n))
+        return _inversions(rank) - int((twins * (twins - 1) // 2).sum())
+
+    rng = np.random.default_rng(1)
+    i, j = rng.integers(0, n, (2, 4096))
+    some = x[i] != x[j]
+    guess = np.sort((y[i] - y[j])[some] / (x[i] - x[j])[some]) if some.any() else np.zeros(1)
+    reach = float((y.max() - y.min()) / np.diff(np.unique(x)).min())  # no slope is steeper
+
+    def smallest(k: int) -> float:
+        """The least s that k slopes do not exceed."""
+        lo, hi = -reach, reach
+        for q in (0.5 - 0.04, 0.5 + 0.04):
+            s = float(guess[min(int(len(guess) * q), len(guess) - 1)])
+            if lo < s < hi:
+                lo, hi = (lo, s) if at_most(s) >= k else (s, hi)
+        while hi - lo > 1e-13 * max(abs(lo), abs(hi), 1e-300):
+            s = 0.5 * (lo + hi)
+            if s in (lo, hi):
+                break
+            lo, hi = (lo, s) if at_most(s) >= k else (s, hi)
+        return hi
+
+    first = smallest((total + 1) // 2)
+    if total % 2 or at_most(first * (1 + 1e-12) if first else 1e-300) >= total // 2 + 1:
+        return first
+    return 0.5 * (first + smallest(total // 2 + 1))
+
+
 def robust_slope(metrics: DataFrame, value: str, by: tuple[str, ...] = ("channel",), at: str = "segment") -> DataFrame:
-    """Theil-Sen: the median of the slopes of all pairs of a (short) series of segments."""
-    a = metrics.select(*by, F.col(at).alias("_xa"), F.col(value).alias("_ya"))
-    b = metrics.select(*by, F.col(at).alias("_xb"), F.col(value).alias("_yb"))
-    pairs = a.join(b, list(by)).where(F.col("_xb") > F.col("_xa"))
-    return pairs.groupBy(*by).agg(F.percentile((F.col("_yb") - F.col("_ya")) / (F.col("_xb") - F.col("_xa")), F.lit(0.5)).alias("slope"))
+    """Theil-Sen: the median of the slopes of all pairs of a series of segments, by counting; rows without a place or value are left out.
+
+    A task holds the series of one channel, two numbers a segment.
+    """
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        slope = median_slope(pdf["_x"].to_numpy(float), pdf["_y"].to_numpy(float))
+        return pd.DataFrame([(*key, None if slope != slope else slope)], columns=[*by, "slope"])
+
+    rows = metrics.select(*by, F.col(at).cast("double").alias("_x"), F.col(value).cast("double").alias("_y")).where("_x IS NOT NULL AND _y IS NOT NULL AND NOT isnan(_y)")
+    out = rows.groupBy(*by).applyInPandas(run, T.StructType([*(metrics.schema[k] for k in by), T.StructField("slope", T.DoubleType())]))
+    return out.where("slope IS NOT NULL")
 
 
 def activation_timing(events: DataFrame, fs: float, by: tuple[str, ...] = ("channel",)) -> DataFrame:

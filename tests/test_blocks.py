@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from oscilla.functions import fourier
-from oscilla.operators import kernels, learn, neighbourhood
+from oscilla.operators import emg, kernels, learn, neighbourhood
 
 
 def channels(spark, sizes, seed=1):
@@ -168,3 +168,31 @@ def test_factor_analysis(spark):
         learn.factors(df, 7)
     with pytest.raises(ValueError, match="unknown trajectories"):
         learn.trajectories(df, "xyz")
+
+
+def test_inversions():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 2, 3, 17, 64, 200):
+        r = rng.permutation(n)
+        assert emg._inversions(r) == sum(int((r[:j] > r[j]).sum()) for j in range(n))
+
+
+@pytest.mark.parametrize("pairs", [0, 1 << 17])
+def test_median_of_slopes(pairs):
+    rng = np.random.default_rng(2)
+    series = [rng.normal(size=(2, n)) for n in (2, 3, 4, 5, 40, 41, 90)]
+    series += [rng.integers(0, 4, (2, n)).astype(float) for n in (5, 12, 60)]  # ties in both
+    series += [np.stack([np.arange(50.0), 3 * np.arange(50.0) + 1]), np.stack([np.arange(30.0), np.zeros(30)]), np.stack([np.arange(30.0), -1e9 * np.arange(30.0) ** 3]), np.stack([np.ones(6), np.arange(6.0)])]
+    for x, y in series:
+        slopes = [(y[j] - y[i]) / (x[j] - x[i]) for i in range(len(x)) for j in range(len(x)) if x[j] > x[i]]
+        got = emg.median_slope(x, y, pairs)
+        assert (np.isnan(got) and not slopes) or abs(got - np.median(slopes)) <= 1e-9 * max(1.0, abs(np.median(slopes)))
+
+
+def test_slope_of_a_long_series(spark):
+    """300,000 segments, 45 thousand million pairs."""
+    df = spark.range(300_000).select(F.lit("a").alias("channel"), F.col("id").alias("segment"), (F.col("id") * 0.25 + F.sin(F.col("id")) * 40 + F.when(F.col("id") % 10 == 0, 1e6).otherwise(0)).alias("v"))
+    df = df.unionByName(spark.createDataFrame([("b", 1, 2.0), ("b", None, 1.0), ("b", 3, None), ("c", 1, 1.0), ("c", 3, 5.0), (None, 0, 0.0), (None, 2, 1.0)], "channel string, segment long, v double"))
+    got = {r.channel: r.slope for r in emg.robust_slope(df, "v").collect()}
+    assert set(got) == {"a", "c", None} and abs(got["a"] - 0.25) < 1e-4 and got["c"] == 2.0 and got[None] == 0.5
+    assert emg.robust_slope(df.where("false"), "v").count() == 0
