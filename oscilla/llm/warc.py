@@ -4,8 +4,10 @@
 
 Reading.  Partitions are planned by files: small files share one, up to ``SPLIT`` bytes, a larger
 one stands alone; a task reads its files as streams.  Conditions on ``warc_type``, ``record_id``,
-``target_uri``, ``date``, ``refers_to`` and ``payload_digest`` are pushed down (Spark's setting
-``spark.sql.python.filterPushdown.enabled``; :func:`read` sets it).  Headers are parsed first; a
+``target_uri``, ``date``, ``refers_to``, ``content_type`` and ``payload_digest`` are pushed down: those that :func:`read` is
+given, and with the option ``pushdown`` those that Spark pushes, in sessions whose
+``spark.sql.python.filterPushdown.enabled`` is on.  (Spark 4.1 then mixes up the conditions of two scans of one loaded
+frame in one query, so it is off unless asked for.)  Headers are parsed first; a
 record that fails a condition, or of which only headers are asked for, is skipped without
 unpacking its payload: plain files by ``Content-Length``, gzip members that carry their packed
 length (the ``sl`` extra field, as :class:`WarcSource` writes them) by that.  Members without it are
@@ -29,6 +31,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import re
 import struct
 import uuid
@@ -296,19 +299,21 @@ def _test(f: Filter):
     return None
 
 
+#: Conditions that a reader may be given.
+CONDITIONS = {"=": EqualTo, "in": In, "startswith": StringStartsWith, "<": LessThan, "<=": LessThanOrEqual, ">": GreaterThan, ">=": GreaterThanOrEqual}
+
+
 class WarcReader(DataSourceReader):
     def __init__(self, options: dict, schema: StructType):
         self.path, self.split = options["path"], int(options.get("split", SPLIT))
         self.schema, self.filters = schema, []
+        for name, how, value in json.loads(options.get("where", "[]")):
+            made = CONDITIONS[how]((name,), tuple(value) if how == "in" else value)
+            if _test(made) is None:
+                raise ValueError(f"no condition on {name} can be pushed down; there are {sorted(FIELDS)}")
+            self.filters.append(made)
         self.verify = str(options.get("verify", "false")).lower() == "true"
 
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        for f in filters:
-            if _test(f) is None:
-                yield f
-            else:
-                self.filters.append(f)
-
     def partitions(self) -> list[InputPartition]:
         store, root = _store(self.path)
         found = store.get_file_info(fs.FileSelector(root, recursive=True)) if store.get_file_info(root).type == fs.FileType.Directory else [store.get_file_info(root)]
@@ -343,6 +348,17 @@ class WarcReader(DataSourceReader):
         yield pa.RecordBatch.from_arrays([_column(rows, s) for s in schema], schema=schema)
 
 
+class PushedWarcReader(WarcReader):
+    """A reader that Spark hands conditions to, for sessions whose ``spark.sql.python.filterPushdown.enabled`` is on."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            if _test(f) is None:
+                yield f
+            else:
+                self.filters.append(f)
+
+
 def _column(rows: list[dict], wanted: pa.Field) -> pa.Array:
     values = [r.get(wanted.name) for r in rows]
     if wanted.name == "headers":
@@ -419,7 +435,8 @@ class WarcSource(DataSource):
         return SCHEMA
 
     def reader(self, schema: StructType) -> WarcReader:
-        return WarcReader(dict(self.options), schema)
+        kind = PushedWarcReader if str(self.options.get("pushdown", "false")).lower() == "true" else WarcReader
+        return kind(dict(self.options), schema)
 
     def writer(self, schema: StructType, overwrite: bool) -> WarcWriter:
         if overwrite:
@@ -427,11 +444,14 @@ class WarcSource(DataSource):
         return WarcWriter(self.options["path"], self.options.get("date", "1970-01-01T00:00:00Z"), int(self.options.get("level", 6)))
 
 
-def read(spark: SparkSession, path: str, columns: str = SCHEMA, verify: bool = False) -> DataFrame:
-    """Records of a file or folder; ``columns`` is a schema, and what it leaves out is not parsed or unpacked."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+def read(spark: SparkSession, path: str, columns: str = SCHEMA, where: list[tuple[str, str, object]] | None = None, verify: bool = False) -> DataFrame:
+    """Records of a file or folder; ``columns`` is a schema, and what it leaves out is not parsed or unpacked.
+
+    ``where``: conditions on header columns that all hold, such as ("warc_type", "=", "response") or ("target_uri", "startswith",
+    "https://"); the others are "in", "<", "<=", ">", ">=".  They decide before a payload is touched.
+    """
     spark.dataSource.register(WarcSource)
-    return spark.read.format("warc").schema(columns).option("verify", verify).load(path)
+    return spark.read.format("warc").schema(columns).option("verify", verify).option("where", json.dumps(where or [])).load(path)
 
 
 def base32_sha1(payload: bytes) -> str:
@@ -476,6 +496,6 @@ def page_records(spark: SparkSession, path: str) -> DataFrame:
     number = lambda c: F.substring(F.col(c), len(PAGE) + 1, 20).try_cast("long")
     digest = F.regexp_replace("payload_digest", "^sha1:", "")
     columns = "warc_type string, record_id string, refers_to string, payload_digest string, payload_length long, payload binary"
-    return read(spark, path, columns, verify=True).where(F.col("warc_type").isin("response", "revisit")).select(
+    return read(spark, path, columns, [("warc_type", "in", ["response", "revisit"])], verify=True).select(
         number("record_id").alias("page_id"), F.col("payload_length").alias("payload_bytes"), digest.alias("payload_digest"), F.col("warc_type").alias("record_type"), number("refers_to").alias("refers_to"), "payload"
     )

@@ -130,6 +130,12 @@ def test_foreign_archives(spark, tmp_path, name):
     some = warc.read(spark, str(tmp_path), "warc_type string, target_uri string").where("warc_type = 'response' AND target_uri LIKE 'http://b%'")
     assert [tuple(r) for r in some.collect()] == [("response", "http://b/")]
     assert warc.read(spark, f"file://{tmp_path}/{name}").where("payload_length > 100000").count() == 1
+    given = warc.read(spark, str(tmp_path), "record_id string", [("warc_type", "in", ["response", "resource"]), ("target_uri", ">=", "http://b/c")])
+    assert [r.record_id for r in given.collect()] == ["urn:uuid:4"]
+    both = warc.read(spark, str(tmp_path))  # one loaded frame, two conditions
+    assert sorted(r.record_id[-1] for r in both.where("warc_type = 'request'").unionByName(both.where("warc_type = 'response'")).collect()) == ["2", "3"]
+    with pytest.raises(Exception, match="can be pushed down"):
+        warc.read(spark, str(tmp_path), where=[("payload_length", "=", 3)]).count()
     for cut in (len(data) - 7, len(data) // 2):
         with pytest.raises(warc.Damaged, match="broken"):
             list(warc.records(io.BytesIO(data[:cut]), cut, "broken"))
@@ -165,7 +171,7 @@ def test_plans_and_pushed_conditions(tmp_path):
     for k in range(9):
         (tmp_path / f"{k}.warc").write_bytes(b"x" * (10 if k else 1000))
     (tmp_path / "notes.txt").write_text("not an archive")
-    reader = warc.WarcReader({"path": str(tmp_path), "split": "45"}, _parse_datatype_string(warc.SCHEMA))
+    reader = warc.PushedWarcReader({"path": str(tmp_path), "split": "45"}, _parse_datatype_string(warc.SCHEMA))
     assert sorted(len(p.paths) for p in reader.partitions()) == [1, 4, 4]
     odd = [StringContains(("warc_type",), "x"), EqualTo(("payload_length",), 3)]
     good = [EqualTo(("warc_type",), "response"), In(("record_id",), ("a", "b")), StringStartsWith(("target_uri",), "http")]
@@ -174,6 +180,18 @@ def test_plans_and_pushed_conditions(tmp_path):
         warc.WarcReader({"path": str(tmp_path / "none")}, reader.schema).partitions()
 
 
+def test_conditions_that_spark_pushes(spark, tmp_path):
+    (tmp_path / "lengths.warc.gz").write_bytes(FORMS["lengths.warc.gz"](foreign()[0]))
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        spark.dataSource.register(warc.WarcSource)
+        got = spark.read.format("warc").option("pushdown", True).load(str(tmp_path)).where("warc_type = 'response' AND payload_length > 3")
+        assert [r.record_id for r in got.collect()] == ["urn:uuid:3"]
+        assert "warc_type" not in got._jdf.queryExecution().executedPlan().toString().split("Filter")[1].split("BatchScan")[0]
+    finally:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "false")
+
+
 def test_failed_writes_leave_nothing(tmp_path):
     writer = warc.WarcWriter(str(tmp_path / "w"), "1970-01-01T00:00:00Z")
     batch = pa.RecordBatch.from_pylist([{"warc_type": "response", "record_id": "a", "target_uri": None, "refers_to": None, "payload_length": 1, "payload": b"x", "payload_digest": sha(b"x")}])
