@@ -1,10 +1,11 @@
 """Zarr arrays (versions 2 and 3) of samples by channels as a Spark data source, written in Python.
 
 ``spark.dataSource.register(ZarrSource)``, then ``spark.read.format("zarr").load(path)`` gives a wide signal: ``i`` and a column
-for each channel, named 0, 1, ..  A partition is a run of chunks of rows, ``SPLIT`` bytes or one chunk.  Conditions on ``i``
-choose the chunks before anything is read (:func:`read_zarr` switches Spark's push-down on); a schema with fewer
-channels reads only the chunks that hold them.  Options: ``array``, a path inside a group; ``segment`` k stands for
-``traces_seg<k>``; ``split``, other bytes a partition.
+for each channel, named 0, 1, ..  A partition is a run of chunks of rows, ``SPLIT`` bytes or one chunk.  The options ``start`` and
+``end`` choose the chunks before anything is read, and with the option
+``pushdown`` so do conditions on ``i``, in sessions whose ``spark.sql.python.filterPushdown.enabled`` is on (Spark 4.1 then mixes up
+the conditions of two scans of one loaded frame in one query, so it is off unless asked for); a schema with fewer channels reads only the chunks that hold them.  Further
+options: ``array``, a path inside a group; ``segment`` k stands for ``traces_seg<k>``; ``split``, other bytes a partition.
 
 Metadata are sought as consolidated first, then plain, in version 3 and version 2; a bucket is opened anonymously first and then
 with the user's keys.  The error names all that was tried.  Codecs: none, gzip, zlib, zstd, lz4 and blosc (with lz4, zstd or zlib
@@ -227,27 +228,7 @@ class ZarrReader(DataSourceReader):
         beyond = [c for c in self.channels if not 0 <= c < self.layout.channels]
         if beyond:
             raise ValueError(f"no channels {beyond} in an array of {self.layout.channels}")
-        self.lo, self.hi = 0, self.layout.shape[0]
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        for f in filters:
-            name, v = getattr(f, "attribute", ()), getattr(f, "value", None)
-            if name == ("i",) and isinstance(v, int):
-                match f:
-                    case EqualTo():
-                        self.lo, self.hi = max(self.lo, v), min(self.hi, v + 1)
-                    case GreaterThanOrEqual():
-                        self.lo = max(self.lo, v)
-                    case GreaterThan():
-                        self.lo = max(self.lo, v + 1)
-                    case LessThan():
-                        self.hi = min(self.hi, v)
-                    case LessThanOrEqual():
-                        self.hi = min(self.hi, v + 1)
-                    case _:
-                        yield f
-            else:
-                yield f
+        self.lo, self.hi = max(0, int(options.get("start", 0))), min(self.layout.shape[0], int(options.get("end", self.layout.shape[0])))
 
     def partitions(self) -> list[InputPartition]:
         """Whole chunks of rows within the wanted range."""
@@ -280,6 +261,30 @@ class ZarrReader(DataSourceReader):
             at = stop
 
 
+class PushedZarrReader(ZarrReader):
+    """A reader that Spark hands conditions on ``i`` to, for sessions whose ``spark.sql.python.filterPushdown.enabled`` is on."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            name, v = getattr(f, "attribute", ()), getattr(f, "value", None)
+            if name == ("i",) and isinstance(v, int):
+                match f:
+                    case EqualTo():
+                        self.lo, self.hi = max(self.lo, v), min(self.hi, v + 1)
+                    case GreaterThanOrEqual():
+                        self.lo = max(self.lo, v)
+                    case GreaterThan():
+                        self.lo = max(self.lo, v + 1)
+                    case LessThan():
+                        self.hi = min(self.hi, v)
+                    case LessThanOrEqual():
+                        self.hi = min(self.hi, v + 1)
+                    case _:
+                        yield f
+            else:
+                yield f
+
+
 # ---- writing -----------------------------------------------------------------------------------
 
 
@@ -362,18 +367,19 @@ class ZarrSource(DataSource):
         return ", ".join(["i long", *(f"`{k}` double" for k in range(lay.channels))])
 
     def reader(self, schema: StructType) -> ZarrReader:
-        return ZarrReader(self._options(), schema)
+        kind = PushedZarrReader if str(self.options.get("pushdown", "false")).lower() == "true" else ZarrReader
+        return kind(self._options(), schema)
 
     def writer(self, schema: StructType, overwrite: bool) -> ZarrWriter:
         return ZarrWriter(self._options(), schema)
 
 
-def read_zarr(spark: SparkSession, path: str, channels: list[int] | None = None, array: str = "", segment: int | None = None, split: int = SPLIT) -> DataFrame:
-    """The wide signal of an array; conditions on ``i`` reach the source, and only the chunks of ``channels`` are read."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+def read_zarr(spark: SparkSession, path: str, channels: list[int] | None = None, start: int | None = None, end: int | None = None, array: str = "", segment: int | None = None, split: int = SPLIT) -> DataFrame:
+    """The wide signal of an array, of samples start <= i < end; only the chunks of these and of ``channels`` are read."""
     spark.dataSource.register(ZarrSource)
     reader = spark.read.format("zarr").option("array", array).option("split", split)
-    reader = reader if segment is None else reader.option("segment", segment)
+    for name, given in (("segment", segment), ("start", start), ("end", end)):
+        reader = reader if given is None else reader.option(name, given)
     if channels is not None:
         reader = reader.schema(", ".join(["i long", *(f"`{c}` double" for c in channels)]))
     return reader.load(path)

@@ -91,15 +91,22 @@ def test_windows_read_their_chunks_only(spark, tmp_path):
         for column in range(3):
             if not (column == 1 and row in (5, 6)):
                 (tmp_path / "a" / "c" / str(row) / str(column)).write_bytes(b"broken")  # reading it would fail
-    got = zarr.read_zarr(spark, str(tmp_path / "a"), [1]).where("i >= 5900 AND i < 6100").orderBy("i").collect()
+    got = zarr.read_zarr(spark, str(tmp_path / "a"), [1], 5900, 6100).orderBy("i").collect()
     assert [(r.i, r["1"]) for r in got] == [(i, 3.0 * i + 1) for i in range(5900, 6100)]
-    reader = zarr.ZarrReader({"path": str(tmp_path / "a"), "split": "1"}, _parse_datatype_string("i long, `1` double"))
+    reader = zarr.PushedZarrReader({"path": str(tmp_path / "a"), "split": "1"}, _parse_datatype_string("i long, `1` double"))
     rest = list(reader.pushFilters([GreaterThanOrEqual(("i",), 1500), GreaterThan(("i",), 1700), LessThan(("i",), 9000), LessThanOrEqual(("i",), 4000), EqualTo(("1",), 3), StringContains(("i",), "x")]))
     assert len(rest) == 2 and [(p.first, p.last) for p in reader.partitions()] == [(1701, 2000), (2000, 3000), (3000, 4000), (4000, 4001)]
     list(reader.pushFilters([EqualTo(("i",), 99_999)]))
     assert [(p.first, p.last) for p in reader.partitions()] == [(0, 0)]
 
 
+def test_two_windows_of_one_frame(spark, tmp_path):
+    store(tmp_path / "a", np.arange(100.0).reshape(100, 1), (10, 1), 3, "zstd")
+    whole = zarr.read_zarr(spark, str(tmp_path / "a"))
+    assert sorted(r.i for r in whole.where("i < 3").unionByName(whole.where("i >= 97")).collect()) == [0, 1, 2, 97, 98, 99]
+    assert zarr.read_zarr(spark, str(tmp_path / "a"), start=-5, end=500).count() == 100 and zarr.read_zarr(spark, str(tmp_path / "a"), start=50, end=20).count() == 0
+
+
 def test_groups_and_fallbacks(spark, tmp_path):
     x = np.arange(20, dtype="<f8").reshape(10, 2)
     store(tmp_path / "g" / "traces_seg1", x, (4, 2), 2, None)
