@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from oscilla import model
 from oscilla import oracle_parts as parts
-from oscilla.functions import fourier
+from oscilla.functions import fourier, windows
 from oscilla.operators import filters, kernels, learn, neighbourhood, pointwise
-from oscilla.queries import COLS, SIG, WIDE, out, r6, register, signal
+from oscilla.queries import COLS, SIG, WIDE, off6, out, r6, register, signal
 
 
 
@@ -306,21 +306,56 @@ def template_matches(spark, d):
 _TPL = [1.0, 2.0, 4.0, 2.0, 1.0]
 
 
+_TOPS = """tp AS (SELECT channel, i, value > max(value) OVER a AND value > max(value) OVER b AS top FROM sig
+  WINDOW a AS (PARTITION BY channel ORDER BY i ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), b AS (PARTITION BY channel ORDER BY i ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING)),
+n AS (SELECT channel, max(i) + 1 AS n FROM sig GROUP BY channel), ev AS (SELECT channel, i AS p FROM tp JOIN n USING (channel) WHERE top AND i + 2 < n)"""
+
+
+def tops(df):
+    """Samples above the four before and the four after: local maxima five samples or more apart."""
+    near = lambda d, w: d.withColumn("_a", F.max("value").over(w.rowsBetween(-4, -1))).withColumn("_b", F.max("value").over(w.rowsBetween(1, 4)))
+    return windows.over_neighbours(df, 4, 4, near).where((F.col("value") > F.col("_a")) & (F.col("value") > F.col("_b"))).select("channel", "i")
+
+
 @register(
     "template_subtraction",
-    f"""WITH {SIG}, ev AS (SELECT channel, i AS p FROM sig WHERE i % 100 = 50), t(j, w) AS (VALUES (-2, 1.0::DOUBLE), (-1, 2.0), (0, 4.0), (1, 2.0), (2, 1.0)), n AS (SELECT channel, max(i) + 1 AS n FROM sig GROUP BY channel),
-s AS (SELECT ev.channel, ev.p, sum(value * w) / 26.0 AS scale FROM ev JOIN n USING (channel) JOIN t ON true JOIN sig ON sig.channel = ev.channel AND sig.i = ev.p + j WHERE ev.p + 2 < n GROUP BY ALL),
-x AS (SELECT s.channel, p + j AS i, scale * w AS cut FROM s, t) SELECT sig.channel, sig.i, round(value - coalesce(cut, 0), 6) + 0.0 AS value FROM sig LEFT JOIN x ON x.channel = sig.channel AND x.i = sig.i""",
+    f"""WITH {SIG}, {_TOPS}, t(j, w) AS (VALUES (-2, 1.0::DOUBLE), (-1, 2.0), (0, 4.0), (1, 2.0), (2, 1.0)),
+s AS (SELECT ev.channel, ev.p, sum(value * w) / 26.0 AS scale FROM ev JOIN t ON true JOIN sig ON sig.channel = ev.channel AND sig.i = ev.p + j GROUP BY ALL),
+x AS (SELECT s.channel, p + j AS i, scale * w AS cut FROM s, t) SELECT sig.channel, sig.i, round(value - coalesce(cut, 0) + 1e-9, 6) + 0.0 AS value FROM sig LEFT JOIN x ON x.channel = sig.channel AND x.i = sig.i""",
 )
 def template_subtraction(spark, d):
     s = signal(spark, d)
-    return out(kernels.subtract_templates(s, s.where("i % 100 = 50").select("channel", "i"), _TPL))
-
-
-@register("warped_subtraction")
+    return kernels.subtract_templates(s, tops(s), _TPL).select("channel", "i", *off6("value"))
+
+
+def _warped_sql(template: list[float], band: int) -> str:
+    """Warping of five samples on five by the table of least totals, cell by cell, and its path backwards from the last cell."""
+    m = range(1, 6)
+    cells = [(i, j) for i in m for j in m if abs(i - j) <= band]
+    d = lambda i, j: f"d{i}{j}" if (i, j) in cells else "0.0::DOUBLE" if (i, j) == (0, 0) else "'inf'::DOUBLE"
+    sql, last = "", "w0"
+    for k, (i, j) in enumerate(cells):
+        sql += f", w{k + 1} AS (SELECT *, (x{i} - {template[j - 1]}) * (x{i} - {template[j - 1]}) + least({d(i - 1, j - 1)}, {d(i - 1, j)}, {d(i, j - 1)}) AS d{i}{j} FROM {last})"
+        last = f"w{k + 1}"
+    turn = lambda i, j: f"CASE WHEN {d(i - 1, j - 1)} <= {d(i - 1, j)} AND {d(i - 1, j - 1)} <= {d(i, j - 1)} THEN 0 WHEN {d(i - 1, j)} <= {d(i, j - 1)} THEN 1 ELSE 2 END AS c{i}{j}"
+    sql += f", turns AS (SELECT *, {', '.join(turn(i, j) for i, j in cells)} FROM {last})"
+    last = "turns"
+    for i, j in reversed(cells):
+        came = [f"(o{a}{b} AND c{a}{b} = {k})" for a, b, k in ((i + 1, j + 1, 0), (i + 1, j, 1), (i, j + 1, 2)) if (a, b) in cells]
+        sql += f", o{i}{j}_ AS (SELECT *, {' OR '.join(came) if came else 'true'} AS o{i}{j} FROM {last})"
+        last = f"o{i}{j}_"
+    warped = ", ".join(f"({' + '.join(f'CASE WHEN o{i}{j} THEN {template[j - 1]} ELSE 0 END' for j in m if (i, j) in cells)}) / ({' + '.join(f'o{i}{j}::INT' for j in m if (i, j) in cells)}) AS t{i}" for i in m)
+    return f"""WITH {SIG}, {_TOPS}, w0 AS (SELECT ev.channel, ev.p, {', '.join(f"max(CASE WHEN sig.i = p + {i - 3} THEN value END) AS x{i}" for i in m)} FROM ev JOIN sig ON sig.channel = ev.channel AND sig.i BETWEEN p - 2 AND p + 2 GROUP BY ALL){sql},
+t AS (SELECT channel, p, {', '.join(f'x{i}' for i in m)}, {warped} FROM {last}),
+f AS (SELECT *, ({' + '.join(f'x{i} * t{i}' for i in m)}) / ({' + '.join(f't{i} * t{i}' for i in m)}) AS scale FROM t),
+x AS (SELECT channel, p - 3 + unnest([1, 2, 3, 4, 5]) AS i, scale * unnest([{', '.join(f't{i}' for i in m)}]) AS cut FROM f)
+SELECT sig.channel, sig.i, round(value - coalesce(cut, 0) + 1e-9, 6) + 0.0 AS value FROM sig LEFT JOIN x ON x.channel = sig.channel AND x.i = sig.i"""
+
+
+@register("warped_subtraction", _warped_sql([1.0, 2.0, 4.0, 2.0, 1.0], 2))
 def warped_subtraction(spark, d):
     s = signal(spark, d)
-    return out(kernels.subtract_templates(s, s.where("i % 100 = 50").select("channel", "i"), _TPL, "warped", band=2))
+    return kernels.subtract_templates(s, tops(s), _TPL, "warped", band=2).select("channel", "i", *off6("value"))
 
 
 @register("mel_cepstrum", f"WITH {SIG}, {parts.cepstrum('mel', 8, 16, 128, 64, 1000.0)} SELECT channel, frame, k::INTEGER AS k, round(value, 6) + 0.0 AS value FROM cep")
