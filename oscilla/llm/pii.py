@@ -343,7 +343,7 @@ class _NumericShapes:
             check[long] = np.where((q - 1) % 2 == 0, sums[0][q] - sums[0][p], sums[1][q] - sums[1][p]) % 10 == 0
         for k in np.flatnonzero((n_dots == 3) & (at[stop] - at[first] == n_digits + 3)).tolist():
             said = _of_digits(text[at[first[k]] : at[stop[k]]], "0" * int(n_digits[k]))
-            check[k] = 3 if "octets" in said else 2 if "no octets" in said else check[k]
+            total[k] += self.checks[3 if "octets" in said else 2 if "no octets" in said else 4]  # beside a checksum, if it has one
         total += self.checks[check]
         top = total.max(axis=1)
         keep = np.flatnonzero(top > 0)
@@ -378,10 +378,10 @@ class SemiCRF:
             a, b, c, d = a + e, b + f, c + g, d + h
         return a, b, c, d
 
-    def _most_of_rest(self, *names: str) -> tuple[float, ...]:
-        """What the right side and one of the features ``names`` can add to a segment at most, for each kind."""
-        right, more = self.right.values(), [self.part([x]) for x in names]
-        return tuple(max(r[y] for r in right) + max(x[y] for x in more) + 1e-9 for y in range(len(KINDS))) if names else tuple(max(r[y] for r in right) + 1e-9 for y in range(len(KINDS)))
+    def _most_of_rest(self, *sets: tuple[str, ...]) -> tuple[float, ...]:
+        """What the right side and one feature at most of each of ``sets`` can add to a segment at most, for each kind."""
+        right, most = self.right.values(), [[self.part([x]) for x in some] for some in sets]
+        return tuple(max(r[y] for r in right) + sum(max(0.0, *(x[y] for x in some)) for some in most) + 1e-9 for y in range(len(KINDS)))
 
     def decode_text(self, text: str, lo: int, hi: int) -> list[tuple[int, int, int]]:
         """The best set of disjoint entities (start, kind, end) of text[lo:hi], scored as segments come; some bytes a token are kept."""
@@ -391,7 +391,8 @@ class SemiCRF:
         if not self.right:
             self.right = {x: self.part(["right " + x]) for x in ("x", " ")}
             # by what a numeric segment's digits are checked for: nothing, Luhn's sum, octets
-            self.rest = self._most_of_rest(), self._most_of_rest("luhn", "no luhn"), self._most_of_rest("octets", "no octets")
+            sums, octets = ("luhn", "no luhn"), ("octets", "no octets")
+            self.rest = self._most_of_rest(), self._most_of_rest(sums, octets), self._most_of_rest(octets)
         right, shapes, at = self.right, self.shapes, -1
         dense = self._dense(text, starts, classes) if n >= DENSE else None
         for i in range(n + 1):
