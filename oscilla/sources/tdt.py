@@ -20,7 +20,6 @@ stream: an error that names file and record.  Records of other kinds (snippets,
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,6 +33,7 @@ from pyspark.sql.types import StructType
 
 from oscilla.model import SignalMeta, long_to_wide
 from oscilla.sources import datasets, zarr
+from oscilla.sources.stores import opened, qualified
 
 #: A header record: size in words of four bytes with the header's ten, kind, store, channel, sort code, time, place of the data or value, format, rate.
 RECORD = np.dtype([("size", "<i4"), ("kind", "<i4"), ("store", "S4"), ("channel", "<u2"), ("sort", "<u2"), ("time", "<f8"), ("place", "<i8"), ("format", "<i4"), ("rate", "<f4")])
@@ -48,10 +48,6 @@ STREAMS = "store string, channel int, sample long, t double, value double, fs do
 MARKS = "kind string, store string, time double, value double"
 
 
-def _store(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path) if re.match(r"[a-z][a-z0-9+.-]+:/", path) else (fs.LocalFileSystem(), path)
-
-
 @dataclass
 class Records(InputPartition):
     first: int
@@ -62,7 +58,7 @@ class TdtReader(DataSourceReader):
     def __init__(self, options: dict, schema: StructType):
         self.marks, self.split = options.get("what", "streams") == "marks", int(options.get("split", SPLIT))
         self.names, self.uri = schema.names, options["path"].rstrip("/")
-        store, root = _store(self.uri)
+        store, root = opened(self.uri)
         found = [i for i in store.get_file_info(fs.FileSelector(root)) if i.path.endswith(".tsq")]
         if len(found) != 1:
             raise FileNotFoundError(f"{len(found)} .tsq files in {self.uri}")
@@ -86,7 +82,7 @@ class TdtReader(DataSourceReader):
         return float(timed["time"][0]) if len(timed) else 0.0
 
     def read(self, partition: Records) -> Iterator[pa.RecordBatch]:
-        store, _ = _store(self.uri)
+        store, _ = opened(self.uri)
         began = self._began(store)
         with store.open_input_file(self.heads) as f:
             f.seek(partition.first * RECORD.itemsize)
@@ -187,7 +183,7 @@ def _read(spark: SparkSession, path: str, what: str, split: int, **chosen: objec
     reader = spark.read.format("tdt").option("what", what).option("split", split)
     for name, value in chosen.items():
         reader = reader.option(name, json.dumps(value))
-    return reader.load(path)
+    return reader.load(qualified(spark, path))
 
 
 def read_streams(spark: SparkSession, path: str, stores: list[str] | None = None, channels: list[int] | None = None, start: float | None = None, end: float | None = None, split: int = SPLIT) -> DataFrame:

@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import json
 import math
-import re
 import struct
 import uuid
 import zlib
@@ -36,6 +35,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from oscilla.sources.stores import opened, qualified
+
 SPLIT = 16 << 20
 CHUNK_ROWS = 10_000
 
@@ -47,7 +48,7 @@ def _stores(path: str) -> list[tuple[fs.FileSystem, str]]:
     """File systems that may open a path, in the order in which they are tried."""
     if path.startswith("s3://"):
         return [(fs.S3FileSystem(anonymous=anonymous), path[5:]) for anonymous in (True, False)]
-    return [fs.FileSystem.from_uri(path)] if re.match(r"[a-z][a-z0-9+.-]+:/", path) else [(fs.LocalFileSystem(), path)]
+    return [opened(path)]
 
 
 def _bytes(store: fs.FileSystem, path: str) -> bytes | None:
@@ -382,7 +383,7 @@ def read_zarr(spark: SparkSession, path: str, channels: list[int] | None = None,
         reader = reader if given is None else reader.option(name, given)
     if channels is not None:
         reader = reader.schema(", ".join(["i long", *(f"`{c}` double" for c in channels)]))
-    return reader.load(path)
+    return reader.load(qualified(spark, path))
 
 
 def attributes(path: str, array: str = "") -> dict:
@@ -399,5 +400,5 @@ def write_zarr(wide: DataFrame, path: str, chunk: int = CHUNK_ROWS, codec: str =
     samples = samples + 1 if not rows.isEmpty() else 0
     rows = rows.repartition(F.floor(F.col("i") / chunk)).sortWithinPartitions("i")
     writer = rows.write.format("zarr").mode("append").option("samples", samples).option("chunk", chunk).option("codec", codec).option("level", level)
-    writer.option("dtype", dtype).option("attributes", json.dumps({"metadata": metadata} if metadata else {})).save(path)
+    writer.option("dtype", dtype).option("attributes", json.dumps({"metadata": metadata} if metadata else {})).save(qualified(spark, path))
     return path

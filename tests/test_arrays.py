@@ -158,3 +158,12 @@ def test_round_trip(spark, tmp_path, codec):
         assert len(list((tmp_path / dtype / "c").iterdir())) == 7 and not list((tmp_path / dtype).rglob("*.part"))
     empty = zarr.write_zarr(wide.where("false"), str(tmp_path / "empty"))
     assert zarr.read_zarr(spark, empty).columns == ["i", "0", "1", "2"] and zarr.read_zarr(spark, empty).count() == 0
+
+
+def test_paths_mean_the_same_store(spark, tmp_path):
+    from oscilla.sources.stores import opened, qualified
+
+    assert qualified(spark, str(tmp_path)) == f"file://{tmp_path}" == qualified(spark, f"file:{tmp_path}") == qualified(spark, f"file://{tmp_path}")
+    assert qualified(spark, "s3a://bucket/key") == "s3://bucket/key"
+    for path in (str(tmp_path), f"file://{tmp_path}"):
+        assert opened(path)[1] == str(tmp_path)
