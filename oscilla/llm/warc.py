@@ -49,6 +49,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from oscilla.llm import common
+from oscilla.sources.stores import opened, qualified
 
 SCHEMA = "warc_type string, record_id string, target_uri string, date string, refers_to string, content_type string, payload_digest string, content_length long, payload_length long, headers map<string,string>, payload binary"
 #: Bytes of small files that share a partition.
@@ -67,10 +68,6 @@ class Damaged(ValueError):
     """A file that is not a WARC file; says where."""
 
 
-def _store(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path) if re.match(r"[a-z][a-z0-9+.-]+:/", path) else (fs.LocalFileSystem(), path)
-
-
 # ---- records ---------------------------------------------------------------------------------
 
 
@@ -315,7 +312,7 @@ class WarcReader(DataSourceReader):
         self.verify = str(options.get("verify", "false")).lower() == "true"
 
     def partitions(self) -> list[InputPartition]:
-        store, root = _store(self.path)
+        store, root = opened(self.path)
         found = store.get_file_info(fs.FileSelector(root, recursive=True)) if store.get_file_info(root).type == fs.FileType.Directory else [store.get_file_info(root)]
         if found and found[0].type == fs.FileType.NotFound:
             raise FileNotFoundError(self.path)
@@ -331,7 +328,7 @@ class WarcReader(DataSourceReader):
         return [Files(p) for p in out] or [Files([])]
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
-        store, _ = _store(self.path)
+        store, _ = opened(self.path)
         tests = [_test(f) for f in self.filters]
         schema = to_arrow_schema(self.schema)
         names = set(schema.names)
@@ -385,7 +382,7 @@ class WarcWriter(DataSourceArrowWriter):
     done: list[str] = field(default_factory=list)
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
-        store, root = _store(self.path)
+        store, root = opened(self.path)
         batches = (b for b in iterator if b.num_rows)
         batch = next(batches, None)
         if batch is None:
@@ -413,14 +410,14 @@ class WarcWriter(DataSourceArrowWriter):
         return record(fields, [http, body])
 
     def commit(self, messages: list[Written | None]) -> None:
-        store, root = _store(self.path)
+        store, root = opened(self.path)
         store.create_dir(root, recursive=True)
         for m in messages:
             if m and m.path:
                 store.move(f"{m.path}.part", m.path)
 
     def abort(self, messages: list[Written | None]) -> None:
-        store, _ = _store(self.path)
+        store, _ = opened(self.path)
         for m in messages:
             if m and m.path:
                 store.delete_file(f"{m.path}.part")
@@ -451,7 +448,7 @@ def read(spark: SparkSession, path: str, columns: str = SCHEMA, where: list[tupl
     "https://"); the others are "in", "<", "<=", ">", ">=".  They decide before a payload is touched.
     """
     spark.dataSource.register(WarcSource)
-    return spark.read.format("warc").schema(columns).option("verify", verify).option("where", json.dumps(where or [])).load(path)
+    return spark.read.format("warc").schema(columns).option("verify", verify).option("where", json.dumps(where or [])).load(qualified(spark, path))
 
 
 def base32_sha1(payload: bytes) -> str:
@@ -487,7 +484,7 @@ def write_pages(pages: DataFrame, path: str, key: str = "page_id", html: str = "
         F.when(old, name("best")).alias("refers_to"), "payload_length", "hex", F.when(~old, F.col("payload")).alias("payload"),
     )
     schema = "warc_type string, record_id string, target_uri string, refers_to string, payload_length long, payload binary, payload_digest string"
-    out.mapInArrow(_with_digests, schema).write.format("warc").option("date", date).mode("append").save(path)
+    out.mapInArrow(_with_digests, schema).write.format("warc").option("date", date).mode("append").save(qualified(spark, path))
     return path
 
 
