@@ -308,7 +308,7 @@ _TPL = [1.0, 2.0, 4.0, 2.0, 1.0]
 
 _TOPS = """tp AS (SELECT channel, i, value > max(value) OVER a AND value > max(value) OVER b AS top FROM sig
   WINDOW a AS (PARTITION BY channel ORDER BY i ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), b AS (PARTITION BY channel ORDER BY i ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING)),
-n AS (SELECT channel, max(i) + 1 AS n FROM sig GROUP BY channel), ev AS (SELECT channel, i AS p FROM tp JOIN n USING (channel) WHERE top AND i + 2 < n)"""
+n AS (SELECT channel, max(i) + 1 AS n FROM sig GROUP BY channel), ev AS (SELECT channel, i AS p FROM tp JOIN n USING (channel) WHERE top AND i >= 2 AND i + 2 < n)"""
 
 
 def tops(df):
