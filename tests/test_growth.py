@@ -89,3 +89,16 @@ def test_density_in_blocks_is_as_by_plain_pairs(spark, monkeypatch):
     want = [int(v) if v < len(x) else -1 for v in np.where(core, label, border)]
     got = learn.dbscan(df, 0.1, 4)
     assert [p.cluster for p in got.orderBy("id").collect()] == want
+
+
+def test_correlograms_send_no_pairs(spark, tmp_path, monkeypatch):
+    """Copies of equal times and several groups of units; pairs are counted where their units meet, and no join makes them."""
+    from oscilla.operators import spikes
+
+    monkeypatch.setattr(spikes, "TASK_PAIRS", 1 << 18) if hasattr(spikes, "TASK_PAIRS") else None
+    monkeypatch.setattr(spikes, "HELD", 1 << 10, raising=False)
+    rows = crowd(12)
+    for name in ("correlograms", "view_correlogram", "tiling_coefficient", "jitter_corrected"):
+        got, want = against_sql(spark, tmp_path, name, events=rows)
+        assert got == want and len(got) >= 10
+        assert pairs_made(entry.queries()[name](spark, str(tmp_path))) <= len(rows)
