@@ -37,13 +37,34 @@ def sample_entropy(x: np.ndarray, m: int = 2, r: float = 0.2, normalize: bool =
     return -math.log(a / b) if a and b else math.inf
 
 
+def sample_entropies(x: np.ndarray, m: int = 2, r: float = 0.2) -> np.ndarray:
+    """:func:`sample_entropy` of each row of ``x``, all pairs of a row's samples at once."""
+    rows, size = x.shape
+    if size < m + 2:
+        return np.full(rows, np.inf)
+    out, step = np.full(rows, np.inf), max(1, (1 << 20) // (size * size))
+    for at in range(0, rows, step):
+        v = x[at : at + step]
+        tol = r * v.std(axis=1)
+        tol = np.where(tol == 0, r, tol)[:, None, None]
+        close, n = np.abs(v[:, :, None] - v[:, None, :]) <= tol, size - m
+        same = np.tri(n, k=-1, dtype=bool) & close[:, :n, :n]
+        for k in range(1, m):
+            same &= close[:, k : k + n, k : k + n]
+        b = same.sum(axis=(1, 2))
+        a = (same & close[:, m : m + n, m : m + n]).sum(axis=(1, 2))
+        some = (a > 0) & (b > 0)
+        out[at : at + step][some] = -np.log(a[some] / b[some])
+    return out
+
+
 def windowed_entropy(df: DataFrame, size: int, step: int, m: int = 2, r: float = 0.2) -> DataFrame:
     """Sample entropy of windows: channel, frame, value (null where infinite)."""
     from oscilla.operators.spectral import frames
 
     @F.pandas_udf("double")
     def entropy(x: pd.Series) -> pd.Series:
-        got = x.map(lambda v: sample_entropy(v, m, r)).astype(float)
+        got = pd.Series(sample_entropies(np.stack(x.to_list()).astype(float), m, r) if len(x) else [], dtype=float)
         return got.where(np.isfinite(got))
 
     return frames(df, size, step).select("channel", "frame", entropy("x").alias("value"))
@@ -55,7 +76,8 @@ def entropy_onsets(df: DataFrame, size: int, step: int, fs: float, k: float = 1.
 
     e = windowed_entropy(df, size, step).withColumnRenamed("frame", "i")
     stat = e.groupBy("channel").agg((F.avg("value") - k * F.stddev_pop("value")).alias("_t"), F.count("*").alias("_n")).where(F.col("_n") >= least)
-    spans = runs(e.join(stat, "channel"), F.col("value") < F.col("_t")).join(e, "channel")
+    found = runs(e.join(stat, "channel"), F.col("value") < F.col("_t"))
+    spans = found.withColumn("i", F.explode(F.sequence(F.col("first") - 3, F.col("last")))).join(e, ["channel", "i"])  # a run lists its windows and the three before
     drop = spans.groupBy("channel", "first", "last").agg(
         F.avg(F.when((F.col("i") > F.col("first") - 4) & (F.col("i") <= F.col("first")), F.col("value"))).alias("_b"), F.avg(F.when(F.col("i").between(F.col("first"), F.col("last")), F.col("value"))).alias("_e")
     )

@@ -102,3 +102,20 @@ def test_correlograms_send_no_pairs(spark, tmp_path, monkeypatch):
         got, want = against_sql(spark, tmp_path, name, events=rows)
         assert got == want and len(got) >= 10
         assert pairs_made(entry.queries()[name](spark, str(tmp_path))) <= len(rows)
+
+
+def test_runs_of_entropy_meet_their_own_windows(spark):
+    """Hundreds of runs in one channel: a run meets its windows and the three before, not all of the channel."""
+    import numpy as np
+
+    from oscilla.operators import kernels
+
+    x = np.random.default_rng(2).integers(0, 3, 12_000).astype(float)
+    df = spark.createDataFrame(pd.DataFrame({"channel": "a", "i": range(len(x)), "value": x}))
+    e = kernels.entropy_onsets(df, 20, 10, 1000.0)
+    assert pairs_made(e) <= 2 * len(x)
+    assert len(e.collect()) > 50
+    rows = np.lib.stride_tricks.sliding_window_view(x, 50)[:300].copy()
+    rows[3], rows[5, ::2], rows[6] = 1.0, 0.0, np.arange(50)
+    for m in (1, 2, 3):
+        assert np.allclose(kernels.sample_entropies(rows, m), [kernels.sample_entropy(v, m) for v in rows])
