@@ -212,16 +212,52 @@ def warp(template: np.ndarray, segment: np.ndarray, band: int | None = None) ->
     return total / np.maximum(count, 1)
 
 
-def subtract_warped(x: np.ndarray, at: np.ndarray, template: np.ndarray, band: int | None = 10) -> np.ndarray:
-    """As :func:`subtract` with warped templates; each reads the signal as it was, so overlaps do not interact."""
-    y, w, half = x.astype(float).copy(), len(template), len(template) // 2
-    for k in at:
-        lo = int(k) - half
-        if 0 <= lo and lo + w <= len(x):
-            t = warp(template, x[lo : lo + w], band)
-            p = float(t @ t)
-            if p > 0:
-                y[lo : lo + w] -= float(x[lo : lo + w] @ t) / p * t
+def warped_templates(segments: np.ndarray, template: np.ndarray, band: int | None = None) -> np.ndarray:
+    """:func:`warp` of the template onto each row of ``segments``: the table of totals, cell by cell, for all rows at once."""
+    rows, n = segments.shape
+    m = len(template)
+    band = max(band if band is not None else max(n, m), abs(n - m))
+    cells = [(i, j) for i in range(1, n + 1) for j in range(max(1, i - band), min(m, i + band) + 1)]
+    out, step = np.zeros((rows, n)), max(1, (1 << 21) // ((n + 1) * (m + 1)))
+    for at in range(0, rows, step):
+        x = segments[at : at + step]
+        d = np.full((n + 1, m + 1, len(x)), np.inf)
+        d[0, 0] = 0
+        for i, j in cells:
+            d[i, j] = (x[:, i - 1] - template[j - 1]) ** 2 + np.minimum(np.minimum(d[i - 1, j - 1], d[i - 1, j]), d[i, j - 1])
+        on = np.zeros(d.shape, bool)
+        on[n, m] = True
+        for i, j in reversed(cells):  # the path backwards: the first least of the three cells before
+            a, b, c, here = d[i - 1, j - 1], d[i - 1, j], d[i, j - 1], on[i, j]
+            first = (a <= b) & (a <= c)
+            second = ~first & (b <= c)
+            on[i - 1, j - 1] |= here & first
+            on[i - 1, j] |= here & second
+            on[i, j - 1] |= here & ~first & ~second
+        total, count = np.zeros((n, len(x))), on[1:, 1:].sum(axis=1)
+        for j in range(m):
+            total += on[1:, j + 1] * template[j]
+        out[at : at + step] = (total / np.maximum(count, 1)).T
+    return out
+
+
+def subtract_warped(x: np.ndarray, at: np.ndarray, template: np.ndarray, band: int | None = 10, within: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """As :func:`subtract` with warped templates; each reads the signal as it was, so overlaps do not interact.
+
+    ``within`` gives for each index the first and last place its window may reach (else the signal's ends).
+    """
+    y, w = x.astype(float).copy(), len(template)
+    lo = np.asarray(at, np.int64) - w // 2
+    first, last = within if within is not None else (np.zeros(len(lo), np.int64), np.full(len(lo), len(x) - 1))
+    lo = lo[(lo >= first) & (lo + w - 1 <= last)]
+    if not len(lo):
+        return y
+    places = lo[:, None] + np.arange(w)
+    segments = y[places]
+    t = warped_templates(segments, template, band)
+    power = (t * t).sum(axis=1)
+    scale = np.divide((segments * t).sum(axis=1), power, out=np.zeros(len(t)), where=power > 0)
+    np.subtract.at(y, places, scale[:, None] * t)
     return y
 
 
@@ -239,6 +275,17 @@ def subtract_templates(df: DataFrame, events: DataFrame, template: list[float],
     wanted = reached.groupBy("channel", "i", "_run").agg(F.max(F.col("at") == F.col("i")).alias("mark"))
     rows = df.select("channel", "i", "value").join(wanted, ["channel", "i"]).withColumn("_blk", F.floor(F.col("_run") / block))
 
+    def warped(pdf: pd.DataFrame) -> pd.DataFrame:
+        part = pdf.sort_values(["_run", "i"])  # runs do not touch, so this is the order of samples
+        i, begin = part["i"].to_numpy(), np.flatnonzero(np.diff(part["_run"].to_numpy(), prepend=np.iinfo(np.int64).min))
+        size_of = np.diff(np.append(begin, len(i)))
+        first, last = np.repeat(i[begin], size_of) - i[0], np.repeat(i[begin + size_of - 1], size_of) - i[0]
+        whole = np.zeros(int(i[-1] - i[0]) + 1)
+        whole[i - i[0]] = part["value"].to_numpy(float)
+        at = np.flatnonzero(part["mark"].to_numpy())
+        y = subtract_warped(whole, i[at] - i[0], t, band, (first[at], last[at]))
+        return part[["channel", "i"]].assign(new=y[i - i[0]])
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for _, part in pdf.sort_values(["_run", "i"]).groupby("_run"):
@@ -248,9 +295,9 @@ def subtract_templates(df: DataFrame, events: DataFrame, template: list[float],
             first = int(i[0])
             whole = np.zeros(int(i[-1]) - first + 1)
             whole[i - first] = x
-            y = subtract(whole, i[at] - first, t, reach) if method == "correlation" else subtract_warped(whole, i[at] - first, t, band)
+            y = subtract(whole, i[at] - first, t, reach)
             out.append(part[["channel", "i"]].assign(new=y[i - first]))
         return pd.concat(out)
 
-    new = rows.groupBy("channel", "_blk").applyInPandas(run, f"channel {_kind(df)}, i long, new double")
+    new = rows.groupBy("channel", "_blk").applyInPandas(run if method == "correlation" else warped, f"channel {_kind(df)}, i long, new double")
     return df.select("channel", "i", "value").join(new, ["channel", "i"], "left").select("channel", "i", F.coalesce("new", "value").alias("value"))

@@ -119,3 +119,24 @@ def test_runs_of_entropy_meet_their_own_windows(spark):
     rows[3], rows[5, ::2], rows[6] = 1.0, 0.0, np.arange(50)
     for m in (1, 2, 3):
         assert np.allclose(kernels.sample_entropies(rows, m), [kernels.sample_entropy(v, m) for v in rows])
+
+
+def test_warping_of_many_windows_at_once(spark):
+    import time
+
+    import numpy as np
+
+    from oscilla.operators import kernels
+
+    x = np.round(np.random.default_rng(4).normal(size=12_000), 1)
+    t, at = np.array([1.0, 2.0, 4.0, 2.0, 1.0]), np.arange(0, 12_000, 3)
+    begin = time.perf_counter()
+    plain = x.copy()
+    for k in at:
+        if 2 <= k < len(x) - 2:
+            w = kernels.warp(t, x[k - 2 : k + 3], 2)
+            plain[k - 2 : k + 3] -= x[k - 2 : k + 3] @ w / (w @ w) * w
+    middle = time.perf_counter()
+    got = kernels.subtract_warped(x, at, t, 2)
+    assert 5 * (time.perf_counter() - middle) < middle - begin
+    assert np.allclose(got, plain)
