@@ -63,6 +63,31 @@ def test_histograms_make_no_pairs(spark, tmp_path):
         assert pairs_made(entry.queries()[name](spark, str(tmp_path))) <= 14 * len(rows)  # seven edges a spike; 1.2 million pairs
 
 
+def test_raster_keeps_rel_of_equal_times_once(spark, tmp_path, monkeypatch):
+    """Copies of equal times, one time with more rows than an array holds, rows without a unit or a time, times before zero; several shares of a bucket."""
+    import numpy as np
+
+    from oscilla.operators import spikes
+
+    monkeypatch.setattr(spikes, "AT_ONCE", 16, raising=False)
+    monkeypatch.setattr(spikes, "RASTER_PAIRS", 1 << 15, raising=False)
+    rows = crowd(20)
+    rows["ts"] = rows["ts"] - pd.Timedelta(hours=2)
+    rows.loc[rows.index % 50 == 7, "ts"] = rows["ts"].iloc[0]
+    rows["user_id"] = rows["user_id"].astype("Int64").mask(rows.index % 31 == 0)
+    rows["ts"] = rows["ts"].mask(rows.index % 97 == 5)
+    got, want = against_sql(spark, tmp_path, "raster", events=rows)
+    assert got == want and len(got) > 200_000 and any("" in r for r in got)
+    df = entry.queries()["raster"](spark, str(tmp_path))
+    assert df.rdd.getNumPartitions() > 4
+    assert 4 * pairs_made(df) < len(got)
+    df.write.parquet(str(tmp_path / "out"))
+    assert sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")) < 0.6 * len(got)
+    same = against_sql(spark, tmp_path, "raster", events=rows.assign(ts=rows["ts"].iloc[0]).iloc[:400])
+    assert same[0] == same[1] and len(same[0]) == 400 * np.count_nonzero(rows["event_type"].iloc[:400] == "purchase")
+    assert spikes.raster(spark.createDataFrame([], "unit_id long, sample long"), spark.createDataFrame([(1, 5)], "event_id long, sample long"), 3, 3).collect() == []
+
+
 def test_density_in_blocks_is_as_by_plain_pairs(spark, monkeypatch):
     """Groups of copies, distances of just eps, border points and noise; blocks of a few rows."""
     import numpy as np
