@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from oscilla import model
 from oscilla.functions.windows import over_neighbours
 from oscilla.operators import extract, spikes
-from oscilla.queries import DAY, HOUR, SIG, SPIKES, STIM, off6, q6, r6, register, signal
+from oscilla.queries import DAY, HOUR, SIG, SPIKES, STIM, decimals, off6, q6, r6, register, signal
 
 MIN = 60_000_000
 SEC = 1_000_000
@@ -196,7 +196,7 @@ SELECT unit1, unit2, bin, count, round(count / (n * 60.0), 9) AS value FROM c JO
 )
 def correlograms(spark, d):
     c = spikes.correlograms(train(spark, d), MIN, 20 * MIN, SEC)
-    return c.select("unit1", "unit2", "bin", "count", F.round("value", 9).alias("value"))
+    return c.select("unit1", "unit2", "bin", "count", decimals("value", 9))
 
 
 @register(
@@ -217,7 +217,7 @@ t AS (SELECT u1, u2, h / n AS t FROM h JOIN n ON n.unit_id = u1)
 SELECT x.u1 AS unit1, x.u2 AS unit2, round((x.t + y.t - x.t * y.t) / greatest(1 - x.t * y.t, 1e-10), 9) AS coefficient FROM t x JOIN t y ON x.u1 = y.u2 AND x.u2 = y.u1 WHERE x.u1 < x.u2""",
 )
 def tiling_coefficient(spark, d):
-    return spikes.tiling_coefficient(train(spark, d), 5 * MIN).select("unit1", "unit2", F.round("coefficient", 9).alias("coefficient"))
+    return spikes.tiling_coefficient(train(spark, d), 5 * MIN).select("unit1", "unit2", decimals("coefficient", 9))
 
 
 @register("synchrony", f"WITH {SPIKES}, h AS (SELECT unit_id, sample // {HOUR} AS t FROM spikes), c AS (SELECT t, count(*) AS c FROM h GROUP BY t) SELECT unit_id, round(avg((c >= 2)::INTEGER), 9) AS sync_2, round(avg((c >= 4)::INTEGER), 9) AS sync_4, round(avg((c >= 8)::INTEGER), 9) AS sync_8 FROM h JOIN c USING (t) GROUP BY unit_id")

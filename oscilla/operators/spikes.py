@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,104 +114,197 @@ def density(spikes: DataFrame, width: int, n: int, sigma_bins: float, second: in
     return smooth_bins(full, "count", sigma_bins, n, "zero").select("unit_id", "bin", (F.col("smoothed") * (second / width)).alias("rate"))
 
 
-#: Pairs of spikes that a task makes at a time; pairs and spikes of a pair of unit groups, about.
-HELD, TASK_PAIRS, TASK_SPIKES = 1 << 20, 1 << 22, 1 << 20
+#: Pairs of spikes that a task makes at a time; pairs from which groups of units are more than one, most groups for pairs' sake, spikes of a group, about, and of a packed row.
+HELD, TASK_PAIRS, MOST_GROUPS, TASK_SPIKES, PACKED = 1 << 18, 1 << 22, 1 << 5, 1 << 20, 1 << 16
+#: Stands for a missing time.
+NEVER = -(1 << 62)
+
+
+class Group:
+    """Spikes of some units in order of unit and sample: ``units``, the place of each spike's unit in them, times by run, numbers of equal times, the units' sizes."""
+
+    def __init__(self, rows: list[dict]):
+        rows = sorted(rows, key=lambda row: row["_p"])
+        self.units = pa.concat_arrays([row["units"] for row in rows])
+        names, lengths = self.units.to_numpy(zero_copy_only=False), np.concatenate([row["lengths"] for row in rows])
+        fresh = np.append(True, names[1:] != names[:-1])  # a unit may go on in the next row
+        self.units, self.names = self.units.take(pa.array(np.flatnonzero(fresh))), names[fresh]
+        self.of = np.repeat(np.cumsum(fresh) - 1, lengths)
+        each = [[np.frombuffer(v, np.int64 if r == 0 or len(v) > 4 * k else np.int32) for r, v in enumerate(row["at"])] for row, k in ((row, int(row["lengths"].sum())) for row in rows)]
+        first, *moved = map(np.concatenate, zip(*each, strict=True))
+        self.at = [first, *(first + m for m in moved)]
+        self.n = np.concatenate([np.frombuffer(row["n"], np.int64) for row in rows])
+        self.sizes = np.add.reduceat(self.n, np.flatnonzero(np.append(True, self.of[1:] != self.of[:-1])))
+        timed = first != NEVER
+        if not timed.all():  # they count in sizes and meet nothing
+            self.of, self.n, self.at = self.of[timed], self.n[timed], [x[timed] for x in self.at]
+        self.ends = np.flatnonzero(np.append(self.of[1:] != self.of[:-1], True)) + 1
+        self.single = bool((self.n == 1).all())
+
+
+class Meeting:
+    """Pairs of spikes of two groups at most ``reach`` apart, for whole units of the first one after the other."""
+
+    def __init__(self, a: Group, b: Group, reach: int):
+        self.a = a
+        self.order = [np.argsort(y, kind="stable") for y in b.at]
+        self.y = [y[o] for y, o in zip(b.at, self.order, strict=True)]
+        self.lo = [np.searchsorted(y, x - reach) for x, y in zip(a.at, self.y, strict=True)]
+        self.n = [np.searchsorted(y, x + reach, "right") - lo for x, y, lo in zip(a.at, self.y, self.lo, strict=True)]
+
+    def parts(self) -> Iterator[tuple[int, int, bool]]:
+        """from, to, ended: spikes of the first group with about HELD pairs, of whole units or a part of one; whether its unit ends."""
+        ends, at = np.cumsum(sum(self.n)), 0
+        while at < len(ends):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + HELD, "right")))
+            k = int(np.searchsorted(self.a.ends, to, "right"))
+            ended = k > 0 and self.a.ends[k - 1] > at
+            to = int(self.a.ends[k - 1]) if ended else to
+            yield at, to, ended
+            at = to
+
+    def pairs(self, run: int, at: int, to: int) -> tuple[np.ndarray, np.ndarray]:
+        """How many spikes of the second group each of the first meets, and their places in order of time."""
+        n = self.n[run][at:to]
+        return n, np.arange(n.sum()) + np.repeat(self.lo[run][at:to] - np.cumsum(n) + n, n)
 
 
 def meetings(spikes: DataFrame, reach: int, run, schema: str, at: list[Column] | None = None) -> DataFrame:
-    """``run(a, b)`` for every two groups of units: frames of their spikes (unit_id, sample, n, at0, at1, ..), the same frame twice for a group by itself.
+    """``run(a, b)`` for every two groups of units, the same ``Group`` twice for a group by itself; it yields lists of columns.
 
     All spikes of a unit are in its group, so what a pair of units has is whole in one task: spikes travel, their pairs do not.
-    There are as many groups as the pairs within ``reach`` ask for.  ``at`` gives times by which units meet (else the sample);
+    Spikes travel packed, once to each group, and a pair of groups is a task.  Groups are as many as the cube root of the pairs
+    within ``reach`` asks for, so that what is sent grows slowly.  ``at`` gives times by which units meet (else the sample);
     equal times of a unit are one row with their number n.
     """
-    times = spikes.groupBy("unit_id", "sample").agg(F.count("*").alias("n")).select("unit_id", "sample", "n", *(c.cast("long").alias(f"at{k}") for k, c in enumerate(at or [F.col("sample")])))
-    size = spikes.groupBy(F.floor(F.col("sample") / max(1, reach)).alias("b")).agg(F.count("*").alias("n")).agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("q"), F.sum("n").alias("n")).first()
-    g = max(1, math.ceil(math.sqrt(3 * (size["q"] or 0) * len(at or [0]) / TASK_PAIRS)), math.ceil((size["n"] or 0) / TASK_SPIKES))
-    own = F.pmod(F.xxhash64("unit_id"), F.lit(g)).cast("int")
-    rows = times.withColumn("_g", own).withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(g - 1))))
-    rows = rows.withColumn("_i", F.least("_g", "_o")).withColumn("_j", F.greatest("_g", "_o")).drop("_o")
-
-    def task(pdf: pd.DataFrame) -> pd.DataFrame:
-        first = (pdf["_g"] == pdf["_i"]).to_numpy()
-        a = pdf[first].reset_index(drop=True)
-        return run(a, a if first.all() and pdf["_i"].iloc[0] == pdf["_j"].iloc[0] else pdf[~first].reset_index(drop=True))
-
-    return rows.groupBy("_i", "_j").applyInPandas(task, schema)
-
+    runs, kind = len(at or [0]), dict(spikes.dtypes)["unit_id"]
+    known = spikes.where("unit_id IS NOT NULL")
+    times = known.groupBy("unit_id", "sample").agg(F.count("*").alias("n")).select("unit_id", "n", *(F.coalesce(c.cast("long"), F.lit(NEVER)).alias(f"at{k}") for k, c in enumerate(at or [F.col("sample")])))
+    size = known.where("sample IS NOT NULL").groupBy(F.floor(F.col("sample") / max(1, reach)).alias("b")).agg(F.count("*").alias("n")).agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("q"), F.sum("n").alias("n")).first()
+    g = max(1, min(MOST_GROUPS, math.ceil((3 * (size["q"] or 0) * runs / TASK_PAIRS) ** (1 / 3))), math.ceil((size["n"] or 0) / TASK_SPIKES))
+
+    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["unit_id", "at0"])
+        rows = []
+        for k in range(0, len(pdf), PACKED):
+            part = pdf.iloc[k : k + PACKED]
+            unit, first = part["unit_id"].to_numpy(), part["at0"].to_numpy()
+            begin = np.flatnonzero(np.append(True, unit[1:] != unit[:-1]))
+            moved = [part[f"at{r}"].to_numpy() - first for r in range(1, runs)]
+            moved = [m.astype(np.int32) if np.abs(m).max() < 1 << 31 else m for m in moved]
+            rows.append((key[0], k, unit[begin], np.diff(np.append(begin, len(part))), part["n"].to_numpy().tobytes(), [m.tobytes() for m in (first, *moved)]))
+        return pd.DataFrame(rows, columns=["_g", "_p", "units", "lengths", "n", "at"])
 
-def close_pairs(x: np.ndarray, y: np.ndarray, reach: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places (in x, in y) of times at most ``reach`` apart, about HELD at a time; those of one place in x come together."""
-    order = np.argsort(y, kind="stable")
-    ys = y[order]
-    lo, hi = np.searchsorted(ys, x - reach), np.searchsorted(ys, x + reach, "right")
-    ends = np.cumsum(hi - lo)
-    at = 0
-    while at < len(x):
-        done = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, done + HELD, "right")))
-        n = (hi - lo)[at:to]
-        left = np.repeat(np.arange(at, to), n)
-        yield left, order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + lo[left]]
-        at = to
-
-
-def summed(codes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct codes and the sums of their weights."""
-    order = np.argsort(codes, kind="stable")
-    codes = codes[order]
-    first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])[: len(codes)])
-    return codes[first], np.add.reduceat(weights[order], first) if len(first) else np.zeros(0, np.int64)
+    own = F.pmod(F.xxhash64("unit_id"), F.lit(g)).cast("int")
+    packed = times.withColumn("_g", own).groupBy("_g").applyInPandas(pack, f"_g int, _p long, units array<{kind}>, lengths array<long>, n binary, at array<binary>")
+    sent = packed.withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(g - 1)))).withColumn("_i", F.least("_g", "_o")).withColumn("_j", F.greatest("_g", "_o")).drop("_o")
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: tuple[list[dict], list[dict]] = ([], [])
+        alone = False
+        for batch in batches:
+            i, j, own = (batch.column(c).to_pylist() for c in ("_i", "_j", "_g"))
+            for k in range(batch.num_rows):
+                alone = i[k] == j[k]
+                row = {c: batch.column(c)[k] for c in ("_p", "units", "lengths", "n", "at")}
+                rows[own[k] != i[k]].append({"_p": row["_p"].as_py(), "units": row["units"].values, "lengths": row["lengths"].values.to_numpy(), "n": row["n"].as_py(), "at": row["at"].as_py()})
+        if rows[0] and (alone or rows[1]):
+            a = Group(rows[0])
+            b = a if alone else Group(rows[1])
+            rows[0].clear(), rows[1].clear()
+            for columns in run(a, b):
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names)
+
+    number = (F.col("_j") * (F.col("_j") + 1) / 2 + F.col("_i")).cast("int")
+    return sent.repartitionById(g * (g + 1) // 2, number).mapInArrow(task, schema)
+
+
+def summed(codes: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes in order, and how many there are of each or the sums of their weights."""
+    if not len(codes):
+        return codes, np.zeros(0, np.int64)
+    if weights is None:
+        codes = np.sort(codes)
+    else:
+        order = np.argsort(codes, kind="stable")
+        codes, weights = codes[order], weights[order]
+    first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
+    return codes[first], np.diff(np.append(first, len(codes))) if weights is None else np.add.reduceat(weights, first)
+
+
+def _in_order(a: Group, b: Group, one: np.ndarray, two: np.ndarray) -> tuple[pa.Array, pa.Array, np.ndarray]:
+    """unit1, unit2 of places in the units of two groups, and whether they changed sides so that unit1 is the lesser."""
+    turn = np.zeros(len(one), bool) if a is b else np.searchsorted(b.names, a.names)[one] > two
+    if a is b or not turn.any():
+        return a.units.take(pa.array(one)), b.units.take(pa.array(two)), turn
+    both, two = pa.concat_arrays([a.units, b.units]), two + len(a.units)
+    return both.take(pa.array(np.where(turn, two, one))), both.take(pa.array(np.where(turn, one, two))), turn
 
 
 def lag_counts(spikes: DataFrame, width: int, half: int, same: str | None = None, at: list[Column] | None = None) -> DataFrame:
-    """unit1, unit2, bin, count0, count1, .., size: pairs of spikes by lag for each of the times ``at``, in cells where the first has some, and the spikes of unit1.
+    """unit1, unit2, bin, count, others, size: pairs of spikes by lag for the first of the times ``at``, in cells where it has some, those for all other times, and the spikes of unit1.
 
     ``same`` says which pairs of a unit with itself count: none, "all" or those at "other" times.
     """
     runs, bins = len(at or [0]), (2 * half - 1) // width + 1
-
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        units, where = np.unique(np.concatenate([a["unit_id"], b["unit_id"]]), return_inverse=True)
-        ua, ub, na, nb = where[: len(a)], where[len(a) :], a["n"].to_numpy(), b["n"].to_numpy()
-        sizes = np.zeros(len(units), np.int64)
-        np.add.at(sizes, ua, na)
-        if a is not b:
-            np.add.at(sizes, ub, nb)
-        got = []
-        for r in range(runs):
-            x, y = a[f"at{r}"].to_numpy(), b[f"at{r}"].to_numpy()
-            held: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-            for k, m in close_pairs(x, y, half):
-                turn = ua[k] > ub[m]
-                lag = np.where(turn, x[k] - y[m], y[m] - x[k])
-                ok = (lag >= -half) & (lag < half)
-                if a is b:  # every pair is met both ways
-                    equal = ua[k] == ub[m]
-                    ok &= ~turn & (~equal if same is None else np.ones(len(k), bool) if same == "all" else ~equal | (lag != 0))
-                k, m, turn, lag = k[ok], m[ok], turn[ok], lag[ok]
-                code = (np.where(turn, ub[m], ua[k]) * len(units) + np.where(turn, ua[k], ub[m])) * bins + (lag + half) // width
-                held.append(summed(code, na[k] * nb[m]))
-                if len(held) > 16:
-                    held = [summed(*map(np.concatenate, zip(*held, strict=True)))]
-            got.append(summed(*map(np.concatenate, zip(*held, strict=True))))
-        code = got[0][0]
-        counts = {"count0": got[0][1]}
-        for r, (other, n) in enumerate(got[1:], 1):
-            place = np.minimum(np.searchsorted(other, code), max(0, len(other) - 1))
-            counts[f"count{r}"] = np.where(other[place] == code, n[place], 0) if len(other) else np.zeros(len(code), np.int64)
-        one = code // bins // len(units)
-        return pd.DataFrame({"unit1": units[one], "unit2": units[code // bins % len(units)], "bin": code % bins, **counts, "size": sizes[one]})
+    step = 1 if runs == 1 else 2  # a cell's pairs, and those of other times next to them
+
+    def run(a: Group, b: Group) -> Iterator[list]:
+        met, alone, single = Meeting(a, b, half), a is b, a.single and b.single
+        before = np.searchsorted(b.names, a.names)
+        with_b = [b.of[o] for o in met.order]
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for at, to, ended in met.parts():
+            first = int(a.of[at])
+            small = (int(a.of[to - 1]) - first + 1) * len(b.units) * bins * step < 1 << 31
+            kind, codes, weights = np.int32 if small else np.int64, [], []
+            for r in range(runs):
+                n, p = met.pairs(r, at, to)
+                u, v = np.repeat(a.of[at:to], n), with_b[r][p]
+                lag = met.y[r][p] - np.repeat(a.at[r][at:to], n)
+                if alone:  # every pair is met both ways
+                    ok = v > u if same is None else v >= u if same == "all" else (v > u) | ((v == u) & (lag != 0))
+                else:
+                    lag = np.where(np.repeat(before[a.of[at:to]], n) > v, -lag, lag)
+                    ok = np.ones(len(lag), bool)
+                ok &= lag < half
+                if not ok.all():
+                    u, v, lag, p = u[ok], v[ok], lag[ok], p[ok]
+                code = (u - first).astype(kind) * kind(len(b.units)) + v.astype(kind)
+                code = code * kind(bins) + ((lag + half) // width).astype(kind)
+                codes.append(code if step == 1 else code * kind(2) + kind(r > 0))
+                if not single:
+                    k = np.repeat(np.arange(at, to), n)
+                    weights.append(a.n[k if ok.all() else k[ok]] * b.n[met.order[r][p]])
+            held.append(summed(np.concatenate(codes), None if single else np.concatenate(weights)))
+            if not ended and len(held) < 16:
+                continue
+            code, count = held[0] if len(held) == 1 else summed(*map(np.concatenate, zip(*held, strict=True)))
+            if not ended:
+                held = [(code, count)]
+                continue
+            held, others = [], np.zeros(len(code), np.int64)
+            if step == 2:
+                others[:-1] = np.where(code[1:] == code[:-1] + 1, count[1:], 0)
+                real = code % 2 == 0
+                code, count, others = code[real] // 2, count[real], others[real]
+            if len(code):
+                cell, bin_ = np.divmod(code, code.dtype.type(bins))
+                one, two = np.divmod(cell, code.dtype.type(len(b.units)))
+                one = one + first
+                unit1, unit2, turn = _in_order(a, b, one, two)
+                yield [unit1, unit2, bin_.astype(np.int32), count, others, np.where(turn, b.sizes[two], a.sizes[one])]
 
     kind = dict(spikes.dtypes)["unit_id"]
-    return meetings(spikes, half, run, f"unit1 {kind}, unit2 {kind}, bin int, {', '.join(f'count{r} long' for r in range(runs))}, size long", at)
+    return meetings(spikes, half, run, f"unit1 {kind}, unit2 {kind}, bin int, count long, others long, size long", at)
 
 
 def correlograms(spikes: DataFrame, width: int, window: int, second: int, normalization: str | None = "rate", autos: bool = True, crosses: bool = True) -> DataFrame:
     """unit1, unit2, bin, count, value over lags of at most window / 2: all pairs of spikes, self pairs included in autos."""
     half = window // 2
     if crosses:
-        binned = lag_counts(spikes, width, half, "all" if autos else None).withColumnRenamed("count0", "count")
+        binned = lag_counts(spikes, width, half, "all" if autos else None).drop("others")
     else:  # a unit meets itself alone
         times = spikes.groupBy("unit_id", "sample").agg(F.count("*").alias("n"))  # equal times once, with their number
         a = times.select("unit_id", F.col("sample").alias("a_at"), F.col("n").alias("n1"))
@@ -231,31 +325,36 @@ def correlograms(spikes: DataFrame, width: int, window: int, second: int, normal
 def tiling_coefficient(spikes: DataFrame, dt: int) -> DataFrame:
     """Per unit pair that ever comes within dt: (ta + tb - ta tb) / max(1 - ta tb, 1e-10), ta and tb the shares with a partner."""
 
-    def partners(a: pd.DataFrame, b: pd.DataFrame, ua: np.ndarray, ub: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Codes (unit of a) n + (unit of b), and how many spikes of the one have one of the other near."""
-        weight, held = a["n"].to_numpy(), [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        for k, m in close_pairs(a["sample"].to_numpy(), b["sample"].to_numpy(), dt):
-            met = np.unique((k * n + ub[m])[ua[k] != ub[m]])
-            held.append(summed(ua[met // n] * n + met % n, weight[met // n]))
-            if len(held) > 16:
-                held = [summed(*map(np.concatenate, zip(*held, strict=True)))]
-        return summed(*map(np.concatenate, zip(*held, strict=True)))
-
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        units, where = np.unique(np.concatenate([a["unit_id"], b["unit_id"]]), return_inverse=True)
-        n, ua, ub = len(units), where[: len(a)], where[len(a) :]
-        sizes = np.zeros(n, np.int64)
-        np.add.at(sizes, ua, a["n"].to_numpy())
-        code, hits = partners(a, b, ua, ub, n)
-        if a is not b:
-            np.add.at(sizes, ub, b["n"].to_numpy())
-            more, others = partners(b, a, ub, ua, n)
-            code, hits = summed(np.concatenate([code, more]), np.concatenate([hits, others]))
-        up = code // n < code % n  # who is near is near both ways
-        back = np.searchsorted(code, code[up] % n * n + code[up] // n)
-        one, two = code[up] // n, code[up] % n
-        ta, tb = hits[up] / sizes[one], hits[back] / sizes[two]
-        return pd.DataFrame({"unit1": units[one], "unit2": units[two], "coefficient": (ta + tb - ta * tb) / np.maximum(1 - ta * tb, 1e-10)})
+    def run(a: Group, b: Group) -> Iterator[list]:
+        met, alone, n = Meeting(a, b, dt), a is b, len(b.units)
+        with_b = b.of[met.order[0]]
+        held: tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]] = ([], [], [])
+        for at, to, ended in met.parts():
+            first = int(a.of[at])
+            k, p = met.pairs(0, at, to)
+            k = np.repeat(np.arange(at, to), k)
+            if alone:
+                ok = with_b[p] > a.of[k]
+                k, p = k[ok], p[ok]
+            one = (a.of[k] - first) * n
+            near, _ = summed((one + with_b[p]) * (to - at) + k - at)  # spikes of the first unit with one of the second, and the other way
+            pair, hits = summed(near // (to - at), a.n[near % (to - at) + at]) if not a.single else summed(near // (to - at))
+            back, _ = summed((a.of[k] - first) * len(b.of) + met.order[0][p])
+            for part, v in zip(held, (pair, hits, back), strict=True):
+                part.append(v)
+            if not ended and len(held[0]) < 16:
+                continue
+            if len(held[0]) > 1:
+                pair, hits = summed(np.concatenate(held[0]), np.concatenate(held[1]))
+                back, _ = summed(np.concatenate(held[2]))
+            held = ([], [], []) if ended else ([pair], [hits], [back])
+            if ended and len(pair):
+                place = back % len(b.of)
+                _, others = summed(back // len(b.of) * n + b.of[place], b.n[place])
+                one, two = pair // n + first, pair % n
+                ta, tb = hits / a.sizes[one], others / b.sizes[two]
+                unit1, unit2, _ = _in_order(a, b, one, two)
+                yield [unit1, unit2, (ta + tb - ta * tb) / np.maximum(1 - ta * tb, 1e-10)]
 
     kind = dict(spikes.dtypes)["unit_id"]
     return meetings(spikes, dt, run, f"unit1 {kind}, unit2 {kind}, coefficient double")

@@ -129,6 +129,48 @@ def test_correlograms_send_no_pairs(spark, tmp_path, monkeypatch):
         assert pairs_made(entry.queries()[name](spark, str(tmp_path))) <= len(rows)
 
 
+def rows_of(df, kind):
+    """The most rows that a node of this kind gives in the executed plan."""
+    df.collect()
+    most, left = 0, [df._jdf.queryExecution().executedPlan()]
+    while left:
+        p = left.pop()
+        if "AdaptiveSparkPlan" in p.nodeName() or "QueryStage" in p.nodeName():
+            left.append(p.plan() if "QueryStage" in p.nodeName() else p.executedPlan())
+            continue
+        if kind in p.nodeName() and p.metrics().contains("numOutputRows"):
+            most = max(most, p.metrics().apply("numOutputRows").value())
+        left += [p.children().apply(k) for k in range(p.children().size())]
+    return most
+
+
+def test_correlograms_send_packed_spikes(spark, tmp_path, monkeypatch):
+    """Many groups of few units, units of more pairs than a part, rows without a unit or a time: spikes reach the groups packed, and parts of a unit are put together."""
+    from oscilla.operators import spikes
+
+    for name, value in (("TASK_PAIRS", 1 << 8), ("HELD", 1 << 9), ("PACKED", 1 << 7)):
+        monkeypatch.setattr(spikes, name, value, raising=False)
+    rows = crowd(4)
+    rows["user_id"] = (rows["user_id"] * 7 + rows.index % 3).astype("Int64").mask(rows.index % 31 == 0)
+    rows.loc[rows.index % 5 == 0, "user_id"] = 3
+    rows["ts"] = rows["ts"].mask(rows.index % 97 == 5)
+    for name in ("correlograms", "view_correlogram", "tiling_coefficient", "jitter_corrected"):
+        got, want = against_sql(spark, tmp_path, name, events=rows)
+        assert got == want and len(got) >= 40
+        df = entry.queries()[name](spark, str(tmp_path))
+        assert df.rdd.getNumPartitions() > 4  # a task for every two groups
+        assert 0 < rows_of(df, "Generate") < len(rows) // 2
+
+
+def test_decimals_are_those_of_round(spark):
+    from oscilla.queries import decimals
+
+    values = [None, 0.0, 0.25, 1 / 3, 2 / 3, 1e10, 1e300, -1 / 3, float("nan"), float("inf"), *(k / 77 for k in range(500))]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    for n in (6, 9):
+        assert repr(df.select(decimals("x", n)).collect()) == repr(df.selectExpr(f"round(x, {n}) AS x").collect())
+
+
 def test_runs_of_entropy_meet_their_own_windows(spark):
     """Hundreds of runs in one channel: a run meets its windows and the three before, not all of the channel."""
     import numpy as np
